@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are handled in slices of about so many UTF-8 bytes, which bounds what a
@@ -73,7 +74,7 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
     if not batch.num_rows:
         return
     at = batch.schema.get_field_index(column)
-    size = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0)
+    size = pc.fill_null(pc.binary_length(batch.column(at)), 0)
     ends = np.cumsum(size.to_numpy(zero_copy_only=False).astype(np.int64))
     first, base = 0, 0
     while first < batch.num_rows:
