@@ -10,9 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import decontamination_report
 from .langid import language_report
+from .quality import quality_report
 from .tokens import token_counts
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(spark, table(spark, sf_dir, "documents"))
 
@@ -51,7 +56,7 @@ FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op6_language_id": op6_language_id, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
+    return {"op1_quality": op1_quality, "op6_language_id": op6_language_id, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
