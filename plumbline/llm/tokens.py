@@ -7,8 +7,8 @@ table, emptied when full); the counts of a document are its pre-token
 frequencies joined to that table and summed, and no ids are built.
 
 The cutting is done here, with the pattern of the tokenizer's file, for texts
-all of whose characters lie below U+0370, where this has been checked character
-by character against the library (tests). Any other text, and any text when the
+all of whose characters, once normalised, lie below U+0370, where this has been
+checked character by character against the library (tests). Any other text, and any text when the
 file is not of a known make, goes through the library whole. Special strings in
 a text are what the library makes of them: one token each.
 """
@@ -17,14 +17,15 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import struct
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,14 +34,22 @@ from .common import slices
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 #: Distinct pre-tokens kept by a worker before its table is emptied.
-TABLE_LIMIT = 400_000
+TABLE_LIMIT = 1_000_000
 OVER_LIMIT = 2048
 
-_PLAIN = regex.compile(r"[\x00-ͯ]*")
+_PLAIN = re.compile(r"[\x00-\u036f]*")
 _SPACES = r"\t\n\x0b\f\r \x85\xa0"  # white space below U+0370, as the library sees it
-# The cutting patterns of the two makes of tokenizer file, white space spelt out.
-_WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{_SPACES}\p{{L}}\p{{N}}]+"
-_BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACES}\p{{L}}\p{{N}}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+
+
+def _of_kind(kind: str) -> str:
+    """The characters below U+0370 of a general category, for a character class."""
+    return "".join(re.escape(c) for c in map(chr, range(0x370)) if unicodedata.category(c)[0] == kind)
+
+
+_L, _N = _of_kind("L"), _of_kind("N")
+# The cutting patterns of the two makes of tokenizer file, classes spelt out.
+_WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_SPACES}{_L}{_N}]+"
+_BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_SPACES}{_L}{_N}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
 
 
 class Encoder:
@@ -56,38 +65,37 @@ class Encoder:
             spec = json.load(f)
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         plain = all(not (t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]) for t in spec["added_tokens"])
-        self._special = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
+        self._special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.lower = spec["model"].get("end_of_word_suffix") == "</w>" and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         own_bytes = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": spec["pre_tokenizer"].get("trim_offsets"), "use_regex": True}
         self.known = plain and spec["model"]["type"] == "BPE" and (self.lower or own_bytes)
-        self._cut = regex.compile(_WORD_PATTERN if self.lower else _BYTE_PATTERN).findall
+        self._cut = re.compile(_WORD_PATTERN if self.lower else _BYTE_PATTERN).findall
         self.counts: dict[str, int] = {}
         self.ids: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        """The pre-tokens of a plain text without special strings."""
+    def pieces(self, text: str) -> list[str] | None:
+        """The pre-tokens of a text without special strings, if they can be cut here."""
+        if not self.known:
+            return None
         if self.lower:
             text = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
-        return self._cut(text)
-
-    def is_plain(self, text: str) -> bool:
-        return self.known and (text.isascii() or _PLAIN.fullmatch(text) is not None)
+        return self._cut(text) if text.isascii() or _PLAIN.fullmatch(text) else None
 
     def parts(self, text: str) -> list[str]:
         """The text cut at special strings, which stay as parts of their own."""
         return [text] if self._special is None or "<|" not in text else [p for p in self._special.split(text) if p]
 
-    def _learn(self, new: set[str], counts: bool) -> None:
-        if len(self.counts if counts else self.ids) > TABLE_LIMIT:
-            (self.counts if counts else self.ids).clear()
-        fresh = list(new)
-        for i in range(0, len(fresh), 4096):
-            some = fresh[i : i + 4096]
-            for piece, e in zip(some, self.library.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                if counts:
-                    self.counts[piece] = len(e)
-                else:
-                    self.ids[piece] = _packed(e.ids)
+    def _learned(self, fresh: list[str]) -> Iterator[np.ndarray]:
+        """The ids of each pre-token. Many go through the library as one text, with a
+        special string after each, which parts them for the library and here."""
+        if not self.special:
+            yield from (np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(fresh, add_special_tokens=False))
+            return
+        stop, mark = max(self.special.items())
+        for i in range(0, len(fresh), 512):
+            some = fresh[i : i + 512]
+            ids = np.array(self.library.encode_batch_fast([stop.join(some) + stop], add_special_tokens=False)[0].ids, dtype="<u4")
+            yield from (a[:-1] for a in np.split(ids, np.flatnonzero(ids == mark)[: len(some) - 1] + 1))
 
     def count(self, texts: list[str | None]) -> list[int]:
         """The number of tokens of each text."""
@@ -98,8 +106,8 @@ class Encoder:
             for part in self.parts(text or ""):
                 if part in self.special:
                     fixed[i] += 1
-                elif self.is_plain(part):
-                    freqs.append((i, Counter(self.pieces(part))))
+                elif (pieces := self.pieces(part)) is not None:
+                    freqs.append((i, Counter(pieces)))
                 else:
                     whole[i] = whole.get(i, 0) + len(self.library.encode(part, add_special_tokens=False))
         known = self.counts
@@ -108,7 +116,8 @@ class Encoder:
             if len(known) + len(new) > TABLE_LIMIT:
                 known.clear()
                 new = {p for _, f in freqs for p in f}
-            self._learn(new, counts=True)
+            fresh = list(new)
+            known.update(zip(fresh, map(len, self._learned(fresh)), strict=True))
         for i, f in freqs:
             fixed[i] += sum(map(int.__mul__, f.values(), map(known.__getitem__, f)))
         return [n + whole.get(i, 0) for i, n in enumerate(fixed)]
@@ -122,8 +131,7 @@ class Encoder:
             for part in self.parts(text or ""):
                 if part in self.special:
                     own.append(_packed([self.special[part]]))
-                elif self.is_plain(part):
-                    pieces = self.pieces(part)
+                elif (pieces := self.pieces(part)) is not None:
                     own.append(pieces)
                     new.update(pieces)
                 else:
@@ -132,9 +140,8 @@ class Encoder:
         known = self.ids
         if len(known) + len(new) > TABLE_LIMIT:
             known.clear()
-        new.difference_update(known)
-        if new:
-            self._learn(new, counts=False)
+        fresh = list(new.difference(known))
+        known.update(zip(fresh, (ids.tobytes() for ids in self._learned(fresh)), strict=True))
         return [b"".join(part if isinstance(part, bytes) else b"".join(map(known.__getitem__, part)) for part in own) for own in cut]
 
 
