@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import decontamination_report
 from .langid import language_report
+from .neardup import near_duplicate_report
 from .packing import packed_documents
 from .quality import quality_report
 from .tokens import token_counts
@@ -23,6 +24,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_report(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(spark, table(spark, sf_dir, "documents"))
 
@@ -61,7 +66,7 @@ FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op3_packing": op3_packing, "op6_language_id": op6_language_id, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
+    return {"op1_quality": op1_quality, "op3_packing": op3_packing, "op5_minhash_neardup": op5_minhash_neardup, "op6_language_id": op6_language_id, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
