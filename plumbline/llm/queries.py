@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import decontamination_report
+from .embeddings import linked_vectors
 from .langid import language_report
 from .neardup import near_duplicate_report
 from .packing import packed_documents
@@ -20,6 +21,26 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_embedding_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'max') = 0
+    AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v AS a JOIN v AS b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a
+), component AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a),
+counts AS (SELECT a AS vec_id, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM component LEFT JOIN counts USING (vec_id)
+"""
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -66,8 +87,8 @@ FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op3_packing": op3_packing, "op5_minhash_neardup": op5_minhash_neardup, "op6_language_id": op6_language_id, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
+    return {"op1_quality": op1_quality, "op2_embedding_neardup": op2_embedding_neardup, "op3_packing": op3_packing, "op5_minhash_neardup": op5_minhash_neardup, "op6_language_id": op6_language_id, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_decontamination": OP10_SQL}
+    return {"op2_embedding_neardup": OP2_SQL, "op10_decontamination": OP10_SQL}
