@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import decontamination_report
 from .embeddings import linked_vectors
+from .html import page_texts
 from .langid import language_report
 from .neardup import near_duplicate_report
 from .packing import packed_documents
@@ -53,6 +54,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_report(spark, table(spark, sf_dir, "documents"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_texts(table(spark, sf_dir, "pages"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -87,7 +92,7 @@ FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_embedding_neardup": op2_embedding_neardup, "op3_packing": op3_packing, "op5_minhash_neardup": op5_minhash_neardup, "op6_language_id": op6_language_id, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
+    return {"op1_quality": op1_quality, "op2_embedding_neardup": op2_embedding_neardup, "op3_packing": op3_packing, "op5_minhash_neardup": op5_minhash_neardup, "op6_language_id": op6_language_id, "op7_html_text": op7_html_text, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
