@@ -12,6 +12,7 @@ from .decontaminate import decontamination_report
 from .embeddings import linked_vectors
 from .html import page_texts
 from .langid import language_report
+from .licenses import license_report, license_sql
 from .neardup import near_duplicate_report
 from .packing import packed_documents
 from .quality import quality_report
@@ -46,6 +47,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(spark, table(spark, sf_dir, "documents"))
+
+
 def op5_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_report(spark, table(spark, sf_dir, "documents"))
 
@@ -92,8 +97,8 @@ FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_embedding_neardup": op2_embedding_neardup, "op3_packing": op3_packing, "op5_minhash_neardup": op5_minhash_neardup, "op6_language_id": op6_language_id, "op7_html_text": op7_html_text, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
+    return {"op1_quality": op1_quality, "op2_embedding_neardup": op2_embedding_neardup, "op3_packing": op3_packing, "op4_license_scan": op4_license_scan, "op5_minhash_neardup": op5_minhash_neardup, "op6_language_id": op6_language_id, "op7_html_text": op7_html_text, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_neardup": OP2_SQL, "op10_decontamination": OP10_SQL}
+    return {"op2_embedding_neardup": OP2_SQL, "op4_license_scan": license_sql(), "op10_decontamination": OP10_SQL}
