@@ -5,15 +5,20 @@
    so a shingle's relative frequency is estimated without bias and, in relative
    terms, better the larger the corpus). It is summed by slices and broadcast.
 2. Each text becomes ``BANDS`` x ``ROWS`` improved consistent weighted samples of
-   its shingles under weights tf x (1 + idf) / 2; two texts agree in a sample with
+   its shingles under weights tf x (3 + idf) / 4; two texts agree in a sample with
    a probability equal to their weighted Jaccard similarity. ROWS samples make a
    band. Texts equal word for word are one class from here on.
 3. Classes that share a band are candidates. First every bucket's smallest class
    is compared with the others (a row for each, never all pairs); links found make
-   components. Then, in buckets that still hold several components, the pairs
-   across components, and only those, are compared. Comparing is exact: the
+   components. In buckets that still hold several, classes whose shingles are too
+   much their own to reach 0.8 with anyone leave, the one with the most in common
+   with others becomes the next pivot, and then the pairs across components whose
+   common weights allow 0.8, and only those, are compared. Comparing is exact: the
    weighted Jaccard similarity of the whole texts.
 
+The idf moves weights by a quarter at most: it lets passages that very many
+documents share count less, without driving the copies of a large group apart.
+
 At 0.8 a pair shares a band with probability 1 - (1 - 0.8^4)^16 > 0.9997.
 """
 
@@ -66,7 +71,7 @@ class Weights:
         own = counts - (total - counts) / max(1, len(counts) - 1)
         share = np.clip(own, 0, None) / max(1, documents)
         idf = np.clip(np.log(1 / (share + RARE)) / np.log(1 / RARE), 0, 1)
-        self.cell = np.round((1 + idf) / 2 * 4096).astype(np.float32) / np.float32(4096)
+        self.cell = np.round((3 + idf) / 4 * 4096).astype(np.float32) / np.float32(4096)
         gamma = _gamma_quantiles(_QUANTILES)
         self.r = gamma.astype(np.float32)
         self.log_c = np.log(gamma).astype(np.float32)
@@ -234,22 +239,69 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     stars = written(spark, members.where("pivot <> key").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "stars")
     links = written(spark, _verified(stars, found, weights), "links")
     labels = components(spark, links)
-    placed = members.join(labels, members.key == labels.node, "left").select("band", "value", "key", F.coalesce("component", "key").alias("component"))
-    mixed = placed.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("band", "value")
-    placed = written(spark, placed.join(mixed, ["band", "value"]), "mixed")
-    other = placed.select("band", "value", F.col("key").alias("b"), F.col("component").alias("component_b"))
-    across = placed.join(other, ["band", "value"]).where("component < component_b").select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
-    across = written(spark, across.join(stars, ["a", "b"], "left_anti"), "across")
-    if not across.isEmpty():
-        more = written(spark, _verified(across, found, weights), "links2")
-        if not more.isEmpty():
-            labels = components(spark, links.unionByName(more))
+    # Buckets that hold several components still. A text is out if the shingles it has
+    # in common with any other of them weigh too little for 0.8, whatever the partner.
+    placed = written(spark, _mixed(members.select("band", "value", "key"), labels), "mixed")
+    measured = written(spark, _linkable(found, placed, weights), "linkable")
+    able = placed.drop("component").join(measured.where(F.col("common") >= SIMILARITY * F.col("total") - 1e-6), "key")
+    able = written(spark, _mixed(able, labels), "able")
+    # The text with the most in common with others is the next pivot of its bucket.
+    best = able.groupBy("band", "value").agg(F.max(F.struct(F.col("common") / F.col("total"), F.col("key"), F.col("component"))).alias("best"))
+    again = able.join(best, ["band", "value"]).where(F.col("component") != F.col("best.component"))
+    again = again.select(F.least("key", "best.key").alias("a"), F.greatest("key", "best.key").alias("b")).distinct()
+    again = written(spark, again.join(stars, ["a", "b"], "left_anti"), "again")
+    links = written(spark, links.unionByName(_verified(again, found, weights)), "links")
+    labels = components(spark, links)
+    # What is left is compared pair by pair, where the common weights allow 0.8.
+    able = _mixed(able.drop("component"), labels)
+    able = written(spark, able, "rest")
+    other = able.select("band", "value", F.col("key").alias("b"), F.col("component").alias("component_b"), F.col("total").alias("total_b"), F.col("common").alias("common_b"))
+    most = F.least("common", "common_b")
+    possible = (F.col("component") < F.col("component_b")) & (most >= SIMILARITY * (F.col("total") + F.col("total_b") - most) - 1e-6)
+    rest = able.join(other, ["band", "value"]).where(possible).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
+    rest = written(spark, rest.join(stars, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"), "pairs")
+    if not rest.isEmpty():
+        labels = components(spark, links.unionByName(_verified(rest, found, weights)))
     grouped = classes.select("key", "first_id").join(labels, classes.key == labels.node, "left").select("key", "first_id", F.coalesce("component", "key").alias("component"))
     lowest = grouped.groupBy("component").agg(F.min("first_id").alias("class_id"))
     grouped = written(spark, grouped.join(lowest, "component").select("key", "class_id"), "groups")
     return signed.select("doc_id", "key").join(grouped, "key", "left").select("doc_id", "key", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """``rows`` (band, value, key, ...) with component, of buckets with several components."""
+    placed = rows.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    several = placed.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return placed.join(several.select("band", "value"), ["band", "value"])
+
+
+def _linkable(texts: DataFrame, placed: DataFrame, weights: Broadcast) -> DataFrame:
+    """Of each text in ``placed``: key, the total weight of its shingles, and the
+    weight of those that occur in another text of ``placed`` too."""
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, weight, begin, keys in _vectors_of(batches, weights):
+            sums = np.add.reduceat(np.append(weight, 0).astype(np.float64), np.minimum(begin[:-1], len(weight))) * (np.diff(begin) > 0)
+            yield pa.RecordBatch.from_arrays([keys, pa.array(sums)], names=["key", "total"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for h, weight, begin, keys in _vectors_of(batches, weights):
+            owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), keys.take(pa.array(owner)), pa.array(weight)], names=["h", "key", "weight"])
+
+    own = texts.join(placed.select("key").distinct(), "key", "left_semi")
+    single = own.mapInArrow(parts, "h bigint, key binary, weight float").groupBy("h").agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("weight").alias("weight")).where("n = 1")
+    alone = single.groupBy("key").agg(F.sum(F.col("weight").cast("double")).alias("alone"))
+    return own.mapInArrow(totals, "key binary, total double").join(alone, "key", "left").select("key", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("common"))
+
+
+def _vectors_of(batches: Iterator[pa.RecordBatch], weights: Broadcast) -> Iterator[tuple]:
+    own: Weights = weights.value
+    for batch in batches:
+        for part in slices(batch, "text"):
+            yield *own.vectors(scan(part.column("text").cast(pa.large_binary()).to_pylist())), part.column("key")
+
+
 def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose text is the one that the key stands for; an id may have several."""
     for batch in batches:
