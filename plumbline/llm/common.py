@@ -83,6 +83,25 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         base, first = int(ends[last - 1]), last
 
 
+def windows(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[pa.RecordBatch, list[int], list[int]]]:
+    """Runs of rows that agree in ``columns``, from sorted rows: a batch of whole
+    runs, where each begins and where it ends. Held at once are a batch and a run."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks().to_batches()[0]
+        same = np.ones(rows.num_rows - 1, dtype=bool)
+        for c in columns:
+            v = rows.column(c).to_numpy(zero_copy_only=False)
+            same &= v[1:] == v[:-1]
+        cuts = [0, *(np.flatnonzero(~same) + 1).tolist()]
+        yield rows, cuts[:-1], cuts[1:]
+        held = [rows.slice(cuts[-1])]  # the last run may go on
+    if held:
+        yield held[0], [0], [held[0].num_rows]
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit words (xor-shift and multiply rounds); a bijection."""
     x = x.astype(np.uint64, copy=True)

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
-from .components import components
+from .common import windows, written
+from .components import components, local_roots
 
 SIMILARITY = 0.95
 MISS = 1e-4
@@ -130,53 +130,25 @@ def _compare(similarity: float, bits: int, kind: str):
         count = np.bincount(i, weights=copies[j], minlength=len(x))
         if cross:
             count += np.bincount(j, weights=copies[i], minlength=len(x))
-        root = _roots(len(x), i, j)
+        root = local_roots(len(x), i, j)
         linked = np.flatnonzero(count > 0)
         keys = rows.column("key").to_pylist()
         return [keys[k] for k in linked], count[linked], [keys[k] for k in root[linked]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            table = pa.Table.from_batches([*held, batch]).combine_chunks()
-            if not table.num_rows:
-                continue
-            rows = table.to_batches()[0]
-            same = np.ones(len(rows) - 1, dtype=bool)
-            for c in ("pass", "run", "first", "second"):
-                v = rows.column(c).to_numpy()
-                same &= v[1:] == v[:-1]
-            cuts = np.concatenate(([0], np.flatnonzero(~same) + 1))
-            yield found(rows, cuts[:-1], cuts[1:])
-            held = [rows.slice(cuts[-1])]  # the last window may go on
-        if held:
-            yield found(held[0], [0], [len(held[0])])
-
-    def found(rows: pa.RecordBatch, starts, stops) -> pa.RecordBatch:
-        keys, counts, roots = [], [np.empty(0)], []
-        for a, b in zip(starts, stops, strict=True):
-            if b - a > 1:
-                k, n, r = window(rows.slice(a, b - a))
-                keys += k
-                counts.append(n)
-                roots += r
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(roots, pa.binary())], names=["key", "n", "root"])
+        for rows, starts, stops in windows(batches, ("pass", "run", "first", "second")):
+            keys, counts, roots = [], [np.empty(0)], []
+            for a, b in zip(starts, stops, strict=True):
+                if b - a > 1:
+                    k, n, r = window(rows.slice(a, b - a))
+                    keys += k
+                    counts.append(n)
+                    roots += r
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.concatenate(counts).astype(np.int64)), pa.array(roots, pa.binary())], names=["key", "n", "root"])
 
     return run
 
 
-def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """A common row number for connected rows."""
-    label = np.arange(n)
-    while True:
-        before = label.copy()
-        np.minimum.at(label, a, label[b])
-        np.minimum.at(label, b, label[a])
-        label = label[label]
-        if (label == before).all():
-            return label
-
-
 def linked_vectors(spark: SparkSession, vectors: DataFrame, similarity: float = SIMILARITY, miss: float = MISS, window: int = WINDOW) -> DataFrame:
     """Per vector vec_id, n_links, component_id and kept.
 

@@ -12,8 +12,9 @@
    is compared with the others (a row for each, never all pairs); links found make
    components. In buckets that still hold several, classes whose shingles are too
    much their own to reach 0.8 with anyone leave, the one with the most in common
-   with others becomes the next pivot, and then the pairs across components whose
-   common weights allow 0.8, and only those, are compared. Comparing is exact: the
+   with others becomes the next pivot, and what is left is compared across
+   components, in stretches of bounded size, where the common weights allow 0.8.
+   No pairs are listed; what leaves a stretch are links. Comparing is exact: the
    weighted Jaccard similarity of the whole texts.
 
 The idf moves weights by a quarter at most: it lets passages that very many
@@ -33,8 +34,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, written
-from .components import components
+from .common import mix64, slices, windows, written
+from .components import components, local_roots
 from .words import Words, scan, shingles
 
 SHINGLE = 5
@@ -43,6 +44,8 @@ BANDS, ROWS = 16, 4
 #: Cells of the hashed document-frequency table; it is broadcast, four bytes a cell.
 CELLS = 1 << 20
 _SLICES = 1024
+#: Texts of a bucket that are compared with each other at once, at most about.
+STRETCH = 256
 #: Relative frequencies well below this all count as rare.
 RARE = 1e-4
 _QUANTILES = 1 << 16
@@ -252,22 +255,103 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     again = written(spark, again.join(stars, ["a", "b"], "left_anti"), "again")
     links = written(spark, links.unionByName(_verified(again, found, weights)), "links")
     labels = components(spark, links)
-    # What is left is compared pair by pair, where the common weights allow 0.8.
+    # What is left is compared within its buckets, in stretches of bounded size, where the common weights allow 0.8.
     able = _mixed(able.drop("component"), labels)
-    able = written(spark, able, "rest")
-    other = able.select("band", "value", F.col("key").alias("b"), F.col("component").alias("component_b"), F.col("total").alias("total_b"), F.col("common").alias("common_b"))
-    most = F.least("common", "common_b")
-    possible = (F.col("component") < F.col("component_b")) & (most >= SIMILARITY * (F.col("total") + F.col("total_b") - most) - 1e-6)
-    rest = able.join(other, ["band", "value"]).where(possible).select(F.least("key", "b").alias("a"), F.greatest("key", "b").alias("b")).distinct()
-    rest = written(spark, rest.join(stars, ["a", "b"], "left_anti").join(again, ["a", "b"], "left_anti"), "pairs")
-    if not rest.isEmpty():
-        labels = components(spark, links.unionByName(_verified(rest, found, weights)))
+    sizes = able.groupBy("band", "value").agg(F.ceil(F.count("*") / STRETCH).cast("int").alias("parts"))
+    dealt = able.join(sizes, ["band", "value"]).withColumn("stretch", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = dealt.withColumn("first", F.least("stretch", "with")).withColumn("second", F.greatest("stretch", "with")).drop("with", "parts")
+    dealt = written(spark, dealt, "rest")
+    ready = dealt.join(found, "key").join(classes.select("key", "bands"), "key")
+    order = ["band", "value", "first", "second"]
+    more = ready.repartition(*order).sortWithinPartitions(*order).mapInArrow(_within(weights), "a binary, b binary")
+    more = written(spark, more, "links")
+    if not more.isEmpty():
+        labels = components(spark, links.select("a", "b").unionByName(more))
     grouped = classes.select("key", "first_id").join(labels, classes.key == labels.node, "left").select("key", "first_id", F.coalesce("component", "key").alias("component"))
     lowest = grouped.groupBy("component").agg(F.min("first_id").alias("class_id"))
     grouped = written(spark, grouped.join(lowest, "component").select("key", "class_id"), "groups")
     return signed.select("doc_id", "key").join(grouped, "key", "left").select("doc_id", "key", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
+def _within(weights: Broadcast):
+    """Stretches of a bucket with bands, text, component, total and common weight
+    -> links that join texts of other components, as stars."""
+
+    def compare(rows: pa.RecordBatch, own: Weights) -> tuple[list, list]:
+        keys, component = rows.column("key").to_pylist(), rows.column("component").to_pylist()
+        number = {c: i for i, c in enumerate(set(component))}
+        group = np.array([number[c] for c in component])
+        side, total, common = (rows.column(c).to_numpy() for c in ("stretch", "total", "common"))
+        low = side == side.min()
+        cross = rows.column("first")[0].as_py() != rows.column("second")[0].as_py()
+        if cross and low.all():
+            return [], []
+        left, right = (np.flatnonzero(low), np.flatnonzero(~low)) if cross else (np.arange(len(keys)),) * 2
+        most = np.minimum(common[left][:, None], common[right][None, :])
+        ask = (group[left][:, None] != group[right][None, :]) & (most >= SIMILARITY * (total[left][:, None] + total[right][None, :] - most) - 1e-6)
+        band = rows.column("band")[0].as_py()
+        if band:  # a pair is compared in the first bucket that it shares
+            bands = np.array(rows.column("bands").to_pylist(), dtype=np.int64)[:, :band]
+            for i, r in enumerate(left):
+                some = np.flatnonzero(ask[i])
+                ask[i, some] = ~(bands[right[some]] == bands[r]).any(axis=1)
+        if not ask.any():
+            return [], []
+        at = np.unique(np.concatenate((left[ask.any(axis=1)], right[ask.any(axis=0)])))
+        overlap = np.zeros((len(keys), len(keys)))
+        overlap[np.ix_(at, at)] = _overlaps(own, [rows.column("text")[int(i)].as_py().encode("utf-8", "surrogatepass") for i in at])
+        shared = overlap[np.ix_(left, right)]
+        near = ask & (shared >= SIMILARITY * (total[left][:, None] + total[right][None, :] - shared) - 1e-9)
+        i, j = np.nonzero(near)
+        root = local_roots(len(keys), left[i], right[j])
+        linked = np.flatnonzero(root != np.arange(len(keys)))
+        return [keys[k] for k in root[linked]], [keys[k] for k in linked]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, starts, stops in windows(batches, ("band", "value", "first", "second")):
+            a: list[bytes] = []
+            b: list[bytes] = []
+            for start, stop in zip(starts, stops, strict=True):
+                x, y = compare(rows.slice(start, stop - start), weights.value)
+                a += x
+                b += y
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return run
+
+
+def _overlaps(own: Weights, texts: list[bytes], columns: int = 4096) -> np.ndarray:
+    """Weight that each two texts have in common: sums of the smaller weights.
+
+    A shingle that occurs k times is k columns of one weight, so the smaller of two
+    weights is a product of zeros and ones; columns are taken ``columns`` at a time.
+    """
+    words = scan(texts)
+    h, doc = shingles(words, SHINGLE)
+    order = np.lexsort((h, doc))
+    h, doc = h[order], doc[order]
+    new = np.ones(len(h), dtype=bool)
+    new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    first = np.flatnonzero(new)
+    turn = np.arange(len(h)) - np.repeat(first, np.diff(np.append(first, len(h))))
+    weight = own.cell[_cell(h, len(own.cell))].astype(np.float64)
+    code = mix64(h + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    _, where, count = np.unique(code, return_inverse=True, return_counts=True)
+    kept = count[where] > 1  # others are in one text alone
+    doc, weight = doc[kept], weight[kept]
+    _, where = np.unique(where[kept], return_inverse=True)
+    out = np.zeros((len(texts), len(texts)))
+    for at in range(0, int(where.max()) + 1 if len(where) else 0, columns):
+        part = (where >= at) & (where < at + columns)
+        table = np.zeros((len(texts), columns), dtype=np.float32)
+        table[doc[part], where[part] - at] = 1
+        scale = np.zeros(columns, dtype=np.float32)
+        scale[where[part] - at] = weight[part]
+        out += (table * scale) @ table.T
+    return out
+
+
 def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``rows`` (band, value, key, ...) with component, of buckets with several components."""
     placed = rows.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
