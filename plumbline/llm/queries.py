@@ -16,6 +16,7 @@ from .licenses import license_report, license_sql
 from .neardup import near_duplicate_report
 from .packing import packed_documents
 from .quality import quality_report
+from .tokenfiles import token_file_report
 from .tokens import token_counts
 
 
@@ -63,6 +64,10 @@ def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_texts(table(spark, sf_dir, "pages"))
 
 
+def op8_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_file_report(spark, table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -97,7 +102,7 @@ FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_embedding_neardup": op2_embedding_neardup, "op3_packing": op3_packing, "op4_license_scan": op4_license_scan, "op5_minhash_neardup": op5_minhash_neardup, "op6_language_id": op6_language_id, "op7_html_text": op7_html_text, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
+    return {"op1_quality": op1_quality, "op2_embedding_neardup": op2_embedding_neardup, "op3_packing": op3_packing, "op4_license_scan": op4_license_scan, "op5_minhash_neardup": op5_minhash_neardup, "op6_language_id": op6_language_id, "op7_html_text": op7_html_text, "op8_token_files": op8_token_files, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
 
 
 def oracle_sql() -> dict[str, str]:
