@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .common import table
 from .decontaminate import decontamination_report
 from .embeddings import linked_vectors
@@ -102,7 +104,20 @@ FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality": op1_quality, "op2_embedding_neardup": op2_embedding_neardup, "op3_packing": op3_packing, "op4_license_scan": op4_license_scan, "op5_minhash_neardup": op5_minhash_neardup, "op6_language_id": op6_language_id, "op7_html_text": op7_html_text, "op8_token_files": op8_token_files, "op9_token_counts": op9_token_counts, "op10_decontamination": op10_decontamination}
+    """The pipeline and the ten operators."""
+    return {
+        "pipeline": corpus_pipeline.run,
+        "op1_quality": op1_quality,
+        "op2_embedding_neardup": op2_embedding_neardup,
+        "op3_packing": op3_packing,
+        "op4_license_scan": op4_license_scan,
+        "op5_minhash_neardup": op5_minhash_neardup,
+        "op6_language_id": op6_language_id,
+        "op7_html_text": op7_html_text,
+        "op8_token_files": op8_token_files,
+        "op9_token_counts": op9_token_counts,
+        "op10_decontamination": op10_decontamination,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
