@@ -6,10 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from plumbline.operators import aggregates, filters, language
+
+from . import relational_queries, scalar_queries
+from .views import elements
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return scalar_queries.Q | relational_queries.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return scalar_queries.SQL | relational_queries.SQL
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A question end to end: parse it, filter elements by what it says, count by storey."""
+    asked = language.parsed("quantos elementos por piso com altura maior que 10 m?")
+    rows = elements(spark, sf_dir)
+    for field, op, value in asked.conditions:
+        rows = rows.where(filters.numeric_filter([field], op, value))
+    return aggregates.buckets(rows, asked.agg_field or "ifc_class")
