@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -125,9 +127,6 @@ def centroids(triangles: DataFrame, by: str = "element_id") -> DataFrame:
 def principal_axis(points: DataFrame, by: str = "element_id", separation: float = 0.01) -> DataFrame:
     """Direction of largest spread of each element's points, if it stands out; its
     first component that isn't zero after rounding is positive."""
-    import numpy as np
-    import pandas as pd
-
     moments = points.groupBy(by).agg(F.count("*").alias("n"), *(F.sum(x).alias(x) for x in AXES), *(F.sum(F.col(a) * F.col(b)).alias(a + b) for i, a in enumerate(AXES) for b in AXES[i:]))
 
     @F.pandas_udf("array<double>")

@@ -1,4 +1,399 @@
 """Queries of joins, ranking, retrieval, documents, geometry, graphs and evidence."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from plumbline.functions import ids
+from plumbline.operators import documents, evaluation, evidence, facts, geometry, graph, ranking, retrieval
+from plumbline.sources import records, store
+
+from .views import BOXES_SQL, CHUNKS_SQL, EDGES_SQL, ELEMENTS_SQL, boxes, chunks, edges, elements, table
+
 Q: dict = {}
 SQL: dict = {}
+
+
+def _add(name, run, sql=None):
+    Q[name] = run
+    if sql:
+        SQL[name] = sql
+
+
+# ------------------------------------------------------------------ ranking
+
+
+def _by_area(s, d):
+    return ranking.ranked(elements(s, d).select("project_id", F.col("key").alias("id"), F.col("area").alias("score")), ["project_id"])
+
+
+def _by_height(s, d):
+    return ranking.ranked(elements(s, d).select("project_id", F.col("key").alias("id"), F.col("height").alias("score")), ["project_id"])
+
+
+_RANKS = f"""{ELEMENTS_SQL}, a AS (SELECT project_id, key AS id, row_number() OVER (PARTITION BY project_id ORDER BY area DESC, key) AS rank FROM elements),
+  h AS (SELECT project_id, key AS id, row_number() OVER (PARTITION BY project_id ORDER BY height DESC, key) AS rank FROM elements)"""
+_add("F1_rank", lambda s, d: _by_height(s, d).select("project_id", "id", "rank"), f"WITH {_RANKS} SELECT project_id, id, CAST(rank AS INTEGER) AS rank FROM h")
+_add(
+    "F2_tie_groups",
+    lambda s, d: ranking.tie_groups(elements(s, d).select("project_id", F.col("key").alias("id"), F.col("height").alias("score")), ["project_id"]).select("project_id", "score", F.array_join("ids", ",").alias("ids")),
+    f"WITH {ELEMENTS_SQL} SELECT project_id, height AS score, string_agg(key, ',' ORDER BY key) AS ids FROM elements GROUP BY project_id, height HAVING count(*) > 1",
+)
+_FUSED = f"""{_RANKS}, u AS (SELECT project_id, id, CAST(a.rank AS DOUBLE) AS x, CAST(h.rank AS DOUBLE) AS y FROM (SELECT * FROM a WHERE rank <= 200) AS a FULL JOIN (SELECT * FROM h WHERE rank <= 200) AS h USING (project_id, id)),
+  e AS (SELECT *, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN (x + y + 120) / ((x + 60) * (y + 60)) ELSE 1.0::DOUBLE / (coalesce(x, y) + 60) END AS exact, (x IS NOT NULL)::INT + (y IS NOT NULL)::INT AS sources FROM u),
+  f AS (SELECT *, CAST(row_number() OVER (PARTITION BY project_id ORDER BY exact DESC, sources DESC, id) AS INTEGER) AS rank, round_even(exact, 6) AS score FROM e)"""
+_add("F3_rrf", lambda s, d: ranking.fused(_by_area(s, d), _by_height(s, d), ["project_id"]).select("project_id", "id", "rank", "sources", "score"), f"WITH {_FUSED} SELECT project_id, id, rank, sources, score FROM f")
+
+
+def _reranked(s, d):
+    base = ranking.fused(_by_area(s, d), _by_height(s, d), ["project_id"])
+    return ranking.reranked(base.withColumn("p", (F.col("id") % 97) / 97), ["project_id"], "p", 0.5)
+
+
+_add(
+    "F4_rerank",
+    lambda s, d: _reranked(s, d).select("project_id", "id", "new_rank", "accepted"),
+    f"WITH {_FUSED} SELECT project_id, id, CAST(row_number() OVER (PARTITION BY project_id ORDER BY (id % 97) / 97 DESC, rank, id) AS INTEGER) AS new_rank, round_even((id % 97) / 97, 6) >= 0.5 AS accepted FROM f WHERE rank <= 200",
+)
+_add("F5_frozen_page", lambda s, d: ranking.frozen_page(_by_area(s, d), ["project_id"], 30, 10).select("project_id", "id", "rank"), f"WITH {_RANKS} SELECT project_id, id, CAST(rank AS INTEGER) AS rank FROM a WHERE rank BETWEEN 31 AND 40")
+_add("F7_truncation", lambda s, d: ranking.with_truncation(_by_area(s, d), ["project_id"], 50).select("project_id", "id", "truncated"), f"WITH {_RANKS} SELECT project_id, id, (SELECT count(*) FROM a AS b WHERE b.project_id = a.project_id) > 50 AS truncated FROM a WHERE rank <= 50")
+_add(
+    "F8_first_occurrences",
+    lambda s, d: ranking.first_occurrences(table(s, d, "lineitem"), ["l_suppkey"], "l_partkey", "l_orderkey"),
+    "SELECT l_suppkey, l_partkey, min(l_orderkey) AS l_orderkey FROM lineitem GROUP BY l_suppkey, l_partkey",
+)
+_add("F10_selector", lambda s, d: ranking.selected(elements(s, d), [F.desc("height"), F.asc("area"), F.asc("key")]).select("key"), f"WITH {ELEMENTS_SQL} SELECT key FROM elements ORDER BY height DESC, area, key LIMIT 1")
+
+# ------------------------------------------------------------------ joins
+
+
+_add(
+    "D3_left_judged",
+    lambda s, d: table(s, d, "documents").join(table(s, d, "labels"), "doc_id", "left").select("doc_id", F.coalesce("quality", F.lit(0)).alias("grade")),
+    "SELECT doc_id, coalesce(quality, 0) AS grade FROM documents LEFT JOIN labels USING (doc_id)",
+)
+_add("D4_stale_ids", lambda s, d: graph.stale(table(s, d, "documents"), table(s, d, "labels"), "doc_id"), "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+_add(
+    "D5_referential",
+    lambda s, d: graph.assembled(edges(s, d).select(F.col("src").alias("node_id")).distinct(), edges(s, d).select("edge_id", "src", "dst")),
+    f"WITH {EDGES_SQL} SELECT edge_id, 'dst' AS side FROM edges WHERE dst NOT IN (SELECT src FROM edges)",
+)
+_PAIR = "a.id < b.id AND least(a.x1, b.x1) - greatest(a.x0, b.x0) >= -0.0005"
+_add("D6_sweep_pairs", lambda s, d: geometry.swept_pairs(boxes(s, d)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), f"WITH {BOXES_SQL} SELECT a.id AS a, b.id AS b FROM boxes AS a JOIN boxes AS b ON {_PAIR}")
+_add("D7_exhaustive_pairs", lambda s, d: geometry.exhaustive_pairs(boxes(s, d).where("id < 500")).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), f"WITH {BOXES_SQL} SELECT a.id AS a, b.id AS b FROM boxes AS a JOIN boxes AS b ON a.id < b.id WHERE b.id < 500")
+_add(
+    "D8_column_pairs",
+    lambda s, d: geometry.column_pairs(boxes(s, d)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")),
+    f"WITH {BOXES_SQL} SELECT a.id AS a, b.id AS b FROM boxes AS a JOIN boxes AS b ON {_PAIR} AND least(a.y1, b.y1) - greatest(a.y0, b.y0) >= -0.0005",
+)
+_WORDS = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+_add(
+    "D9_phrase_join",
+    lambda s, d: documents.exact_mentions(table(s, d, "documents"), _gazetteer(s, d)),
+    rf"""WITH g AS (SELECT item_id AS element, array_to_string({_WORDS}[1:3], ' ') AS phrase FROM benchmark WHERE len({_WORDS}) >= 3), w AS (SELECT doc_id, {_WORDS} AS w FROM documents),
+      grams AS (SELECT doc_id, array_to_string(w[i : i + 2], ' ') AS phrase FROM w, unnest(generate_series(1, len(w) - 2)) AS t(i))
+      SELECT doc_id, element, count(*) AS n FROM grams JOIN g USING (phrase) GROUP BY doc_id, element""",
+)
+
+
+def _gazetteer(s, d):
+    words = retrieval.analysed(F.col("text"))
+    return table(s, d, "benchmark").select(F.col("item_id").alias("element"), words.alias("w")).where(F.size("w") >= 3).select("element", F.array_join(F.slice("w", 1, 3), " ").alias("phrase"))
+
+
+_add(
+    "D13_ancestors",
+    lambda s, d: graph.ancestors(edges(s, d).select(F.col("dst").alias("child"), F.col("src").alias("parent")), edges(s, d).where("predicate = 'HAS_STOREY'").select(F.col("dst").alias("node"))).select("element", "node", "level"),
+    f"WITH {EDGES_SQL} SELECT o.dst AS element, o.src AS node, 1 AS level FROM edges AS o WHERE o.predicate = 'HAS_STOREY' UNION ALL SELECT o.dst, c.src, 2 FROM edges AS o JOIN edges AS c ON c.dst = o.src WHERE o.predicate = 'HAS_STOREY' UNION ALL SELECT o.dst, n.src, 3 FROM edges AS o JOIN edges AS c ON c.dst = o.src JOIN edges AS n ON n.dst = c.src WHERE o.predicate = 'HAS_STOREY'",
+)
+
+# ------------------------------------------------------------------ retrieval
+
+
+def _asked(s, d):
+    q = table(s, d, "benchmark").where("item_id % 5 = 0")
+    return q.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.slice(retrieval.analysed(F.col("text")), 1, 6))).alias("term"))
+
+
+def _index(s, d):
+    docs = table(s, d, "documents")
+    return retrieval.postings(docs, "doc_id", "text", retrieval.analysed(F.col("text"))).unionByName(retrieval.postings(docs, "doc_id", "section_title", retrieval.analysed(F.col("source"))))
+
+
+_BM25 = rf"""t0 AS (SELECT doc_id AS id, 'text' AS field, {_WORDS} AS w FROM documents UNION ALL SELECT doc_id, 'section_title', list_filter(regexp_split_to_array(lower(source), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') FROM documents),
+  t AS (SELECT * FROM t0 WHERE len(w) > 0), stats AS (SELECT field, count(*) AS n, avg(len(w)) AS avg_dl FROM t GROUP BY field),
+  post AS (SELECT id, field, term, dl, count(*) AS tf FROM (SELECT id, field, len(w) AS dl, unnest(w) AS term FROM t) GROUP BY ALL),
+  asked AS (SELECT DISTINCT item_id AS query_id, unnest({_WORDS}[1:6]) AS term FROM benchmark WHERE item_id % 5 = 0),
+  idf AS (SELECT field, term, ln(1 + (n - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM post JOIN stats USING (field) GROUP BY field, term, n),
+  fs AS (SELECT query_id, id, field, sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avg_dl))) AS score FROM asked JOIN post USING (term) JOIN idf USING (field, term) JOIN stats USING (field) GROUP BY query_id, id, field),
+  bm AS (SELECT query_id, id, sum(score * CASE field WHEN 'text' THEN 1.0 ELSE 0.5 END) AS score FROM fs GROUP BY query_id, id)"""
+
+
+def _lexical(s, d):
+    index = _index(s, d)
+    scores = retrieval.bm25(index, _asked(s, d), retrieval.field_stats(index))
+    return retrieval.summed_fields(scores, retrieval.CHUNK_FIELDS)
+
+
+_add("G3_bm25_chunks", lambda s, d: _lexical(s, d).select("query_id", "id", F.bround("score", 6).alias("score")), f"WITH {_BM25} SELECT query_id, id, round_even(score, 6) AS score FROM bm")
+_add(
+    "G2_bm25_best_fields",
+    lambda s, d: retrieval.best_fields(retrieval.bm25(_index(s, d), _asked(s, d), retrieval.field_stats(_index(s, d))), {"text": 3.0, "section_title": 2.0}).select("query_id", "id", F.bround("score", 6).alias("score")),
+    f"WITH {_BM25}, w AS (SELECT query_id, id, score * CASE field WHEN 'text' THEN 3.0 ELSE 2.0 END AS w FROM fs) SELECT query_id, id, round_even(max(w) + 0.3 * (sum(w) - max(w)), 6) AS score FROM w GROUP BY query_id, id",
+)
+
+
+def _dense(s, d):
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
+    return retrieval.dense(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), F.col("label") != 3, 20)
+
+
+_DENSE = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
+  dn AS (SELECT q.vec_id AS query_id, v.vec_id AS id, list_cosine_similarity(v.e, q.e) AS score FROM v JOIN v AS q ON q.vec_id % 50 = 0 WHERE v.label <> 3),
+  dr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM dn)"""
+_add("G4_dense", lambda s, d: _dense(s, d).select("query_id", "id", "rank", F.bround("score", 6).alias("score")), f"WITH {_DENSE} SELECT query_id, id, CAST(rank AS INTEGER) AS rank, round_even(score, 6) AS score FROM dr WHERE rank <= 20")
+_add("G5_engine_score", lambda s, d: _dense(s, d).select("query_id", "id", F.bround(retrieval.engine_score(F.col("score")), 6).alias("score")), f"WITH {_DENSE} SELECT query_id, id, round_even((1 + score) / 2, 6) AS score FROM dr WHERE rank <= 20")
+
+
+def _hybrid(s, d):
+    lex = ranking.ranked(_lexical(s, d).select("query_id", "id", F.bround("score", 6).alias("score")), ["query_id"], depth=200)
+    other = ranking.ranked(table(s, d, "documents").select((F.col("doc_id") % 8 * 5).alias("query_id"), F.col("doc_id").alias("id"), F.col("n_chars").alias("score")), ["query_id"], depth=200)
+    return retrieval.hybrid(lex, other)
+
+
+_add(
+    "G7_hybrid",
+    lambda s, d: _hybrid(s, d).select("query_id", "id", "rank", "score"),
+    f"""WITH {_BM25}, l AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY round_even(score, 6) DESC, id) AS rank FROM bm),
+      o AS (SELECT doc_id % 8 * 5 AS query_id, doc_id AS id, row_number() OVER (PARTITION BY doc_id % 8 * 5 ORDER BY n_chars DESC, doc_id) AS rank FROM documents),
+      u AS (SELECT query_id, id, CAST(l.rank AS DOUBLE) AS x, CAST(o.rank AS DOUBLE) AS y FROM (SELECT * FROM l WHERE rank <= 200) AS l FULL JOIN (SELECT * FROM o WHERE rank <= 200) AS o USING (query_id, id)),
+      e AS (SELECT *, CASE WHEN x IS NOT NULL AND y IS NOT NULL THEN (x + y + 120) / ((x + 60) * (y + 60)) ELSE 1.0::DOUBLE / (coalesce(x, y) + 60) END AS exact, (x IS NOT NULL)::INT + (y IS NOT NULL)::INT AS sources FROM u)
+      SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY exact DESC, sources DESC, id) AS INTEGER) AS rank, round_even(exact, 6) AS score FROM e""",
+)
+
+# ------------------------------------------------------------------ documents
+
+
+def _blocks(s, d):
+    return table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("block_index", "text"))
+
+
+_BLOCKS = "b0 AS (SELECT doc_id, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) AS i, unnest(string_split(text, chr(10))) AS text, len(string_split(text, chr(10))) AS n FROM documents)"
+_HEAD = r"length(text) <= 200 AND text <> '' AND NOT regexp_matches(text, '[.;:,]\s*$') AND i < n - 1"
+_add("J1_headings", lambda s, d: documents.headings(_blocks(s, d), "doc_id").where("is_heading").select("doc_id", "block_index"), f"WITH {_BLOCKS} SELECT doc_id, CAST(i AS INTEGER) AS block_index FROM b0 WHERE {_HEAD}")
+_add(
+    "J2_sections",
+    lambda s, d: documents.sections(_blocks(s, d), "doc_id").select("doc_id", "block_index", "section_index"),
+    f"WITH {_BLOCKS} SELECT doc_id, CAST(i AS INTEGER) AS block_index, CAST(sum(CASE WHEN {_HEAD} THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) - 1 AS BIGINT) AS section_index FROM b0",
+)
+_add("J4_chunks", lambda s, d: documents.chunked(_blocks(s, d).withColumn("page", (F.col("block_index") / 10).cast("int") + 1), "doc_id"))
+_add(
+    "J7_page_kind",
+    lambda s, d: documents.page_kind(chunks(s, d).withColumn("page", (F.col("chunk_index") / 5).cast("int")), ["doc_id", "page"]),
+    rf"WITH {CHUNKS_SQL} SELECT doc_id, CAST(floor(chunk_index / 5) AS INTEGER) AS page, CAST(sum(length(regexp_replace(trim(text), '\s+', ' ', 'g'))) AS BIGINT) AS n_chars, CASE WHEN sum(length(regexp_replace(trim(text), '\s+', ' ', 'g'))) >= 32 THEN 'native' ELSE 'ocr' END AS kind FROM chunks GROUP BY 1, 2",
+)
+
+# ------------------------------------------------------------------ facts
+
+_add(
+    "K2_atomised",
+    lambda s, d: facts.atomised(table(s, d, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_list("o_totalprice")).alias("v")), ["o_custkey"], "v").select("o_custkey", "occurrence_key", "value"),
+    "SELECT o_custkey, 'item:' || lpad(CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice) - 1 AS VARCHAR), 6, '0') AS occurrence_key, o_totalprice AS value FROM orders",
+)
+_add(
+    "K3_parse_occurrence",
+    lambda s, d: table(s, d, "part").select("p_partkey", facts.parse_occurrence(facts.occurrence("table", F.col("p_size"), "defined")).alias("o")).select("p_partkey", "o.kind", "o.index", "o.part"),
+    "SELECT p_partkey, 'table' AS kind, p_size AS index, 'defined' AS part FROM part",
+)
+_add(
+    "K2_bounded",
+    lambda s, d: facts.bounded(elements(s, d), ["key"], "height", "volume", "area"),
+    f"WITH {ELEMENTS_SQL} SELECT key, unnest(['lower', 'upper', 'setpoint']) AS occurrence_key, unnest([height, volume, area]) AS value FROM elements QUALIFY value IS NOT NULL",
+)
+SQL["K2_bounded"] = f"WITH {ELEMENTS_SQL} SELECT * FROM (SELECT key, unnest(['lower', 'upper', 'setpoint']) AS occurrence_key, unnest([height, volume, area]) AS value FROM elements) WHERE value IS NOT NULL"
+_add(
+    "K5_override",
+    lambda s, d: facts.overridden(table(s, d, "part").where("p_partkey % 3 = 0").select("p_partkey", "p_name"), table(s, d, "part").select("p_partkey", F.col("p_brand").alias("p_name")), ["p_partkey"]),
+    "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE p_brand END AS p_name, CASE WHEN p_partkey % 3 = 0 THEN 'instance' ELSE 'type' END AS origin FROM part",
+)
+_add("K6_collisions", lambda s, d: facts.collisions(table(s, d, "lineitem"), ["l_partkey", "l_suppkey"], "l_quantity"), "SELECT l_partkey, l_suppkey, count(DISTINCT l_quantity) AS values FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(DISTINCT l_quantity) > 1")
+SQL["K6_collisions"] = 'SELECT l_partkey, l_suppkey, count(DISTINCT l_quantity) AS "values" FROM lineitem GROUP BY l_partkey, l_suppkey HAVING count(DISTINCT l_quantity) > 1'
+_add(
+    "K8_metrics",
+    lambda s, d: elements(s, d).select("key", *(c.alias(n) for c, n in zip(facts.first_finite([F.col("volume"), F.col("area")]), ("metric", "several"), strict=True))),
+    f"WITH {ELEMENTS_SQL} SELECT key, coalesce(volume, area) AS metric, volume IS NOT NULL AS several FROM elements",
+)
+_add("K11_materials", lambda s, d: facts.materials(elements(s, d), "key", "materials"), f"WITH {ELEMENTS_SQL} SELECT key, CAST(unnest(generate_series(0, len(materials) - 1)) AS INTEGER) AS ordinal, unnest(materials) AS material FROM elements")
+
+# ------------------------------------------------------------------ geometry
+
+_REL = f"""{BOXES_SQL}, p AS (SELECT a.id AS i, b.id AS j, t, least(a.x1,b.x1)-greatest(a.x0,b.x0) AS ox, least(a.y1,b.y1)-greatest(a.y0,b.y0) AS oy, least(a.z1,b.z1)-greatest(a.z0,b.z0) AS oz,
+   a.x0<=b.x0+t AND a.x1>=b.x1-t AND a.y0<=b.y0+t AND a.y1>=b.y1-t AND a.z0<=b.z0+t AND a.z1>=b.z1-t AS ina, b.x0<=a.x0+t AND b.x1>=a.x1-t AND b.y0<=a.y0+t AND b.y1>=a.y1-t AND b.z0<=a.z0+t AND b.z1>=a.z1-t AS inb,
+   abs(a.x0-b.x0)<=t AND abs(a.x1-b.x1)<=t AND abs(a.y0-b.y0)<=t AND abs(a.y1-b.y1)<=t AND abs(a.z0-b.z0)<=t AND abs(a.z1-b.z1)<=t AS eq, a.z0>=b.z1-t AS za
+  FROM boxes AS a JOIN boxes AS b ON a.id<>b.id AND least(a.x1,b.x1)-greatest(a.x0,b.x0)>=-0.0005 AND least(a.y1,b.y1)-greatest(a.y0,b.y0)>=-0.0005, (VALUES (0.0005), (0.0)) AS tol(t)),
+ r AS (SELECT i, j, t, ina AND NOT eq AS "CONTAINS_GEOM", i<j AND ox>t AND oy>t AND oz>t AND NOT (ina AND NOT eq) AND NOT (inb AND NOT eq) AS "INTERSECTS",
+   i<j AND ox>=-t AND oy>=-t AND oz>=-t AND (abs(ox)<=t OR abs(oy)<=t OR abs(oz)<=t) AND NOT (ox>t AND oy>t AND oz>t) AS "TOUCHES", za AND ox>t AND oy>t AS "ABOVE" FROM p),
+ u AS (UNPIVOT r ON "CONTAINS_GEOM", "INTERSECTS", "TOUCHES", "ABOVE" INTO NAME predicate VALUE holds)"""
+_add(
+    "M5_relations",
+    lambda s, d: geometry.relations(boxes(s, d)),
+    f"WITH {_REL} SELECT predicate, i AS src, j AS dst, CASE WHEN bool_or(t = 0.0 AND holds) THEN 'exact' ELSE 'tolerant' END AS quality FROM u GROUP BY predicate, i, j HAVING bool_or(t > 0.0 AND holds)",
+)
+_add(
+    "M6_derived_edge_ids",
+    lambda s, d: geometry.relations(boxes(s, d)).select("src", "dst", "predicate", ids.symmetric_edge_id(F.lit("tpch"), F.col("predicate"), F.col("src").cast("string"), F.col("dst").cast("string"), "0.000500", F.col("predicate").isin("TOUCHES", "INTERSECTS")).alias("edge_id")),
+)
+
+
+def _vertices(s, d):
+    b = boxes(s, d)
+    corners = F.array(*(F.struct(F.col(f"x{i & 1}").cast("double").alias("x"), F.col(f"y{i >> 1 & 1}").cast("double").alias("y"), F.col(f"z{i >> 2}").cast("double").alias("z")) for i in range(8)))
+    return b.select(F.col("id").alias("element_id"), F.explode(corners).alias("v")).select("element_id", "v.*")
+
+
+_add(
+    "L1_bounds",
+    lambda s, d: geometry.bounds(_vertices(s, d)).select("element_id", "x0", "x1", "cz"),
+    f"WITH {BOXES_SQL} SELECT id AS element_id, CAST(x0 AS DOUBLE) AS x0, CAST(x1 AS DOUBLE) AS x1, CAST((z0 + z1) / 2 AS DOUBLE) AS cz FROM boxes",
+)
+
+
+def _triangles(s, d):
+    """The twelve triangles of each box, turned outwards; every ninth box is open."""
+    faces = [(0, 2, 3), (0, 3, 1), (4, 5, 7), (4, 7, 6), (0, 1, 5), (0, 5, 4), (2, 6, 7), (2, 7, 3), (0, 4, 6), (0, 6, 2), (1, 3, 7), (1, 7, 5)]
+    corner = lambda i: F.struct(F.col(f"x{i & 1}").cast("double").alias("x"), F.col(f"y{i >> 1 & 1}").cast("double").alias("y"), F.col(f"z{i >> 2}").cast("double").alias("z"))
+    rows = F.array(*(F.struct(corner(a).alias("p"), corner(b).alias("q"), corner(c).alias("r"), F.lit(n).alias("n")) for n, (a, b, c) in enumerate(faces)))
+    t = boxes(s, d).select(F.col("id").alias("element_id"), F.explode(rows).alias("t")).select("element_id", "t.*")
+    return t.where("NOT (element_id % 9 = 0 AND n = 0)")
+
+
+_add(
+    "L5_centroids",
+    lambda s, d: geometry.centroids(_triangles(s, d)).where("closed").select("element_id", "kind", "cx", "cy", "cz"),
+    f"WITH {BOXES_SQL} SELECT id AS element_id, 'volume' AS kind, CAST((x0 + x1) / 2 AS DOUBLE) AS cx, CAST((y0 + y1) / 2 AS DOUBLE) AS cy, CAST((z0 + z1) / 2 AS DOUBLE) AS cz FROM boxes WHERE id % 9 <> 0",
+)
+_add("L4_closed", lambda s, d: geometry.centroids(_triangles(s, d)).select("element_id", "closed"), "SELECT p_partkey AS element_id, p_partkey % 9 <> 0 AS closed FROM part")
+_add("L6_principal_axis", lambda s, d: geometry.principal_axis(_vertices(s, d)))
+
+# ------------------------------------------------------------------ graph
+
+
+def _anchors(s, d):
+    return edges(s, d).where("predicate = 'HAS_SITE'").select(F.col("src").alias("node")).distinct()
+
+
+_add("M11_one_hop", lambda s, d: graph.one_hop(edges(s, d), _anchors(s, d)), f"WITH {EDGES_SQL} SELECT src AS anchor, dst AS other, predicate, edge_id FROM edges WHERE src LIKE 'r%'")
+_WALK = f"""{EDGES_SQL}, w1 AS (SELECT src AS anchor, dst AS node, 1 AS hops, [src, dst] AS nodes, [edge_id] AS es FROM edges WHERE src LIKE 'r%'),
+  w2 AS (SELECT anchor, dst AS node, 2 AS hops, list_append(nodes, dst) AS nodes, list_append(es, edge_id) AS es FROM w1 JOIN edges ON src = node),
+  w3 AS (SELECT anchor, dst AS node, 3 AS hops, list_append(nodes, dst) AS nodes, list_append(es, edge_id) AS es FROM w2 JOIN edges ON src = node),
+  w AS (SELECT * FROM w1 UNION ALL SELECT * FROM w2 UNION ALL SELECT * FROM w3)"""
+_add(
+    "M12_walks",
+    lambda s, d: graph.walks(edges(s, d), _anchors(s, d), 3).select("anchor", "node", "hops", F.array_join("edge_ids", ",").alias("edges")),
+    f"WITH {_WALK} SELECT anchor, node, hops, array_to_string(es, ',') AS edges FROM w",
+)
+_add(
+    "M16_ranked_paths",
+    lambda s, d: graph.ranked_paths(graph.walks(edges(s, d), _anchors(s, d), 3)).select("anchor", "node", "hops", "rank", "truncated"),
+    f"WITH {_WALK}, k AS (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY hops, es, nodes) AS rank, count(*) OVER (PARTITION BY anchor) AS n FROM w) SELECT anchor, node, hops, CAST(rank AS INTEGER) AS rank, n > 25 AS truncated FROM k WHERE rank <= 25",
+)
+_add(
+    "M3_node_kind",
+    lambda s, d: table(s, d, "part").select("p_partkey", graph.node_kind(F.when(F.col("p_size") % 3 == 0, "IfcSpace").when(F.col("p_size") % 3 == 1, "IfcWallType").otherwise("IfcWall")).alias("kind")),
+    "SELECT p_partkey, CASE p_size % 3 WHEN 0 THEN 'space' WHEN 1 THEN 'type' ELSE 'element' END AS kind FROM part",
+)
+_add(
+    "B18_verification",
+    lambda s, d: store.verification(edges(s, d).select(F.col("dst").alias("node_id")).union(_anchors(s, d)), edges(s, d)),
+    "SELECT unnest(['node_ids_unique', 'edge_ids_unique', 'node_ids_present', 'src_known', 'dst_known', 'no_self_loops']) AS name, true AS passed",
+)
+
+# ------------------------------------------------------------------ evidence and evaluation
+
+
+def _items(s, d):
+    c = chunks(s, d).where("doc_id < 60")
+    return c.select(F.lit("document").alias("kind"), (F.col("doc_id") % 3).cast("string").alias("project_id"), F.col("chunk_id").alias("source_id"), F.lit("chunks").alias("store"), (F.col("doc_id") * 1000 + F.col("chunk_index")).alias("position"), F.col("text").alias("content"), F.lit("bm25").alias("method"))
+
+
+_ITEMS = f"{CHUNKS_SQL}, it AS (SELECT CAST(doc_id % 3 AS VARCHAR) AS project_id, chunk_id, doc_id * 1000 + chunk_index AS position, text FROM chunks WHERE doc_id < 60), top AS (SELECT *, row_number() OVER (ORDER BY position) AS place FROM it)"
+_add(
+    "N1_pack",
+    lambda s, d: evidence.pack(_items(s, d)).select("kind", "project_id", F.size("items").alias("n"), F.col("items")[0]["source_id"].alias("first"), "truncated"),
+    f"WITH {_ITEMS} SELECT 'document' AS kind, project_id, CAST(count(*) AS INTEGER) AS n, arg_min(chunk_id, place) AS first, (SELECT count(*) FROM it) > 200 AS truncated FROM top WHERE place <= 200 GROUP BY project_id",
+)
+_add(
+    "N6_references",
+    lambda s, d: evidence.references(_items(s, d), order="position").select("reference", "source_id"),
+    f"WITH {_ITEMS} SELECT 'E' || lpad(CAST(place AS VARCHAR), 3, '0') AS reference, chunk_id AS source_id FROM top WHERE place <= 50",
+)
+_add(
+    "N7_claims",
+    lambda s, d: evidence.validated(table(s, d, "benchmark").select(F.col("item_id").alias("answer_id"), F.col("item_id").alias("reference"), F.left("text", (F.col("item_id") % 12).cast("int")).alias("quote")), table(s, d, "benchmark").select(F.col("item_id").alias("reference"), F.col("text").alias("content"))),
+    "SELECT item_id AS answer_id, length(substr(text, 1, item_id % 12)) >= 8 AS accepted, CAST(1 AS BIGINT) AS claims FROM benchmark",
+)
+_QREL = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), qr AS (SELECT q.vec_id AS query_id, v.vec_id AS id, CASE WHEN v.label = q.label THEN 1 + v.vec_id % 3 ELSE 0 END AS grade FROM v JOIN v AS q ON q.vec_id % 50 = 0)"
+
+
+def _qrels(s, d):
+    v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
+    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("own"))
+    return v.join(F.broadcast(q)).select("query_id", "id", F.when(F.col("label") == F.col("own"), 1 + F.col("id") % 3).otherwise(0).alias("grade"))
+
+
+_add(
+    "N9_ranking_quality",
+    lambda s, d: ranking.quality(_dense(s, d), _qrels(s, d)),
+    f"""WITH {_DENSE.replace("v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),", "")}, {_QREL.split("), ", 1)[1]},
+      top AS (SELECT query_id, rank, coalesce(grade, 0) AS g FROM dr LEFT JOIN qr USING (query_id, id) WHERE rank <= 10),
+      a AS (SELECT query_id, sum((g >= 1)::INT) AS hits, min(CASE WHEN g >= 1 THEN rank END) AS f, sum((pow(2.0, g) - 1) / log2(rank + 1)) AS dcg FROM top GROUP BY query_id),
+      b AS (SELECT query_id, sum(CASE WHEN k <= 10 THEN (pow(2.0, grade) - 1) / log2(k + 1) END) AS idcg, sum((grade >= 1)::INT) AS rel FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY grade DESC, id) AS k FROM qr) GROUP BY query_id)
+      SELECT query_id, round_even(CASE WHEN rel = 0 THEN 1.0 ELSE hits / rel END, 6) AS recall, round_even(hits / 10, 6) AS precision, round_even(CASE WHEN rel = 0 THEN 1.0 ELSE coalesce(1 / f, 0.0) END, 6) AS mrr, round_even(CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0.0 END, 6) AS ndcg FROM a JOIN b USING (query_id)""",
+)
+SQL["N9_ranking_quality"] = SQL["N9_ranking_quality"].replace("WITH dn AS", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), dn AS").replace("WITH \n", "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),\n")
+_add(
+    "N12_answer_rates",
+    lambda s, d: evaluation.answer_rates(table(s, d, "labels").select((F.col("doc_id") % 2 == 0).alias("cited"), (F.col("quality") == 1).alias("supported"), (F.col("doc_id") % 3 > 0).alias("answered"), (F.col("toxic") == 0).alias("answerable"))),
+    "SELECT round_even(avg((doc_id % 2 = 0)::INT), 6) AS citation, round_even(avg((quality = 1)::INT), 6) AS support, round_even(avg((NOT doc_id % 3 > 0)::INT), 6) AS abstention, round_even(avg((doc_id % 3 > 0 AND toxic <> 0)::INT), 6) AS false_answer FROM labels",
+)
+_add(
+    "N14_macro",
+    lambda s, d: evaluation.macro(table(s, d, "events"), "event_type", ["value"]),
+    "SELECT event_type, round_even(avg(value), 6) AS value, count(*) AS n FROM events GROUP BY event_type",
+)
+_add(
+    "N23_confusion",
+    lambda s, d: evaluation.confusion(table(s, d, "labels").where("quality = 1"), table(s, d, "labels").where("toxic = 0 AND doc_id % 4 > 0"), ["doc_id"], []),
+    """WITH n AS (SELECT sum((q AND f)::INT) AS tp, sum((NOT q AND f)::INT) AS fp, sum((q AND NOT f)::INT) AS fn FROM (SELECT quality = 1 AS q, toxic = 0 AND doc_id % 4 > 0 AS f FROM labels))
+      SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round_even(tp / (tp + fp), 6) AS precision, round_even(tp / (tp + fn), 6) AS recall, round_even(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM n""",
+)
+_add("N15_thresholds", lambda s, d: evaluation.thresholds(evaluation.folded(_dense(s, d).withColumn("key", F.col("query_id").cast("string")).withColumn("even", F.col("id") % 2 == 0), "key"), [0.2, 0.4, 0.6, 0.8], "score", "even"))
+
+# ------------------------------------------------------------------ sources and store
+
+
+def _lines(s, d):
+    t = F.to_json(F.struct(F.col("p_partkey").cast("string").alias("element_id"), F.col("p_name").alias("name")))
+    line = F.when(F.col("p_partkey") % 10 == 0, "{oops").when(F.col("p_partkey") % 10 == 1, F.lit('{"element_id":"x","other":1}')).when(F.col("p_partkey") % 10 == 2, F.lit('{"name":"y"}')).otherwise(t)
+    return table(s, d, "part").select("p_partkey", line.alias("value"))
+
+
+_add(
+    "B3_parsed_lines",
+    lambda s, d: records.parsed_lines(_lines(s, d), records.ELEMENT, ["element_id"]).select("p_partkey", "error", F.col("record.name").alias("name")),
+    "SELECT p_partkey, CASE p_partkey % 10 WHEN 0 THEN 'parse_error' WHEN 1 THEN 'unknown_field' WHEN 2 THEN 'missing_field' END AS error, CASE WHEN p_partkey % 10 > 2 THEN p_name END AS name FROM part",
+)
+_add("B14_sample", lambda s, d: store.fixed_sample(table(s, d, "orders"), "o_orderkey").select("o_orderkey"), "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS r, count(*) OVER () AS n FROM orders) WHERE r IN (1, (n - 1) // 2 + 1, n)")
+_add(
+    "B16_scoped_replacement",
+    lambda s, d: store.scoped_replacement(table(s, d, "lineitem").select("l_suppkey", "l_orderkey").distinct(), table(s, d, "lineitem").where("l_suppkey < 20 AND l_quantity > 25").select("l_suppkey", "l_orderkey").distinct(), "l_suppkey", "l_orderkey")[0],
+    "SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem WHERE l_suppkey >= 20 OR l_quantity > 25",
+)
+_add("B26_keyset_page", lambda s, d: store.keyset_page(elements(s, d), "global_id", "50".zfill(22), 25).select("key"), "SELECT p_partkey AS key FROM part WHERE p_partkey > 50 ORDER BY p_partkey LIMIT 25")
+_add(
+    "B20_legacy_cleaned",
+    lambda s, d: records.legacy_cleaned(table(s, d, "part").select(F.concat(F.lit(" ID"), "p_partkey").alias("element_id"), F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise("n/a").alias("height"), F.col("p_brand").alias("material"))).select("element_id", "height", F.array_join("material", ",").alias("material")),
+    "SELECT 'id' || p_partkey AS element_id, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS DOUBLE) END AS height, p_brand AS material FROM part",
+)
+_add("O2_difference", lambda s, d: elements(s, d).select("storey", "ifc_class").exceptAll(elements(s, d).where("key % 2 = 0").select("storey", "ifc_class")), f"WITH {ELEMENTS_SQL} SELECT storey, ifc_class FROM elements EXCEPT ALL SELECT storey, ifc_class FROM elements WHERE key % 2 = 0")
+_add("O3_intersection", lambda s, d: elements(s, d).where("key < 900").select("name").intersect(elements(s, d).where("key >= 900").select("name")), f"WITH {ELEMENTS_SQL} SELECT name FROM elements WHERE key < 900 INTERSECT SELECT name FROM elements WHERE key >= 900")
