@@ -21,7 +21,7 @@ def chunk_text(path: Column, title: Column, body: Column, limit: int = 2000) ->
     """Up to three path levels, the title unless it ends the path, then the body; cut to ``limit``."""
     top = F.slice(path, 1, 3)
     head = F.when(F.size(top) > 0, F.array_join(top, " > "))
-    own = F.when(~title.eqNullSafe(F.element_at(path, -1)), title)
+    own = F.when(~title.eqNullSafe(F.try_element_at(path, F.lit(-1))), title)
     return F.left(F.concat_ws("\n", head, own, body), F.lit(limit))
 
 

@@ -23,7 +23,8 @@ def merged(items: DataFrame) -> DataFrame:
     out = items.groupBy("kind", "project_id", "source_id").agg(
         F.min("position").alias("position"), F.min_by("content", "position").alias("content"), (F.countDistinct("content") > 1).alias("conflict"), F.sort_array(F.collect_set("method")).alias("methods"), (F.countDistinct("store") > 1).alias("crossed")
     )
-    return out.withColumn("crossed", F.when(F.col("crossed"), F.raise_error(F.lit("an item comes from two stores"))).otherwise(F.lit(False))).drop("crossed")
+    crossed = F.raise_error(F.lit("an item comes from two stores")).cast("string")
+    return out.withColumn("content", F.when(F.col("crossed"), crossed).otherwise(F.col("content"))).drop("crossed")
 
 
 def pack(items: DataFrame, limit: int = MOST_ITEMS) -> DataFrame:
