@@ -35,6 +35,9 @@ SAMPLE_PER_LANGUAGE = 1500
 REJECT_SHARE = 0.002
 UNKNOWN = "und"
 
+#: Bytes of text scored at once: what is held for each is many times as large.
+SLICE = 1 << 20
+
 _LETTER = np.full(256, 32, dtype=np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
@@ -179,7 +182,7 @@ def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
         for batch in batches:
             langs: list[str] = []
             scores: list[np.ndarray] = [np.empty(0)]
-            for part in slices(pa.RecordBatch.from_arrays([batch], ["text"]), "text"):
+            for part in slices(pa.RecordBatch.from_arrays([batch], ["text"]), "text", SLICE):
                 lang, score = own.predict(part.column(0).to_pylist())
                 langs += lang
                 scores.append(score)

@@ -3,7 +3,7 @@
 A tokenizer of this kind first cuts a text into pre-tokens and then splits each
 one by itself, so what a pre-token becomes needs to be worked out once. Within a
 task, the distinct pre-tokens met so far are kept with their pieces (a bounded
-table, emptied when full); the counts of a document are its pre-token
+table, thinned when full); the counts of a document are its pre-token
 frequencies joined to that table and summed, and no ids are built.
 
 The cutting is done here, with the pattern of the tokenizer's file, for texts
@@ -33,8 +33,9 @@ from .common import slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-#: Distinct pre-tokens kept by a worker before its table is emptied.
-TABLE_LIMIT = 1_000_000
+#: Distinct pre-tokens kept by a worker; beyond it the long ones go, which are rarely met again.
+TABLE_LIMIT = 400_000
+_SHORT = 7
 OVER_LIMIT = 2048
 
 _PLAIN = re.compile(r"[\x00-\u036f]*")
@@ -114,8 +115,8 @@ class Encoder:
         new = {p for _, f in freqs for p in f if p not in known}
         if new:
             if len(known) + len(new) > TABLE_LIMIT:
-                known.clear()
-                new = {p for _, f in freqs for p in f}
+                known = self.counts = _thinned(known)
+                new = {p for _, f in freqs for p in f if p not in known}
             fresh = list(new)
             known.update(zip(fresh, map(len, self._learned(fresh)), strict=True))
         for i, f in freqs:
@@ -139,12 +140,17 @@ class Encoder:
             cut.append(own)
         known = self.ids
         if len(known) + len(new) > TABLE_LIMIT:
-            known.clear()
+            known = self.ids = _thinned(known)
         fresh = list(new.difference(known))
         known.update(zip(fresh, (ids.tobytes() for ids in self._learned(fresh)), strict=True))
         return [b"".join(part if isinstance(part, bytes) else b"".join(map(known.__getitem__, part)) for part in own) for own in cut]
 
 
+def _thinned(table: dict) -> dict:
+    short = {p: v for p, v in table.items() if len(p) <= _SHORT}
+    return short if len(short) <= TABLE_LIMIT // 2 else {}
+
+
 def _packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
