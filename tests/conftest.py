@@ -39,12 +39,3 @@ def duck():
     for f in SMALL.glob("*.parquet"):
         con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM read_parquet('{f}')")
     return con
-
-
-def comparable(rows) -> list[tuple]:
-    """Rows as sorted tuples of text, floats in six places."""
-
-    def plain(v):
-        return repr(round(v, 6) + 0.0) if isinstance(v, float) else str(v)
-
-    return sorted(tuple(plain(v) for v in r) for r in rows)

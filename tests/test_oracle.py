@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pytest
-from conftest import SMALL, comparable
+from oracle_support import SMALL, comparable
 
 from plumbline.plans import registry
 
