@@ -125,6 +125,7 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
+        known = self.ids
         cut: list[list] = []
         new: set[str] = set()
         for text in texts:
@@ -133,17 +134,25 @@ class Encoder:
                 if part in self.special:
                     own.append(_packed([self.special[part]]))
                 elif (pieces := self.pieces(part)) is not None:
-                    own.append(pieces)
-                    new.update(pieces)
+                    found = list(map(known.get, pieces))
+                    if None in found:  # to be looked up again when the batch's new ones are learned
+                        new.update(p for p, f in zip(pieces, found, strict=True) if f is None)
+                        own.append((pieces, found))
+                    else:
+                        own.append(b"".join(found))
                 else:
                     own.append(_packed(self.library.encode(part, add_special_tokens=False).ids))
             cut.append(own)
-        known = self.ids
-        if len(known) + len(new) > TABLE_LIMIT:
+        fresh = list(new)
+        learned = dict(zip(fresh, (ids.tobytes() for ids in self._learned(fresh)), strict=True))
+        if len(known) + len(learned) > TABLE_LIMIT:
             known = self.ids = _thinned(known)
-        fresh = list(new.difference(known))
-        known.update(zip(fresh, (ids.tobytes() for ids in self._learned(fresh)), strict=True))
-        return [b"".join(part if isinstance(part, bytes) else b"".join(map(known.__getitem__, part)) for part in own) for own in cut]
+        known.update(learned)
+
+        def whole(part: bytes | tuple) -> bytes:
+            return part if isinstance(part, bytes) else b"".join(learned[p] if f is None else f for p, f in zip(*part, strict=True))
+
+        return [b"".join(map(whole, own)) for own in cut]
 
 
 def _thinned(table: dict) -> dict:
