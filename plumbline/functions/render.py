@@ -51,3 +51,19 @@ def bucket_lines(key: Column, n: Column) -> Column:
 def redacted(record: dict, secret: tuple[str, ...] = ("authorization", "api_key", "token", "password", "secret")) -> dict:
     """A log record with sensitive values masked, at any depth."""
     return {k: "***" if any(s in k.lower() for s in secret) else redacted(v, secret) if isinstance(v, dict) else v for k, v in record.items()}
+
+
+def hit_text(position: Column, limit: int = 1200) -> Column:
+    """A hit of a result list as a prompt shows it; absent lines are left out."""
+    short = lambda c: F.call_function("format_number", c, F.lit("0.######"))
+    metrics = F.concat_ws(", ", *(F.when(F.col(m).isNotNull(), F.concat(F.lit(f"{m}="), short(F.col(m)))) for m in ("height", "area", "volume")))
+    head = F.concat(F.lit("["), position.cast("string"), F.lit("]"))
+    lines = labelled([("ifc_class", F.col("ifc_class")), ("name", F.col("name")), ("storey", F.col("storey")), ("materials", F.array_join(F.slice("materials", 1, 5), ", ")), ("metrics", metrics)])
+    return F.left(F.concat_ws("\n", head, lines), F.lit(limit))
+
+
+def property_pairs(properties: Column, skip: list[str]) -> Column:
+    """``name=value`` of a string map, keys in order, those to be skipped left out."""
+    kept = F.map_filter(properties, lambda k, v: ~F.lower(F.replace(k, F.lit(" "), F.lit(""))).isin(skip) & (F.trim(v) != ""))
+    pairs = F.transform(F.map_entries(kept), lambda e: F.concat(e["key"], F.lit("="), F.regexp_replace(F.trim(e["value"]), r"\s+", " ")))
+    return F.array_join(F.sort_array(pairs), "\n")

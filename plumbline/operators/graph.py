@@ -8,11 +8,33 @@ from pyspark.sql import functions as F
 from plumbline.functions import ids
 
 MAX_DEPTH = 6
-# Predicates allowed for each intent.
+# Predicates by what they are about.
 SPATIAL = ["HAS_SITE", "HAS_BUILDING", "HAS_STOREY", "HAS_SPACE", "CONTAINS", "AGGREGATES"]
 ATTRIBUTE = ["HAS_TYPE", "HAS_MATERIAL", "MEMBER_OF_GROUP", "MEMBER_OF_SYSTEM"]
 DERIVED = ["CONTAINS_GEOM", "INTERSECTS", "TOUCHES", "ABOVE"]
-NATIVE = ["BOUNDED_BY", "CONNECTS_TO", "FILLS", "VOIDS", "HAS_PORT", "FLOWS_TO"]
+NATIVE = ["NESTS", "VOIDS", "FILLS", "BOUNDS_SPACE", "CONNECTS_TO", "HAS_PORT", "CONNECTS_PORT"]
+KINDS = ["project", "site", "building", "storey", "space", "element", "type", "material", "group", "system", "port"]
+_ANY, _PLACE, _BODY = ",".join(KINDS), "site,building,storey,space", "element,space"
+# Source class, predicate, kinds of its ends, multiplicity.
+NATIVE_RULES = [
+    ("IfcRelAggregates", "HAS_SITE", "project", "site", "1:N"),
+    ("IfcRelAggregates", "HAS_BUILDING", "site", "building", "1:N"),
+    ("IfcRelAggregates", "HAS_STOREY", "building", "storey", "1:N"),
+    ("IfcRelAggregates", "HAS_SPACE", "storey", "space", "1:N"),
+    ("IfcRelAggregates", "AGGREGATES", _ANY, _ANY, "1:N"),
+    ("IfcRelContainedInSpatialStructure", "CONTAINS", _PLACE, "element", "1:N"),
+    ("IfcRelNests", "NESTS", "element", "element,port", "1:N"),
+    ("IfcRelDefinesByType", "HAS_TYPE", _BODY, "type", "N:1"),
+    ("IfcRelAssociatesMaterial", "HAS_MATERIAL", _BODY, "material", "N:M"),
+    ("IfcRelVoidsElement", "VOIDS", "element", "element", "1:1"),
+    ("IfcRelFillsElement", "FILLS", "element", "element", "1:1"),
+    ("IfcRelSpaceBoundary", "BOUNDS_SPACE", "element", "space", "N:M"),
+    ("IfcRelAssignsToGroup", "MEMBER_OF_GROUP", _ANY, "group", "N:M"),
+    ("IfcRelAssignsToGroup", "MEMBER_OF_SYSTEM", _ANY, "system", "N:M"),
+    ("IfcRelConnectsElements", "CONNECTS_TO", "element", "element", "N:M"),
+    ("IfcRelConnectsPortToElement", "HAS_PORT", "element", "port", "1:N"),
+    ("IfcRelConnectsPorts", "CONNECTS_PORT", "port", "port", "N:M"),
+]
 INTENTS = {
     "neighbors": SPATIAL + ATTRIBUTE + DERIVED + NATIVE, "attribute": ATTRIBUTE, "native_connections": NATIVE, "derived_neighborhood": DERIVED, "relation_exists": SPATIAL + ATTRIBUTE + DERIVED + NATIVE,
     "ancestors": SPATIAL, "descendants": SPATIAL, "shortest_path": SPATIAL + NATIVE, "containment_check": SPATIAL,
@@ -123,3 +145,32 @@ def verified_rows(rows: DataFrame, project: str, schema: str, generation: str, p
     """Rows that break a rule of the active view, with the first rule they break."""
     reason = F.when(F.col("project_id") != project, "project").when(F.col("schema") != schema, "schema").when(F.col("generation") != generation, "generation").when(~F.col("predicate").isin(predicates), "predicate")
     return rows.withColumn("reason", reason).where("reason IS NOT NULL")
+
+
+def native_edges(relations: DataFrame, nodes: DataFrame, project: str) -> DataFrame:
+    """Edges of source relations (relation_class, global_id, src, dst, occurrence), each
+    with its id or with the first thing that is wrong with it.
+
+    nodes: node_id, kind. Of the rules of a class the first that fits both kinds
+    counts, so aggregation between unlike places has its own predicates.
+    """
+    spark = relations.sparkSession
+    rules = [(i, *r[:2], r[2].split(","), r[3].split(",")) for i, r in enumerate(NATIVE_RULES)]
+    table = spark.createDataFrame(rules, "rule int, relation_class string, predicate string, src_kinds array<string>, dst_kinds array<string>")
+    ends = relations
+    for side in ("src", "dst"):
+        ends = ends.join(nodes.select(F.col("node_id").alias(side), F.col("kind").alias(f"{side}_kind"), F.lit(True).alias(f"{side}_known")), side, "left")
+    fits = F.array_contains("src_kinds", F.col("src_kind")) & F.array_contains("dst_kinds", F.col("dst_kind"))
+    matched = ends.join(F.broadcast(table), "relation_class", "left")
+    columns = [c for c in ends.columns if c != "relation_class"]
+    best = matched.groupBy("relation_class", *columns).agg(F.min_by("predicate", F.when(fits, F.col("rule"))).alias("predicate"), F.count("rule").alias("rules"))
+    issue = (
+        F.when(F.col("global_id").isNull(), "RELATION_WITHOUT_GLOBAL_ID")
+        .when(F.col("src").isNull() | F.col("dst").isNull(), "MISSING_ENDPOINT")
+        .when(F.col("src_known").isNull() | F.col("dst_known").isNull(), "UNKNOWN_ENDPOINT")
+        .when(F.col("src") == F.col("dst"), "DUPLICATE_ENDPOINT_IN_RELATION")
+        .when(F.col("rules") == 0, "UNSUPPORTED_RELATION_SUBTYPE")
+        .when(F.col("predicate").isNull(), "ENDPOINT_KIND_MISMATCH")
+    )
+    edge = ids.identity("native_edge", "1", project, F.col("predicate"), F.col("src"), F.col("dst"), F.col("global_id"), F.col("occurrence").cast("string"))
+    return best.withColumn("issue", issue).withColumn("edge_id", F.when(F.col("issue").isNull(), edge)).select("relation_class", "global_id", "src", "dst", "predicate", "issue", "edge_id")

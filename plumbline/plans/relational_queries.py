@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import ids
-from plumbline.operators import documents, evaluation, evidence, facts, geometry, graph, ranking, retrieval
+from plumbline.functions import ids, render
+from plumbline.operators import aggregates, documents, evaluation, evidence, facts, filters, geometry, graph, ranking, retrieval
 from plumbline.sources import records, store
 
 from .views import BOXES_SQL, CHUNKS_SQL, EDGES_SQL, ELEMENTS_SQL, boxes, chunks, edges, elements, table
@@ -397,3 +397,104 @@ _add(
 )
 _add("O2_difference", lambda s, d: elements(s, d).select("storey", "ifc_class").exceptAll(elements(s, d).where("key % 2 = 0").select("storey", "ifc_class")), f"WITH {ELEMENTS_SQL} SELECT storey, ifc_class FROM elements EXCEPT ALL SELECT storey, ifc_class FROM elements WHERE key % 2 = 0")
 _add("O3_intersection", lambda s, d: elements(s, d).where("key < 900").select("name").intersect(elements(s, d).where("key >= 900").select("name")), f"WITH {ELEMENTS_SQL} SELECT name FROM elements WHERE key < 900 INTERSECT SELECT name FROM elements WHERE key >= 900")
+
+
+# ------------------------------------------------------------------ native relations, linking, rendering
+
+
+def _native(s, d):
+    """Edges of the containment graph as source relations, with broken ones among them."""
+    e = edges(s, d)
+    n = e.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    kind = F.create_map(F.lit("r"), F.lit("project"), F.lit("n"), F.lit("site"), F.lit("c"), F.lit("building"), F.lit("o"), F.lit("storey"))[F.left("node_id", F.lit(1))]
+    k = F.regexp_extract("dst", r"(\d+)", 1).cast("int") % 10
+    rel = e.select(
+        F.when(k == 7, "IfcRelUnheard").when(k == 8, "IfcRelVoidsElement").otherwise("IfcRelAggregates").alias("relation_class"), F.when(k != 1, F.concat(F.lit("g"), "dst")).alias("global_id"), "src",
+        F.when(k == 2, F.lit(None)).when(k == 3, F.lit("zz")).when(k == 4, F.col("src")).otherwise(F.col("dst")).alias("dst"), F.lit(0).alias("occurrence"),
+    )
+    return graph.native_edges(rel, n.withColumn("kind", kind), "tpch")
+
+
+_add(
+    "M2_native_edges",
+    lambda s, d: _native(s, d).groupBy("relation_class", "predicate", "issue").agg(F.count("*").alias("n"), F.count("edge_id").alias("ids")),
+    f"""WITH {EDGES_SQL}, r AS (SELECT *, CAST(regexp_extract(dst, '(\\d+)', 1) AS INTEGER) % 10 AS k FROM edges)
+      SELECT CASE k WHEN 7 THEN 'IfcRelUnheard' WHEN 8 THEN 'IfcRelVoidsElement' ELSE 'IfcRelAggregates' END AS relation_class, CASE k WHEN 2 THEN NULL WHEN 3 THEN NULL WHEN 7 THEN NULL WHEN 8 THEN NULL WHEN 4 THEN 'AGGREGATES' ELSE predicate END AS predicate,
+        CASE k WHEN 1 THEN 'RELATION_WITHOUT_GLOBAL_ID' WHEN 2 THEN 'MISSING_ENDPOINT' WHEN 3 THEN 'UNKNOWN_ENDPOINT' WHEN 4 THEN 'DUPLICATE_ENDPOINT_IN_RELATION' WHEN 7 THEN 'UNSUPPORTED_RELATION_SUBTYPE' WHEN 8 THEN 'ENDPOINT_KIND_MISMATCH' END AS issue,
+        count(*) AS n, count(*) FILTER (WHERE k IN (0, 5, 6, 9)) AS ids FROM r GROUP BY 1, 2, 3""",
+)
+_add(
+    "D10_fuzzy_join",
+    lambda s, d: documents.fuzzy_candidates(
+        table(s, d, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("mention_id"), F.concat(F.lit("the "), F.expr("left(p_name, length(p_name) - 1)"), F.lit("x")).alias("phrase")),
+        table(s, d, "part").select(F.xxhash64("p_name").alias("element"), F.concat(F.lit("the "), "p_name").alias("phrase")).distinct(),
+    ),
+)
+
+
+def _places(s, d):
+    e = elements(s, d)
+    candidates = e.select(F.col("name").alias("mention_id"), F.col("key").alias("element"), F.col("storey").alias("space"), F.col("project_id").alias("storey"), F.col("ifc_class").alias("building"))
+    n = F.char_length("name")
+    said = e.select(F.col("name").alias("mention_id")).distinct().withColumn("name", F.col("mention_id"))
+    rows = F.array(F.struct(F.lit("space").alias("level"), (n % 10).cast("string").alias("value")), F.struct(F.lit("storey").alias("level"), F.concat(F.lit("proj-"), (n % 4).cast("string")).alias("value")), F.struct(F.lit("building").alias("level"), F.lit("SMALL").alias("value")))
+    return documents.by_location(candidates, said.select("mention_id", F.explode(rows).alias("r")).select("mention_id", "r.*"))
+
+
+_add(
+    "D12_location_evidence",
+    lambda s, d: _places(s, d),
+    f"""WITH {ELEMENTS_SQL}, a AS (SELECT name, count(*) AS n FROM elements GROUP BY name), s1 AS (SELECT * FROM elements WHERE storey = CAST(length(name) % 10 AS VARCHAR)), s2 AS (SELECT * FROM s1 WHERE project_id = 'proj-' || (length(name) % 4)), s3 AS (SELECT * FROM s2 WHERE ifc_class = 'SMALL'),
+      c AS (SELECT a.name, a.n, (SELECT count(*) FROM s1 WHERE s1.name = a.name) AS n1, (SELECT count(*) FROM s2 WHERE s2.name = a.name) AS n2, (SELECT count(*) FROM s3 WHERE s3.name = a.name) AS n3 FROM a),
+      o AS (SELECT *, n = 1 OR n1 = 1 OR (n1 > 1 AND n2 = 1) OR (n1 > 1 AND n2 > 1 AND n3 = 1) AS ok FROM c)
+      SELECT name AS mention_id, CASE WHEN ok THEN 'resolved' ELSE 'ambiguous_duplicate_name' END AS outcome,
+        CASE WHEN NOT ok THEN NULL WHEN n = 1 THEN (SELECT min(key) FROM elements AS e WHERE e.name = o.name) WHEN n1 = 1 THEN (SELECT min(key) FROM s1 WHERE s1.name = o.name) WHEN n2 = 1 THEN (SELECT min(key) FROM s2 WHERE s2.name = o.name) ELSE (SELECT min(key) FROM s3 WHERE s3.name = o.name) END AS element FROM o""",
+)
+_add(
+    "A30_hit_text",
+    lambda s, d: elements(s, d).select("key", render.hit_text(F.lit(1)).alias("t")).where("key % 7 = 0"),
+    f"""WITH {ELEMENTS_SQL} SELECT key, concat_ws(chr(10), '[1]', 'ifc_class: ' || ifc_class, 'name: ' || name, 'storey: ' || storey, 'materials: ' || array_to_string(materials[1:5], ', '),
+      'metrics: height=' || CAST(CAST(height AS BIGINT) AS VARCHAR) || ', area=' || regexp_replace(CAST(area AS VARCHAR), '\\.0$', '')) AS t FROM elements WHERE key % 7 = 0""",
+)
+_add(
+    "A23_property_pairs",
+    lambda s, d: table(s, d, "part").select("p_partkey", render.property_pairs(F.create_map(F.lit("Brand"), "p_brand", F.lit("Global Id"), "p_name", F.lit("A Name"), "p_name"), ["globalid"]).alias("t")),
+    "SELECT p_partkey, 'A Name=' || p_name || chr(10) || 'Brand=' || p_brand AS t FROM part",
+)
+_add(
+    "N27_path_text",
+    lambda s, d: table(s, d, "nation").select("n_nationkey", evidence.path_text(F.array(F.lit("world"), F.concat(F.lit("r"), "n_regionkey"), "n_name"), F.array(F.lit("HAS"), F.lit("OF"))).alias("t")),
+    "SELECT n_nationkey, 'world' || chr(10) || '-HAS-> r' || n_regionkey || chr(10) || '-OF-> ' || n_name || chr(10) || 'hops: 2' AS t FROM nation",
+)
+_add(
+    "N13_graded",
+    lambda s, d: elements(s, d).select("key", evaluation.graded([("c", F.col("ifc_class") == "SMALL"), ("p", F.col("project_id") == "proj-1")], [F.array_contains("materials", "bolt")]).alias("grade")),
+    f"WITH {ELEMENTS_SQL} SELECT key, CASE (ifc_class <> 'SMALL')::INT + (project_id <> 'proj-1')::INT WHEN 0 THEN CASE WHEN list_contains(materials, 'bolt') THEN 3 ELSE 2 END WHEN 1 THEN 1 ELSE 0 END AS grade FROM elements",
+)
+_add(
+    "N7_aggregate_claims",
+    lambda s, d: evidence.aggregate_supported(elements(s, d).groupBy(F.col("storey").alias("key")).agg(F.count("*").alias("n")).withColumn("n", F.col("n") + F.when(F.col("key") == "3", 1).otherwise(0)), aggregates.buckets(elements(s, d), "storey")).select("key", "supported"),
+    f"WITH {ELEMENTS_SQL} SELECT DISTINCT storey AS key, storey <> '3' AS supported FROM elements",
+)
+_add(
+    "C17_eligibility",
+    lambda s, d: filters.eligibility(
+        table(s, d, "part").select((F.col("p_partkey") / 2).cast("int").alias("element_id"), F.col("p_partkey").alias("geometry_id"), F.when(F.col("p_size") % 4 == 0, "invalid").when(F.col("p_size") % 4 == 1, "partial").otherwise("valid").alias("status"), F.array(F.when(F.col("p_size") % 3 == 0, "WELDED").otherwise("OPEN")).alias("issues")), advisory=["WELDED"]
+    ).select("geometry_id", "reason"),
+    """SELECT p_partkey AS geometry_id, CASE WHEN p_size % 4 = 0 THEN 'status' WHEN p_size % 4 = 1 AND p_size % 3 <> 0 THEN 'issues' WHEN p_partkey % 2 = 1 THEN 'duplicate' END AS reason FROM part""",
+)
+_add(
+    "K10_inherited",
+    lambda s, d: table(s, d, "part").select("p_partkey", facts.inherited(F.when(F.col("p_size") > 25, F.col("p_name")).otherwise(F.lit(" ")), F.when(F.col("p_size") > 10, F.col("p_brand")), F.col("p_type")).alias("t")),
+    "SELECT p_partkey, CASE WHEN p_size > 25 THEN p_name WHEN p_size > 10 THEN p_brand ELSE p_type END AS t FROM part",
+)
+_add(
+    "M15_row_verification",
+    lambda s, d: graph.verified_rows(edges(s, d).select("edge_id", "predicate", F.lit("tpch").alias("project_id"), F.lit("2").alias("schema"), F.when(F.col("src") == "r1", "g0").otherwise("g1").alias("generation")), "tpch", "2", "g1", ["HAS_SITE", "HAS_STOREY"]).select("edge_id", "reason"),
+    f"WITH {EDGES_SQL} SELECT edge_id, CASE WHEN src = 'r1' THEN 'generation' ELSE 'predicate' END AS reason FROM edges WHERE src = 'r1' OR predicate = 'HAS_BUILDING'",
+)
+_add(
+    "M10_anchor",
+    lambda s, d: graph.anchor(elements(s, d).select(F.col("element_id").alias("node_id"), F.col("name").alias("element_key"), "global_id"), "red bolt").select("ambiguous", F.size("ids").alias("n")),
+    f"WITH {ELEMENTS_SQL} SELECT count(*) > 1 AS ambiguous, CAST(least(count(*), 10) AS INTEGER) AS n FROM elements WHERE name = 'red bolt'",
+)
