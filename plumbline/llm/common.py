@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 #: Texts are handled in slices of about so many UTF-8 bytes, which bounds what a
 #: worker holds besides the Arrow batch itself. A longer text is a slice alone.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 _local_root: str | None = None
 

@@ -35,9 +35,6 @@ SAMPLE_PER_LANGUAGE = 1500
 REJECT_SHARE = 0.002
 UNKNOWN = "und"
 
-#: Bytes of text scored at once: what is held for each is many times as large.
-SLICE = 1 << 20
-
 _LETTER = np.full(256, 32, dtype=np.uint8)
 _LETTER[97:123] = np.arange(97, 123)
 _LETTER[128:] = np.arange(128, 256)
@@ -107,7 +104,7 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 6, rate: float =
     rows, counts, target = [], [], np.array([index[x] for x in labels])
     for text in texts:
         bucket, n = np.unique(np.concatenate([b for b, _ in subwords([text])]), return_counts=True)
-        rows.append(bucket)
+        rows.append(bucket.astype(np.int32))
         counts.append((n / max(1, n.sum())).astype(np.float32))
     held = np.arange(len(texts)) % 5 == 4
     if held.all() or not held.any():
@@ -182,7 +179,7 @@ def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
         for batch in batches:
             langs: list[str] = []
             scores: list[np.ndarray] = [np.empty(0)]
-            for part in slices(pa.RecordBatch.from_arrays([batch], ["text"]), "text", SLICE):
+            for part in slices(pa.RecordBatch.from_arrays([batch], ["text"]), "text"):
                 lang, score = own.predict(part.column(0).to_pylist())
                 langs += lang
                 scores.append(score)

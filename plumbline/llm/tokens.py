@@ -34,7 +34,7 @@ from .common import slices
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 #: Distinct pre-tokens kept by a worker; beyond it the long ones go, which are rarely met again.
-TABLE_LIMIT = 400_000
+TABLE_LIMIT = 300_000
 _SHORT = 7
 OVER_LIMIT = 2048
 
