@@ -218,13 +218,24 @@ def main_node(root: Node) -> Node:
     around = [n for n in _up(best) if n.tag in ("article", "main")]
     if around:
         return around[-1] if around[-1].tag == "article" or len(around) == 1 else around[0]
-    # A heading or a short block beside the dense ones belongs to the article too.
+    # What stands beside it belongs to the article if it is short, or as dense and as free of links.
     node = best
-    while node.parent is not None and node.tag not in ("body", "html") and node.parent.chars - node.parent.link_chars <= 1.5 * max(1, best.chars):
+    while node.parent is not None and node.tag not in ("body", "html"):
+        beside = [c for c in node.parent.children if isinstance(c, Node) and c is not node and c.chars and not _is_link_list(c)]
+        alike = all(c.density >= threshold / 2 and c.link_chars <= 0.3 * c.chars for c in beside)
+        if not alike and node.parent.chars - node.parent.link_chars > 1.5 * max(1, best.chars):
+            break
         node = node.parent
+    for here in (node, best):  # lists of links beside the text are menus
+        rest = [c for c in here.children if isinstance(c, str) or not _is_link_list(c)]
+        here.children = rest if any(isinstance(c, str) and c.strip() or isinstance(c, Node) and c.chars for c in rest) else here.children
     return node
 
 
+def _is_link_list(node: Node) -> bool:
+    return node.link_tags + (node.tag == "a") > 1 and node.link_chars > 0.7 * node.chars
+
+
 def _up(node: Node) -> Iterator[Node]:
     here: Node | None = node
     while here is not None:

@@ -162,7 +162,9 @@ def text_key(words: Words, i: int, raw: bytes | None) -> bytes | None:
     return hashlib.blake2b(own.tobytes() if len(own) else raw, digest_size=16, person=b"words" if len(own) else b"bytes").digest()
 
 
-def _signatures(weights: Broadcast, id_type: pa.DataType):
+def _signatures(weights: Broadcast):
+    """Texts -> the key of each and the value of each of its bands."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Weights = weights.value
         for batch in batches:
@@ -222,14 +224,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     if they are equal word for word; groups are what links connect. A null text
     is a group of its own; texts without a word are linked if they are equal; a
     text of fewer than five words has one shingle of them all. Repeated rows fall
-    into one group. An empty table gives no rows; columns other than doc_id and
+    into one group. A row without an id is linked to equal texts only. An empty
+    table gives no rows; columns other than doc_id and
     text are not looked at.
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     counts = document_frequencies(texts)
     weights = spark.sparkContext.broadcast(Weights(counts, texts.count()))  # of fixed size
     id_type = texts.schema["doc_id"].dataType.simpleString()
-    signed = written(spark, texts.mapInArrow(_signatures(weights, None), f"doc_id {id_type}, key binary, bands array<bigint>"), "signatures")
+    signed = written(spark, texts.mapInArrow(_signatures(weights), f"doc_id {id_type}, key binary, bands array<bigint>"), "signatures")
     classes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
     classes = written(spark, classes, "classes")
     members = classes.select("key", F.posexplode("bands").alias("band", "value"))

@@ -119,6 +119,7 @@ PAGES = [
     ("<article><p>x<script>var t='</p>';</script>y</p><style>p{}</style><form><input>no</form><aside>no</aside><!-- no --></article>", "xy"),
     ("<article><p title='a>b'>x < y & z</p><p hidden>no</p></article>", "x < y & z"),
     ("<div>" * 2000 + "deep" + "</div>" * 2000, "deep"),
+    ("<body><ul><li><a href=1>one</a><li><a href=2>two</a></ul><div><p>" + "First half of it. " * 9 + "</p><p>More of it.</p></div><div><p>" + "Second half of it. " * 9 + "</p></div>", ("First half of it. " * 9).strip() + "\n\nMore of it.\n\n" + ("Second half of it. " * 9).strip()),
     ("<table><tr><td>A<td>B<tr><td>C</table>", "A\n\nB\n\nC"),
     ("<article><p>it's <a title=it's href=q>fine</a> here</p><div class='cookie-notice'>no</div></article>", "it's fine here"),
 ]
