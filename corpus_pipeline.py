@@ -20,6 +20,10 @@ from plumbline.llm.packing import packed_documents
 from plumbline.llm.quality import good_documents
 
 
+#: Pre-tokens that a worker keeps: fewer than when packing alone, for the workers of all stages share their memory.
+KEPT = 300_000
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with confidence."""
     return identified(spark, docs)
@@ -42,7 +46,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of 1024 tokens."""
-    return packed_documents(spark, docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return packed_documents(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), kept=KEPT)
 
 
 STAGES = [("language", language), ("quality", quality), ("dedup", dedup), ("decontaminate", decontaminate), ("pack", pack)]

@@ -33,8 +33,8 @@ from .common import slices
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-#: Distinct pre-tokens kept by a worker; beyond it the long ones go, which are rarely met again.
-TABLE_LIMIT = 300_000
+#: Distinct pre-tokens kept by a worker (about 250 bytes each); beyond it the long ones go, which are rarely met again.
+TABLE_LIMIT = 1_000_000
 _SHORT = 7
 OVER_LIMIT = 2048
 
@@ -56,9 +56,10 @@ _BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_SPACES}{_L}
 class Encoder:
     """A tokenizers file with a table of the pre-tokens met so far."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, limit: int | None = None) -> None:
         from tokenizers import Tokenizer
 
+        self.limit = limit or TABLE_LIMIT
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -114,8 +115,8 @@ class Encoder:
         known = self.counts
         new = {p for _, f in freqs for p in f if p not in known}
         if new:
-            if len(known) + len(new) > TABLE_LIMIT:
-                known = self.counts = _thinned(known)
+            if len(known) + len(new) > self.limit:
+                known = self.counts = _thinned(known, self.limit)
                 new = {p for _, f in freqs for p in f if p not in known}
             fresh = list(new)
             known.update(zip(fresh, map(len, self._learned(fresh)), strict=True))
@@ -145,8 +146,8 @@ class Encoder:
             cut.append(own)
         fresh = list(new)
         learned = dict(zip(fresh, (ids.tobytes() for ids in self._learned(fresh)), strict=True))
-        if len(known) + len(learned) > TABLE_LIMIT:
-            known = self.ids = _thinned(known)
+        if len(known) + len(learned) > self.limit:
+            known = self.ids = _thinned(known, self.limit)
         known.update(learned)
 
         def whole(part: bytes | tuple) -> bytes:
@@ -155,9 +156,9 @@ class Encoder:
         return [b"".join(map(whole, own)) for own in cut]
 
 
-def _thinned(table: dict) -> dict:
+def _thinned(table: dict, limit: int) -> dict:
     short = {p: v for p, v in table.items() if len(p) <= _SHORT}
-    return short if len(short) <= TABLE_LIMIT // 2 else {}
+    return short if len(short) <= limit // 2 else {}
 
 
 def _packed(ids: list[int]) -> bytes:
@@ -180,9 +181,9 @@ class PieceModel:
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder | PieceModel:
-    """One per worker and file."""
-    return PieceModel(path) if path.endswith(".model") else Encoder(path)
+def encoder(path: str, limit: int | None = None) -> Encoder | PieceModel:
+    """One per worker and file; ``limit``: pre-tokens kept."""
+    return PieceModel(path) if path.endswith(".model") else Encoder(path, limit)
 
 
 def token_count(text: Column, tokenizer: str) -> Column:
