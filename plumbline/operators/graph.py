@@ -98,7 +98,7 @@ def ranked_paths(paths: DataFrame, limit: int = 50, max_paths: int = 25) -> Data
 
 def active(rows: DataFrame, pointers: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of the published generation of each project."""
-    return rows.join(F.broadcast(pointers), keys, "left_semi")
+    return rows.join(pointers, keys, "left_semi")
 
 
 def anchor(nodes: DataFrame, text: str) -> DataFrame:

@@ -31,14 +31,15 @@ def bm25(index: DataFrame, queries: DataFrame, n_docs: DataFrame) -> DataFrame:
     """Score of each (query, id, field) with a matching term.
 
     index: postings; queries: (query_id, term); n_docs: (field, n, avg_dl). Only
-    the postings of asked terms are read on: queries are few, so they go first.
+    the postings of asked terms are read on; whether the asked side is broadcast is
+    left to its measured size.
     """
     asked = queries.select("query_id", "term").distinct()
-    hit = index.join(F.broadcast(asked.select("term").distinct()), "term")
+    hit = index.join(asked.select("term").distinct(), "term")
     df_ = hit.groupBy("field", "term").agg(F.countDistinct("id").alias("df"))
     stats = df_.join(F.broadcast(n_docs), "field").withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    scored = hit.join(F.broadcast(stats), ["field", "term"]).withColumn("s", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl"))))
-    return scored.join(F.broadcast(asked), "term").groupBy("query_id", "id", "field").agg(F.sum("s").alias("score"))
+    scored = hit.join(stats, ["field", "term"]).withColumn("s", F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avg_dl"))))
+    return scored.join(asked, "term").groupBy("query_id", "id", "field").agg(F.sum("s").alias("score"))
 
 
 def field_stats(index: DataFrame) -> DataFrame:

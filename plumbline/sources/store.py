@@ -137,8 +137,8 @@ def fixed_sample(df: DataFrame, key: str) -> DataFrame:
 def scoped_replacement(stored: DataFrame, new: DataFrame, scope: str, key: str) -> tuple[DataFrame, DataFrame]:
     """The table after one scope's rows were replaced, and the stale ids that went."""
     scopes = new.select(scope).distinct()
-    stale = stored.join(F.broadcast(scopes), scope, "left_semi").join(new.select(key), key, "left_anti").select(scope, key)
-    return stored.join(F.broadcast(scopes), scope, "left_anti").unionByName(new), stale
+    stale = stored.join(scopes, scope, "left_semi").join(new.select(key), key, "left_anti").select(scope, key)
+    return stored.join(scopes, scope, "left_anti").unionByName(new), stale
 
 
 def keyset_page(df: DataFrame, key: str, after: str | None, size: int) -> DataFrame:
