@@ -31,6 +31,8 @@ BUCKETS = 1 << 15
 DIMENSIONS = 16
 #: Labelled texts of each language that are learned from, about.
 SAMPLE_PER_LANGUAGE = 1500
+#: Languages that are learned at most, the most frequent: bounds the model.
+LANGUAGES = 256
 #: Share of correctly predicted calibration texts that rejection may cost.
 REJECT_SHARE = 0.002
 UNKNOWN = "und"
@@ -155,7 +157,7 @@ def fit(spark: SparkSession, docs: DataFrame, per_language: int = SAMPLE_PER_LAN
     copies once, so it is bounded whatever the table's size.
     """
     usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
-    have = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
+    have = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not have:
         return train([], [])
     unit = 1 << 30
