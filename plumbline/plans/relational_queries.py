@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import ids, render
 from plumbline.operators import aggregates, documents, evaluation, evidence, facts, filters, geometry, graph, ranking, retrieval
 from plumbline.sources import records, store
+from plumbline.streaming import incremental
 
 from .views import BOXES_SQL, CHUNKS_SQL, EDGES_SQL, ELEMENTS_SQL, boxes, chunks, edges, elements, table
 
@@ -498,3 +499,53 @@ _add(
     lambda s, d: graph.anchor(elements(s, d).select(F.col("element_id").alias("node_id"), F.col("name").alias("element_key"), "global_id"), "red bolt").select("ambiguous", F.size("ids").alias("n")),
     f"WITH {ELEMENTS_SQL} SELECT count(*) > 1 AS ambiguous, CAST(least(count(*), 10) AS INTEGER) AS n FROM elements WHERE name = 'red bolt'",
 )
+
+# ------------------------------------------------------------------ folds, status, provenance, sets
+
+_add(
+    "E11_fold_means",
+    lambda s, d: table(s, d, "events").groupBy((F.col("event_id") % 5).alias("fold")).agg(F.bround(F.avg("value"), 6).alias("m"), F.bround(F.avg((F.col("value") < 10).cast("double")), 6).alias("rejection")),
+    "SELECT event_id % 5 AS fold, round_even(avg(value), 6) AS m, round_even(avg((value < 10)::INT), 6) AS rejection FROM events GROUP BY 1",
+)
+_add(
+    "J8_parse_status",
+    lambda s, d: table(s, d, "part").select("p_partkey", documents.parse_status(F.col("p_size") % 4, F.col("p_size") % 3, (F.col("p_size") > 45).cast("int")).alias("status")),
+    "SELECT p_partkey, CASE WHEN p_size > 45 THEN 'failed' WHEN p_size % 4 = 0 THEN 'empty' WHEN p_size % 3 > 0 THEN 'parsed_with_ocr' ELSE 'parsed' END AS status FROM part",
+)
+_add(
+    "L8_status",
+    lambda s, d: table(s, d, "part").select("p_partkey", geometry.status(F.when(F.col("p_size") % 2 == 0, 1.0), F.when(F.col("p_size") % 3 > 0, F.col("p_size") % 5), F.when(F.col("p_size") > 4, "m")).alias("status")),
+    "SELECT p_partkey, CASE WHEN p_size <= 4 THEN 'unit_undetermined' WHEN p_size % 3 = 0 THEN 'no_geometry' WHEN p_size % 5 = 0 THEN 'degenerate' WHEN p_size % 2 > 0 THEN 'partial' ELSE 'valid' END AS status FROM part",
+)
+_add(
+    "L10_fact_checksum",
+    lambda s, d: boxes(s, d).select("id", geometry.fact_checksum(["x0", "y0", "z0"]).alias("checksum")),
+    f"WITH {BOXES_SQL} SELECT id, sha256(CAST(x0 AS VARCHAR) || '|' || CAST(y0 AS VARCHAR) || '|' || CAST(z0 AS VARCHAR)) AS checksum FROM boxes",
+)
+_add(
+    "M9_active_view",
+    lambda s, d: graph.active(elements(s, d).withColumn("generation", F.col("key") % 3), elements(s, d).select("project_id").distinct().withColumn("generation", F.substring("project_id", 6, 1).cast("bigint") % 3), ["project_id", "generation"]).select("key"),
+    f"WITH {ELEMENTS_SQL} SELECT key FROM elements WHERE key % 3 = (key % 4) % 3",
+)
+_add(
+    "N19_caveats",
+    lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(evidence.caveats(ocr=F.col("p_size") % 2 == 0, no_region=F.col("p_size") > 30, truncated=F.col("p_size") == 7), ",").alias("c")),
+    "SELECT p_partkey, concat_ws(',', CASE WHEN p_size % 2 = 0 THEN 'ocr' END, CASE WHEN p_size > 30 THEN 'no_region' END, CASE WHEN p_size = 7 THEN 'truncated' END) AS c FROM part",
+)
+_add(
+    "N26_provenance",
+    lambda s, d: table(s, d, "lineitem").groupBy("l_partkey").agg(F.collect_list(F.struct("l_returnflag", "l_linenumber")).alias("p")).select("l_partkey", F.array_join(F.transform(evidence.ordered_provenance(F.col("p")), lambda x: F.concat(x["l_returnflag"], x["l_linenumber"].cast("string"))), ",").alias("p")),
+    "SELECT l_partkey, string_agg(l_returnflag || l_linenumber, ',' ORDER BY l_returnflag, l_linenumber) AS p FROM (SELECT DISTINCT l_partkey, l_returnflag, l_linenumber FROM lineitem) GROUP BY l_partkey",
+)
+_add("O1_union", lambda s, d: elements(s, d).where("key < 50").select("name").unionByName(elements(s, d).where("height > 45").select("name")).distinct(), f"WITH {ELEMENTS_SQL} SELECT name FROM elements WHERE key < 50 UNION SELECT name FROM elements WHERE height > 45")
+_add(
+    "O4_set_equality",
+    lambda s, d: elements(s, d).groupBy("project_id").agg(ids.set_fingerprint(F.col("storey")).alias("a"), ids.set_fingerprint(F.when(F.col("ifc_class") == "SMALL", F.col("storey"))).alias("b")).select("project_id", (F.col("a") == F.col("b")).alias("same")),
+    f"WITH {ELEMENTS_SQL} SELECT project_id, list_sort(list(DISTINCT storey)) = list_sort(list(DISTINCT storey) FILTER (WHERE ifc_class = 'SMALL')) AS same FROM elements GROUP BY project_id",
+)
+_add("O5_subset", lambda s, d: table(s, d, "labels").join(table(s, d, "documents"), "doc_id", "left_anti").agg((F.count("*") == 0).alias("subset")), "SELECT count(*) = 0 AS subset FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)")
+_add(
+    "X1_event_windows",  # an extension: the streaming aggregation, run over a batch
+    lambda s, d: incremental.event_counts(table(s, d, "events")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.bround("total", 4).alias("total")),
+    "SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round_even(sum(value), 4) AS total FROM events GROUP BY 1, 2",
+)
