@@ -21,7 +21,7 @@ from plumbline.llm.quality import good_documents
 
 
 #: Pre-tokens that a worker keeps: fewer than when packing alone, for the workers of all stages share their memory.
-KEPT = 300_000
+KEPT = 100_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

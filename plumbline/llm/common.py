@@ -9,6 +9,7 @@ temporary folder of this machine takes its place.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -102,6 +103,16 @@ def windows(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iter
         yield held[0], [0], [held[0].num_rows]
 
 
+def give_back() -> None:
+    """Return memory that this worker has freed but still holds to the system: the
+    workers of all stages of a job share an executor's memory and live on."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit words (xor-shift and multiply rounds); a bijection."""
     x = x.astype(np.uint64, copy=True)

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import give_back, slices
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
@@ -188,6 +188,7 @@ def predicted(spark: SparkSession, model: Model, text: Column) -> Column:
             lang, score = pa.array(langs, pa.string()), pa.array(np.concatenate(scores), pa.float64())
             rejected = pc.or_(pc.equal(lang, UNKNOWN), pc.less(score, own.reject_below))
             yield pa.StructArray.from_arrays([lang, score, rejected], names=["lang_pred", "score", "rejected"])
+        give_back()
 
     return run(text)
 

@@ -34,7 +34,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, windows, written
+from .common import give_back, mix64, slices, windows, written
 from .components import components, local_roots
 from .words import Words, scan, shingles
 
@@ -133,6 +133,7 @@ def document_frequencies(docs: DataFrame, cells: int = CELLS) -> np.ndarray:
                 if len(h):
                     h = h[np.concatenate(([True], (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])))]
                     counts += np.bincount(_cell(h, cells), minlength=cells)
+        give_back()
         used = np.flatnonzero(counts.reshape(_SLICES, width).any(axis=1))
         for i in range(0, len(used), 64):
             some = used[i : i + 64]
@@ -183,6 +184,7 @@ def _signatures(weights: Broadcast):
                     [part.column("doc_id"), pa.array([text_key(words, i, r) for i, r in enumerate(raw)], pa.binary()), pa.array(rows, pa.list_(pa.int64()))],
                     names=["doc_id", "key", "bands"],
                 )
+        give_back()
 
     return run
 
@@ -206,6 +208,7 @@ def _similar(weights: Broadcast):
                         links.append(i)
                         score.append(value)
                 yield pa.RecordBatch.from_arrays([pa.array([a[i] for i in links], pa.binary()), pa.array([b[i] for i in links], pa.binary()), pa.array(score, pa.float64())], names=["a", "b", "similarity"])
+        give_back()
 
     return run
 
@@ -320,6 +323,7 @@ def _within(weights: Broadcast):
                 a += x
                 b += y
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+        give_back()
 
     return run
 

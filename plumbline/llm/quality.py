@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import give_back, slices
 from .words import scan
 
 #: Labelled rows of each class, and unlabelled rows, that are learned from, about.
@@ -221,6 +221,7 @@ def scored(spark: SparkSession, model: Model, text: Column, source: Column, lang
                 parts.append(own.scores(text_features(raw), meta_features(*meta)))
             text_p, meta_p, both = (np.concatenate(p) for p in zip(*parts, strict=True)) if parts else (np.empty(0),) * 3
             yield pa.StructArray.from_arrays([pa.array(v) for v in (text_p, meta_p, both, both >= own.threshold)], names=["p_text", "p_meta", "score", "kept"])
+        give_back()
 
     return run(text, source, lang, n_chars.cast("bigint"))
 
