@@ -20,8 +20,9 @@ from plumbline.llm.packing import packed_documents
 from plumbline.llm.quality import good_documents
 
 
-#: Pre-tokens that a worker keeps: fewer than when packing alone, for the workers of all stages share their memory.
+#: Pre-tokens that a worker keeps, and bytes it cuts at once: fewer than when packing alone, for the workers of all stages share their memory.
 KEPT = 100_000
+SLICE = 1 << 20
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +47,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of the documents with their places in sequences of 1024 tokens."""
-    return packed_documents(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), kept=KEPT)
+    return packed_documents(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), kept=KEPT, slice_bytes=SLICE)
 
 
 STAGES = [("language", language), ("quality", quality), ("dedup", dedup), ("decontaminate", decontaminate), ("pack", pack)]

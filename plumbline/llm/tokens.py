@@ -87,17 +87,21 @@ class Encoder:
         """The text cut at special strings, which stay as parts of their own."""
         return [text] if self._special is None or "<|" not in text else [p for p in self._special.split(text) if p]
 
-    def _learned(self, fresh: list[str]) -> Iterator[np.ndarray]:
-        """The ids of each pre-token. Many go through the library as one text, with a
-        special string after each, which parts them for the library and here."""
+    def _learned(self, fresh: list[str]) -> Iterator[bytes]:
+        """The packed ids of each pre-token. Many go through the library as one text, with
+        a special string after each, which parts them for the library and here."""
         if not self.special:
-            yield from (np.array(e.ids, dtype="<u4") for e in self.library.encode_batch_fast(fresh, add_special_tokens=False))
+            yield from (_packed(e.ids) for e in self.library.encode_batch_fast(fresh, add_special_tokens=False))
             return
         stop, mark = max(self.special.items())
         for i in range(0, len(fresh), 512):
             some = fresh[i : i + 512]
             ids = np.array(self.library.encode_batch_fast([stop.join(some) + stop], add_special_tokens=False)[0].ids, dtype="<u4")
-            yield from (a[:-1] for a in np.split(ids, np.flatnonzero(ids == mark)[: len(some) - 1] + 1))
+            raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == mark)).tolist()
+            first = 0
+            for end in ends:
+                yield raw[first:end]
+                first = end + 4
 
     def count(self, texts: list[str | None]) -> list[int]:
         """The number of tokens of each text."""
@@ -119,7 +123,7 @@ class Encoder:
                 known = self.counts = _thinned(known, self.limit)
                 new = {p for _, f in freqs for p in f if p not in known}
             fresh = list(new)
-            known.update(zip(fresh, map(len, self._learned(fresh)), strict=True))
+            known.update(zip(fresh, (len(ids) // 4 for ids in self._learned(fresh)), strict=True))
         for i, f in freqs:
             fixed[i] += sum(map(int.__mul__, f.values(), map(known.__getitem__, f)))
         return [n + whole.get(i, 0) for i, n in enumerate(fixed)]
@@ -135,25 +139,16 @@ class Encoder:
                 if part in self.special:
                     own.append(_packed([self.special[part]]))
                 elif (pieces := self.pieces(part)) is not None:
-                    found = list(map(known.get, pieces))
-                    if None in found:  # to be looked up again when the batch's new ones are learned
-                        new.update(p for p, f in zip(pieces, found, strict=True) if f is None)
-                        own.append((pieces, found))
-                    else:
-                        own.append(b"".join(found))
+                    own.append(pieces)
+                    new.update(pieces)
                 else:
                     own.append(_packed(self.library.encode(part, add_special_tokens=False).ids))
             cut.append(own)
-        fresh = list(new)
-        learned = dict(zip(fresh, (ids.tobytes() for ids in self._learned(fresh)), strict=True))
-        if len(known) + len(learned) > self.limit:
+        if len(known) + len(new) > self.limit:
             known = self.ids = _thinned(known, self.limit)
-        known.update(learned)
-
-        def whole(part: bytes | tuple) -> bytes:
-            return part if isinstance(part, bytes) else b"".join(learned[p] if f is None else f for p, f in zip(*part, strict=True))
-
-        return [b"".join(map(whole, own)) for own in cut]
+        fresh = list(new.difference(known))
+        known.update(zip(fresh, self._learned(fresh), strict=True))
+        return [b"".join(part if isinstance(part, bytes) else b"".join(map(known.__getitem__, part)) for part in own) for own in cut]
 
 
 def _thinned(table: dict, limit: int) -> dict:
