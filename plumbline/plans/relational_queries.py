@@ -427,7 +427,7 @@ _add(
 _add(
     "D10_fuzzy_join",
     lambda s, d: documents.fuzzy_candidates(
-        table(s, d, "part").where("p_partkey < 200").select(F.col("p_partkey").alias("mention_id"), F.concat(F.lit("the "), F.expr("left(p_name, length(p_name) - 1)"), F.lit("x")).alias("phrase")),
+        table(s, d, "part").select(F.col("p_partkey").alias("mention_id"), F.concat(F.lit("the "), F.expr("left(p_name, length(p_name) - 1)"), F.lit("x")).alias("phrase")),
         table(s, d, "part").select(F.xxhash64("p_name").alias("element"), F.concat(F.lit("the "), "p_name").alias("phrase")).distinct(),
     ),
 )
