@@ -111,9 +111,11 @@ _add(
 # ------------------------------------------------------------------ retrieval
 
 
-def _asked(s, d):
+def _asked(s, d, most=6):
+    """Terms of the queries: the first ``most`` of each text, or all."""
     q = table(s, d, "benchmark").where("item_id % 5 = 0")
-    return q.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.slice(retrieval.analysed(F.col("text")), 1, 6))).alias("term"))
+    terms = retrieval.analysed(F.col("text"))
+    return q.select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(F.slice(terms, 1, most) if most else terms)).alias("term"))
 
 
 def _index(s, d):
@@ -130,9 +132,9 @@ _BM25 = rf"""t0 AS (SELECT doc_id AS id, 'text' AS field, {_WORDS} AS w FROM doc
   bm AS (SELECT query_id, id, sum(score * CASE field WHEN 'text' THEN 1.0 ELSE 0.5 END) AS score FROM fs GROUP BY query_id, id)"""
 
 
-def _lexical(s, d):
+def _lexical(s, d, most=6):
     index = _index(s, d)
-    scores = retrieval.bm25(index, _asked(s, d), retrieval.field_stats(index))
+    scores = retrieval.bm25(index, _asked(s, d, most), retrieval.field_stats(index))
     return retrieval.summed_fields(scores, retrieval.CHUNK_FIELDS)
 
 
@@ -144,9 +146,9 @@ _add(
 )
 
 
-def _dense(s, d):
+def _dense(s, d, every=50):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return retrieval.dense(v, v.where("id % 50 = 0").select(F.col("id").alias("query_id"), "vector"), F.col("label") != 3, 20)
+    return retrieval.dense(v, v.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), "vector"), F.col("label") != 3, 20)
 
 
 _DENSE = """v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings),
@@ -156,8 +158,8 @@ _add("G4_dense", lambda s, d: _dense(s, d).select("query_id", "id", "rank", F.br
 _add("G5_engine_score", lambda s, d: _dense(s, d).select("query_id", "id", F.bround(retrieval.engine_score(F.col("score")), 6).alias("score")), f"WITH {_DENSE} SELECT query_id, id, round_even((1 + score) / 2, 6) AS score FROM dr WHERE rank <= 20")
 
 
-def _hybrid(s, d):
-    lex = ranking.ranked(_lexical(s, d).select("query_id", "id", F.bround("score", 6).alias("score")), ["query_id"], depth=200)
+def _hybrid(s, d, most=6):
+    lex = ranking.ranked(_lexical(s, d, most).select("query_id", "id", F.bround("score", 6).alias("score")), ["query_id"], depth=200)
     other = ranking.ranked(table(s, d, "documents").select((F.col("doc_id") % 8 * 5).alias("query_id"), F.col("doc_id").alias("id"), F.col("n_chars").alias("score")), ["query_id"], depth=200)
     return retrieval.hybrid(lex, other)
 
@@ -336,9 +338,9 @@ _add(
 _QREL = "v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, label FROM embeddings), qr AS (SELECT q.vec_id AS query_id, v.vec_id AS id, CASE WHEN v.label = q.label THEN 1 + v.vec_id % 3 ELSE 0 END AS grade FROM v JOIN v AS q ON q.vec_id % 50 = 0)"
 
 
-def _qrels(s, d):
+def _qrels(s, d, every=50):
     v = table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    q = v.where("id % 50 = 0").select(F.col("id").alias("query_id"), F.col("label").alias("own"))
+    q = v.where(F.col("id") % every == 0).select(F.col("id").alias("query_id"), F.col("label").alias("own"))
     return v.join(F.broadcast(q)).select("query_id", "id", F.when(F.col("label") == F.col("own"), 1 + F.col("id") % 3).otherwise(0).alias("grade"))
 
 
@@ -368,7 +370,7 @@ _add(
     """WITH n AS (SELECT sum((q AND f)::INT) AS tp, sum((NOT q AND f)::INT) AS fp, sum((q AND NOT f)::INT) AS fn FROM (SELECT quality = 1 AS q, toxic = 0 AND doc_id % 4 > 0 AS f FROM labels))
       SELECT CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn, round_even(tp / (tp + fp), 6) AS precision, round_even(tp / (tp + fn), 6) AS recall, round_even(2 * (tp / (tp + fp)) * (tp / (tp + fn)) / (tp / (tp + fp) + tp / (tp + fn)), 6) AS f1 FROM n""",
 )
-_add("N15_thresholds", lambda s, d: evaluation.thresholds(evaluation.folded(_dense(s, d).withColumn("key", F.col("query_id").cast("string")).withColumn("even", F.col("id") % 2 == 0), "key"), [0.2, 0.4, 0.6, 0.8], "score", "even"))
+_add("N15_thresholds", lambda s, d: evaluation.thresholds(evaluation.folded(_dense(s, d, 20).withColumn("key", F.col("query_id").cast("string")).withColumn("even", F.col("id") % 2 == 0), "key"), [0.2, 0.4, 0.6, 0.8], "score", "even"))
 
 # ------------------------------------------------------------------ sources and store
 
@@ -549,3 +551,16 @@ _add(
     lambda s, d: incremental.event_counts(table(s, d, "events")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n", F.bround("total", 4).alias("total")),
     "SELECT strftime(time_bucket(INTERVAL '5 minutes', ts), '%Y-%m-%d %H:%M') AS start, event_type, count(*) AS n, round_even(sum(value), 4) AS total FROM events GROUP BY 1, 2",
 )
+
+# ------------------------------------------------------------------ whole jobs, next to queries whose SQL takes a part
+
+_add("G3_bm25_chunks_whole", lambda s, d: _lexical(s, d, None).select("query_id", "id", F.bround("score", 6).alias("score")), SQL["G3_bm25_chunks"].replace("[1:6]", ""))
+_add(
+    "G2_bm25_best_fields_whole",
+    lambda s, d: retrieval.best_fields(retrieval.bm25(_index(s, d), _asked(s, d, None), retrieval.field_stats(_index(s, d))), {"text": 3.0, "section_title": 2.0}).select("query_id", "id", F.bround("score", 6).alias("score")),
+    SQL["G2_bm25_best_fields"].replace("[1:6]", ""),
+)
+_add("G7_hybrid_whole", lambda s, d: _hybrid(s, d, None).select("query_id", "id", "rank", "score"), SQL["G7_hybrid"].replace("[1:6]", ""))
+_add("G4_dense_whole", lambda s, d: _dense(s, d, 20).select("query_id", "id", "rank", F.bround("score", 6).alias("score")), SQL["G4_dense"].replace("% 50", "% 20"))
+_add("G5_engine_score_whole", lambda s, d: _dense(s, d, 20).select("query_id", "id", F.bround(retrieval.engine_score(F.col("score")), 6).alias("score")), SQL["G5_engine_score"].replace("% 50", "% 20"))
+_add("N9_ranking_quality_whole", lambda s, d: ranking.quality(_dense(s, d, 20), _qrels(s, d, 20)), SQL["N9_ranking_quality"].replace("% 50", "% 20"))

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import math
+import re
+
+from oracle_support import SMALL
+
 from plumbline.functions.text import osa_similarity
 from plumbline.operators import documents
 from plumbline.plans import registry
@@ -42,3 +47,40 @@ def test_every_part_is_a_mention(spark, tmp_path):
     want = linked([(i, f"the {n[:-1]}x") for i, n in rows], names)
     assert {(r["mention_id"], round(r["score"], 9)) for r in got} == {(m, s) for m, _, s in want}
     assert max(r["mention_id"] for r in got) >= 5000
+
+
+def bm25(docs, queries):
+    """query -> {doc: score} over text and section title, every term of a query asked."""
+    cut = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    out: dict = {}
+    for field, weight in ((1, 1.0), (2, 0.5)):
+        words = {r[0]: cut(r[field]) for r in docs if cut(r[field])}
+        mean = sum(map(len, words.values())) / len(words)
+        for q, text in queries:
+            for term in set(cut(text)):
+                df = sum(term in w for w in words.values())
+                for i, w in words.items():
+                    if tf := w.count(term):
+                        idf = math.log(1 + (len(words) - df + 0.5) / (df + 0.5))
+                        out.setdefault(q, {}).setdefault(i, 0.0)
+                        out[q][i] += weight * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean))
+    return out
+
+
+def test_bm25_asks_every_term(spark, tmp_path):
+    queries = [(0, "one two three four five six marble gutter"), (20, "seven"), (1, "not asked")]
+    docs = [(1, "only a marble gutter", "web"), (2, "one and six", "seven web"), (3, "nothing of it", "web"), (4, "marble, marble", "gutter")]
+    spark.createDataFrame(queries, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {(r["query_id"], r["id"]): r["score"] for r in registry.queries()["G3_bm25_chunks_whole"](spark, str(tmp_path)).collect()}
+    want = {(q, i): v for q, own in bm25(docs, queries[:2]).items() for i, v in own.items()}
+    assert got.keys() == want.keys() and (0, 1) in got and (0, 4) in got
+    assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
+
+
+def test_dense_queries_are_the_stated_set(spark):
+    for name in ("G4_dense_whole", "G5_engine_score_whole", "N9_ranking_quality_whole"):
+        asked = {r["query_id"] for r in registry.queries()[name](spark, str(SMALL)).collect()}
+        assert asked == set(range(0, 500, 20))
+    kept = sum(r["kept"] for r in registry.queries()["N15_thresholds"](spark, str(SMALL)).collect() if r["threshold"] == 0.2)
+    assert kept == registry.queries()["G4_dense_whole"](spark, str(SMALL)).where("score >= 0.2").count()
