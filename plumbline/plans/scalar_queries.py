@@ -184,3 +184,7 @@ _add(
 _add("E10_min_or_null", lambda s, d: elements(s, d).groupBy("storey", "project_id").agg(agg.all_or_nothing_min("volume").alias("v")), f"WITH {ELEMENTS_SQL} SELECT storey, project_id, CASE WHEN count(*) = count(volume) THEN min(volume) END AS v FROM elements GROUP BY storey, project_id")
 _add("K_facts_by_property", lambda s, d: facts(s, d).groupBy("property_name").agg(F.count("*").alias("n"), F.bround(F.sum("value"), 2).alias("total")), f"WITH {FACTS_SQL} SELECT property_name, count(*) AS n, round_even(sum(value), 2) AS total FROM facts GROUP BY property_name")
 _add("J11_chunk_ids", lambda s, d: chunks(s, d).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_id"), f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, chunk_id FROM chunks")
+
+# ------------------------------------------------------------------ whole jobs, next to queries whose SQL takes a part
+
+_add("A20_markdown_whole", lambda s, d: table(s, d, "pages").select("page_id", F.md5(text.markdown_escaped(F.col("html")).cast("binary")).alias("md")), SQL["A20_markdown"].replace("substr(html, 1, 400)", "html"))

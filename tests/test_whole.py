@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 
@@ -84,3 +85,10 @@ def test_dense_queries_are_the_stated_set(spark):
         assert asked == set(range(0, 500, 20))
     kept = sum(r["kept"] for r in registry.queries()["N15_thresholds"](spark, str(SMALL)).collect() if r["threshold"] == 0.2)
     assert kept == registry.queries()["G4_dense_whole"](spark, str(SMALL)).where("score >= 0.2").count()
+
+
+def test_whole_pages_are_escaped(spark, tmp_path):
+    page = "x" * 400 + r"[a]<b>\ "
+    spark.createDataFrame([(1, page)], "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.queries()["A20_markdown_whole"](spark, str(tmp_path)).first()["md"]
+    assert got == hashlib.md5(("x" * 400 + r"\[a\]\<b\>\\ ").encode()).hexdigest()
