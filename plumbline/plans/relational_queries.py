@@ -564,3 +564,20 @@ _add("G7_hybrid_whole", lambda s, d: _hybrid(s, d, None).select("query_id", "id"
 _add("G4_dense_whole", lambda s, d: _dense(s, d, 20).select("query_id", "id", "rank", F.bround("score", 6).alias("score")), SQL["G4_dense"].replace("% 50", "% 20"))
 _add("G5_engine_score_whole", lambda s, d: _dense(s, d, 20).select("query_id", "id", F.bround(retrieval.engine_score(F.col("score")), 6).alias("score")), SQL["G5_engine_score"].replace("% 50", "% 20"))
 _add("N9_ranking_quality_whole", lambda s, d: ranking.quality(_dense(s, d, 20), _qrels(s, d, 20)), SQL["N9_ranking_quality"].replace("% 50", "% 20"))
+_add(
+    "D7_exhaustive_pairs_whole",  # suppliers: a whole table inside the bound of 5000 boxes up to a scale of 0.5
+    lambda s, d: geometry.exhaustive_pairs(table(s, d, "supplier").select(F.col("s_suppkey").alias("id"))).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")),
+    "SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier AS a JOIN supplier AS b ON a.s_suppkey < b.s_suppkey",
+)
+_add(
+    "A30_hit_text_whole",
+    lambda s, d: elements(s, d).select("key", render.hit_text(F.lit(1)).alias("t")),
+    f"""WITH {ELEMENTS_SQL} SELECT key, concat_ws(chr(10), '[1]', 'ifc_class: ' || ifc_class, 'name: ' || name, 'storey: ' || storey, 'materials: ' || array_to_string(materials[1:5], ', '),
+      'metrics: height=' || CAST(CAST(height AS BIGINT) AS VARCHAR) || ', area=' || regexp_replace(CAST(area AS VARCHAR), '\\.0$', '')
+      || coalesce(', volume=' || regexp_replace(CAST(CAST(round_even(volume, 6) AS DECIMAL(20,6)) AS VARCHAR), '\\.?0+$', ''), '')) AS t FROM elements""",
+)
+_add(
+    "O1_union_whole",
+    lambda s, d: elements(s, d).where("ifc_class = 'SMALL'").select("name").unionByName(elements(s, d).where("height > 45").select("name")).distinct(),
+    f"WITH {ELEMENTS_SQL} SELECT name FROM elements WHERE ifc_class = 'SMALL' UNION SELECT name FROM elements WHERE height > 45",
+)

@@ -188,3 +188,8 @@ _add("J11_chunk_ids", lambda s, d: chunks(s, d).select("doc_id", F.col("chunk_in
 # ------------------------------------------------------------------ whole jobs, next to queries whose SQL takes a part
 
 _add("A20_markdown_whole", lambda s, d: table(s, d, "pages").select("page_id", F.md5(text.markdown_escaped(F.col("html")).cast("binary")).alias("md")), SQL["A20_markdown"].replace("substr(html, 1, 400)", "html"))
+_add(
+    "E6_zero_filled_whole",
+    lambda s, d: agg.zero_filled(table(s, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), table(s, d, "customer").select("c_custkey"), "c_custkey"),
+    "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
+)

@@ -92,3 +92,17 @@ def test_whole_pages_are_escaped(spark, tmp_path):
     spark.createDataFrame([(1, page)], "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
     got = registry.queries()["A20_markdown_whole"](spark, str(tmp_path)).first()["md"]
     assert got == hashlib.md5(("x" * 400 + r"\[a\]\<b\>\\ ").encode()).hexdigest()
+
+
+def test_every_order_element_and_box_counts(spark, tmp_path):
+    q, d = registry.queries(), str(tmp_path)
+    spark.createDataFrame([(39, 1), (40, 1), (9000, 2)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{d}/orders.parquet")
+    spark.createDataFrame([(1,), (2,), (3,)], "c_custkey bigint").write.parquet(f"{d}/customer.parquet")
+    assert {tuple(r) for r in q["E6_zero_filled_whole"](spark, d).select("c_custkey", "n").collect()} == {(1, 2), (2, 1), (3, 0)}
+    parts = [(7, "red bolt", "Brand#1", "LARGE", 50, 100.25), (900, "old ring", "Brand#2", "SMALL", 3, 10.0), (901, "hot gear", "Brand#2", "LARGE", 4, 10.0)]
+    spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{d}/part.parquet")
+    hits = {r["key"]: r["t"].splitlines()[-1] for r in q["A30_hit_text_whole"](spark, d).collect()}
+    assert hits == {7: "metrics: height=50, area=100.25", 900: "metrics: height=3, area=10, volume=0.3", 901: "metrics: height=4, area=10, volume=0.4"}
+    assert {r["name"] for r in q["O1_union_whole"](spark, d).collect()} == {"red bolt", "old ring"}
+    spark.createDataFrame([(i,) for i in (1, 499, 500, 7000)], "s_suppkey bigint").write.parquet(f"{d}/supplier.parquet")
+    assert {tuple(r) for r in q["D7_exhaustive_pairs_whole"](spark, d).collect()} == {(1, 499), (1, 500), (1, 7000), (499, 500), (499, 7000), (500, 7000)}
