@@ -581,3 +581,13 @@ _add(
     lambda s, d: elements(s, d).where("ifc_class = 'SMALL'").select("name").unionByName(elements(s, d).where("height > 45").select("name")).distinct(),
     f"WITH {ELEMENTS_SQL} SELECT name FROM elements WHERE ifc_class = 'SMALL' UNION SELECT name FROM elements WHERE height > 45",
 )
+
+
+def _mixed_names(s, d):
+    """A name of one to eight words from each benchmark text, in turn."""
+    words = retrieval.analysed(F.col("text"))
+    size = (F.col("item_id") % documents.LONGEST_NAME + 1).cast("int")
+    return table(s, d, "benchmark").select(F.col("item_id").alias("element"), size.alias("size"), words.alias("w")).where(F.size("w") >= F.col("size")).select("element", F.expr("array_join(slice(w, 1, size), ' ')").alias("phrase"))
+
+
+_add("D9_phrase_join_mixed", lambda s, d: documents.exact_mentions(table(s, d, "documents"), _mixed_names(s, d)))

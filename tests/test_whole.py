@@ -106,3 +106,47 @@ def test_every_order_element_and_box_counts(spark, tmp_path):
     assert {r["name"] for r in q["O1_union_whole"](spark, d).collect()} == {"red bolt", "old ring"}
     spark.createDataFrame([(i,) for i in (1, 499, 500, 7000)], "s_suppkey bigint").write.parquet(f"{d}/supplier.parquet")
     assert {tuple(r) for r in q["D7_exhaustive_pairs_whole"](spark, d).collect()} == {(1, 499), (1, 500), (1, 7000), (499, 500), (499, 7000), (500, 7000)}
+
+
+def covered(text, names):
+    """element -> mentions by trying the longest name at each word."""
+    cut = lambda t: [w for w in re.split(r"[\W_]+", t.lower()) if w]
+    by_words: dict = {}
+    for e, phrase in names:
+        if 1 <= len(cut(phrase)) <= documents.LONGEST_NAME:
+            by_words.setdefault(tuple(cut(phrase)), set()).add(e)
+    own, i, out = cut(text), 0, {}
+    while i < len(own):
+        for n in range(min(documents.LONGEST_NAME, len(own) - i), 0, -1):
+            if hit := by_words.get(tuple(own[i : i + n])):
+                for e in hit:
+                    out[e] = out.get(e, 0) + 1
+                i += n
+                break
+        else:
+            i += 1
+    return out
+
+
+def test_mentions_are_longest_first_and_apart(spark):
+    names = [(1, "a b c d e"), (2, "a b"), (3, "c d e f g h i j"), (4, "x x"), (5, "A-B"), (6, "k l m n o p q r s"), (7, "b"), (8, "f g h i j y")]
+    docs = [(1, "A b, c d e! a b"), (2, "x x x x x"), (3, "c d e f g h i j"), (4, "a b c d e f g h i j y"), (5, "k l m n o p q r s b"), (1, "a b"), (6, None), (7, "")]
+    got = documents.exact_mentions(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(names, "element bigint, phrase string"))
+    want: dict = {}
+    for i, t in docs:
+        for e, n in covered(t or "", names).items():
+            want[i, e] = want.get((i, e), 0) + n
+    assert {(r["doc_id"], r["element"]): r["n"] for r in got.collect()} == want
+    assert want[1, 1] == 1 and want[3, 3] == 1 and want[2, 4] == 2 and want[4, 8] == 1 and (5, 6) not in want
+
+
+def test_registered_names_of_mixed_length(spark):
+    docs, items = (spark.read.parquet(f"{SMALL}/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    names = []
+    for r in items:
+        w = [w for w in re.split(r"[\W_]+", r["text"].lower()) if w]
+        if len(w) >= r["item_id"] % 8 + 1:
+            names.append((r["item_id"], " ".join(w[: r["item_id"] % 8 + 1])))
+    got = {(r["doc_id"], r["element"]): r["n"] for r in registry.queries()["D9_phrase_join_mixed"](spark, str(SMALL)).collect()}
+    assert got == {(r["doc_id"], e): n for r in docs for e, n in covered(r["text"] or "", names).items()}
+    assert {e % 8 for _, e in got} & {4, 5, 6, 7}
