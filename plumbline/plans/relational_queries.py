@@ -591,3 +591,13 @@ def _mixed_names(s, d):
 
 
 _add("D9_phrase_join_mixed", lambda s, d: documents.exact_mentions(table(s, d, "documents"), _mixed_names(s, d)))
+
+
+def _all_items(s, d):
+    """Every chunk as an item, in the order of documents and lines."""
+    position = F.col("doc_id") * 2**31 + F.col("chunk_index")
+    return chunks(s, d).select(F.lit("document").alias("kind"), (F.col("doc_id") % 3).cast("string").alias("project_id"), F.col("chunk_id").alias("source_id"), F.lit("chunks").alias("store"), position.alias("position"), F.col("text").alias("content"), F.lit("bm25").alias("method"))
+
+
+_add("N1_pack_whole", lambda s, d: evidence.pack(_all_items(s, d)).select("kind", "project_id", F.size("items").alias("n"), F.col("items")[0]["source_id"].alias("first"), "truncated"), SQL["N1_pack"].replace(" WHERE doc_id < 60", "").replace("doc_id * 1000", "doc_id * 2147483648"))
+_add("N6_references_whole", lambda s, d: evidence.references(_all_items(s, d), order="position").select("reference", "source_id"), SQL["N6_references"].replace(" WHERE doc_id < 60", "").replace("doc_id * 1000", "doc_id * 2147483648"))

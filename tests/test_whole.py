@@ -150,3 +150,11 @@ def test_registered_names_of_mixed_length(spark):
     got = {(r["doc_id"], r["element"]): r["n"] for r in registry.queries()["D9_phrase_join_mixed"](spark, str(SMALL)).collect()}
     assert got == {(r["doc_id"], e): n for r in docs for e, n in covered(r["text"] or "", names).items()}
     assert {e % 8 for _, e in got} & {4, 5, 6, 7}
+
+
+def test_packs_take_every_document(spark, tmp_path):
+    docs = [(i, "one\ntwo\nthree") for i in (59, *range(60, 160))]
+    spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    rows = registry.queries()["N1_pack_whole"](spark, str(tmp_path)).collect()
+    assert sum(r["n"] for r in rows) == 200 and all(r["truncated"] for r in rows)
+    assert registry.queries()["N6_references_whole"](spark, str(tmp_path)).count() == 50
