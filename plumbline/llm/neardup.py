@@ -221,7 +221,8 @@ def weighted_jaccard(ha: np.ndarray, wa: np.ndarray, hb: np.ndarray, wb: np.ndar
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Per document doc_id, key and class_id, the smallest doc_id of its group.
+    """Per document doc_id, key, component (of its group alone, null without a text)
+    and class_id, the smallest doc_id of its group.
 
     Two texts are linked if their weighted Jaccard similarity is 0.8 or more, or
     if they are equal word for word; groups are what links connect. A null text
@@ -276,8 +277,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         labels = components(spark, links.select("a", "b").unionByName(more))
     grouped = classes.select("key", "first_id").join(labels, classes.key == labels.node, "left").select("key", "first_id", F.coalesce("component", "key").alias("component"))
     lowest = grouped.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    grouped = written(spark, grouped.join(lowest, "component").select("key", "class_id"), "groups")
-    return signed.select("doc_id", "key").join(grouped, "key", "left").select("doc_id", "key", F.coalesce("class_id", "doc_id").alias("class_id"))
+    grouped = written(spark, grouped.join(lowest, "component").select("key", "component", "class_id"), "groups")
+    return signed.select("doc_id", "key").join(grouped, "key", "left").select("doc_id", "key", "component", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def _within(weights: Broadcast):
@@ -416,25 +417,39 @@ def near_duplicate_report(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return near_duplicates(spark, docs).select("doc_id", "class_id", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with the key of their text as a last column."""
+    for batch in batches:
+        for part in slices(batch, "text"):
+            raw = part.column("text").cast(pa.large_binary()).to_pylist()
+            words = scan(raw)
+            keys = pa.array([text_key(words, i, r) for i, r in enumerate(raw)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*part.columns, keys], names=[*part.schema.names, _KEY])
+
+
+#: A column of this name is put next to those of the documents.
+_KEY = "key of the text"
+
+
 def deduplicated(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each group, columns unchanged: the one with the
-    smallest doc_id, and of rows repeated under that id the first by its text.
-    Rows with a null text or id all stay."""
+    smallest doc_id, and of a group's rows repeated under that id the first by its
+    text. Rows with a null text or id all stay."""
     found = near_duplicates(spark, docs)
     gone = found.where(F.col("doc_id") != F.col("class_id")).select("doc_id").distinct()
-    twice = found.where("doc_id IS NOT NULL AND key IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    twice = found.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if twice.isEmpty():
         return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    # Ids that several rows share: settle these rows alone, by their class.
-    name = "_rank"
-    while name in docs.columns:
-        name += "_"
-    shared = docs.join(twice, "doc_id", "left_semi").select(*docs.columns)
-    kept_ids = found.join(twice, "doc_id", "left_semi").where(F.col("doc_id") == F.col("class_id")).select("doc_id").distinct()
+    # Ids that several rows share, with texts of several groups maybe: settle these rows alone, by their text.
     from pyspark.sql import Window
+    from pyspark.sql import types as T
 
-    rank = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = shared.join(kept_ids, "doc_id", "left_semi").where("text IS NOT NULL").withColumn(name, rank).where(F.col(name) == 1)
+    shared = docs.join(twice, "doc_id", "left_semi").select(*docs.columns)
+    keyed = shared.where("text IS NOT NULL").mapInArrow(_with_key, T.StructType([*shared.schema.fields, T.StructField(_KEY, T.BinaryType())]))
+    first = found.join(twice, "doc_id", "left_semi").where(F.col("doc_id") == F.col("class_id"))
+    first = first.select("doc_id", F.col("key").alias(_KEY), F.col("component").alias("group of the text")).where(F.col(_KEY).isNotNull()).distinct()
+    rank = F.row_number().over(Window.partitionBy("group of the text").orderBy("text"))
+    one = keyed.join(first, ["doc_id", _KEY]).withColumn("place in the group", rank).where(F.col("place in the group") == 1)
     null_text = shared.where("text IS NULL")
     single = docs.join(gone.unionByName(twice).distinct(), "doc_id", "left_anti")
     return single.select(*docs.columns).unionByName(one.select(*docs.columns)).unionByName(null_text.select(*docs.columns))

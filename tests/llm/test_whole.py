@@ -1,0 +1,23 @@
+"""Repeated ids, which the given tables don't have."""
+
+from __future__ import annotations
+
+import random
+
+from plumbline.llm import neardup
+
+
+def prose(seed):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(60))
+
+
+def test_one_of_each_group_stays_where_ids_repeat(spark, documents):
+    a, b, c, d = map(prose, range(4))
+    rows = [(1, a), (2, a), (2, b), (2, c), (3, c), (4, d), (4, d), (5, None), (5, a), (6, d), (None, a), (None, None)]
+    for extra in (True, False):
+        df = documents(rows, extra=extra)
+        out = neardup.deduplicated(spark, df)
+        got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
+        assert got == sorted([(1, a), (2, b), (2, c), (4, d), (5, None), (None, a), (None, None)], key=str)
+        assert out.columns == df.columns
