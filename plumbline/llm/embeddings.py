@@ -54,11 +54,11 @@ def _keys(x: np.ndarray, projections: np.ndarray, bits: int) -> np.ndarray:
     return (signs.astype(np.int64) << np.arange(bits - 1, -1, -1, dtype=np.int64)).sum(axis=2)
 
 
-def usable(vector: str, dim: int):
-    """Whether a vector column can be linked: of the length ``dim``, finite, not zero."""
+def usable(vector: str):
+    """Whether a vector column can be linked: finite, not zero."""
     v = F.col(vector)
     finite = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    return v.isNotNull() & (F.size(v) == dim) & finite & F.exists(v, lambda x: x != 0)
+    return v.isNotNull() & finite & F.exists(v, lambda x: x != 0)
 
 
 def _keyed(dim: int, kind: str):
@@ -152,20 +152,26 @@ def _compare(similarity: float, bits: int, kind: str):
 def linked_vectors(spark: SparkSession, vectors: DataFrame, similarity: float = SIMILARITY, miss: float = MISS, window: int = WINDOW) -> DataFrame:
     """Per vector vec_id, n_links, component_id and kept.
 
-    Vectors are linked if their cosine, in double precision, is ``similarity`` or
-    more. Those that are null, zero, of another length than most, or hold null or
-    non-finite components have no links and are components of their own. Equal
-    vectors are linked; rows that repeat a vec_id are vectors of their own. An
-    empty table gives no rows; columns other than vec_id and embedding are not
-    looked at.
+    Vectors of equal length are linked if their cosine, in double precision, is
+    ``similarity`` or more; each length that occurs has passes of its own. Those
+    that are null, zero, or hold null or non-finite components have no links and
+    are components of their own. Equal vectors are linked; rows that repeat a
+    vec_id are vectors of their own. An empty table gives no rows; columns other
+    than vec_id and embedding are not looked at.
     """
-    kind = "<f4" if vectors.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     rows = vectors.select("vec_id", F.col("embedding").alias("v"))
-    sizes = rows.where("v IS NOT NULL").groupBy(F.size("v").alias("dim")).count().orderBy(F.desc("count"), "dim").limit(1).collect()
-    dim = sizes[0]["dim"] if sizes else 0
-    good = rows.where(usable("v", dim))
+    good = rows.where(usable("v"))
+    out = rows.where(~F.coalesce(usable("v"), F.lit(False))).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
+    for size in good.select(F.size("v").alias("dim")).distinct().orderBy("dim").collect():
+        out = out.unionByName(_linked(spark, good.where(F.size("v") == size["dim"]), size["dim"], similarity, miss, window))
+    return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+def _linked(spark: SparkSession, rows: DataFrame, dim: int, similarity: float, miss: float, window: int) -> DataFrame:
+    """vec_id, n_links and component_id of vectors (vec_id, v), all of the length ``dim``."""
+    kind = "<f4" if rows.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
     id_type = rows.schema["vec_id"].dataType.simpleString()
-    keyed = good.mapInArrow(_keyed(dim, kind), f"vec_id {id_type}, key binary, raw binary")
+    keyed = rows.mapInArrow(_keyed(dim, kind), f"vec_id {id_type}, key binary, raw binary")
     keyed = written(spark, keyed, "keyed")
     classes = written(spark, keyed.groupBy("key").agg(F.min("vec_id").alias("first_id"), F.count("*").alias("copies"), F.first("raw").alias("raw")), "vectors")
     bits, passes = plan(classes.count(), similarity, miss)
@@ -185,6 +191,4 @@ def linked_vectors(spark: SparkSession, vectors: DataFrame, similarity: float =
     placed = classes.select("key", "first_id", "copies").join(counts, "key", "left").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     lowest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
     placed = placed.join(lowest, "component").select("key", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    linked = keyed.select("vec_id", "key").join(placed, "key").select("vec_id", "n_links", "component_id")
-    alone = rows.where(~F.coalesce(usable("v", dim), F.lit(False))).select("vec_id", F.lit(0).cast("bigint").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return linked.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+    return keyed.select("vec_id", "key").join(placed, "key").select("vec_id", "n_links", "component_id")

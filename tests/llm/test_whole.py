@@ -1,10 +1,14 @@
-"""Repeated ids, which the given tables don't have."""
+"""Repeated ids and mixed vector lengths, which the given tables don't have."""
 
 from __future__ import annotations
 
 import random
 
-from plumbline.llm import neardup
+import duckdb
+import numpy as np
+
+from plumbline.llm import embeddings, neardup
+from plumbline.llm.queries import OP2_SQL
 
 
 def prose(seed):
@@ -21,3 +25,21 @@ def test_one_of_each_group_stays_where_ids_repeat(spark, documents):
         got = sorted(((r["doc_id"], r["text"]) for r in out.collect()), key=str)
         assert got == sorted([(1, a), (2, b), (2, c), (4, d), (5, None), (None, a), (None, None)], key=str)
         assert out.columns == df.columns
+
+
+def test_vectors_of_each_length_are_linked(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = []
+    for dim in (16, 5):
+        centre = rng.standard_normal((4, dim))
+        x = np.concatenate([rng.standard_normal((30, dim)), *(c + 0.1 * rng.standard_normal((8, dim)) for c in centre), np.repeat(centre[:1], 3, axis=0)])
+        rows += [v.tolist() for v in x]
+    rows += [None, [], [0.0] * 5, [1.0], [2.0], [float("nan")] * 5]
+    random.Random(3).shuffle(rows)
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id bigint, embedding array<double>")
+    got = {tuple(r) for r in embeddings.linked_vectors(spark, df, miss=1e-6).select("vec_id", "n_links", "component_id", "kept").collect()}
+    df.write.parquet(f"{tmp_path}/embeddings")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM read_parquet('{tmp_path}/embeddings/*.parquet')")
+    assert got == set(con.execute(OP2_SQL).fetchall())
+    assert embeddings.linked_vectors(spark, df.where("embedding IS NULL")).count() == 1
