@@ -1,17 +1,26 @@
 """Token ids in binary files, by an adaptive context-mixing range coder.
 
 A file holds the documents of one shard in order: a header with every document's
-id and length and the list of token ids that occur, then blocks of at most ``BLOCK`` ids. Each block starts from a
-fresh model, carries its own checksum and can be read alone. Within a block every
-id is coded with one mixed distribution: the id that last followed the two ids
-before (order 2), the id that last followed the one before (order 1), each with a
-weight learned from how often such guesses, of that confidence, have come true,
-and the ids' own frequencies so far (order 0) for the rest.
-
-The coder is one of integers of 64 bits, without carries, that puts out 16 bits
-at a time. All blocks of a shard are coded side by side, a step at a time, with
-numpy operations over the blocks; this is what makes it fast, and the bytes of a
-block don't depend on it.
+name and length and the list of token ids that occur, then blocks of at most
+``BLOCK`` ids. Each block starts from a fresh model, carries a checksum of its ids
+and of its bytes, and can be read alone.
+
+A block is cut into equal stretches, the lanes, which are coded side by side, a
+step at a time, with one model for all. The model counts which ids have followed
+the two ids before (order 2, contexts hashed to slots), the one before (order 1)
+and none (order 0), each in proportion to its count. The three predictions share
+the coder's interval by weights that are learned for each pair of confidences
+(how often either context has been seen): the share of an order is how often it
+was the highest one to know the id that came. Counts and weights take in what
+has been coded when the block has doubled in length, at the same steps for
+writer and reader, so neither is sent.
+
+An order's followers are kept as the sorted list of what was seen: a place in a
+context's part of the list *is* an id in proportion to its count, so the reader
+needs no search.
+
+The range coder works on 64-bit integers and puts out 32 bits whenever the range
+falls below 2^32; carries are added to the words before at the end.
 """
 
 from __future__ import annotations
@@ -22,279 +31,341 @@ from dataclasses import dataclass
 
 import numpy as np
 
-MAGIC = b"PLID\x01"
-BLOCK = 8192
-#: Total of the mixed distribution, and of the order-0 part of it.
-_T_BITS, _F_BITS = 28, 20  # every id keeps a width: the rest is at least 2 ** _F_BITS
-_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
-_U16, _MASK = np.uint64(16), np.uint64(0xFFFF)
-_H2 = 1 << 12  # slots of the order-2 table
-_STATES = 16  # confidence of order 2 times confidence of order 1
-_FIRST_UPDATE = 64
+MAGIC = b"PLID\x02"
+BLOCK = 1 << 20
+LANES = 2048
+_SHORTEST = 64  # ids of a lane, unless the block is shorter
+_FIRST = 2  # steps before the model is first used
+_SLOT_BITS = 17
+_SHARE_BITS = 12  # weights of the orders sum to 2 ** _SHARE_BITS
+_SHARE = 1 << _SHARE_BITS
+_LEAST = 32  # the least weight of an order that knows its context
+_LEVELS = 24  # confidences: a count's bit length
+_STATE = np.arange(_LEVELS * _LEVELS)
+_PRIOR = 8  # what all confidences together have learned stands for so many ids of each
+_CHUNK = 1 << 16  # ids looked up at once
+_WORD = np.uint64(32)
+_FULL = np.uint64(0xFFFFFFFF)
+_BELOW = np.uint64(1 << 32)
+_LEVEL = np.zeros(1, dtype=np.int64)
+
+
+def _levels(most: int) -> np.ndarray:
+    """The bit length of each count up to ``most``."""
+    global _LEVEL
+    if len(_LEVEL) <= most:
+        _LEVEL = np.frexp(np.arange(max(BLOCK, most) + 1, dtype=np.float64))[1].astype(np.int64)
+    return _LEVEL
+
+
+def _lanes(n: int, most: int) -> tuple[int, int]:
+    """Lanes and steps of a block of ``n`` ids."""
+    lanes = max(1, min(most, n // _SHORTEST))
+    steps = -(-n // lanes)
+    return -(-n // steps), steps
+
+
+def _renewals(steps: int) -> list[int]:
+    """The steps at which the model takes in what has been coded."""
+    at, out = _FIRST, [0]
+    while at < steps:
+        out.append(at)
+        at *= 4
+    return [*out, steps]
+
+
+def _slot(before: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """Slots of order-2 contexts, from int64 ids."""
+    return ((before * 0x9E3779B1 + last * 0x85EBCA77) & 0xFFFFFFFF) >> (32 - _SLOT_BITS)
+
+
+class _Order:
+    """What has followed each context: sorted keys, context << bits | id."""
+
+    def __init__(self, contexts: int, bits: int) -> None:
+        self.contexts, self.bits = contexts, bits
+        self.keys = np.empty(0, dtype=np.int64)
+        self._index()
+
+    def add(self, fresh: list[np.ndarray]) -> None:
+        self.keys = np.concatenate((self.keys, *fresh))
+        self.keys.sort()
+        self._index()
+
+    def _index(self) -> None:
+        k = self.keys
+        self.count = np.bincount(k >> self.bits, minlength=self.contexts)  # of each context
+        self.start = np.cumsum(self.count) - self.count
+        first = np.ones(len(k), dtype=bool)
+        np.not_equal(k[1:], k[:-1], out=first[1:])
+        self.starts = np.flatnonzero(first)  # of each context's ids
+        self.lens = np.diff(self.starts, append=len(k))
+        self.known = k[self.starts]
+
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the sorted ``keys`` are known, and where."""
+        if not len(self.known):
+            return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        at = np.minimum(self.known.searchsorted(keys), len(self.known) - 1)
+        hit = np.flatnonzero(self.known.take(at) == keys)
+        return hit, at.take(hit)
 
 
 class _Model:
-    """State of ``n`` blocks coded side by side. ``vocab``: ids are below it."""
-
-    def __init__(self, n: int, vocab: int, steps: int) -> None:
-        self.n, self.vocab = n, vocab
-        self.h1 = 1 << max(6, min(12, int(vocab - 1).bit_length()))
-        self.order1 = np.zeros(n * self.h1, dtype=np.int32)  # id << 2 | confidence
-        self.order2 = np.zeros(n * _H2, dtype=np.int32)
-        self.seen = np.tile(np.array([16, 4, 4], dtype=np.int32), (n * _STATES, 1))  # tries, hits of order 2, of order 1
-        self.base1 = np.arange(n, dtype=np.int64) * self.h1
-        self.base2 = np.arange(n, dtype=np.int64) * _H2
-        self.base_s = np.arange(n, dtype=np.int64) * _STATES
-        self.base_c = np.arange(n, dtype=np.int64) * (vocab + 1)
-        self.history = np.zeros((steps, n), dtype=np.int32)
-        self.step, self.next_update = 0, _FIRST_UPDATE
-        self.last = np.zeros(n, dtype=np.int64)
-        self.before = np.zeros(n, dtype=np.int64)
-        even = (np.arange(vocab + 1, dtype=np.int64) << _F_BITS) // vocab
-        self.cdf = np.tile(even.astype(np.uint32), n)
-
-    def guess(self) -> None:
-        """Look up both guesses and the shares they get of the distribution."""
-        self.at1 = self.base1 + (self.last & (self.h1 - 1))
-        self.at2 = self.base2 + ((self.last * 0x9E5 + self.before * 0x3D4D5) & (_H2 - 1))
-        one, two = self.order1[self.at1], self.order2[self.at2]
-        self.id1, self.id2 = one >> 2, two >> 2
-        self.c1, self.c2 = one & 3, two & 3
-        self.state = self.base_s + (self.c2 * 4 + self.c1)
-        tries = self.seen[self.state]
-        unit = ((1 << _T_BITS) - (1 << _F_BITS)) // tries[:, 0]
-        self.share2 = unit * tries[:, 1]
-        self.share1 = unit * tries[:, 2]
-        self.given = self.share2 + self.share1
-
-    def learn(self, ids: np.ndarray) -> None:
-        """Take in the id of this step."""
-        hit2 = ids == self.id2
-        hit1 = (ids == self.id1) & ~hit2
-        tries = self.seen[self.state]
-        tries[:, 0] += 32
-        tries[:, 1] += hit2 * np.int32(32)
-        tries[:, 2] += hit1 * np.int32(32)
-        tries >>= (tries[:, :1] > 4096)
-        tries[:, 0] = np.maximum(tries[:, 0], tries[:, 1] + tries[:, 2] + 8)
-        self.seen[self.state] = tries
-        same1 = ids == self.id1
-        self.order1[self.at1] = np.where(same1, (ids << 2) | np.minimum(self.c1 + 1, 3), np.where(self.c1 > 1, (self.id1 << 2) | (self.c1 >> 1), (ids << 2) | 1))
-        self.order2[self.at2] = np.where(hit2, (ids << 2) | np.minimum(self.c2 + 1, 3), np.where(self.c2 > 1, (self.id2 << 2) | (self.c2 >> 1), (ids << 2) | 1))
-        self.history[self.step] = ids
-        self.before, self.last = self.last, ids.astype(np.int64)
-        self.step += 1
-        if self.step == self.next_update:
-            self._recount()
-            self.next_update *= 4
-
-    def _recount(self) -> None:
-        """Order-0 frequencies anew from the ids so far, at steps four times apart."""
-        v = self.vocab
-        for at in range(0, self.n, 64):
-            some = self.history[: self.step, at : at + 64]
-            m = some.shape[1]
-            count = np.bincount((some + np.arange(m, dtype=np.int64) * v).ravel(), minlength=m * v).astype(np.uint32).reshape(m, v)
-            weight = ((1 << _F_BITS) - v) // (self.step + 1)
-            count *= np.uint32(weight)
-            count += np.uint32(1 + ((1 << _F_BITS) - v - weight * self.step) // v)
-            cdf = self.cdf[at * (v + 1) : (at + m) * (v + 1)].reshape(m, v + 1)
-            np.cumsum(count, axis=1, out=cdf[:, 1:])
-
-
-def _interval(m: _Model, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and width of each id in its mixed distribution."""
-    at = m.base_c + ids
-    rest = ((1 << _T_BITS) - m.given).astype(np.int64)
-    low = (rest * m.cdf[at]) >> _F_BITS
-    high = (rest * m.cdf[at + 1]) >> _F_BITS
-    start, width = m.given + low, high - low
-    hit1 = ids == m.id1
-    hit1 &= m.share1 > 0
-    start, width = np.where(hit1, m.share2, start), np.where(hit1, m.share1, width)
-    hit2 = ids == m.id2
-    hit2 &= m.share2 > 0
-    return np.where(hit2, 0, start), np.where(hit2, m.share2, width)
-
-
-def encode_blocks(ids: np.ndarray, sizes: np.ndarray, vocab: int) -> list[bytes]:
-    """Code consecutive blocks of ``ids``, the longest first or in any order."""
-    n = len(sizes)
-    if not n:
-        return []
-    steps = int(sizes.max())
-    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-    order = np.argsort(-sizes, kind="stable")
-    begin, length = begin[order], sizes[order]
-    live_at = np.searchsorted(-length, -np.arange(steps), side="left")  # blocks longer than each step
-    m = _Model(n, vocab, steps)
-    low, span = np.zeros(n, dtype=np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    out_block, out_word = [], []
-    everyone = np.arange(n)
-    ids = ids.astype(np.int32)
-    for step in range(steps):
-        live = live_at[step]
-        own = ids[np.minimum(begin + step, len(ids) - 1)]
-        own[live:] = 0
-        m.guess()
-        start, width = _interval(m, own)
-        unit = span >> np.uint64(_T_BITS)
-        low += unit * start.astype(np.uint64)
-        span = unit * width.astype(np.uint64)
-        while True:
-            settled = (low ^ (low + span)) < _TOP
-            short = span < _LOW
-            if not (settled.any() or short.any()):
-                break
-            cut = short & ~settled
-            span = np.where(cut, (np.uint64(0) - low) & (_LOW - np.uint64(1)), span)
-            go = settled | cut
-            emit = np.flatnonzero(go)
-            keep = emit[emit < live]
-            out_block.append(keep)
-            out_word.append((low[keep] >> np.uint64(48)).astype("<u2"))
-            low = np.where(go, low << _U16, low)
-            span = np.where(go, span << _U16, span)
-        m.learn(own)
-        ending = everyone[live_at[step + 1] if step + 1 < steps else 0 : live]
-        if len(ending):
-            for _ in range(4):
-                out_block.append(ending)
-                out_word.append((low[ending] >> np.uint64(48)).astype("<u2"))
-                low[ending] <<= _U16
-    block, word = np.concatenate(out_block), np.concatenate(out_word)
-    place = np.argsort(block, kind="stable")
-    word = word[place]
-    stop = np.cumsum(np.bincount(block, minlength=n))
-    coded: list[bytes] = [b""] * n
-    for i, o in enumerate(order.tolist()):
-        coded[o] = word[stop[i - 1] if i else 0 : stop[i]].tobytes()
-    return coded
-
-
-def decode_blocks(coded: list[bytes], sizes: np.ndarray, vocab: int) -> np.ndarray:
-    """The ids of blocks that encode_blocks made."""
-    n = len(sizes)
-    if not n:
-        return np.empty(0, dtype=np.uint32)
-    steps = int(sizes.max())
-    order = np.argsort(-sizes, kind="stable")
-    length = sizes[order]
-    live_at = np.searchsorted(-length, -np.arange(steps), side="left")
-    data = np.frombuffer(b"".join(coded[o] + bytes(8) for o in order), dtype="<u2").astype(np.uint64)
-    words = np.array([len(coded[o]) // 2 + 4 for o in order])
-    place = np.concatenate(([0], np.cumsum(words)[:-1]))
-    m = _Model(n, vocab, steps)
-    low, span = np.zeros(n, dtype=np.uint64), np.full(n, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    code = np.zeros(n, dtype=np.uint64)
-    for _ in range(4):
-        code = code << _U16 | data[np.minimum(place, len(data) - 1)]
-        place += 1
-    levels = int(vocab).bit_length()
-    for step in range(steps):
-        live = live_at[step]
-        m.guess()
-        unit = span >> np.uint64(_T_BITS)
-        value = np.minimum((code - low) // unit, np.uint64((1 << _T_BITS) - 1)).astype(np.int64)
-        own = np.where(value < m.share2, m.id2, m.id1).astype(np.int32)
-        free = np.flatnonzero(value >= m.given)
-        if len(free):
-            own[free] = _search(m, free, value[free], levels)
-        own[live:] = 0
-        start, width = _interval(m, own)
-        low += unit * start.astype(np.uint64)
-        span = unit * width.astype(np.uint64)
-        while True:
-            settled = (low ^ (low + span)) < _TOP
-            short = span < _LOW
-            if not (settled.any() or short.any()):
-                break
-            cut = short & ~settled
-            span = np.where(cut, (np.uint64(0) - low) & (_LOW - np.uint64(1)), span)
-            go = settled | cut
-            low = np.where(go, low << _U16, low)
-            span = np.where(go, span << _U16, span)
-            code = np.where(go, code << _U16 | data[np.minimum(place, len(data) - 1)], code)
-            place += go
-        m.learn(own)
-    whole = m.history.T[np.arange(steps) < length[:, None]]
-    out = np.empty(len(whole), dtype=np.uint32)
-    begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))[order]
-    at = np.repeat(begin - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(len(whole))
-    out[at] = whole
-    return out
-
-
-def _search(m: _Model, blocks: np.ndarray, value: np.ndarray, levels: int) -> np.ndarray:
-    """The id whose order-0 interval holds each value, by bisection."""
-    rest = ((1 << _T_BITS) - m.given[blocks]).astype(np.int64)
-    # largest id with (rest * cdf[id]) >> F <= value - given
-    bound = (((value - m.given[blocks] + 1) << _F_BITS) + rest - 1) // rest  # cdf[id] must be below it
-    base = m.base_c[blocks]
-    low = np.zeros(len(blocks), dtype=np.int64)
-    for bit in range(levels - 1, -1, -1):
-        trial = low + (1 << bit)
-        ok = trial < m.vocab
-        ok &= m.cdf[base + np.minimum(trial, m.vocab)] < bound
-        low = np.where(ok, trial, low)
-    return low
+    """Counts and weights of one block; ``vocab``: ids are below it."""
+
+    def __init__(self, vocab: int) -> None:
+        self.vocab = vocab
+        self.bits = max(1, int(vocab).bit_length())
+        self.one, self.two = _Order(vocab + 1, self.bits), _Order(1 << _SLOT_BITS, self.bits)
+        self.zero = np.ones(vocab, dtype=np.int64)
+        self.seen = np.zeros((_LEVELS * _LEVELS, 3))  # which order knew the id, by both confidences
+        self.known = (_STATE >= _LEVELS) * 2 + (_STATE % _LEVELS > 0)  # which orders know their context at all
+        self._settle()
+
+    def _settle(self) -> None:
+        self.zero_start = np.cumsum(self.zero) - self.zero
+        self.zero_total = int(self.zero.sum())
+        alike = np.stack([np.bincount(self.known, weights=self.seen[:, k], minlength=4) for k in range(3)], axis=1) + 1
+        share = self.seen + _PRIOR * (alike / alike.sum(axis=1, keepdims=True))[self.known]
+        share /= share.sum(axis=1, keepdims=True)
+        weight = np.floor(share * (_SHARE - 3 * _LEAST)).astype(np.int64) + _LEAST
+        weight[self.known < 2, 0] = 0  # an order that doesn't know its context
+        weight[self.known % 2 == 0, 1] = 0
+        weight[:, 2] = _SHARE - weight[:, 0] - weight[:, 1]
+        self.weight = weight.ravel().astype(np.uint64)
+        self.offset = (np.cumsum(weight, axis=1) - weight).ravel().astype(np.uint64)
+        self.level = _levels(max(int(self.one.count.max()), int(self.two.count.max())))
+
+    def state(self, seen_two: np.ndarray, seen_one: np.ndarray) -> np.ndarray:
+        state = self.level.take(seen_two)
+        state *= _LEVELS
+        state += self.level.take(seen_one)
+        return state
+
+    def learn(self, picked: np.ndarray, ids: np.ndarray, one: list[np.ndarray], two: list[np.ndarray]) -> None:
+        self.seen += picked.reshape(-1, 3)
+        self.zero += np.bincount(ids, minlength=self.vocab)
+        self.one.add(one)
+        self.two.add(two)
+        self._settle()
+
+
+def _plan(ids: np.ndarray, vocab: int, lanes: int, steps: int) -> list[np.ndarray]:
+    """For each id in coding order: offset and weight of its order, and start, width and total of the id within."""
+    grid = np.zeros(lanes * steps, dtype=np.int64)
+    grid[: len(ids)] = ids
+    grid = np.concatenate((np.full(2 * lanes, vocab), grid.reshape(lanes, steps).T.ravel()))
+    every, last, before = grid[2 * lanes :], grid[lanes:-lanes], grid[: -2 * lanes]
+    m = _Model(vocab)
+    out = [np.empty(lanes * steps, dtype=t) for t in (np.uint16, np.uint16, np.uint32, np.uint32, np.uint32)]
+    at_once = max(1, _CHUNK // lanes) * lanes
+    place_bits = int(max(_CHUNK, lanes)).bit_length()
+    place_mask = (1 << place_bits) - 1
+    marks = [s * lanes for s in _renewals(steps)]
+    for begin, end in zip(marks[:-1], marks[1:], strict=True):
+        picked = np.zeros(_LEVELS * _LEVELS * 3, dtype=np.int64)
+        fresh_one, fresh_two = [], []
+        for a in range(begin, end, at_once):
+            b = min(end, a + at_once)
+            own, prev = every[a:b], last[a:b]
+            slot = _slot(before[a:b], prev)
+            seen_one, seen_two = m.one.count.take(prev), m.two.count.take(slot)
+            offset, weight, start, width, total = (x[a:b] for x in out)
+            start[:], width[:], total[:] = m.zero_start.take(own), m.zero.take(own), m.zero_total
+            pick = np.full(b - a, 2)
+            rest = np.arange(b - a)
+            for n, (order, context, seen, fresh) in enumerate(((m.two, slot, seen_two, fresh_two), (m.one, prev, seen_one, fresh_one))):
+                if end < marks[-1]:
+                    fresh.append((context << m.bits) | own)
+                if len(order.keys):
+                    keys = context.take(rest)
+                    keys <<= m.bits
+                    keys |= own.take(rest)
+                    keys <<= place_bits
+                    keys |= rest
+                    keys.sort()  # in order, so that the search stays in cache
+                    hit, found = order.find(keys >> place_bits)
+                    at = keys.take(hit) & place_mask
+                    pick[at] = n
+                    width[at] = order.lens.take(found)
+                    start[at] = order.starts.take(found) - order.start.take(context.take(at))
+                    total[at] = seen.take(at)
+                    rest = np.flatnonzero(pick == 2)
+            choice = m.state(seen_two, seen_one)
+            choice *= 3
+            choice += pick
+            offset[:], weight[:] = m.offset.take(choice), m.weight.take(choice)
+            picked += np.bincount(choice, minlength=len(picked))
+        if end < marks[-1]:
+            m.learn(picked, every[begin:end], fresh_one, fresh_two)
+    return [x.reshape(steps, lanes) for x in out]
+
+
+def encode_block(ids: np.ndarray, vocab: int, most_lanes: int = LANES) -> bytes:
+    """The bytes of one block of ids, all below ``vocab``."""
+    lanes, steps = _lanes(len(ids), most_lanes)
+    plan = _plan(ids, vocab, lanes, steps)
+    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    word = np.empty((steps + 1, lanes), dtype=np.uint32)
+    put, carry = np.ones((steps + 1, lanes), dtype=bool), np.empty((steps + 1, lanes), dtype=bool)
+    for i in range(steps):
+        offset, weight, start, width, total = (x[i].astype(np.uint64) for x in plan)
+        unit = span >> np.uint64(_SHARE_BITS)
+        add = unit * offset
+        unit *= weight
+        unit //= total
+        add += unit * start
+        low += add
+        np.less(low, add, out=carry[i])
+        span = unit * width
+        np.less(span, _BELOW, out=put[i])
+        word[i] = low >> _WORD
+        shift = put[i] * _WORD
+        low <<= shift
+        span <<= shift
+    low += _FULL  # the last word: some number of the range whose other bits are zero
+    np.less(low, _FULL, out=carry[steps])
+    word[steps] = low >> _WORD
+    return _joined(word, put, carry)
+
+
+def _joined(word: np.ndarray, put: np.ndarray, carry: np.ndarray) -> bytes:
+    """Lane after lane, the words put out, with the carries added."""
+    counts = put.sum(axis=0).astype("<u4")
+    flat = put.T.ravel()
+    words = word.T.ravel()[flat].astype(np.int64)
+    over = np.flatnonzero(carry.T.ravel())
+    at = (np.cumsum(flat)[over] - flat[over]) - 1
+    while len(at):
+        np.add.at(words, at, 1)
+        full = np.flatnonzero(words >> 32)
+        words[full] &= 0xFFFFFFFF
+        at = full - 1
+    head = zlib.compress(counts.tobytes(), 6)
+    return struct.pack("<I", len(head)) + head + words.astype("<u4").tobytes()
+
+
+def decode_block(data: bytes, n: int, vocab: int, most_lanes: int = LANES) -> np.ndarray:
+    """The ``n`` ids of a block that encode_block made."""
+    lanes, steps = _lanes(n, most_lanes)
+    (head,) = struct.unpack("<I", data[:4])
+    counts = np.frombuffer(zlib.decompress(data[4 : 4 + head]), dtype="<u4").astype(np.int64)
+    raw = np.frombuffer(data[4 + head :], dtype="<u4")
+    if len(counts) != lanes or counts.sum() != len(raw):
+        raise ValueError("a block's lanes are damaged")
+    words = np.zeros(len(raw) + 2 * lanes, dtype=np.uint64)  # zeros after each lane
+    words[np.arange(len(raw)) + np.repeat(2 * np.arange(lanes), counts)] = raw
+    place = np.cumsum(counts + 2) - counts - 2
+    code = (words.take(place) << _WORD) | words.take(place + 1)  # from the range's lower end
+    place += 2
+    span = np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+    m = _Model(vocab)
+    history = np.full((steps + 2, lanes), vocab, dtype=np.int64)
+    slots, picks = np.empty((steps, lanes), dtype=np.int64), np.empty((steps, lanes), dtype=np.int64)
+    marks = _renewals(steps)
+    for begin, end in zip(marks[:-1], marks[1:], strict=True):
+        # the entries of all three orders in one list: order 2, order 1, order 0
+        two, one = len(m.two.keys), len(m.one.keys)
+        start = np.concatenate((m.two.starts, two + m.one.starts, two + one + m.zero_start))
+        width = np.concatenate((m.two.lens, m.one.lens, m.zero))
+        entry = np.repeat(np.arange(len(start), dtype=np.int32), width)
+        mask = (1 << m.bits) - 1
+        ids = np.concatenate((m.two.known & mask, m.one.known & mask, np.arange(vocab)))
+        one_start = m.one.start + two
+        for i in range(begin, end):
+            before, last = history[i], history[i + 1]
+            slot = _slot(before, last)
+            seen_two, seen_one = m.two.count.take(slot), m.one.count.take(last)
+            choice = m.state(seen_two, seen_one)
+            choice *= 3
+            unit = span >> np.uint64(_SHARE_BITS)
+            above_two = code >= unit * m.weight.take(choice)
+            above_one = code >= unit * m.offset.take(choice + 2)
+            choice += above_two
+            choice += above_one & above_two
+            code -= unit * m.offset.take(choice)
+            unit *= m.weight.take(choice)
+            base = np.where(above_two, np.where(above_one, two + one, one_start.take(last)), m.two.start.take(slot))
+            total = np.where(above_two, np.where(above_one, m.zero_total, seen_one), seen_two)
+            unit //= total.astype(np.uint64)
+            at = entry.take(np.minimum((code // unit).astype(np.int64), total - 1) + base)
+            code -= unit * (start.take(at) - base).astype(np.uint64)
+            span = unit * width.take(at).astype(np.uint64)
+            history[i + 2] = ids.take(at)
+            slots[i], picks[i] = slot, choice
+            short = span < _BELOW
+            shift = short * _WORD
+            code <<= shift
+            span <<= shift
+            code |= words.take(place, mode="clip") * short
+            place += short
+        if end < steps:
+            own = history[begin + 2 : end + 2].ravel()
+            m.learn(np.bincount(picks[begin:end].ravel(), minlength=_LEVELS * _LEVELS * 3), own, [(history[begin + 1 : end + 1].ravel() << m.bits) | own], [(slots[begin:end].ravel() << m.bits) | own])
+    return history[2:].T.ravel()[:n]
 
 
 @dataclass
 class Shard:
-    """What a file holds: document ids, their lengths in ids, and all ids."""
+    """What a file holds: document names (text or None), their lengths in ids, and all ids."""
 
-    doc_ids: np.ndarray
+    names: list[str | None]
     lengths: np.ndarray
     ids: np.ndarray
 
 
-def write_shard(shard: Shard, block: int = BLOCK) -> bytes:
+def write_shard(shard: Shard, block: int = BLOCK, lanes: int = LANES) -> bytes:
     """The bytes of a file."""
-    total = int(shard.lengths.sum())
-    sizes = np.full(-(-total // block), block, dtype=np.int64)
-    if total % block:
-        sizes[-1] = total % block
     ids = np.asarray(shard.ids, dtype=np.int64)
+    total = len(ids)
     used = np.flatnonzero(np.bincount(ids, minlength=1))  # the file's alphabet
-    rank = np.zeros(len(used) and used[-1] + 1, dtype=np.int32)
+    rank = np.zeros(len(used) and used[-1] + 1, dtype=np.int64)
     rank[used] = np.arange(len(used))
-    coded = encode_blocks(rank[ids], sizes, max(1, len(used)))
-    head = zlib.compress(b"".join(np.asarray(v, dtype=t).tobytes() for v, t in ((shard.doc_ids, "<i8"), (shard.lengths, "<u4"), (used, "<u4"))), 6)
-    out = [MAGIC, struct.pack("<IQIIII", len(used), total, block, len(shard.doc_ids), len(head), zlib.crc32(head)), head]
-    at = 0
-    for data, size in zip(coded, sizes.tolist(), strict=True):
-        ids = np.asarray(shard.ids[at : at + size], dtype="<u4").tobytes()
-        out.append(struct.pack("<III", size, len(data), zlib.crc32(ids)))
+    names = [None if n is None else n.encode() for n in shard.names]
+    sizes = np.array([-1 if n is None else len(n) for n in names], dtype="<i4")
+    head = zlib.compress(b"".join((np.asarray(shard.lengths, dtype="<u4").tobytes(), used.astype("<u4").tobytes(), sizes.tobytes(), b"".join(n for n in names if n))), 6)
+    fixed = struct.pack("<IQIIII", len(used), total, block, lanes, len(names), len(head))
+    out = [MAGIC, fixed, struct.pack("<I", zlib.crc32(head, zlib.crc32(fixed))), head]
+    for at in range(0, total, block):
+        own = ids[at : at + block]
+        data = encode_block(rank[own], len(used), lanes)
+        out.append(struct.pack("<III", len(own), len(data), zlib.crc32(data, zlib.crc32(own.astype("<u4").tobytes()))))
         out.append(data)
-        at += size
     return b"".join(out)
 
 
 def read_shard(data: bytes) -> Shard:
     """The contents of a file; ValueError if a checksum doesn't hold."""
-    at = len(MAGIC) + 28
-    if data[: len(MAGIC)] != MAGIC:
+    at = len(MAGIC) + 32
+    if data[: len(MAGIC)] != MAGIC or len(data) < at:
         raise ValueError("not an id file")
-    used_count, total, _, docs, head_size, head_crc = struct.unpack("<IQIIII", data[len(MAGIC) : at])
+    used_count, total, block, lanes, docs, head_size, head_crc = struct.unpack("<IQIIIII", data[len(MAGIC) : at])
     head = data[at : at + head_size]
-    if zlib.crc32(head) != head_crc:
+    if zlib.crc32(head, zlib.crc32(data[len(MAGIC) : at - 4])) != head_crc:
         raise ValueError("the header is damaged")
     head, at = zlib.decompress(head), at + head_size
-    coded, sizes, sums = [], [], []
+    cuts = np.cumsum([4 * docs, 4 * used_count, 4 * docs]).tolist()
+    used, sizes = np.frombuffer(head[cuts[0] : cuts[1]], dtype="<u4"), np.frombuffer(head[cuts[1] : cuts[2]], dtype="<i4").tolist()
+    names: list[str | None] = []
+    place = cuts[2]
+    for size in sizes:
+        names.append(None if size < 0 else head[place : place + size].decode())
+        place += max(size, 0)
+    ids, first, number = np.empty(total, dtype=np.uint32), 0, 0
     while at < len(data):
-        size, n, crc = struct.unpack("<III", data[at : at + 12])
-        coded.append(data[at + 12 : at + 12 + n])
-        sizes.append(size)
-        sums.append(crc)
-        at += 12 + n
-    used = np.frombuffer(head[12 * docs :], dtype="<u4")
-    ids = used[decode_blocks(coded, np.array(sizes, dtype=np.int64), max(1, used_count))] if coded else np.empty(0, np.uint32)
-    if len(ids) != total:
+        try:
+            size, n, crc = struct.unpack("<III", data[at : at + 12])
+            coded = data[at + 12 : at + 12 + n]
+            if not 0 < size <= min(block, total - first):
+                raise ValueError(f"block {number} is damaged")
+            own = used[decode_block(coded, size, used_count, lanes)]
+        except (zlib.error, struct.error) as e:
+            raise ValueError(f"block {number} is damaged") from e
+        if zlib.crc32(coded, zlib.crc32(own.tobytes())) != crc:
+            raise ValueError(f"block {number} is damaged")
+        ids[first : first + size] = own
+        at, first, number = at + 12 + n, first + size, number + 1
+    if first != total:
         raise ValueError("blocks are missing")
-    first = 0
-    for i, (size, crc) in enumerate(zip(sizes, sums, strict=True)):
-        if zlib.crc32(ids[first : first + size].astype("<u4").tobytes()) != crc:
-            raise ValueError(f"block {i} is damaged")
-        first += size
-    return Shard(np.frombuffer(head[: 8 * docs], dtype="<i8"), np.frombuffer(head[8 * docs : 12 * docs], dtype="<u4").astype(np.int64), ids)
+    return Shard(names, np.frombuffer(head[: 4 * docs], dtype="<u4").astype(np.int64), ids)

@@ -17,21 +17,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, work_path
+from .common import slices, work_path, written
 from .idfile import BLOCK, Shard, read_shard, write_shard
 from .tokens import encoder
 
 END_ID = 1
-#: Ids in a shard, about: so many blocks are coded side by side.
-SHARD_IDS = 768 * BLOCK
+#: Ids in a shard, about.
+SHARD_IDS = 4 * BLOCK
+_READ = "part int, shard int, place bigint, doc_id string, n_tokens bigint, ids_crc32 bigint"
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
     """Write the ids of every text, with ``end_id`` after each, to shards at ``path``.
 
-    Rows go in ascending doc_id order, those of a repeated id by their text; null
-    ids are refused by the reader of such rows and so left out; a null text has
-    the end id alone.
+    Rows go in ascending doc_id order, nulls first; rows of one id go by a hash of
+    their text. Every row is written, whatever its doc_id is called or typed; a null
+    or empty text has the end id alone; an empty table gives no shards.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
 
@@ -40,7 +41,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         ids, names, lengths, held, number = [], [], [], 0, 0
 
         def closed() -> pa.RecordBatch:
-            content = write_shard(Shard(np.array(names), np.array(lengths), np.frombuffer(b"".join(ids), dtype="<u4")))
+            content = write_shard(Shard(names, np.array(lengths), np.frombuffer(b"".join(ids), dtype="<u4")))
             return pa.RecordBatch.from_arrays([pa.array([part_id], pa.int32()), pa.array([number], pa.int32()), pa.array([content], pa.binary())], names=["part", "shard", "content"])
 
         part_id = 0
@@ -59,14 +60,15 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if names:
             yield closed()
 
-    ordered = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id IS NOT NULL")
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered = ordered.select(F.spark_partition_id().alias("part"), "doc_id", "text")
+    # the hash and the row's number let a repeated id be split among partitions
+    ordered = docs.select("doc_id", F.xxhash64("text").alias("by_text"), F.monotonically_increasing_id().alias("row"), "text")
+    ordered = ordered.repartitionByRange("doc_id", "by_text", "row").sortWithinPartitions("doc_id", "by_text", "row")
+    ordered = ordered.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     ordered.mapInArrow(shards, "part int, shard int, content binary").write.option("compression", "none").parquet(path)
 
 
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """Per document, from the files: part, shard, place (in the shard), doc_id, n_tokens, ids_crc32."""
+    """Per document, from the files: part, shard, place (in the shard), doc_id (text), n_tokens, ids_crc32."""
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -77,11 +79,18 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 crc = [zlib.crc32(raw[a:b]) for a, b in zip(start.tolist(), stop.tolist(), strict=True)]
                 n = len(crc)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(n, part, np.int32)), pa.array(np.full(n, shard, np.int32)), pa.array((start // 4).astype(np.int64)), pa.array(own.doc_ids), pa.array(own.lengths), pa.array(crc, pa.int64())],
+                    [
+                        pa.array(np.full(n, part, np.int32)),
+                        pa.array(np.full(n, shard, np.int32)),
+                        pa.array((start // 4).astype(np.int64)),
+                        pa.array(own.names, pa.string()),
+                        pa.array(own.lengths),
+                        pa.array(crc, pa.int64()),
+                    ],
                     names=["part", "shard", "place", "doc_id", "n_tokens", "ids_crc32"],
                 )
 
-    return spark.read.schema("part int, shard int, content binary").parquet(path).mapInArrow(documents, "part int, shard int, place bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint")
+    return spark.read.schema("part int, shard int, content binary").parquet(path).mapInArrow(documents, _READ)
 
 
 def shard_ids(spark: SparkSession, path: str, part: int, shard: int) -> Shard:
@@ -100,15 +109,18 @@ def token_file_report(spark: SparkSession, docs: DataFrame, tokenizer: str, end_
     """Per document doc_id, start, n_tokens and ids_crc32, as read back from files
     written for it; ``start`` counts the ids of all documents before it.
 
-    An empty table gives no rows; rows with a null doc_id have no place in the
-    order and are left out; columns other than doc_id and text are not looked at.
+    Every row counts: a null doc_id comes first, rows of one id go by a hash of their
+    text, equal ones in any order; a null or empty text has the end id alone. An
+    empty table gives no rows; columns other than doc_id and text are not looked at.
     """
     path = work_path(spark, "ids")
     write_token_files(docs, path, tokenizer, end_id)
-    back = work_path(spark, "read")
-    read_token_files(spark, path).write.option("compression", "zstd").parquet(back)
-    rows = spark.read.schema("part int, shard int, place bigint, doc_id bigint, n_tokens bigint, ids_crc32 bigint").parquet(back)
-    totals = rows.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n"))  # a row for each shard
-    before = F.coalesce(F.sum("n").over(Window.orderBy("part", "shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    starts = totals.select("part", "shard", before.alias("before"))
-    return rows.join(starts, ["part", "shard"]).select("doc_id", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")
+    rows = written(spark, read_token_files(spark, path), "read")
+    shards = rows.groupBy("part", "shard").agg(F.sum("n_tokens").alias("n"))  # a row for each shard
+    parts = shards.groupBy("part").agg(F.sum("n").alias("n"))  # one for each partition
+    ahead = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    within = F.coalesce(F.sum("n").over(Window.partitionBy("part").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = shards.withColumn("within", within).join(parts.select("part", ahead.alias("ahead")), "part")
+    starts = starts.select("part", "shard", (F.col("ahead") + F.col("within")).alias("before"))
+    doc_id = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")
+    return rows.join(starts, ["part", "shard"]).select(doc_id, (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids_crc32")

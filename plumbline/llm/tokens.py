@@ -1,16 +1,21 @@
-"""Exact token counts and ids through a table of distinct pre-tokens.
+"""Exact token counts and ids through tables of distinct pre-tokens.
 
 A tokenizer of this kind first cuts a text into pre-tokens and then splits each
-one by itself, so what a pre-token becomes needs to be worked out once. Within a
-task, the distinct pre-tokens met so far are kept with their pieces (a bounded
-table, thinned when full); the counts of a document are its pre-token
-frequencies joined to that table and summed, and no ids are built.
-
-The cutting is done here, with the pattern of the tokenizer's file, for texts
-all of whose characters, once normalised, lie below U+0370, where this has been
-checked character by character against the library (tests). Any other text, and any text when the
-file is not of a known make, goes through the library whole. Special strings in
-a text are what the library makes of them: one token each.
+one by itself, so what a pre-token becomes needs to be worked out once.
+
+``token_counts`` does so as a join. A first pass takes every distinct pre-token
+of the corpus with its frequency; each is counted once. In a second pass the
+pre-token frequencies of a document meet that table: the most frequent
+pre-tokens, as many as fit a stated number of bytes, are broadcast and joined on
+the spot, the others by a shuffle. No ids are built.
+
+``Encoder.encode`` is for those who need the ids: each worker keeps the ids of the
+pre-tokens that it has met (a bounded table, thinned when full).
+
+Texts below U+0370 (once normalised) are cut here, with the pattern of the
+tokenizer's file, which has been checked character by character against the
+library (tests); any other text is cut by the library's own pre-tokenizer.
+Special strings in a text are what the library makes of them: one token each.
 """
 
 from __future__ import annotations
@@ -24,33 +29,56 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import slices, written
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
 #: Distinct pre-tokens kept by a worker (about 250 bytes each); beyond it the long ones go, which are rarely met again.
 TABLE_LIMIT = 1_000_000
 _SHORT = 7
+#: Bytes of pre-tokens that are broadcast, a fixed cost for each included.
+BROADCAST_BYTES = 16 << 20
+_ENTRY_BYTES = 48
+#: Distinct pre-tokens that a task gathers before it passes them on.
+GATHERED = 500_000
 OVER_LIMIT = 2048
 
 _PLAIN = re.compile(r"[\x00-\u036f]*")
 _SPACES = r"\t\n\x0b\f\r \x85\xa0"  # white space below U+0370, as the library sees it
 
 
-def _of_kind(kind: str) -> str:
+def _of_kind(kind: str, below: int = 0x370) -> str:
     """The characters below U+0370 of a general category, for a character class."""
-    return "".join(re.escape(c) for c in map(chr, range(0x370)) if unicodedata.category(c)[0] == kind)
+    return "".join(re.escape(c) for c in map(chr, range(below)) if unicodedata.category(c)[0] == kind)
+
+
+def _patterns(below: int) -> tuple[str, str]:
+    """The cutting patterns of the two makes of tokenizer file, classes spelt out."""
+    letter, digit = _of_kind("L", below), _of_kind("N", below)
+    # Alternatives of the files' patterns.
+    word = rf"[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d|[{digit}]|[^{_SPACES}{letter}{digit}]+"
+    byte = rf" ?[{letter}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{digit}]+| ?[^{_SPACES}{letter}{digit}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+    return word, byte
+
 
+def _byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself
+    if it is printable, else the next one from U+0100 on."""
+    out, spare = [], 0x100
+    for b in range(256):
+        if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b:
+            out.append(chr(b))
+        else:
+            out.append(chr(spare))
+            spare += 1
+    return out
 
-_L, _N = _of_kind("L"), _of_kind("N")
-# The cutting patterns of the two makes of tokenizer file, classes spelt out.
-_WORD_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d|[{_L}]+|[{_N}]|[^{_SPACES}{_L}{_N}]+"
-_BYTE_PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_SPACES}{_L}{_N}]+|[{_SPACES}]+(?![^{_SPACES}])|[{_SPACES}]+"
+
+_SPELT = dict(enumerate(_byte_characters()))
 
 
 class Encoder:
@@ -71,84 +99,71 @@ class Encoder:
         self.lower = spec["model"].get("end_of_word_suffix") == "</w>" and [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]
         own_bytes = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": spec["pre_tokenizer"].get("trim_offsets"), "use_regex": True}
         self.known = plain and spec["model"]["type"] == "BPE" and (self.lower or own_bytes)
-        self._cut = re.compile(_WORD_PATTERN if self.lower else _BYTE_PATTERN).findall
-        self.counts: dict[str, int] = {}
+        make = 0 if self.lower else 1
+        self._cut, self._cut_ascii = (re.compile(_patterns(below)[make]).findall for below in (0x370, 0x80))
+        self._split = self.library.model.tokenize
         self.ids: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str] | None:
-        """The pre-tokens of a text without special strings, if they can be cut here."""
-        if not self.known:
-            return None
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special strings."""
         if self.lower:
-            text = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower()
-        return self._cut(text) if text.isascii() or _PLAIN.fullmatch(text) else None
+            if text.isascii():
+                return self._cut_ascii(text.lower())
+            plain = unicodedata.normalize("NFC", text).lower()
+            if _PLAIN.fullmatch(plain):
+                return self._cut(plain)
+            text = self.library.normalizer.normalize_str(text)
+        elif text.isascii():
+            return self._cut_ascii(text)
+        elif _PLAIN.fullmatch(text):
+            return self._cut(text)
+        return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
     def parts(self, text: str) -> list[str]:
         """The text cut at special strings, which stay as parts of their own."""
         return [text] if self._special is None or "<|" not in text else [p for p in self._special.split(text) if p]
 
-    def _learned(self, fresh: list[str]) -> Iterator[bytes]:
-        """The packed ids of each pre-token. Many go through the library as one text, with
-        a special string after each, which parts them for the library and here."""
-        if not self.special:
-            yield from (_packed(e.ids) for e in self.library.encode_batch_fast(fresh, add_special_tokens=False))
-            return
-        stop, mark = max(self.special.items())
-        for i in range(0, len(fresh), 512):
-            some = fresh[i : i + 512]
-            ids = np.array(self.library.encode_batch_fast([stop.join(some) + stop], add_special_tokens=False)[0].ids, dtype="<u4")
-            raw, ends = ids.tobytes(), (4 * np.flatnonzero(ids == mark)).tolist()
-            first = 0
-            for end in ends:
-                yield raw[first:end]
-                first = end + 4
-
-    def count(self, texts: list[str | None]) -> list[int]:
-        """The number of tokens of each text."""
-        freqs: list[tuple[int, Counter]] = []
-        whole: dict[int, int] = {}
-        fixed = [0] * len(texts)
-        for i, text in enumerate(texts):
-            for part in self.parts(text or ""):
-                if part in self.special:
-                    fixed[i] += 1
-                elif (pieces := self.pieces(part)) is not None:
-                    freqs.append((i, Counter(pieces)))
-                else:
-                    whole[i] = whole.get(i, 0) + len(self.library.encode(part, add_special_tokens=False))
-        known = self.counts
-        new = {p for _, f in freqs for p in f if p not in known}
-        if new:
-            if len(known) + len(new) > self.limit:
-                known = self.counts = _thinned(known, self.limit)
-                new = {p for _, f in freqs for p in f if p not in known}
-            fresh = list(new)
-            known.update(zip(fresh, (len(ids) // 4 for ids in self._learned(fresh)), strict=True))
-        for i, f in freqs:
-            fixed[i] += sum(map(int.__mul__, f.values(), map(known.__getitem__, f)))
-        return [n + whole.get(i, 0) for i, n in enumerate(fixed)]
+    def split(self, piece: str) -> list[int]:
+        """The ids of one pre-token."""
+        spelt = piece if piece.isascii() and piece.isalnum() else piece.encode().decode("latin-1").translate(_SPELT)
+        return [t.id for t in self._split(spelt)]
+
+    def frequencies(self, text: str | None) -> tuple[int, Counter]:
+        """The special strings of a text, counted, and the frequencies of its pre-tokens."""
+        fixed, found = 0, Counter()
+        for part in self.parts(text or ""):
+            if part in self.special:
+                fixed += 1
+            else:
+                found.update(self.pieces(part))
+        return fixed, found
+
+    def whole(self, text: str | None) -> list[int]:
+        """The ids as the library gives them, for files of another make."""
+        return self.library.encode(text or "", add_special_tokens=False).ids
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit integers."""
-        known = self.ids
-        cut: list[list] = []
-        new: set[str] = set()
-        for text in texts:
-            own: list = []
-            for part in self.parts(text or ""):
-                if part in self.special:
-                    own.append(_packed([self.special[part]]))
-                elif (pieces := self.pieces(part)) is not None:
-                    own.append(pieces)
-                    new.update(pieces)
-                else:
-                    own.append(_packed(self.library.encode(part, add_special_tokens=False).ids))
-            cut.append(own)
-        if len(known) + len(new) > self.limit:
-            known = self.ids = _thinned(known, self.limit)
-        fresh = list(new.difference(known))
-        known.update(zip(fresh, self._learned(fresh), strict=True))
-        return [b"".join(part if isinstance(part, bytes) else b"".join(map(known.__getitem__, part)) for part in own) for own in cut]
+        return [b"".join(self._coded(text or "")) for text in texts]
+
+    def _coded(self, text: str) -> Iterator[bytes]:
+        if not self.known:
+            yield _packed(self.whole(text))
+            return
+        for part in self.parts(text):
+            if part in self.special:
+                yield _packed([self.special[part]])
+                continue
+            pieces = self.pieces(part)
+            try:
+                yield b"".join(map(self.ids.__getitem__, pieces))
+            except KeyError:
+                fresh = set(pieces).difference(self.ids)
+                if len(self.ids) + len(fresh) > self.limit:
+                    self.ids = _thinned(self.ids, self.limit)
+                    fresh = set(pieces).difference(self.ids)
+                self.ids.update((p, _packed(self.split(p))) for p in fresh)
+                yield b"".join(map(self.ids.__getitem__, pieces))
 
 
 def _thinned(table: dict, limit: int) -> dict:
@@ -163,16 +178,18 @@ def _packed(ids: list[int]) -> bytes:
 class PieceModel:
     """A sentencepiece file; it has no pre-tokens to share, texts are encoded whole."""
 
+    known = False
+
     def __init__(self, path: str) -> None:
         import sentencepiece
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=path)
 
-    def count(self, texts: list[str | None]) -> list[int]:
-        return [len(x) for x in self.library.encode([t or "" for t in texts], num_threads=1)]
+    def whole(self, text: str | None) -> list[int]:
+        return self.library.encode(text or "", num_threads=1)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        return [_packed(x) for x in self.library.encode([t or "" for t in texts], num_threads=1)]
+        return [_packed(self.whole(t)) for t in texts]
 
 
 @lru_cache(maxsize=2)
@@ -181,29 +198,111 @@ def encoder(path: str, limit: int | None = None) -> Encoder | PieceModel:
     return PieceModel(path) if path.endswith(".model") else Encoder(path, limit)
 
 
-def token_count(text: Column, tokenizer: str) -> Column:
-    """The number of tokens of a text column, without added tokens; null text: 0.
-
-    tokenizer: a path, the same on every executor (public_tokenizers.path(...)).
-    """
+def _whole_counts(text: Column, tokenizer: str) -> Column:
+    """The number of tokens of texts that have no pre-tokens to share."""
 
     @F.arrow_udf("bigint")
     def counted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = encoder(tokenizer)
         for batch in batches:
-            held = pa.RecordBatch.from_arrays([batch], ["text"])
-            yield pa.array([n for part in slices(held, "text") for n in model.count(part.column(0).to_pylist())], pa.int64())
+            yield pa.array([len(model.whole(t.as_py())) for t in batch], pa.int64())
 
     return counted(text)
 
 
-def token_counts(docs: DataFrame, tokenizer: str, limit: int = OVER_LIMIT) -> DataFrame:
+def distinct_pieces(docs: DataFrame, tokenizer: str, gathered: int = GATHERED) -> DataFrame:
+    """(piece, freq, tokens): every distinct pre-token of all texts, its frequency and its number of tokens."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, found = encoder(tokenizer), Counter()
+
+        def passed() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.string()), pa.array(found.values(), pa.int64())], names=["piece", "freq"])
+
+        for batch in batches:
+            for text in batch.column("text"):
+                for part in model.parts(text.as_py() or ""):
+                    if part not in model.special:
+                        found.update(model.pieces(part))
+                if len(found) > gathered:
+                    yield passed()
+                    found.clear()
+        yield passed()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = encoder(tokenizer)
+        for batch in batches:
+            tokens = pa.array([len(model.split(p)) for p in batch.column("piece").to_pylist()], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("piece"), batch.column("freq"), tokens], names=["piece", "freq", "tokens"])
+
+    once = docs.select("text").mapInArrow(gather, "piece string, freq bigint").groupBy("piece").agg(F.sum("freq").alias("freq"))
+    return once.mapInArrow(count, "piece string, freq bigint, tokens bigint")
+
+
+def _frequent(pieces: DataFrame, limit: int) -> tuple[dict[str, int], bool]:
+    """The most frequent pre-tokens that fit ``limit`` bytes, and whether they are all."""
+    level = F.floor(F.log2("freq") * 4).cast("int")
+    size = F.octet_length("piece") + F.lit(_ENTRY_BYTES)
+    levels = pieces.groupBy(level.alias("level")).agg(F.sum(size).alias("bytes")).orderBy(F.desc("level")).collect()  # at most 256 rows
+    least, held = None, 0
+    for row in levels:
+        held += row["bytes"]
+        if held > limit:
+            break
+        least = row["level"]
+    if least is None:
+        return {}, not levels
+    kept = pieces.where(level >= least).select("piece", "tokens").toArrow()
+    return dict(zip(kept.column("piece").to_pylist(), kept.column("tokens").to_pylist(), strict=True)), held <= limit
+
+
+def token_counts(spark: SparkSession, docs: DataFrame, tokenizer: str, limit: int = OVER_LIMIT, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Per document doc_id, n_bytes, n_tokens and over_limit (n_tokens > limit).
 
+    tokenizer: a path, the same on every executor (public_tokenizers.path(...)).
     A null or empty text has no bytes and no tokens; repeated rows and tied ids
     are counted each alone; an empty table gives no rows; other columns, whatever
-    they are called, are left out.
+    they are called, are left out. A sentencepiece file, or a tokenizers file of
+    an unknown make, has no pre-tokens to share: its texts are encoded whole.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select("doc_id", F.octet_length(text).cast("bigint").alias("n_bytes"), token_count(text, tokenizer).alias("n_tokens"))
+    docs = docs.select("doc_id", text.alias("text"), F.octet_length(text).cast("bigint").alias("n_bytes"))
+    if not encoder(tokenizer).known:
+        out = docs.select("doc_id", "n_bytes", _whole_counts(F.col("text"), tokenizer).alias("n_tokens"))
+        return out.withColumn("over_limit", F.col("n_tokens") > limit)
+    pieces = written(spark, distinct_pieces(docs, tokenizer), "pieces")
+    table, complete = _frequent(pieces, broadcast_bytes)
+    frequent = spark.sparkContext.broadcast(table)
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, tokens = encoder(tokenizer), frequent.value
+        for batch in batches:
+            for part in slices(batch, "text"):
+                totals, rest = [], []
+                for t in part.column("text").to_pylist():
+                    total, found = model.frequencies(t)
+                    try:
+                        total += sum(map(int.__mul__, found.values(), map(tokens.__getitem__, found)))
+                        rest.append([])
+                    except KeyError:
+                        total += sum(n * tokens[p] for p, n in found.items() if p in tokens)
+                        rest.append([{"piece": p, "n": n} for p, n in found.items() if p not in tokens])
+                    totals.append(total)
+                kind = pa.list_(pa.struct([("piece", pa.string()), ("n", pa.int64())]))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("n_bytes"), pa.array(totals, pa.int64()), pa.array(rest, kind)],
+                    names=["doc_id", "n_bytes", "n_tokens", "rest"],
+                )
+
+    id_type = docs.schema["doc_id"].dataType.simpleString()
+    joined = docs.mapInArrow(join, f"doc_id {id_type}, n_bytes bigint, n_tokens bigint, rest array<struct<piece:string,n:bigint>>")
+    if complete:
+        out = joined.drop("rest")
+    else:
+        joined = written(spark, joined.withColumn("row", F.monotonically_increasing_id()), "joined")
+        out = joined.where(F.size("rest") == 0).select("doc_id", "n_bytes", "n_tokens")
+        rest = joined.where(F.size("rest") > 0).withColumn("rest", F.explode("rest"))
+        rest = rest.select("row", "doc_id", "n_bytes", "n_tokens", "rest.piece", "rest.n").join(pieces.select("piece", "tokens"), "piece")
+        rest = rest.groupBy("row", "doc_id", "n_bytes", "n_tokens").agg(F.sum(F.col("n") * F.col("tokens")).alias("more"))
+        out = out.unionByName(rest.select("doc_id", "n_bytes", (F.col("n_tokens") + F.col("more")).alias("n_tokens")))
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
