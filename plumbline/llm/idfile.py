@@ -2,8 +2,8 @@
 
 A file holds the documents of one shard in order: a header with every document's
 name and length and the list of token ids that occur, then blocks of at most
-``BLOCK`` ids. Each block starts from a fresh model, carries a checksum of its ids
-and of its bytes, and can be read alone.
+``BLOCK`` ids. Each block starts from a fresh model, carries its own checksum and
+can be read alone.
 
 A block is cut into equal stretches, the lanes, which are coded side by side, a
 step at a time, with one model for all. The model counts which ids have followed
@@ -32,9 +32,9 @@ from dataclasses import dataclass
 import numpy as np
 
 MAGIC = b"PLID\x02"
-BLOCK = 1 << 20
-LANES = 2048
-_SHORTEST = 64  # ids of a lane, unless the block is shorter
+BLOCK = 1 << 21
+LANES = 4096
+_SHORTEST = 256  # ids of a lane, unless the block is shorter
 _FIRST = 2  # steps before the model is first used
 _SLOT_BITS = 17
 _SHARE_BITS = 12  # weights of the orders sum to 2 ** _SHARE_BITS
@@ -47,15 +47,11 @@ _CHUNK = 1 << 16  # ids looked up at once
 _WORD = np.uint64(32)
 _FULL = np.uint64(0xFFFFFFFF)
 _BELOW = np.uint64(1 << 32)
-_LEVEL = np.zeros(1, dtype=np.int64)
 
 
-def _levels(most: int) -> np.ndarray:
-    """The bit length of each count up to ``most``."""
-    global _LEVEL
-    if len(_LEVEL) <= most:
-        _LEVEL = np.frexp(np.arange(max(BLOCK, most) + 1, dtype=np.float64))[1].astype(np.int64)
-    return _LEVEL
+def _levels(counts: np.ndarray) -> np.ndarray:
+    """The bit length of each count."""
+    return np.frexp(counts.astype(np.float64))[1]
 
 
 def _lanes(n: int, most: int) -> tuple[int, int]:
@@ -94,13 +90,13 @@ class _Order:
 
     def _index(self) -> None:
         k = self.keys
-        self.count = np.bincount(k >> self.bits, minlength=self.contexts)  # of each context
-        self.start = np.cumsum(self.count) - self.count
+        self.count = np.bincount(k >> self.bits, minlength=self.contexts).astype(np.int32)  # of each context
+        self.start = np.cumsum(self.count, dtype=np.int32) - self.count
         first = np.ones(len(k), dtype=bool)
         np.not_equal(k[1:], k[:-1], out=first[1:])
-        self.starts = np.flatnonzero(first)  # of each context's ids
-        self.lens = np.diff(self.starts, append=len(k))
-        self.known = k[self.starts]
+        self.starts = np.flatnonzero(first).astype(np.int32)  # of each context's ids
+        self.lens = np.diff(self.starts, append=np.int32(len(k)))
+        self.known = k[first]
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the sorted ``keys`` are known, and where."""
@@ -118,13 +114,13 @@ class _Model:
         self.vocab = vocab
         self.bits = max(1, int(vocab).bit_length())
         self.one, self.two = _Order(vocab + 1, self.bits), _Order(1 << _SLOT_BITS, self.bits)
-        self.zero = np.ones(vocab, dtype=np.int64)
+        self.zero = np.ones(vocab, dtype=np.int32)
         self.seen = np.zeros((_LEVELS * _LEVELS, 3))  # which order knew the id, by both confidences
         self.known = (_STATE >= _LEVELS) * 2 + (_STATE % _LEVELS > 0)  # which orders know their context at all
         self._settle()
 
     def _settle(self) -> None:
-        self.zero_start = np.cumsum(self.zero) - self.zero
+        self.zero_start = np.cumsum(self.zero, dtype=np.int32) - self.zero
         self.zero_total = int(self.zero.sum())
         alike = np.stack([np.bincount(self.known, weights=self.seen[:, k], minlength=4) for k in range(3)], axis=1) + 1
         share = self.seen + _PRIOR * (alike / alike.sum(axis=1, keepdims=True))[self.known]
@@ -135,17 +131,17 @@ class _Model:
         weight[:, 2] = _SHARE - weight[:, 0] - weight[:, 1]
         self.weight = weight.ravel().astype(np.uint64)
         self.offset = (np.cumsum(weight, axis=1) - weight).ravel().astype(np.uint64)
-        self.level = _levels(max(int(self.one.count.max()), int(self.two.count.max())))
+        self.level_one, self.level_two = 3 * _levels(self.one.count), 3 * _LEVELS * _levels(self.two.count)
 
-    def state(self, seen_two: np.ndarray, seen_one: np.ndarray) -> np.ndarray:
-        state = self.level.take(seen_two)
-        state *= _LEVELS
-        state += self.level.take(seen_one)
-        return state
+    def choices(self, slot: np.ndarray, last: np.ndarray) -> np.ndarray:
+        """Where the weights for these contexts begin."""
+        at = self.level_two.take(slot)
+        at += self.level_one.take(last)
+        return at
 
     def learn(self, picked: np.ndarray, ids: np.ndarray, one: list[np.ndarray], two: list[np.ndarray]) -> None:
         self.seen += picked.reshape(-1, 3)
-        self.zero += np.bincount(ids, minlength=self.vocab)
+        self.zero += np.bincount(ids, minlength=self.vocab).astype(np.int32)
         self.one.add(one)
         self.two.add(two)
         self._settle()
@@ -153,12 +149,13 @@ class _Model:
 
 def _plan(ids: np.ndarray, vocab: int, lanes: int, steps: int) -> list[np.ndarray]:
     """For each id in coding order: offset and weight of its order, and start, width and total of the id within."""
-    grid = np.zeros(lanes * steps, dtype=np.int64)
-    grid[: len(ids)] = ids
-    grid = np.concatenate((np.full(2 * lanes, vocab), grid.reshape(lanes, steps).T.ravel()))
+    lined = np.zeros(lanes * steps, dtype=np.int32)
+    lined[: len(ids)] = ids
+    grid = np.full((steps + 2) * lanes, vocab)
+    grid[2 * lanes :].reshape(steps, lanes)[:] = lined.reshape(lanes, steps).T
     every, last, before = grid[2 * lanes :], grid[lanes:-lanes], grid[: -2 * lanes]
     m = _Model(vocab)
-    out = [np.empty(lanes * steps, dtype=t) for t in (np.uint16, np.uint16, np.uint32, np.uint32, np.uint32)]
+    out = [np.empty(lanes * steps, dtype=np.int32) for _ in range(5)]
     at_once = max(1, _CHUNK // lanes) * lanes
     place_bits = int(max(_CHUNK, lanes)).bit_length()
     place_mask = (1 << place_bits) - 1
@@ -192,8 +189,7 @@ def _plan(ids: np.ndarray, vocab: int, lanes: int, steps: int) -> list[np.ndarra
                     start[at] = order.starts.take(found) - order.start.take(context.take(at))
                     total[at] = seen.take(at)
                     rest = np.flatnonzero(pick == 2)
-            choice = m.state(seen_two, seen_one)
-            choice *= 3
+            choice = m.choices(slot, prev)
             choice += pick
             offset[:], weight[:] = m.offset.take(choice), m.weight.take(choice)
             picked += np.bincount(choice, minlength=len(picked))
@@ -232,17 +228,17 @@ def encode_block(ids: np.ndarray, vocab: int, most_lanes: int = LANES) -> bytes:
 
 def _joined(word: np.ndarray, put: np.ndarray, carry: np.ndarray) -> bytes:
     """Lane after lane, the words put out, with the carries added."""
-    counts = put.sum(axis=0).astype("<u4")
-    flat = put.T.ravel()
-    words = word.T.ravel()[flat].astype(np.int64)
-    over = np.flatnonzero(carry.T.ravel())
-    at = (np.cumsum(flat)[over] - flat[over]) - 1
+    counts = put.sum(axis=0)
+    lane_first = np.ascontiguousarray(put.T)
+    words = np.ascontiguousarray(word.T)[lane_first].astype(np.int64)
+    step, lane = np.nonzero(carry)
+    at = (np.cumsum(counts) - counts)[lane] + np.cumsum(put, axis=0, dtype=np.int32)[step, lane] - put[step, lane] - 1
     while len(at):
         np.add.at(words, at, 1)
         full = np.flatnonzero(words >> 32)
         words[full] &= 0xFFFFFFFF
         at = full - 1
-    head = zlib.compress(counts.tobytes(), 6)
+    head = zlib.compress(counts.astype("<u4").tobytes(), 6)
     return struct.pack("<I", len(head)) + head + words.astype("<u4").tobytes()
 
 
@@ -271,14 +267,13 @@ def decode_block(data: bytes, n: int, vocab: int, most_lanes: int = LANES) -> np
         width = np.concatenate((m.two.lens, m.one.lens, m.zero))
         entry = np.repeat(np.arange(len(start), dtype=np.int32), width)
         mask = (1 << m.bits) - 1
-        ids = np.concatenate((m.two.known & mask, m.one.known & mask, np.arange(vocab)))
+        ids = np.concatenate((m.two.known & mask, m.one.known & mask, np.arange(vocab))).astype(np.int32)
         one_start = m.one.start + two
         for i in range(begin, end):
             before, last = history[i], history[i + 1]
             slot = _slot(before, last)
             seen_two, seen_one = m.two.count.take(slot), m.one.count.take(last)
-            choice = m.state(seen_two, seen_one)
-            choice *= 3
+            choice = m.choices(slot, last)
             unit = span >> np.uint64(_SHARE_BITS)
             above_two = code >= unit * m.weight.take(choice)
             above_one = code >= unit * m.offset.take(choice + 2)
@@ -330,7 +325,7 @@ def write_shard(shard: Shard, block: int = BLOCK, lanes: int = LANES) -> bytes:
     for at in range(0, total, block):
         own = ids[at : at + block]
         data = encode_block(rank[own], len(used), lanes)
-        out.append(struct.pack("<III", len(own), len(data), zlib.crc32(data, zlib.crc32(own.astype("<u4").tobytes()))))
+        out.append(struct.pack("<III", len(own), len(data), zlib.crc32(data)))
         out.append(data)
     return b"".join(out)
 
@@ -359,11 +354,11 @@ def read_shard(data: bytes) -> Shard:
             coded = data[at + 12 : at + 12 + n]
             if not 0 < size <= min(block, total - first):
                 raise ValueError(f"block {number} is damaged")
+            if zlib.crc32(coded) != crc:
+                raise ValueError(f"block {number} is damaged")
             own = used[decode_block(coded, size, used_count, lanes)]
         except (zlib.error, struct.error) as e:
             raise ValueError(f"block {number} is damaged") from e
-        if zlib.crc32(coded, zlib.crc32(own.tobytes())) != crc:
-            raise ValueError(f"block {number} is damaged")
         ids[first : first + size] = own
         at, first, number = at + 12 + n, first + size, number + 1
     if first != total:

@@ -23,15 +23,15 @@ from .tokens import encoder
 
 END_ID = 1
 #: Ids in a shard, about.
-SHARD_IDS = 4 * BLOCK
+SHARD_IDS = 2 * BLOCK
 _READ = "part int, shard int, place bigint, doc_id string, n_tokens bigint, ids_crc32 bigint"
 
 
 def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, shard_ids: int = SHARD_IDS) -> None:
     """Write the ids of every text, with ``end_id`` after each, to shards at ``path``.
 
-    Rows go in ascending doc_id order, nulls first; rows of one id go by a hash of
-    their text. Every row is written, whatever its doc_id is called or typed; a null
+    Rows go in ascending doc_id order, nulls first; rows of one id as the
+    table has them. Every row is written, whatever its doc_id is called or typed; a null
     or empty text has the end id alone; an empty table gives no shards.
     """
     end = np.array([end_id], dtype="<u4").tobytes()
@@ -60,9 +60,9 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
         if names:
             yield closed()
 
-    # the hash and the row's number let a repeated id be split among partitions
-    ordered = docs.select("doc_id", F.xxhash64("text").alias("by_text"), F.monotonically_increasing_id().alias("row"), "text")
-    ordered = ordered.repartitionByRange("doc_id", "by_text", "row").sortWithinPartitions("doc_id", "by_text", "row")
+    # by the row's number too, so that a repeated id can be split among partitions
+    ordered = docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text")
+    ordered = ordered.repartitionByRange("doc_id", "row").sortWithinPartitions("doc_id", "row")
     ordered = ordered.select(F.spark_partition_id().alias("part"), F.col("doc_id").cast("string").alias("doc_id"), "text")
     ordered.mapInArrow(shards, "part int, shard int, content binary").write.option("compression", "none").parquet(path)
 
@@ -109,8 +109,8 @@ def token_file_report(spark: SparkSession, docs: DataFrame, tokenizer: str, end_
     """Per document doc_id, start, n_tokens and ids_crc32, as read back from files
     written for it; ``start`` counts the ids of all documents before it.
 
-    Every row counts: a null doc_id comes first, rows of one id go by a hash of their
-    text, equal ones in any order; a null or empty text has the end id alone. An
+    Every row counts: a null doc_id comes first, rows of one id go as the table
+    has them; a null or empty text has the end id alone. An
     empty table gives no rows; columns other than doc_id and text are not looked at.
     """
     path = work_path(spark, "ids")

@@ -9,8 +9,9 @@ pre-token frequencies of a document meet that table: the most frequent
 pre-tokens, as many as fit a stated number of bytes, are broadcast and joined on
 the spot, the others by a shuffle. No ids are built.
 
-``Encoder.encode`` is for those who need the ids: each worker keeps the ids of the
-pre-tokens that it has met (a bounded table, thinned when full).
+``Encoder.encode`` is for those who need the ids. It cuts a text at white space into
+chunks of one or a few pre-tokens, and each worker keeps the ids of the chunks that
+it has met (a bounded table, thinned when full).
 
 Texts below U+0370 (once normalised) are cut here, with the pattern of the
 tokenizer's file, which has been checked character by character against the
@@ -37,7 +38,7 @@ from .common import slices, written
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-#: Distinct pre-tokens kept by a worker (about 250 bytes each); beyond it the long ones go, which are rarely met again.
+#: Distinct chunks kept by a worker (about 250 bytes each); beyond it the long ones go, which are rarely met again.
 TABLE_LIMIT = 1_000_000
 _SHORT = 7
 #: Bytes of pre-tokens that are broadcast, a fixed cost for each included.
@@ -47,6 +48,7 @@ _ENTRY_BYTES = 48
 GATHERED = 500_000
 OVER_LIMIT = 2048
 
+_FIRST = "\x00"  # a chunk that no space precedes, in front of it
 _PLAIN = re.compile(r"[\x00-\u036f]*")
 _SPACES = r"\t\n\x0b\f\r \x85\xa0"  # white space below U+0370, as the library sees it
 
@@ -104,21 +106,43 @@ class Encoder:
         self._split = self.library.model.tokenize
         self.ids: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        """The pre-tokens of a text without special strings."""
-        if self.lower:
-            if text.isascii():
-                return self._cut_ascii(text.lower())
-            plain = unicodedata.normalize("NFC", text).lower()
-            if _PLAIN.fullmatch(plain):
-                return self._cut(plain)
-            text = self.library.normalizer.normalize_str(text)
-        elif text.isascii():
+    def normal(self, text: str) -> str:
+        """The text as it is cut."""
+        if not self.lower:
+            return text
+        if text.isascii():
+            return text.lower()
+        plain = unicodedata.normalize("NFC", text).lower()
+        return plain if _PLAIN.fullmatch(plain) else self.library.normalizer.normalize_str(text)
+
+    def cut(self, text: str) -> list[str]:
+        """The pre-tokens of a normalised text without special strings."""
+        if text.isascii():
             return self._cut_ascii(text)
-        elif _PLAIN.fullmatch(text):
+        if _PLAIN.fullmatch(text):
             return self._cut(text)
         return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
 
+    def pieces(self, text: str) -> list[str]:
+        """The pre-tokens of a text without special strings."""
+        return self.cut(self.normal(text))
+
+    def chunks(self, text: str) -> list[str]:
+        """A normalised text, cut at places where pre-tokens always end.
+
+        With word ends, no pre-token holds white space, so chunks are what lies between
+        (U+001C to U+001F are white space to str.split alone). With bytes, a single
+        space belongs to what follows it; a chunk is cut before it and stands without
+        it, but for the first, which gets a mark. Runs of spaces are left to the pattern.
+        """
+        if self.lower:
+            return self.cut(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
+        if "  " in text:
+            return [_FIRST + p for p in self.cut(text)]
+        out = text.split(" ")
+        out[0] = _FIRST + out[0]
+        return out
+
     def parts(self, text: str) -> list[str]:
         """The text cut at special strings, which stay as parts of their own."""
         return [text] if self._special is None or "<|" not in text else [p for p in self._special.split(text) if p]
@@ -154,16 +178,35 @@ class Encoder:
             if part in self.special:
                 yield _packed([self.special[part]])
                 continue
-            pieces = self.pieces(part)
-            try:
-                yield b"".join(map(self.ids.__getitem__, pieces))
-            except KeyError:
-                fresh = set(pieces).difference(self.ids)
-                if len(self.ids) + len(fresh) > self.limit:
-                    self.ids = _thinned(self.ids, self.limit)
-                    fresh = set(pieces).difference(self.ids)
-                self.ids.update((p, _packed(self.split(p))) for p in fresh)
-                yield b"".join(map(self.ids.__getitem__, pieces))
+            chunks = self.chunks(self.normal(part))
+            found = list(map(self.ids.get, chunks))
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                found[at] = self._learned(chunks[at])
+            yield b"".join(found)
+
+    def _learned(self, chunk: str) -> bytes:
+        """The ids of a chunk that isn't in the table, or has only just come into it."""
+        known = self.ids.get(chunk)
+        if known is not None:
+            return known
+        text = chunk if self.lower else chunk[1:] if chunk[:1] == _FIRST else " " + chunk
+        pieces = [chunk] if self.lower and chunk.isalpha() else self.cut(text)
+        if len(pieces) == 1:
+            return self._kept(chunk, _packed(self.split(pieces[0])))
+        own = []
+        for piece in pieces:
+            key = piece if self.lower else piece[1:] if piece[:1] == " " else _FIRST + piece
+            own.append(self.ids.get(key) or self._kept(key, _packed(self.split(piece))))
+        found = b"".join(own)
+        return self._kept(chunk, found) if len(chunk) <= _SHORT else found
+
+    def _kept(self, key: str, ids: bytes) -> bytes:
+        if len(self.ids) >= self.limit:
+            self.ids = _thinned(self.ids, self.limit)
+        self.ids[key] = ids
+        return ids
 
 
 def _thinned(table: dict, limit: int) -> dict:
