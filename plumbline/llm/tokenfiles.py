@@ -34,26 +34,28 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int =
     table has them. Every row is written, whatever its doc_id is called or typed; a null
     or empty text has the end id alone; an empty table gives no shards.
     """
-    end = np.array([end_id], dtype="<u4").tobytes()
+    end = np.array([end_id], dtype=np.uint32)
 
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = encoder(tokenizer)
         ids, names, lengths, held, number = [], [], [], 0, 0
 
         def closed() -> pa.RecordBatch:
-            content = write_shard(Shard(names, np.array(lengths), np.frombuffer(b"".join(ids), dtype="<u4")))
+            content = write_shard(Shard(names, np.array(lengths), np.concatenate(ids)))
             return pa.RecordBatch.from_arrays([pa.array([part_id], pa.int32()), pa.array([number], pa.int32()), pa.array([content], pa.binary())], names=["part", "shard", "content"])
 
         part_id = 0
         for batch in batches:
             for piece in slices(batch, "text"):
                 part_id = piece.column("part")[0].as_py()
-                for name, coded in zip(piece.column("doc_id").to_pylist(), model.encode(piece.column("text").to_pylist()), strict=True):
-                    coded += end
-                    ids.append(coded)
+                coded, counts = model.code(piece.column("text").to_pylist())
+                at = 0
+                for name, n in zip(piece.column("doc_id").to_pylist(), counts.tolist(), strict=True):
+                    ids += [coded[at : at + n], end]
+                    at += n
                     names.append(name)
-                    lengths.append(len(coded) // 4)
-                    held += lengths[-1]
+                    lengths.append(n + 1)
+                    held += n + 1
                     if held >= shard_ids:
                         yield closed()
                         ids, names, lengths, held, number = [], [], [], 0, number + 1

@@ -9,13 +9,12 @@ pre-token frequencies of a document meet that table: the most frequent
 pre-tokens, as many as fit a stated number of bytes, are broadcast and joined on
 the spot, the others by a shuffle. No ids are built.
 
-``Encoder.encode`` is for those who need the ids. It cuts a text at white space into
-chunks of one or a few pre-tokens, and each worker keeps the ids of the chunks that
-it has met (a bounded table, thinned when full).
+``Encoder.code`` is for those who need the ids: many texts are cut at once (bulk.py),
+and each worker keeps a bounded table of the pre-tokens that it has met.
 
-Texts below U+0370 (once normalised) are cut here, with the pattern of the
-tokenizer's file, which has been checked character by character against the
-library (tests); any other text is cut by the library's own pre-tokenizer.
+Texts of common characters (bulk.PLAIN, once normalised) are cut here, by rules that
+have been checked character by character against the library (tests); any other
+text is cut by the library's own pre-tokenizer.
 Special strings in a text are what the library makes of them: one token each.
 """
 
@@ -24,23 +23,23 @@ from __future__ import annotations
 import json
 import os
 import re
-import struct
 import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bulk import PLAIN, Coder
 from .common import slices, written
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
 
-#: Distinct chunks kept by a worker (about 250 bytes each); beyond it the long ones go, which are rarely met again.
-TABLE_LIMIT = 1_000_000
-_SHORT = 7
+#: Distinct pre-tokens kept by a worker (about 50 bytes each, plus those of texts that aren't plain); beyond it the table starts over.
+TABLE_LIMIT = 2_000_000
 #: Bytes of pre-tokens that are broadcast, a fixed cost for each included.
 BROADCAST_BYTES = 16 << 20
 _ENTRY_BYTES = 48
@@ -48,7 +47,6 @@ _ENTRY_BYTES = 48
 GATHERED = 500_000
 OVER_LIMIT = 2048
 
-_FIRST = "\x00"  # a chunk that no space precedes, in front of it
 _PLAIN = re.compile(r"[\x00-\u036f]*")
 _SPACES = r"\t\n\x0b\f\r \x85\xa0"  # white space below U+0370, as the library sees it
 
@@ -104,7 +102,8 @@ class Encoder:
         make = 0 if self.lower else 1
         self._cut, self._cut_ascii = (re.compile(_patterns(below)[make]).findall for below in (0x370, 0x80))
         self._split = self.library.model.tokenize
-        self.ids: dict[str, bytes] = {}
+        self.ids: dict[str, list[int]] = {}
+        self.bulk = Coder(self.lower, self.split, self.limit)
 
     def normal(self, text: str) -> str:
         """The text as it is cut."""
@@ -127,22 +126,6 @@ class Encoder:
         """The pre-tokens of a text without special strings."""
         return self.cut(self.normal(text))
 
-    def chunks(self, text: str) -> list[str]:
-        """A normalised text, cut at places where pre-tokens always end.
-
-        With word ends, no pre-token holds white space, so chunks are what lies between
-        (U+001C to U+001F are white space to str.split alone). With bytes, a single
-        space belongs to what follows it; a chunk is cut before it and stands without
-        it, but for the first, which gets a mark. Runs of spaces are left to the pattern.
-        """
-        if self.lower:
-            return self.cut(text) if any(c in text for c in "\x1c\x1d\x1e\x1f") else text.split()
-        if "  " in text:
-            return [_FIRST + p for p in self.cut(text)]
-        out = text.split(" ")
-        out[0] = _FIRST + out[0]
-        return out
-
     def parts(self, text: str) -> list[str]:
         """The text cut at special strings, which stay as parts of their own."""
         return [text] if self._special is None or "<|" not in text else [p for p in self._special.split(text) if p]
@@ -166,56 +149,46 @@ class Encoder:
         """The ids as the library gives them, for files of another make."""
         return self.library.encode(text or "", add_special_tokens=False).ids
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers."""
-        return [b"".join(self._coded(text or "")) for text in texts]
-
-    def _coded(self, text: str) -> Iterator[bytes]:
+    def code(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts, one text after the other, and the number of ids of each."""
+        plain: list[bytes] = []
+        odd: dict[int, list[int]] = {}
+        for i, text in enumerate(texts):
+            text = text or ""
+            own = self.normal(text) if self.known else text
+            if self.known and (own.isascii() or PLAIN.fullmatch(own)) and not ("<|" in text and self._special and self._special.search(text)):
+                plain.append(own.encode())
+            else:
+                odd[i] = self._coded(text)
+        ids, counts = self.bulk.code(plain) if plain else (np.empty(0, np.uint32), np.empty(0, np.int64))
+        if not odd:
+            return ids, counts
+        runs, all_counts, at, done = [], np.empty(len(texts), dtype=np.int64), 0, 0
+        for i in range(len(texts)):
+            own = np.array(odd[i], dtype=np.uint32) if i in odd else ids[at : at + counts[done]]
+            if i not in odd:
+                at, done = at + len(own), done + 1
+            runs.append(own)
+            all_counts[i] = len(own)
+        return np.concatenate(runs), all_counts
+
+    def _coded(self, text: str) -> list[int]:
+        """The ids of one text, whatever its characters."""
         if not self.known:
-            yield _packed(self.whole(text))
-            return
+            return self.whole(text)
+        out: list[int] = []
         for part in self.parts(text):
             if part in self.special:
-                yield _packed([self.special[part]])
+                out.append(self.special[part])
                 continue
-            chunks = self.chunks(self.normal(part))
-            found = list(map(self.ids.get, chunks))
-            at = -1
-            for _ in range(found.count(None)):
-                at = found.index(None, at + 1)
-                found[at] = self._learned(chunks[at])
-            yield b"".join(found)
-
-    def _learned(self, chunk: str) -> bytes:
-        """The ids of a chunk that isn't in the table, or has only just come into it."""
-        known = self.ids.get(chunk)
-        if known is not None:
-            return known
-        text = chunk if self.lower else chunk[1:] if chunk[:1] == _FIRST else " " + chunk
-        pieces = [chunk] if self.lower and chunk.isalpha() else self.cut(text)
-        if len(pieces) == 1:
-            return self._kept(chunk, _packed(self.split(pieces[0])))
-        own = []
-        for piece in pieces:
-            key = piece if self.lower else piece[1:] if piece[:1] == " " else _FIRST + piece
-            own.append(self.ids.get(key) or self._kept(key, _packed(self.split(piece))))
-        found = b"".join(own)
-        return self._kept(chunk, found) if len(chunk) <= _SHORT else found
-
-    def _kept(self, key: str, ids: bytes) -> bytes:
-        if len(self.ids) >= self.limit:
-            self.ids = _thinned(self.ids, self.limit)
-        self.ids[key] = ids
-        return ids
-
-
-def _thinned(table: dict, limit: int) -> dict:
-    short = {p: v for p, v in table.items() if len(p) <= _SHORT}
-    return short if len(short) <= limit // 2 else {}
-
-
-def _packed(ids: list[int]) -> bytes:
-    return struct.pack(f"<{len(ids)}I", *ids)
+            for piece in self.pieces(part):
+                own = self.ids.get(piece)
+                if own is None:
+                    if len(self.ids) >= self.limit // 8:
+                        self.ids.clear()
+                    own = self.ids[piece] = self.split(piece)
+                out += own
+        return out
 
 
 class PieceModel:
@@ -231,8 +204,9 @@ class PieceModel:
     def whole(self, text: str | None) -> list[int]:
         return self.library.encode(text or "", num_threads=1)
 
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        return [_packed(self.whole(t)) for t in texts]
+    def code(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        each = [self.whole(t) for t in texts]
+        return np.array([i for own in each for i in own], dtype=np.uint32), np.array([len(own) for own in each], dtype=np.int64)
 
 
 @lru_cache(maxsize=2)
