@@ -32,8 +32,8 @@ from dataclasses import dataclass
 import numpy as np
 
 MAGIC = b"PLID\x02"
-BLOCK = 1 << 21
-LANES = 4096
+BLOCK = 1 << 20
+LANES = 2048
 _SHORTEST = 256  # ids of a lane, unless the block is shorter
 _FIRST = 2  # steps before the model is first used
 _SLOT_BITS = 17
@@ -80,6 +80,7 @@ class _Order:
 
     def __init__(self, contexts: int, bits: int) -> None:
         self.contexts, self.bits = contexts, bits
+        self.wide = (contexts << bits) >> 31  # keys need more than 31 bits
         self.keys = np.empty(0, dtype=np.int64)
         self._index()
 
@@ -96,12 +97,13 @@ class _Order:
         np.not_equal(k[1:], k[:-1], out=first[1:])
         self.starts = np.flatnonzero(first).astype(np.int32)  # of each context's ids
         self.lens = np.diff(self.starts, append=np.int32(len(k)))
-        self.known = k[first]
+        self.known = k[first].astype(np.int64 if self.wide else np.int32)
 
     def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the sorted ``keys`` are known, and where."""
         if not len(self.known):
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
+        keys = keys.astype(self.known.dtype)
         at = np.minimum(self.known.searchsorted(keys), len(self.known) - 1)
         hit = np.flatnonzero(self.known.take(at) == keys)
         return hit, at.take(hit)
@@ -147,15 +149,59 @@ class _Model:
         self._settle()
 
 
-def _plan(ids: np.ndarray, vocab: int, lanes: int, steps: int) -> list[np.ndarray]:
-    """For each id in coding order: offset and weight of its order, and start, width and total of the id within."""
+class _Lanes:
+    """The range coder of all lanes; each has room for a word a step."""
+
+    def __init__(self, lanes: int, steps: int) -> None:
+        self.low, self.span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
+        self.room = steps + 1
+        self.words = np.zeros(lanes * self.room, dtype=np.uint32)
+        self.first = np.arange(lanes) * self.room
+        self.place = self.first.copy()
+
+    def step(self, offset: np.ndarray, weight: np.ndarray, start: np.ndarray, width: np.ndarray, total: np.ndarray) -> None:
+        """Code one id in each lane: the share of its order, and its share within."""
+        unit = self.span >> np.uint64(_SHARE_BITS)
+        add = unit * offset
+        unit *= weight
+        unit //= total
+        add += unit * start
+        self._add(add)
+        self.span = unit * width
+        short = self.span < _BELOW
+        self.words[self.place] = self.low >> _WORD  # written over unless it is kept
+        self.place += short
+        shift = short * _WORD
+        self.low <<= shift
+        self.span <<= shift
+
+    def _add(self, number: np.ndarray | np.uint64) -> None:
+        self.low += number
+        over = np.flatnonzero(self.low < number)
+        at = self.place[over] - 1
+        while len(at):  # carry into the words before
+            self.words[at] += np.uint32(1)
+            at = at[self.words[at] == 0] - 1
+
+    def close(self) -> bytes:
+        """Lane after lane, how many words and then the words."""
+        self._add(_FULL)  # the last word: some number of the range whose other bits are zero
+        self.words[self.place] = self.low >> _WORD
+        counts = self.place - self.first + 1
+        words = self.words.reshape(-1, self.room)[np.arange(self.room) < counts[:, None]]
+        head = zlib.compress(counts.astype("<u4").tobytes(), 6)
+        return struct.pack("<I", len(head)) + head + words.astype("<u4").tobytes()
+
+
+def encode_block(ids: np.ndarray, vocab: int, most_lanes: int = LANES) -> bytes:
+    """The bytes of one block of ids, all below ``vocab``."""
+    lanes, steps = _lanes(len(ids), most_lanes)
     lined = np.zeros(lanes * steps, dtype=np.int32)
     lined[: len(ids)] = ids
     grid = np.full((steps + 2) * lanes, vocab)
     grid[2 * lanes :].reshape(steps, lanes)[:] = lined.reshape(lanes, steps).T
     every, last, before = grid[2 * lanes :], grid[lanes:-lanes], grid[: -2 * lanes]
-    m = _Model(vocab)
-    out = [np.empty(lanes * steps, dtype=np.int32) for _ in range(5)]
+    m, coder = _Model(vocab), _Lanes(lanes, steps)
     at_once = max(1, _CHUNK // lanes) * lanes
     place_bits = int(max(_CHUNK, lanes)).bit_length()
     place_mask = (1 << place_bits) - 1
@@ -167,12 +213,10 @@ def _plan(ids: np.ndarray, vocab: int, lanes: int, steps: int) -> list[np.ndarra
             b = min(end, a + at_once)
             own, prev = every[a:b], last[a:b]
             slot = _slot(before[a:b], prev)
-            seen_one, seen_two = m.one.count.take(prev), m.two.count.take(slot)
-            offset, weight, start, width, total = (x[a:b] for x in out)
-            start[:], width[:], total[:] = m.zero_start.take(own), m.zero.take(own), m.zero_total
+            start, width, total = m.zero_start.take(own), m.zero.take(own), np.full(b - a, m.zero_total, dtype=np.int32)
             pick = np.full(b - a, 2)
             rest = np.arange(b - a)
-            for n, (order, context, seen, fresh) in enumerate(((m.two, slot, seen_two, fresh_two), (m.one, prev, seen_one, fresh_one))):
+            for n, (order, context, fresh) in enumerate(((m.two, slot, fresh_two), (m.one, prev, fresh_one))):
                 if end < marks[-1]:
                     fresh.append((context << m.bits) | own)
                 if len(order.keys):
@@ -184,62 +228,21 @@ def _plan(ids: np.ndarray, vocab: int, lanes: int, steps: int) -> list[np.ndarra
                     keys.sort()  # in order, so that the search stays in cache
                     hit, found = order.find(keys >> place_bits)
                     at = keys.take(hit) & place_mask
+                    in_context = context.take(at)
                     pick[at] = n
                     width[at] = order.lens.take(found)
-                    start[at] = order.starts.take(found) - order.start.take(context.take(at))
-                    total[at] = seen.take(at)
+                    start[at] = order.starts.take(found) - order.start.take(in_context)
+                    total[at] = order.count.take(in_context)
                     rest = np.flatnonzero(pick == 2)
             choice = m.choices(slot, prev)
             choice += pick
-            offset[:], weight[:] = m.offset.take(choice), m.weight.take(choice)
             picked += np.bincount(choice, minlength=len(picked))
+            shares = (m.offset.take(choice), m.weight.take(choice), start.astype(np.uint64), width.astype(np.uint64), total.astype(np.uint64))
+            for i in range(0, b - a, lanes):
+                coder.step(*(x[i : i + lanes] for x in shares))
         if end < marks[-1]:
             m.learn(picked, every[begin:end], fresh_one, fresh_two)
-    return [x.reshape(steps, lanes) for x in out]
-
-
-def encode_block(ids: np.ndarray, vocab: int, most_lanes: int = LANES) -> bytes:
-    """The bytes of one block of ids, all below ``vocab``."""
-    lanes, steps = _lanes(len(ids), most_lanes)
-    plan = _plan(ids, vocab, lanes, steps)
-    low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, 0xFFFFFFFFFFFFFFFF, dtype=np.uint64)
-    word = np.empty((steps + 1, lanes), dtype=np.uint32)
-    put, carry = np.ones((steps + 1, lanes), dtype=bool), np.empty((steps + 1, lanes), dtype=bool)
-    for i in range(steps):
-        offset, weight, start, width, total = (x[i].astype(np.uint64) for x in plan)
-        unit = span >> np.uint64(_SHARE_BITS)
-        add = unit * offset
-        unit *= weight
-        unit //= total
-        add += unit * start
-        low += add
-        np.less(low, add, out=carry[i])
-        span = unit * width
-        np.less(span, _BELOW, out=put[i])
-        word[i] = low >> _WORD
-        shift = put[i] * _WORD
-        low <<= shift
-        span <<= shift
-    low += _FULL  # the last word: some number of the range whose other bits are zero
-    np.less(low, _FULL, out=carry[steps])
-    word[steps] = low >> _WORD
-    return _joined(word, put, carry)
-
-
-def _joined(word: np.ndarray, put: np.ndarray, carry: np.ndarray) -> bytes:
-    """Lane after lane, the words put out, with the carries added."""
-    counts = put.sum(axis=0)
-    lane_first = np.ascontiguousarray(put.T)
-    words = np.ascontiguousarray(word.T)[lane_first].astype(np.int64)
-    step, lane = np.nonzero(carry)
-    at = (np.cumsum(counts) - counts)[lane] + np.cumsum(put, axis=0, dtype=np.int32)[step, lane] - put[step, lane] - 1
-    while len(at):
-        np.add.at(words, at, 1)
-        full = np.flatnonzero(words >> 32)
-        words[full] &= 0xFFFFFFFF
-        at = full - 1
-    head = zlib.compress(counts.astype("<u4").tobytes(), 6)
-    return struct.pack("<I", len(head)) + head + words.astype("<u4").tobytes()
+    return coder.close()
 
 
 def decode_block(data: bytes, n: int, vocab: int, most_lanes: int = LANES) -> np.ndarray:
