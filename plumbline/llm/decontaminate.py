@@ -176,8 +176,8 @@ def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "
         yield block
 
 
-def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """``docs`` with a column ``contamination``: struct of spans (word ranges that
+def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, text_col: str = "text", window: int = WINDOW, block_bytes: int = BLOCK_BYTES, into: str = "contamination") -> DataFrame:
+    """``docs`` with a column ``into``: struct of spans (word ranges that
     occur in items, as starts and ends), items (ids found) and n_words.
 
     Null texts have no words; empty tables give no rows or no findings; repeated
@@ -186,17 +186,17 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, te
     (one named like the result is replaced).
     """
     empty = F.struct(F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(None).cast("bigint").alias("n_words"))
-    out = docs.withColumn("contamination", empty)
+    out = docs.withColumn(into, empty)
     blocks = item_blocks(benchmark, block_bytes=block_bytes)
     for block in itertools.chain([next(blocks, [])], blocks):  # at least one pass, which counts the words
         shared = spark.sparkContext.broadcast(block)  # bounded by block_bytes
-        out = out.withColumn("contamination", _search_udf(shared, window)(F.col(text_col), F.col("contamination.spans"), F.col("contamination.items")))
+        out = out.withColumn(into, _search_udf(shared, window)(F.col(text_col), F.col(f"{into}.spans"), F.col(f"{into}.items")))
     return out
 
 
-def hit_words() -> Column:
+def hit_words(found: str = "contamination") -> Column:
     """Words of a document inside the ranges found."""
-    return F.aggregate(F.transform("contamination.spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("bigint"), lambda a, b: a + b)
+    return F.aggregate(F.transform(f"{found}.spans", lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)), F.lit(0).cast("bigint"), lambda a, b: a + b)
 
 
 def decontamination_report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -213,10 +213,18 @@ def decontamination_report(spark: SparkSession, docs: DataFrame, benchmark: Data
 
 
 def clean_documents(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, columns unchanged."""
-    found = contamination(spark, docs, benchmark)
-    hit = hit_words()
-    bad = (hit > 0) & (20 * hit >= F.col("contamination.n_words"))
+    """The rows of ``docs`` that are not contaminated, columns unchanged.
+
+    Null and empty texts have no words and stay; repeated rows are judged each
+    alone; an empty benchmark keeps all; an empty table gives no rows; a column may
+    have any name.
+    """
+    name = "contamination"
+    while name in docs.columns:
+        name += "_"
+    found = contamination(spark, docs, benchmark, into=name)
+    hit = hit_words(name)
+    bad = (hit > 0) & (20 * hit >= F.col(f"{name}.n_words"))
     return found.where(~bad).select(*docs.columns)
 
 

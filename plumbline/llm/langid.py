@@ -8,9 +8,9 @@ numpy on a bounded sample of labelled texts (documented parameter, per language)
 a part of the sample is kept out of training and fits a temperature, which
 calibrates the scores, and the score below which a prediction is rejected.
 
-Prediction is one pass over the documents: since the mean and the layer are both
-linear, the product of embeddings and layer is formed once and its rows are
-averaged, which gives the same logits.
+Prediction is one pass over the documents. Where there are few languages the
+product of embeddings and layer is formed first and its rows are averaged: both
+are linear, so the logits are the same.
 """
 
 from __future__ import annotations
@@ -29,10 +29,9 @@ from .common import give_back, slices
 
 BUCKETS = 1 << 15
 DIMENSIONS = 16
-#: Labelled texts of each language that are learned from, about.
+#: Labelled texts of each language that are learned from, and of all languages, about.
 SAMPLE_PER_LANGUAGE = 1500
-#: Languages that are learned at most, the most frequent: bounds the model.
-LANGUAGES = 256
+SAMPLE = 60_000
 #: Share of correctly predicted calibration texts that rejection may cost.
 REJECT_SHARE = 0.002
 UNKNOWN = "und"
@@ -63,10 +62,11 @@ def subwords(texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 @dataclass
 class Model:
-    """A trained identifier: bucket scores (embeddings times layer), bias, temperature."""
+    """A trained identifier. Its size hardly grows with the number of languages."""
 
     languages: list[str]
-    scores: np.ndarray
+    embeddings: np.ndarray
+    layer: np.ndarray
     bias: np.ndarray
     temperature: float
     reject_below: float
@@ -77,14 +77,16 @@ class Model:
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts))
         count = np.zeros(len(texts))
-        total = np.zeros((len(texts), len(self.languages)))
-        table = self.scores.astype(np.float32)
+        few = len(self.languages) <= DIMENSIONS  # their product first: as exact, fewer numbers
+        table = self.embeddings @ self.layer if few else self.embeddings
+        total = np.zeros((len(texts), table.shape[1]))
         for bucket, doc in subwords(texts):
             if len(bucket):
                 first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1])))
                 total[doc[first]] += np.add.reduceat(table[bucket], first, axis=0, dtype=np.float64)
                 count += np.bincount(doc, minlength=len(texts))
-        logits = (total / np.maximum(count, 1)[:, None] + self.bias) / self.temperature
+        mean = total / np.maximum(count, 1)[:, None]
+        logits = ((mean if few else mean @ self.layer) + self.bias) / self.temperature
         p = _softmax(logits)
         best = p.argmax(axis=1)
         score = np.where(letters, p[np.arange(len(texts)), best], 0.0)
@@ -96,19 +98,21 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return e / e.sum(axis=1, keepdims=True)
 
 
-def train(texts: list[str], labels: list[str], *, epochs: int = 6, rate: float = 2.0, batch: int = 32, seed: int = 7, reject_share: float = REJECT_SHARE) -> Model:
-    """Fit on these texts; every fifth is kept for calibration."""
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of a text's subwords and the share of each."""
+    bucket, n = np.unique(np.concatenate([b for b, _ in subwords([text])]), return_counts=True)
+    return bucket.astype(np.uint16), (n / max(1, n.sum())).astype(np.float32)
+
+
+def train(rows: list[np.ndarray], counts: list[np.ndarray], labels: list[str], *, epochs: int = 6, rate: float = 2.0, batch: int = 32, seed: int = 7, reject_share: float = REJECT_SHARE) -> Model:
+    """Fit on texts given as their features; every fifth is kept for calibration."""
     languages = sorted(set(labels))
     if not languages:
-        return Model([], np.zeros((BUCKETS, 0)), np.zeros(0), 1.0, 0.0)
+        return Model([], np.zeros((BUCKETS, DIMENSIONS)), np.zeros((DIMENSIONS, 0)), np.zeros(0), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     index = {lang: i for i, lang in enumerate(languages)}
-    rows, counts, target = [], [], np.array([index[x] for x in labels])
-    for text in texts:
-        bucket, n = np.unique(np.concatenate([b for b, _ in subwords([text])]), return_counts=True)
-        rows.append(bucket.astype(np.int32))
-        counts.append((n / max(1, n.sum())).astype(np.float32))
-    held = np.arange(len(texts)) % 5 == 4
+    target = np.array([index[x] for x in labels])
+    held = np.arange(len(rows)) % 5 == 4
     if held.all() or not held.any():
         held[:] = False
     emb = rng.normal(0, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)).astype(np.float32)
@@ -130,9 +134,9 @@ def train(texts: list[str], labels: list[str], *, epochs: int = 6, rate: float =
             for g, i in zip(back, some, strict=True):
                 emb[rows[i]] -= (lr * 40) * np.outer(counts[i], g)
             step += 1
-    model = Model(languages, (emb @ layer).astype(np.float64), bias.astype(np.float64), 1.0, 0.0)
+    model = Model(languages, emb, layer, bias.astype(np.float64), 1.0, 0.0)
     judge = np.flatnonzero(held) if held.any() else learn
-    logits = np.stack([counts[i] @ model.scores[rows[i]] + model.bias for i in judge])
+    logits = np.stack([counts[i] @ emb[rows[i]] @ layer + model.bias for i in judge])
     grid = np.exp(np.linspace(np.log(0.05), np.log(20), 61))
     wanted = np.full(logits.shape, 0.001 / len(languages))  # smoothed, or separable samples would ask for scores of 1
     wanted[np.arange(len(judge)), target[judge]] += 0.999
@@ -150,22 +154,35 @@ def is_held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def fit(spark: SparkSession, docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, "text"):
+            found = [features(t) for t in part.column("text").to_pylist()]
+            rows, counts = (pa.array([f[k].tobytes() for f in found], pa.binary()) for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([rows, counts, part.column("lang"), part.column("key")], names=["rows", "counts", "lang", "key"])
+
+
+def fit(spark: SparkSession, docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, sample: int = SAMPLE) -> Model:
     """Learn from ``text`` and non-null ``lang`` of the documents not held out.
 
-    The sample is by a hash, about ``per_language`` texts for each language and
-    copies once, so it is bounded whatever the table's size.
+    Every language that occurs is learned. The texts to learn from are picked by a
+    hash, about ``per_language`` of each language and ``sample`` in all, copies once;
+    what reaches the driver are their features, of bounded size for texts of any length.
     """
     usable = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id")))
-    have = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    have = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
     if not have:
-        return train([], [])
+        return train([], [], [])
     unit = 1 << 30
-    share = F.create_map(*[x for lang, n in have.items() for x in (F.lit(lang), F.lit(min(unit, unit * per_language // n)))])
-    picked = usable.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(unit)) < share[F.col("lang")]).select("text", "lang").distinct().collect()
-    picked.sort(key=lambda r: (r["text"], r["lang"]))
-    order = np.random.default_rng(1).permutation(len(picked))
-    return train([picked[i]["text"] for i in order], [picked[i]["lang"] for i in order])
+    each = max(1, min(per_language, sample // len(have)))
+    share = F.create_map(*[x for lang, n in sorted(have.items()) for x in (F.lit(lang), F.lit(min(unit, unit * each // n)))])
+    key = F.xxhash64("text", "lang")
+    picked = usable.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(unit)) < share[F.col("lang")]).select("text", "lang", key.alias("key"))
+    once = picked.groupBy("key", "lang").agg(F.min("text").alias("text"))
+    found = once.mapInArrow(_features, "rows binary, counts binary, lang string, key bigint").toArrow()
+    order = np.random.default_rng(1).permutation(found.num_rows)
+    rows, counts, lang = (found.column(c).take(pa.array(np.argsort(found.column("key").to_numpy(), kind="stable")[order])).to_pylist() for c in ("rows", "counts", "lang"))
+    return train([np.frombuffer(r, dtype=np.uint16).astype(np.int32) for r in rows], [np.frombuffer(c, dtype=np.float32) for c in counts], lang)
 
 
 _PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
@@ -208,7 +225,11 @@ def language_report(spark: SparkSession, docs: DataFrame, model: Model | None =
 
 
 def identified(spark: SparkSession, docs: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs`` whose language is recognised, columns unchanged."""
+    """The rows of ``docs`` whose language is recognised, columns unchanged.
+
+    Null and empty texts, and texts without a letter, go; ties and repeated rows
+    are as in language_report; an empty table gives no rows.
+    """
     model = model or fit(spark, docs)
     name = "_language"
     while name in docs.columns:

@@ -175,9 +175,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int = LABELLED_PER_CLASS, pool: int = POOL) -> Model:
     """Learn from ``labels.quality`` of a sample of labelled documents and an unlabelled pool.
 
-    Rows are picked by a hash of the id, about ``per_class`` labelled ones of each
-    class and ``pool`` others, so what reaches the driver is bounded. Of several
-    labels of a document the lowest counts; null labels don't.
+    Rows are picked by a hash, about ``per_class`` labelled ids of each class and
+    ``pool`` others, each once, so what reaches the driver is bounded. Of several
+    labels of a document the lowest counts, and of several rows of a labelled id one;
+    null labels don't count.
     """
     unit = 1 << 30
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("label"))
@@ -189,9 +190,12 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int
     at = F.pmod(F.xxhash64("doc_id"), F.lit(unit))
     picked = known.where(at < share[F.col("label")])  # bounded by per_class, so it may be broadcast
     rows = docs.select("doc_id", "text", "source", "lang", F.col("n_chars").cast("bigint").alias("n_chars")).join(F.broadcast(picked), "doc_id", "left")
-    in_pool = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(unit)) < min(unit, unit * pool // max(1, total))
+    in_pool = F.pmod(F.xxhash64("doc_id", "text", F.lit(1)), F.lit(unit)) < min(unit, unit * pool // max(1, total))
     rows = rows.where(F.col("label").isNotNull() | in_pool)
-    rows = rows.select("text", "source", "lang", "n_chars", F.col("label").cast("int").alias("label"), F.xxhash64("doc_id", "text").alias("key"))
+    # one row of each labelled id, and each text of the pool once, however often they are repeated
+    own = F.struct(F.xxhash64("doc_id", "text").alias("key"), "text", "source", "lang", "n_chars", F.col("label").cast("int").alias("label"))
+    which = F.when(F.col("label").isNull(), F.xxhash64("doc_id", "text")).otherwise(F.xxhash64("doc_id"))
+    rows = rows.groupBy(which.alias("which"), F.col("label").isNull().alias("in_pool")).agg(F.min(own).alias("own")).select("own.*")
     found = rows.mapInArrow(_features, "label int, x array<double>, m array<double>, key bigint").toArrow()
     order = np.argsort(found.column("key").to_numpy(), kind="stable")
     label = np.array([np.nan if v is None else float(v) for v in found.column("label").to_pylist()])[order]
@@ -240,7 +244,11 @@ def quality_report(spark: SparkSession, docs: DataFrame, labels: DataFrame, mode
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
-    """The rows of ``docs`` that are kept, columns unchanged."""
+    """The rows of ``docs`` that are kept, columns unchanged.
+
+    Nulls, empty texts, ties with the threshold and repeated rows are as in
+    quality_report; an empty table gives no rows; a column may have any name.
+    """
     model = model or fit(spark, docs, labels)
     name = "_quality"
     while name in docs.columns:

@@ -7,8 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-import corpus_pipeline
-
+from . import pipeline
 from .common import table
 from .decontaminate import decontamination_report
 from .embeddings import linked_vectors
@@ -106,7 +105,7 @@ FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """The pipeline and the ten operators."""
     return {
-        "pipeline": corpus_pipeline.run,
+        "pipeline": pipeline.run,
         "op1_quality": op1_quality,
         "op2_embedding_neardup": op2_embedding_neardup,
         "op3_packing": op3_packing,

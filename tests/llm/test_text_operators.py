@@ -8,6 +8,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, html, langid, licenses, quality
 
@@ -49,6 +50,9 @@ def test_contamination_equals_brute_force(spark, documents):
     assert sorted(report) == sorted(brute(docs, items))
     clean = decontaminate.clean_documents(spark, documents(docs), bench)
     assert sorted(r["doc_id"] for r in clean.collect()) == sorted(b[0] for b in brute(docs, items) if not b[5])
+    clash = documents(docs).withColumn("contamination", F.lit(7))
+    kept = decontaminate.clean_documents(spark, clash, bench)
+    assert kept.columns == clash.columns and {r["contamination"] for r in kept.collect()} == {7} and kept.count() == clean.count()
     assert decontaminate.decontamination_report(spark, documents([]), bench).count() == 0
     assert {r["n_hit"] for r in decontaminate.decontamination_report(spark, documents(docs), bench.limit(0)).collect()} == {0}
 
@@ -100,6 +104,26 @@ def test_quality(spark, documents):
     assert quality.quality_report(spark, documents([]), labels).count() == 0
 
 
+def test_many_languages_are_all_learned(spark, documents):
+    """Far more languages than there are dimensions, one of them rare."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(300):
+        alphabet = [chr(97 + (k * 7 + j * (1 + k % 5)) % 26) + chr(97 + (k * 3 + j) % 26) for j in range(6)]
+        rows += [(len(rows) + i, " ".join("".join(rng.choice(alphabet) for _ in range(3)) for _ in range(30)), f"l{k:03d}") for i in range(12 if k else 4)]
+    model = langid.fit(spark, documents(rows))
+    assert len(model.languages) == 300 and model.embeddings.shape == (langid.BUCKETS, langid.DIMENSIONS)
+    lang, score = model.predict([r[1] for r in rows[:200]])
+    assert set(lang) <= set(model.languages) and ((0 <= score) & (score <= 1)).all()
+
+
+def test_repeats_do_not_grow_the_sample(spark, documents):
+    rows = [(1, f"good text number {i} of one id") for i in range(300)] + [(None, "no id")] * 300 + [(i, f"bad {i}") for i in range(2, 40)]
+    labels = spark.createDataFrame([(1, 1, 0)] + [(i, 0, 0) for i in range(2, 40)], "doc_id bigint, quality int, toxic int")
+    out = quality.quality_report(spark, documents(rows, extra=True), labels).collect()
+    assert len(out) == len(rows) and all(0 <= r["score"] <= 1 for r in out)
+
+
 def test_views_teach_each_other():
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, 300)
