@@ -1,63 +1,8 @@
-"""From raw documents to packed training sequences, in five stages.
+"""The corpus pipeline: five stages from raw documents to packed sequences.
 
-Each stage takes (spark, docs, sf_dir), works on all that the one before kept and
-returns a DataFrame, which is written and read again as the next one's docs. All
-but the last return the columns of documents. No stage can be put into SQL as a
-whole (two learned models, a randomised sketch and a genetic search), so
-ORACLE_SQL is None and the tests hold the stages against brute force.
+The stages themselves are in plumbline.llm.pipeline.
 """
 
-from __future__ import annotations
+from plumbline.llm.pipeline import ORACLE_SQL, STAGES, run
 
-import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
-
-from plumbline.llm.common import table, written
-from plumbline.llm.decontaminate import clean_documents
-from plumbline.llm.langid import identified
-from plumbline.llm.neardup import deduplicated
-from plumbline.llm.packing import packed_documents
-from plumbline.llm.quality import good_documents
-
-
-#: Pre-tokens that a worker keeps, and bytes it cuts at once: fewer than when packing alone, for the workers of all stages share their memory.
-KEPT = 100_000
-SLICE = 1 << 20
-
-
-def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised with confidence."""
-    return identified(spark, docs)
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the co-trained classifiers keep."""
-    return good_documents(spark, docs, table(spark, sf_dir, "labels"))
-
-
-def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return deduplicated(spark, docs)
-
-
-def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without more than a trace of the benchmark."""
-    return clean_documents(spark, docs, table(spark, sf_dir, "benchmark"))
-
-
-def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents with their places in sequences of 1024 tokens."""
-    return packed_documents(spark, docs, public_tokenizers.path("byte_bpe_50k.json"), kept=KEPT, slice_bytes=SLICE)
-
-
-STAGES = [("language", language), ("quality", quality), ("dedup", dedup), ("decontaminate", decontaminate), ("pack", pack)]
-
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of ``sf_dir``."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES[:-1]:
-        docs = written(spark, stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
