@@ -1,13 +1,18 @@
 """Main text of web pages by composite text density.
 
-A page becomes a small tree of nodes; what can't be article (scripts, styles,
-forms, navigation, headers and footers of the page, asides, adverts, notices,
-reader comments, hidden parts) is taken out first. For every node left the
-link-adjusted characters per tag are computed, and a node's density sum is the sum
-over its children. The threshold is the smallest density on the path from the
-body to the densest node; among the nodes that reach it, the subtree with the
-largest density sum is the article, or the article or main element around it.
-Its blocks are the text, in page order.
+A page becomes a small tree of nodes without scripts, styles, controls and hidden
+parts. Elements and class names that speak of menus, sidebars, adverts, notices,
+forms or reader comments *weigh* text down; a node so marked goes only if the
+page has more text outside of it than its own weighs, so a wrapper whose class
+happens to name a sidebar stays.
+
+For every node left the link-adjusted characters per tag are computed, and a
+node's density sum is the sum over its children. The threshold is the smallest
+density on the path from the body to the densest node; among the nodes that reach
+it, the subtree with the largest density sum is the heart of the article, on
+every page and whatever its elements are called. It grows by what stands beside it
+as long as that is short, or as dense and as free of links. Its blocks are the
+text, in page order.
 """
 
 from __future__ import annotations
@@ -27,8 +32,9 @@ from .common import slices
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 _DROPPED = frozenset(
-    "script style noscript template head title iframe object embed canvas svg math audio video map form button select option textarea input label fieldset nav footer aside dialog menu noembed noframes xmp".split()
+    "script style noscript template head title iframe object embed canvas svg math audio video map button select option textarea input noembed noframes xmp nav footer".split()
 )
+_WEIGHED = {"aside": 2, "dialog": 2, "menu": 2, "form": 1, "fieldset": 1, "label": 1}
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -46,14 +52,16 @@ _SIBLINGS = {
     "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
     "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
-# Words in class, id and role that mark what isn't article.
-_NOISE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|banner|sidebar|side-?bar|aside|rail|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|site-?header|page-?header|top-?bar|toolbar|skip|"
-    r"comments?|comment-?list|disqus\w*|respond|replies|reply|discussion|cookies?|consent|gdpr|notice|notification|alert|popup|modal|overlay|newsletter|subscribe|subscription|signup|login|paywall|"
-    r"share|sharing|social|related|recommend\w*|read-?more|see-?also|popular|trending|widget|pagination|pager|tags|tag-?list|hidden|contentinfo|complementary|search)(?:$|[\s_-])",
-    re.I,
+# Words in class, id and role: of what isn't article, of what is, and those that say a part is there, not that this is it.
+_NOISE = frozenset(
+    "ad ads advert adverts advertisement advertising adsense adbox sponsor sponsored sponsors promo promotion banner sidebar side aside rail nav navbar navigation menu breadcrumb breadcrumbs footer masthead topbar toolbar skip "
+    "comment comments commentlist disqus respond replies reply discussion cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login paywall "
+    "share sharing social related recommended recommendations recommend popular trending widget widgets pagination pager tags taglist hidden contentinfo complementary search".split()
 )
-_PROTECTED = frozenset(("html", "body", "main", "article"))
+_ARTICLE = frozenset("article body col column content entry main page post story text".split())
+_ABOUT = frozenset("no non not has have with without show hide is enabled disabled xs sm md lg xl mobile desktop tablet print".split())
+_PROTECTED = frozenset(("html", "body"))
+_PARTS = re.compile(r"[-_]+|(?<=[a-z])(?=[A-Z])")
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*)(?:>|$)|<[!?/][^>]*(?:>|$)", re.S)
 _ATTR = re.compile(r"(?:^|[\s/\"'])(class|id|role|hidden|style|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))|(?=[\s/]|$))", re.I)
 _HIDDEN_STYLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
@@ -61,35 +69,52 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    """An element: its children are nodes and pieces of text."""
-
-    __slots__ = ("tag", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total")
-
-    def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent, self.children = tag, parent, []
-
-
-def _is_noise(tag: str, attrs: str, inside_article: bool) -> bool:
-    if tag in _DROPPED or (tag == "header" and not inside_article):
-        return True
-    if not attrs or tag in _PROTECTED:
-        return False
+    """An element: its children are nodes and pieces of text. ``mark``: how strongly
+    its names say that it isn't article, from 0 to 2."""
+
+    __slots__ = ("tag", "mark", "children", "parent", "chars", "tags", "link_chars", "link_tags", "density", "total", "weight")
+
+    def __init__(self, tag: str, parent: Node | None, mark: int = 0) -> None:
+        self.tag, self.parent, self.mark, self.children = tag, parent, mark, []
+
+
+def _name_mark(value: str) -> int:
+    """What the names in a class, an id or a role say: 2 for the name of a part that
+    isn't article, 1 for a name that holds such a word, less for names of the article."""
+    mark = 0
+    for name in value.split():
+        parts = [w.lower() for w in _PARTS.split(name) if w]
+        if not parts or not _ABOUT.isdisjoint(parts):
+            mark -= any(w in _ARTICLE for w in parts)
+        elif parts[-1] in _NOISE:
+            mark += 2
+        elif parts[-1] in _ARTICLE and _NOISE.isdisjoint(parts):
+            mark -= 1
+        elif not _NOISE.isdisjoint(parts):
+            mark += 1
+    return mark
+
+
+def _mark(tag: str, attrs: str) -> int:
+    """Of an element: from 0 to 2, or -1 if it is no text of the page at all."""
+    if tag in _DROPPED:
+        return -1
+    mark = _WEIGHED.get(tag, 0)
     for m in _ATTR.finditer(attrs):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true") or (name == "style" and _HIDDEN_STYLE.search(value)):
-            return True
-        if name in ("class", "id", "role") and _NOISE.search(value):
-            return True
-    return False
+            return mark if tag in _PROTECTED else -1
+        if name in ("class", "id", "role") and tag not in _PROTECTED:
+            mark += _name_mark(value)
+    return min(max(mark, 0), 2)
 
 
 def parse(page: str) -> Node:
-    """The tree of a page without what can't be article. Never fails: unclosed and
+    """The tree of a page without scripts, controls and hidden parts. Never fails: unclosed and
     stray tags are closed or skipped much as browsers do."""
     root = Node("html", None)
     stack = [root]
     skip = 0  # depth of the stack at which dropped content began, 0: none
-    articles = 0
     at = 0
     while at < len(page):
         m = _TOKEN.search(page, at)
@@ -107,7 +132,6 @@ def parse(page: str) -> Node:
                 continue
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
-                    articles -= sum(n.tag in ("article", "main") for n in stack[i:])
                     del stack[i:]
                     break
                 if tag not in _BLOCK and stack[i].tag in _BLOCK:
@@ -139,9 +163,10 @@ def parse(page: str) -> Node:
             skip = 0
         if tag == "html":
             continue
-        node = Node(tag, stack[-1])
+        mark = 0 if skip else _mark(tag, attrs)
+        node = Node(tag, stack[-1], mark)
         if not skip:
-            if _is_noise(tag, attrs, articles > 0):
+            if mark < 0:
                 if tag in _BLOCK:
                     stack[-1].children.append(Node("hr", stack[-1]))  # still parts the text around it
                 if tag not in _VOID and not attrs.endswith("/"):
@@ -156,17 +181,48 @@ def parse(page: str) -> Node:
             skip = 0 if skip == len(stack) else skip
             continue
         stack.append(node)
-        articles += tag in ("article", "main")
     return root
 
 
-def _measure(root: Node) -> None:
-    """Characters, tags, link characters and link tags below each node, bottom up."""
+def _below(root: Node) -> list[Node]:
+    """The node and all below it, parents first."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
         todo += [c for c in node.children if isinstance(c, Node)]
+    return order
+
+
+def prune(root: Node) -> None:
+    """Take out marked nodes: those whose text, a quarter of it for each point of the
+    mark, is outweighed by the text outside of them. Texts of links don't count."""
+    order = _below(root)
+    for node in reversed(order):
+        text = 0.0 if node.tag == "a" else float(sum(len(c.strip()) if isinstance(c, str) else c.weight for c in node.children))
+        node.total = text
+        node.weight = text / 4**node.mark
+    outside: dict[int, float] = {id(root): 0.0}
+    for node in order:
+        if id(node) not in outside:
+            continue  # below one that is taken out
+        kept: list[Node | str] = []
+        for c in node.children:
+            if isinstance(c, Node):
+                around = outside[id(node)] + node.total - c.weight
+                if c.mark and c.weight < around:
+                    if c.tag in _BLOCK:
+                        kept.append(Node("hr", node))
+                        outside[id(kept[-1])] = 0.0
+                    continue
+                outside[id(c)] = around
+            kept.append(c)
+        node.children = kept
+
+
+def _measure(root: Node) -> None:
+    """Characters, tags, link characters and link tags below each node, bottom up."""
+    order = _below(root)
     for node in reversed(order):
         chars = tags = links = link_tags = 0
         for c in node.children:
@@ -215,20 +271,24 @@ def main_node(root: Node) -> Node:
             threshold = min(threshold, node.density)
         node = node.parent
     best = max((n for n in blocks if n.density >= threshold), key=lambda n: n.total)
-    around = [n for n in _up(best) if n.tag in ("article", "main")]
-    if around:
-        return around[-1] if around[-1].tag == "article" or len(around) == 1 else around[0]
     # What stands beside it belongs to the article if it is short, or as dense and as free of links.
     node = best
     while node.parent is not None and node.tag not in ("body", "html"):
         beside = [c for c in node.parent.children if isinstance(c, Node) and c is not node and c.chars and not _is_link_list(c)]
-        alike = all(c.density >= threshold / 2 and c.link_chars <= 0.3 * c.chars for c in beside)
-        if not alike and node.parent.chars - node.parent.link_chars > 1.5 * max(1, best.chars):
+        text = max(1, node.chars - node.link_chars)
+        large = [c for c in beside if 5 * (c.chars - c.link_chars) > text]
+        alike = all(c.density >= threshold / 2 and c.link_chars <= 0.3 * c.chars for c in large)
+        if not alike and node.parent.chars - node.parent.link_chars > 1.5 * text:
             break
+        if not large and node.tag in ("article", "main"):
+            break  # weighs against taking in what is short
         node = node.parent
     for here in (node, best):  # lists of links beside the text are menus
         rest = [c for c in here.children if isinstance(c, str) or not _is_link_list(c)]
         here.children = rest if any(isinstance(c, str) and c.strip() or isinstance(c, Node) and c.chars for c in rest) else here.children
+    if node.tag in ("body", "html"):  # a header right here is the page's
+        rest = [c for c in node.children if isinstance(c, str) or c.tag != "header"]
+        node.children = rest if any(isinstance(c, Node) and c.chars for c in rest) else node.children
     return node
 
 
@@ -236,13 +296,6 @@ def _is_link_list(node: Node) -> bool:
     return node.link_tags + (node.tag == "a") > 1 and node.link_chars > 0.7 * node.chars
 
 
-def _up(node: Node) -> Iterator[Node]:
-    here: Node | None = node
-    while here is not None:
-        yield here
-        here = here.parent
-
-
 def blocks_of(node: Node) -> list[str]:
     """The text of each block below a node, white space made one, empty ones left out."""
     out: list[str] = []
@@ -275,7 +328,11 @@ def blocks_of(node: Node) -> list[str]:
 
 def main_text(page: str | None) -> str:
     """The article of a page; an empty string if there is none."""
-    return "\n\n".join(blocks_of(main_node(parse(page)))) if page else ""
+    if not page:
+        return ""
+    root = parse(page)
+    prune(root)
+    return "\n\n".join(blocks_of(main_node(root)))
 
 
 def extracted(page: Column) -> Column:

@@ -7,6 +7,7 @@ import re
 
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -169,6 +170,44 @@ def test_pages_against_a_plain_reading_of_the_generated_articles(spark):
         assert r["text"] == "\n\n".join(p for p in want if p)
 
 
+def test_elements_may_be_called_anything():
+    """Density decides: pages give the same text without article and main elements."""
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"]).column("html").to_pylist():
+        assert html.main_text(page) == html.main_text(re.sub(r"(</?)(article|main)\b", r"\1div", page)) != ""
+
+
+STORY = "<h1>Title</h1><p>" + "Some words of the story here. " * 10 + "</p><p>" + "More words follow. " * 8 + "</p>"
+STORY_TEXT = "Title\n\n" + ("Some words of the story here. " * 10).strip() + "\n\n" + ("More words follow. " * 8).strip()
+
+
+@pytest.mark.parametrize("names", ["layout has-sidebar", "content no-sidebar", "page search-results", "hidden-xs main-col", "entry-content share-enabled", "page-with-menu", "wrapper modal-open", "site search", "widget-area"])
+@pytest.mark.parametrize("inner", ["article", "div"])
+def test_names_only_weigh(names, inner):
+    side = "<div class=sidebar>Side words</div>"
+    comments = "<div class='comments'><p>" + "reader says " * 100 + "</p></div>"
+    page = f"<body><nav><a href=1>x</a></nav><div class='{names}'>{side}<{inner}>{STORY}</{inner}>{comments}</div><footer>f</footer></body>"
+    assert html.main_text(page) == STORY_TEXT
+
+
+def test_forms_headers_and_teasers():
+    assert html.main_text(f"<body><form><div>{STORY}</div><input><label>no</label></form></body>") == STORY_TEXT
+    teaser = "<div class=list><article class=teaser><p>" + "teaser words " * 30 + "</p></article></div>"
+    assert "teaser" not in html.main_text(f"<body><header><h1>Site</h1></header><div>{STORY * 3}</div><div class=related>{teaser}</div></body>")
+    assert html.main_text("<body><header><h1>Site</h1></header><div><header><h1>T</h1></header><p>" + "long text. " * 30 + "</p></div></body>").startswith("T\n\nlong")
+    assert html.main_text("<body><nav>a menu</nav><footer>f</footer></body>") == ""
+
+
+def test_odd_pages(spark):
+    long = "<article>" + STORY * 3000 + "</article>"
+    rows = [(1, "u", long, 1), (1, "u", long, 1), (None, None, None, 2), (2, None, STORY, 3), (2, "v", "", 3)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, text int").withColumn("n_chars", F.lit("clash"))
+    out = html.page_texts(df)
+    assert out.columns == ["page_id", "url", "text", "n_chars"]
+    got = sorted(((r["page_id"] or 0, r["url"] or "", r["n_chars"]) for r in out.collect()))
+    want = 3000 * len(STORY_TEXT) + 2 * 2999
+    assert got == [(0, "", 0), (1, "u", want), (1, "u", want), (2, "", len(STORY_TEXT)), (2, "v", 0)]
+
+
 def test_random_pages_do_not_fail():
     rng = random.Random(8)
     bits = ["<p>", "</p>", "<div class=ad>", "</div>", "<a href='", "'>", "x", "&amp", "<!--", "-->", "<script>", "</script>", "<b", ">", "<li>", "</ul>", "<body>", "</html>", "\"", "<td>", "</article>", "<article>"]
