@@ -2,14 +2,19 @@
 
 A template of n words is looked for in windows of n + s - 1 words, s apart, so
 that one window holds any place where it stands whole. Windows and templates are
-sets of five-word shingles; MinHash bands retrieve the templates a window may
-hold, and exact containment of the template's shingles decides (``CONTAINMENT``).
+sets of five-word shingles (a template of fewer words has one shingle of them
+all). Both are cut into MinHash bands, an equi-join on (band, value) retrieves the
+templates that a window may hold, and exact containment of the template's
+shingles decides (``CONTAINMENT``).
 
 A window that contains a template to that share has a Jaccard similarity of at
 least ``floor_similarity`` with it, from which the number of bands is derived so
 that it is retrieved with a probability over 1 - ``MISS``. Shingles that occur in
-no template are dropped before hashing: they can't make a band agree, only keep
-it from agreeing, so retrieval finds no less and most windows vanish.
+no template of a window's size are dropped before hashing: they can't make a band
+agree, only keep it from agreeing, so retrieval finds no less and most windows
+vanish.
+
+Templates are broadcast in blocks of ``BLOCK_WORDS``; each block is a pass.
 """
 
 from __future__ import annotations
@@ -26,8 +31,8 @@ SHINGLE = 5
 CONTAINMENT = 0.8
 ROWS = 2
 MISS = 1e-4
-#: Templates are broadcast; this bounds how many words there may be of them.
-TEMPLATE_WORDS = 200_000
+#: Words of the templates that are looked for, and broadcast, in one pass.
+BLOCK_WORDS = 20_000
 
 # Notices of well-known licenses, as published.
 TEMPLATES = [
@@ -41,6 +46,16 @@ TEMPLATES = [
     ("CC-BY-NC-4.0-short", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("BSD-3-Clause", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSD-2-Clause", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
 ]
 
 _NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,8 +65,14 @@ def _words(text: str) -> list[str]:
     return [w for w in re.split(_NOT_WORD, "".join(c.lower() if c.isascii() else c for c in text)) if w]
 
 
+def shingle_size(n: int) -> int:
+    """Words in a shingle of a template of ``n`` words."""
+    return min(SHINGLE, n)
+
+
 def _shingles(words: list[str]) -> list[str]:
-    return sorted({" ".join(words[i : i + SHINGLE]) for i in range(len(words) - SHINGLE + 1)})
+    size = shingle_size(len(words))
+    return sorted({" ".join(words[i : i + size]) for i in range(len(words) - size + 1)})
 
 
 def stride(n: int) -> int:
@@ -61,7 +82,7 @@ def stride(n: int) -> int:
 
 def floor_similarity(n: int, distinct: int) -> float:
     """The least Jaccard similarity of a template and a window that contains it."""
-    window = n + stride(n) - SHINGLE
+    window = n + stride(n) - shingle_size(n)
     shared = math.ceil(CONTAINMENT * distinct)
     return shared / (distinct + window - shared)
 
@@ -76,20 +97,20 @@ def _min_hashes(shingles: Column, bands: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, *(least(b * ROWS + j) for j in range(ROWS))))
 
 
-def template_table(spark: SparkSession, templates: list[tuple[str, str]]) -> tuple[DataFrame, list[str], int]:
-    """Templates with their windows, shingles and bands; all shingles; bands used."""
-    rows, total = [], 0
+def template_blocks(templates: list[tuple[str, str]], block_words: int) -> list[list[tuple]]:
+    """Rows (template, shingle size, width, stride, shingles) in blocks of so many
+    words, a longer template alone. A template without a word is never found."""
+    blocks, size = [[]], 0
     for name, text in templates:
         words = _words(text)
-        total += len(words)
-        if len(words) < SHINGLE:
-            raise ValueError(f"template {name} has fewer than {SHINGLE} words")
-        rows.append((name, len(words) + stride(len(words)) - 1, stride(len(words)), _shingles(words)))
-    if total > TEMPLATE_WORDS:
-        raise ValueError(f"templates have {total} words, {TEMPLATE_WORDS} at most are allowed")
-    bands = max((bands_needed(floor_similarity(w - s + 1, len(sh))) for _, w, s, sh in rows), default=1)
-    table = spark.createDataFrame(rows, "template string, width int, stride int, shingles array<string>")
-    return table.withColumn("bands", _min_hashes(F.col("shingles"), bands)), sorted({s for r in rows for s in r[3]}), bands
+        if not words:
+            continue
+        if blocks[-1] and size + len(words) > block_words:
+            blocks.append([])
+            size = 0
+        blocks[-1].append((name, shingle_size(len(words)), len(words) + stride(len(words)) - 1, stride(len(words)), _shingles(words)))
+        size += len(words)
+    return [b for b in blocks if b]
 
 
 def words_of(text: Column) -> Column:
@@ -97,33 +118,63 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lowered, _NOT_WORD), lambda w: w != "")
 
 
-def found_licenses(spark: SparkSession, docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> tuple[DataFrame, DataFrame]:
+def found_licenses(spark: SparkSession, docs: DataFrame, templates: list[tuple[str, str]] | None = None, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """(row, doc_id) of every document, and what was found: row, template,
-    containment (the best of any window) and first_word (where that window begins)."""
-    table, known, bands = template_table(spark, TEMPLATES if templates is None else templates)
-    words = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
-    # Words are hashed once; a shingle is looked up by a cheap sum of them before it is spelt out.
-    code = F.transform("words", lambda w: F.xxhash64(w))
-    sums = words.withColumn("code", code)
-    at = F.sequence(F.lit(0), F.size("words") - SHINGLE)
-    mixed = lambda i: F.xxhash64(*(F.get("code", i + k) for k in range(SHINGLE)))
-    codes = [r["c"] for r in spark.createDataFrame([(s.split(" "),) for s in known], "w array<string>").select(F.xxhash64(*(F.xxhash64(F.get("w", k)) for k in range(SHINGLE))).alias("c")).collect()] if known else []
-    places = F.when(F.size("words") >= SHINGLE, F.filter(at, lambda i: mixed(i).isin(codes))).otherwise(F.array().cast("array<int>"))
-    spelt = lambda i: F.array_join(F.slice("words", i + 1, SHINGLE), " ")
-    hits = sums.select("row", "doc_id", F.transform(places, lambda i: F.struct(i.alias("pos"), spelt(i).alias("shingle"))).alias("hits"))
-    hits = written(spark, hits, "hits")
-    sizes = F.broadcast(table.select("width", "stride").distinct())  # no more than templates
-    spots = hits.select("row", F.explode("hits").alias("h")).select("row", "h.*").join(sizes)
-    first = F.greatest(F.lit(0), F.ceil((F.col("pos") + SHINGLE - F.col("width")) / F.col("stride"))).cast("int")
+    containment (the best of any window) and first_word (where that window begins).
+
+    Null and empty texts hold none; of equally good windows the first counts;
+    repeated rows are scanned each alone; an empty table, or no templates, gives
+    nothing found; other columns, whatever they are called, are not looked at.
+    """
+    blocks = template_blocks(TEMPLATES if templates is None else templates, block_words)
+    texts = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    if len(blocks) != 1:  # rows keep their numbers from pass to pass
+        texts = written(spark, texts, "texts")
+    empty = spark.createDataFrame([], "row bigint, template string, containment double, first_word bigint")
+    rows, found = texts.select("row", "doc_id"), empty
+    for block in blocks:
+        rows, more = _found(spark, texts, block)
+        found = found.unionByName(more)
+    return rows, found
+
+
+_HITS = "array<struct<pos:int,size:int,shingle:string>>"
+
+
+def _places(size: int, codes: list[int]) -> Column:
+    """The shingles of ``size`` words whose hash is among ``codes``, with their positions."""
+    at = F.sequence(F.lit(0), F.size("words") - size)
+    known = F.filter(at, lambda i: F.xxhash64(*(F.get("code", i + k) for k in range(size))).isin(codes))
+    spelt = F.transform(known, lambda i: F.struct(i.alias("pos"), F.lit(size).alias("size"), F.array_join(F.slice("words", i + 1, size), " ").alias("shingle")))
+    return F.when(F.size("words") >= size, spelt)
+
+
+def _found(spark: SparkSession, texts: DataFrame, block: list[tuple]) -> tuple[DataFrame, DataFrame]:
+    """One pass: the rows, and what was found of these templates."""
+    bands = max(bands_needed(floor_similarity(w - s + 1, len(sh))) for _, _, w, s, sh in block)
+    table = F.broadcast(spark.createDataFrame(block, "template string, size int, width int, stride int, shingles array<string>"))  # BLOCK_WORDS bounds it
+    words = texts.select("row", "doc_id", words_of(F.col("text")).alias("words"))
+    # Words are hashed once; a shingle is looked up by a hash of their hashes before it is spelt out.
+    coded = words.withColumn("code", F.transform("words", lambda w: F.xxhash64(w)))
+    hits = F.array().cast(_HITS)
+    for size in sorted({b[1] for b in block}):
+        known = sorted({tuple(sh.split(" ")) for _, k, _, _, shingles in block if k == size for sh in shingles})
+        spelt = spark.createDataFrame([(list(k),) for k in known], "w array<string>")
+        codes = [r["c"] for r in spelt.select(F.xxhash64(*(F.xxhash64(F.get("w", k)) for k in range(size))).alias("c")).collect()]
+        hits = F.concat(hits, F.coalesce(_places(size, codes), F.array().cast(_HITS)))
+    hits = written(spark, coded.select("row", "doc_id", hits.alias("hits")), "hits")
+    # each shingle goes into the windows of every size that a template with it has
+    sized = table.select("size", "width", "stride", F.explode("shingles").alias("shingle")).distinct()
+    spots = hits.select("row", F.explode("hits").alias("h")).select("row", "h.*").join(F.broadcast(sized), ["size", "shingle"])
+    first = F.greatest(F.lit(0), F.ceil((F.col("pos") + F.col("size") - F.col("width")) / F.col("stride"))).cast("int")
     spots = spots.withColumn("window", F.explode(F.sequence(first, F.floor(F.col("pos") / F.col("stride")).cast("int"))))
-    windows = spots.groupBy("row", "width", "stride", "window").agg(F.collect_set("shingle").alias("have"))  # at most a window's shingles
-    asked = windows.withColumn("have_bands", _min_hashes(F.col("have"), bands))
-    held = table.withColumnsRenamed({"width": "t_width", "stride": "t_stride"})
-    pairs = asked.join(F.broadcast(held), F.expr("width = t_width AND stride = t_stride AND arrays_overlap(have_bands, bands)"))
+    windows = spots.groupBy("row", "size", "width", "stride", "window").agg(F.collect_set("shingle").alias("have"))  # at most a window's shingles
+    by_band = lambda df, shingles: df.select("*", F.posexplode(_min_hashes(F.col(shingles), bands)).alias("band", "value"))
+    pairs = by_band(windows, "have").join(F.broadcast(by_band(table, "shingles")), ["size", "width", "stride", "band", "value"])
     share = F.size(F.array_intersect("have", "shingles")) / F.size("shingles")
-    found = pairs.select("row", "template", share.alias("containment"), (F.col("window") * F.col("stride")).alias("first_word")).where(F.col("containment") >= CONTAINMENT)
-    best = F.max_by(F.struct("containment", "first_word"), F.struct("containment", -F.col("first_word")))
-    return hits.select("row", "doc_id"), found.groupBy("row", "template").agg(best.alias("b")).select("row", "template", "b.*")
+    sure = pairs.select("row", "template", share.alias("containment"), (F.col("window") * F.col("stride")).cast("bigint").alias("first_word")).where(F.col("containment") >= CONTAINMENT)
+    best = F.max_by(F.struct("containment", "first_word"), F.struct("containment", -F.col("first_word")))  # a window found by several bands counts once
+    return hits.select("row", "doc_id"), sure.groupBy("row", "template").agg(best.alias("b")).select("row", "template", "b.*")
 
 
 def license_report(spark: SparkSession, docs: DataFrame, templates: list[tuple[str, str]] | None = None) -> DataFrame:

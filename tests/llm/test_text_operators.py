@@ -68,8 +68,48 @@ def test_licenses(spark, documents):
     assert (6, 1) in out and (6, 0) in out and (7, 0) in out
     assert licenses.license_report(spark, documents([])).count() == 0
     assert {r["n_templates"] for r in licenses.license_report(spark, documents(rows), templates=[]).collect()} == {0}
-    with pytest.raises(ValueError):
-        licenses.license_report(spark, documents(rows), templates=[("t", "too few words")])
+    few = licenses.license_report(spark, documents([*rows, (8, "x Under; THE y"), (9, "the under")]), templates=[("t", "under the"), ("none", " . ")])
+    assert sorted(r["doc_id"] for r in few.where("n_templates > 0").collect()) == [6, 6, 8]
+
+
+def brute_licenses(text, templates):
+    """Best containment of any window, window by window."""
+    own, out = words(text), {}
+    for name, t in templates:
+        w = words(t)
+        size = min(5, len(w))
+        grams = {tuple(w[i : i + size]) for i in range(len(w) - size + 1)}
+        step = max(1, len(w) // 4)
+        for at in range(0, max(1, len(own)), step):
+            part = own[at : at + len(w) + step - 1]
+            have = {tuple(part[i : i + size]) for i in range(len(part) - size + 1)}
+            share = len(grams & have) / len(grams)
+            if share >= 0.8:
+                out[name] = max(out.get(name, 0), share)
+    return out
+
+
+@pytest.mark.parametrize("block", [licenses.BLOCK_WORDS, 60])
+def test_licenses_equal_brute_force(spark, documents, block):
+    """Whole and edited notices in long texts, in one pass and in many."""
+    rng = random.Random(12)
+    templates = [*licenses.TEMPLATES, ("short", "all rights reserved")]
+    rows = []
+    for i in range(60):
+        text = " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 80)))
+        for _ in range(rng.randint(0, 3)):
+            w = rng.choice(templates)[1].split()
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = "edit"
+            text += " " + " ".join(w) + " " + " ".join(rng.choice("abcdefg") for _ in range(rng.randint(0, 40)))
+        rows.append((i, text))
+    _, found = licenses.found_licenses(spark, documents(rows, extra=True), templates, block)
+    got: dict = {}
+    ids, found = licenses.found_licenses(spark, documents(rows), templates, block)
+    for r in found.join(ids, "row").collect():
+        got.setdefault(r["doc_id"], {})[r["template"]] = round(r["containment"], 9)
+    want = {i: {k: round(v, 9) for k, v in brute_licenses(t, templates).items()} for i, t in rows}
+    assert got == {k: v for k, v in want.items() if v}
 
 
 def test_languages(spark, documents):
