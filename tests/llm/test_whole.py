@@ -6,6 +6,7 @@ import random
 
 import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from plumbline.llm import embeddings, neardup
 from plumbline.llm.queries import OP2_SQL
@@ -27,6 +28,52 @@ def test_one_of_each_group_stays_where_ids_repeat(spark, documents):
         assert out.columns == df.columns
 
 
+def linked(x, similarity=0.95):
+    """Links and components of vectors by all pairs, after scaling each."""
+    unit = x / np.abs(x).max(axis=1, keepdims=True)
+    unit = unit / np.linalg.norm(unit, axis=1)[:, None]
+    near = unit @ unit.T >= similarity
+    np.fill_diagonal(near, False)
+    label = np.arange(len(x))
+    while True:
+        new = np.array([min([label[i], *label[near[i]]]) for i in range(len(x))])
+        if (new == label).all():
+            return near, label
+        label = new
+
+
+def test_recall_at_the_threshold(spark):
+    """With the default miss: thousands of pairs just above 0.95, half of them alone and half in one dense group."""
+    rng = np.random.default_rng(11)
+    x = rng.standard_normal((1500, 48))
+    turn = rng.standard_normal(x.shape)
+    turn -= x * (np.einsum("ij,ij->i", x, turn) / np.einsum("ij,ij->i", x, x))[:, None]
+    cosine = rng.uniform(0.9501, 0.956, len(x))[:, None]
+    mate = cosine * x / np.linalg.norm(x, axis=1)[:, None] + np.sqrt(1 - cosine**2) * turn / np.linalg.norm(turn, axis=1)[:, None]
+    crowd = rng.standard_normal(48) + 0.22 * rng.standard_normal((1200, 48))
+    every = np.concatenate([x, mate, crowd])
+    near, label = linked(every)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "vec_id bigint, embedding array<double>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embeddings.linked_vectors(spark, df).collect()}
+    assert near.sum() > 20_000
+    assert sum(n for n, _ in got.values()) >= 0.9995 * near.sum() and all(got[i][0] <= near[i].sum() for i in got)
+    assert np.mean([got[i][1] == label[i] for i in got]) > 0.999
+
+
+def test_magnitudes_and_repeated_ids(spark):
+    rng = np.random.default_rng(2)
+    base = rng.standard_normal((6, 8))
+    x = np.concatenate([base * 1e200, (base + 0.05 * rng.standard_normal(base.shape)) * 1e-200, base * 1e-300, rng.standard_normal((20, 8))])
+    near, label = linked(x)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    df = df.withColumn("key", F.lit("clash")).withColumn("pass", F.lit(0))
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.linked_vectors(spark, df).collect()}
+    assert all(got[i] == (near[i].sum(), label[i], label[i] == i) for i in range(len(x))) and near.sum() >= 24
+    twice = spark.createDataFrame([(1, [1.0, 2.0]), (1, [1.0, 2.0]), (1, [2.0, -1.0]), (2, [1.0, 2.1])], "vec_id bigint, embedding array<double>")
+    rows = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.linked_vectors(spark, twice).collect())
+    assert rows == [(1, 0, 1), (1, 2, 1), (1, 2, 1), (2, 2, 1)]
+
+
 def test_vectors_of_each_length_are_linked(spark, tmp_path):
     rng = np.random.default_rng(5)
     rows = []
