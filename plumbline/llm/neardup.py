@@ -228,9 +228,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     if they are equal word for word; groups are what links connect. A null text
     is a group of its own; texts without a word are linked if they are equal; a
     text of fewer than five words has one shingle of them all. Repeated rows fall
-    into one group. A row without an id is linked to equal texts only. An empty
-    table gives no rows; columns other than doc_id and
-    text are not looked at.
+    into one group. A row without an id is linked as any other; a group of such rows
+    alone has no class_id. An empty table gives no rows; columns other than doc_id
+    and text are not looked at.
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     counts = document_frequencies(texts)
@@ -244,8 +244,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     members = written(spark, members.join(buckets.drop("n"), ["band", "value"]), "members")
     asked = members.select("key").distinct()
     wanted = classes.join(asked, "key", "left_semi").select(F.col("first_id").alias("doc_id"), "key")
-    found = texts.join(wanted, "doc_id").mapInArrow(_checked, "key binary, text string").dropDuplicates(["key"])
-    found = written(spark, found, "texts")
+    found = texts.join(wanted, "doc_id").mapInArrow(_checked, "key binary, text string")
+    nameless = wanted.where("doc_id IS NULL").select("key")  # classes of rows without an id only
+    if not nameless.isEmpty():
+        unnamed = texts.where("doc_id IS NULL AND text IS NOT NULL").select("text").mapInArrow(_with_key, f"text string, `{_KEY}` binary")
+        found = found.unionByName(unnamed.withColumnRenamed(_KEY, "key").join(nameless, "key", "left_semi"))
+    found = written(spark, found.dropDuplicates(["key"]), "texts")
     stars = written(spark, members.where("pivot <> key").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "stars")
     links = written(spark, _verified(stars, found, weights), "links")
     labels = components(spark, links)

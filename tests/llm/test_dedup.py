@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import collections
+import itertools
+import math
 import random
+import re
 
 import numpy as np
 import pytest
@@ -63,6 +67,67 @@ def test_groups_equal_brute_force(spark, documents, monkeypatch, stretch):
     assert got == brute(rows)
 
 
+def plain_vectors(texts):
+    """Counts of five-word shingles, and how many texts each shingle is in, by nothing but Python."""
+    counts = []
+    for t in texts:
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        size = min(5, len(w))
+        counts.append(collections.Counter(tuple(w[i : i + size]) for i in range(len(w) - size + 1)) if w else collections.Counter())
+    return counts, collections.Counter(s for c in counts for s in c)
+
+
+def test_no_pair_of_a_real_table_is_lost(spark):
+    """Every pair at 0.8 under exact document frequencies, found through an inverted index, is in one class;
+    and classes hold nothing that such pairs, with a little slack, don't connect."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = docs.select("doc_id", "text").collect()
+    counts, df = plain_vectors([r["text"] for r in rows])
+    rare = lambda s: max(0.0, min(1.0, math.log(1 / (df[s] / len(rows) + 1e-4)) / math.log(1e4)))
+    weight = [{s: n * (3 + rare(s)) / 4 for s, n in c.items()} for c in counts]
+    index = collections.defaultdict(list)
+    for i, c in enumerate(counts):
+        for s in c:
+            if df[s] > 1:
+                index[s].append(i)
+    together = collections.Counter()
+    for held in index.values():
+        together.update((a, b) for a, b in itertools.combinations(held, 2))
+    found = {r["doc_id"]: r["class_id"] for r in neardup.near_duplicate_report(spark, docs).collect()}
+    parent, pairs, near = list(range(len(rows))), 0, 0
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for (a, b), n in together.items():
+        if n * 4 < min(len(counts[a]), len(counts[b])):
+            continue
+        both = sum(min(w, weight[b].get(s, 0)) for s, w in weight[a].items())
+        value = both / (sum(weight[a].values()) + sum(weight[b].values()) - both)
+        if value >= 0.8:
+            pairs, near = pairs + 1, near + (value < 1 - 1e-9)
+            assert found[rows[a]["doc_id"]] == found[rows[b]["doc_id"]]
+        if value >= 0.79:
+            parent[find(a)] = find(b)
+    assert pairs > 50 and near > 5
+    root = {}
+    for i, r in enumerate(rows):
+        if r["text"]:
+            assert root.setdefault(found[r["doc_id"]], find(i)) == find(i)
+
+
+def test_rows_without_an_id_are_linked(spark, documents):
+    a = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, a), (7, a + " more"), (8, "something else"), (None, "x y z " * 30 + "end"), (None, "x y z " * 30 + "end")]
+    out = neardup.near_duplicates(spark, documents(rows, extra=True)).collect()
+    assert sorted((r["doc_id"] or 0, r["class_id"] or 0) for r in out) == [(0, 0), (0, 0), (0, 7), (7, 7), (8, 8)]
+    only = [(None, a), (None, a + " b"), (None, "c")]
+    groups = [r["component"] for r in neardup.near_duplicates(spark, documents(only)).collect()]
+    assert len(set(groups)) == 2
+
+
 def test_one_of_each_group_stays(spark, documents):
     text = " ".join(f"w{i}" for i in range(60))
     rows = [(1, text), (1, text), (2, text), (3, None), (3, None), (4, "something else entirely, not the same at all")]
