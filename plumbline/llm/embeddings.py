@@ -41,7 +41,7 @@ MISS = 1e-4
 RUN = 64
 #: Vectors in a window, windows in a segment of the order, and in a stretch of a wide run.
 WINDOW = 128
-SEGMENT = 64
+SEGMENT = 16
 STRETCH = 8
 #: Hashes in a key beyond the leading ones: they order a run.
 _MORE = 8
