@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 PREFIXES = {
     "element": "el_", "property_fact": "pf_", "classification": "cf_", "document": "doc_", "revision": "rev_", "chunk": "ch_",
     "linked_chunk": "chl_", "link_revision": "lrev_", "node": "gn_", "native_edge": "ge_", "derived_edge": "gd_", "geometry": "gf_",
-    "native_revision": "nr_", "derived_revision": "dr_", "bundle": "rb_", "path": "gp_",
+    "native_revision": "nr_", "derived_revision": "dr_", "bundle": "rb_", "path": "gp_", "node_instance": "ni_", "relationship_instance": "ri_",
 }
 
 
@@ -71,3 +71,25 @@ def symmetric_edge_id(project: Column, predicate: Column, a: Column, b: Column,
     """Id of a derived edge; the ends of a symmetric one are put in order first."""
     low, high = F.when(symmetric, F.least(a, b)).otherwise(a), F.when(symmetric, F.greatest(a, b)).otherwise(b)
     return identity("derived_edge", "1", project, predicate, low, high, F.when(symmetric, "0").otherwise("1"), "aabb", "1", "1", tolerance)
+
+
+def native_revision(project: Column, source: Column, source_sha256: Column, schema: Column, versions: list[str]) -> Column:
+    """One generation of native relations; versions: of the schema, the producer and the two policies."""
+    return identity("native_revision", project, source, source_sha256, schema, *versions)
+
+
+def derived_revision(project: Column, generation: Column, fingerprint: Column, geometry: list[str], algorithm: list[str], tolerance: str) -> Column:
+    """One generation of derived relations; geometry: versions of its schema and
+    producer; algorithm: relation schema, algorithm, its version, broad phase, its
+    version and the policy."""
+    return identity("derived_revision", project, generation, fingerprint, *geometry, *algorithm, tolerance)
+
+
+def node_instance(schema: str, project: Column, node: Column, revision: Column) -> Column:
+    """One record of a node in one generation, so that generations can stand side by side."""
+    return identity("node_instance", schema, project, node, revision)
+
+
+def relationship_instance(schema: str, project: Column, edge: Column, kind: Column, revision: Column, source: Column, target: Column, predicate: Column) -> Column:
+    """One record of a relation between two node instances."""
+    return identity("relationship_instance", schema, project, edge, kind, revision, source, target, predicate)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructType
 
 
 def labelled(lines: list[tuple[str, Column]]) -> Column:
@@ -12,9 +15,52 @@ def labelled(lines: list[tuple[str, Column]]) -> Column:
     return F.concat_ws("\n", *shown)
 
 
-def element_text() -> Column:
-    """Embedding text of an element: absent lines omitted."""
-    return labelled([("class", F.col("ifc_class")), ("name", F.col("name")), ("materials", F.array_join("materials", ", ")), ("storey", F.col("storey")), ("project", F.col("project_id"))])
+#: Lines of an element's embedding text: label and column. Fixed values.
+ELEMENT_LINES = [
+    ("IFC class", "ifc_class"),
+    ("Name", "name"),
+    ("Description", "description"),
+    ("Object type", "object_type"),
+    ("Predefined type", "predefined_type"),
+    ("Semantic label", "semantic_label"),
+    ("Materials", "materials"),
+    ("Site", "site"),
+    ("Building", "building"),
+    ("Storey", "storey"),
+    ("Space", "space"),
+]
+
+
+def element_text(df: DataFrame) -> Column:
+    """Embedding text of an element: a line for each value that is there and not blank,
+    as it stands. Columns that the table doesn't have are absent."""
+    shown = lambda c: F.array_join(c, ", ") if df.schema[c].dataType.typeName() == "array" else F.col(c)
+    return labelled([(label, shown(c)) for label, c in ELEMENT_LINES if c in df.columns])
+
+
+def pruned(value: object, inside_list: bool = False) -> object:
+    """A record without nulls and without objects that this empties; empty lists and
+    texts stay. An item of a list that would be emptied is an error."""
+    if isinstance(value, dict):
+        kept = {k: pruned(v) for k, v in value.items() if v is not None}
+        kept = {k: v for k, v in kept.items() if v != {} or not isinstance(v, dict)}
+        if inside_list and not kept:
+            raise ValueError("an item of a list has nothing left")
+        return kept
+    return [pruned(v, True) for v in value] if isinstance(value, list) else value
+
+
+def pruned_json(df: DataFrame, columns: list[str]) -> Column:
+    """pruned() of columns as JSON with sorted keys: nulls and, at any depth, objects of nothing but nulls are left out."""
+
+    def shown(c: Column, kind: DataType) -> Column:
+        if not isinstance(kind, StructType):
+            return c
+        fields = [shown(c[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        some = reduce(lambda a, b: a | b, (f.isNotNull() for f in fields))
+        return F.when(some, F.struct(*fields))
+
+    return F.to_json(F.struct(*(shown(F.col(c), df.schema[c].dataType).alias(c) for c in sorted(columns))))
 
 
 def chunk_text(path: Column, title: Column, body: Column, limit: int = 2000) -> Column:

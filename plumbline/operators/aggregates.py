@@ -58,3 +58,8 @@ def occurrences(df: DataFrame, by: list[str], order: str) -> DataFrame:
     from pyspark.sql import Window
 
     return df.dropDuplicates([*by, order]).withColumn("occurrence", F.row_number().over(Window.partitionBy(*by).orderBy(order)))
+
+
+def matching(df: DataFrame, condition: Column) -> DataFrame:
+    """How many rows match."""
+    return df.where(condition).agg(F.count("*").alias("n"))

@@ -74,3 +74,28 @@ def dimension_choice(rows: list[dict], queries: int) -> dict:
     best = max(r["ndcg"] for r in rows)
     near = [r for r in rows if r["ndcg"] >= best - 1 / (2 * queries)]
     return min(near, key=lambda r: (r["p95"], r["bytes"], r["dim"]))
+
+
+def routing_accuracy(df: DataFrame, found: str = "found", expected: str = "expected") -> DataFrame:
+    """Share of questions that took the expected route; without a question it is an error."""
+    hit = F.avg(F.col(found).eqNullSafe(F.col(expected)).cast("double"))
+    some = F.when(F.count("*") > 0, F.bround(hit, 6)).otherwise(F.raise_error(F.lit("there are no questions")).cast("double"))
+    return df.agg(some.alias("accuracy"))
+
+
+def no_false_positives(found: DataFrame, relevant: DataFrame, key: str) -> DataFrame:
+    """Whether all that was found is relevant."""
+    return found.join(relevant, key, "left_anti").agg((F.count("*") == 0).alias("correct"))
+
+
+def pagination_integrity(pages: DataFrame, expected: DataFrame, key: str) -> DataFrame:
+    """Whether pages hold every expected id, each once, and no other."""
+    held = pages.groupBy(key).agg(F.count("*").alias("times")).join(expected.select(key).distinct().withColumn("wanted", F.lit(True)), key, "full")
+    wrong = F.coalesce(F.col("times"), F.lit(0)) != F.when(F.col("wanted"), 1).otherwise(0)
+    return held.agg((F.count(F.when(wrong, 1)) == 0).alias("sound"))
+
+
+def aggregation_exact(found: DataFrame, expected: DataFrame, key: str = "key", n: str = "n") -> DataFrame:
+    """Whether two aggregations have the same buckets with the same counts."""
+    both = found.select(key, n).join(expected.select(key, F.col(n).alias("_n")), key, "full")
+    return both.agg((F.count(F.when(~F.col(n).eqNullSafe(F.col("_n")), 1)) == 0).alias("exact"))

@@ -132,3 +132,15 @@ def quote_holds(quote: str, content: str) -> bool:
     """supported() for one pair of raw texts."""
     q = support_form(quote)
     return len(q) >= LEAST_QUOTE and q in support_form(content)
+
+
+#: Scale of the score that each method may carry; the others carry none. Fixed values.
+SCORE_KINDS = {"bm25": "bm25_score", "dense_knn": "dense_similarity", "rrf_fusion": "rrf_fused", "reranker": "reranker_probability", "structured_filter": "opensearch_query_score"}
+METHOD_ORDER = ["bm25", "dense_knn", "rrf_fusion", "reranker", "structured_filter", "exact_lookup", "snapshot_page", "graph_traversal"]
+
+
+def score_kind_issue(method: Column, kind: Column) -> Column:
+    """Why an item's score doesn't go with its method; null if it does or there is none."""
+    allowed = F.create_map(*(F.lit(x) for pair in SCORE_KINDS.items() for x in pair))
+    wanted = F.try_element_at(allowed, method)
+    return F.when(~method.isin(METHOD_ORDER), "unknown_method").when(kind.isNull(), None).when(wanted.isNull(), "method_without_score").when(kind != wanted, "other_scale")

@@ -100,3 +100,11 @@ def spatial_chain(parents: DataFrame, elements: DataFrame, depth: int = 4) -> Da
     from .graph import ancestors
 
     return ancestors(parents, elements, depth).withColumn("order", F.row_number().over(Window.partitionBy("element").orderBy("level")))
+
+
+def legacy_metric(quantities: Column, properties: Column, keys: list[str]) -> Column:
+    """The first of ``keys`` found in the sets of quantities, else in those of
+    properties; both are arrays of maps, looked through set by set."""
+    within = lambda one: F.coalesce(*(F.try_element_at(one, F.lit(k)) for k in keys))
+    first = lambda sets: F.try_element_at(F.filter(F.transform(sets, within), lambda v: v.isNotNull()), F.lit(1))
+    return F.coalesce(first(quantities), first(properties))

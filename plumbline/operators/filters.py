@@ -155,11 +155,49 @@ def page(df: DataFrame, order: list[Column], offset: int, size: int) -> DataFram
 
 
 def by_ids(df: DataFrame, key: str, ids: list[str]) -> DataFrame:
-    """Records in the order asked for; an id that is not there is an error."""
+    """Records in the order asked for, fetched at once; an id that is not there is an error."""
     spark = df.sparkSession
     asked = spark.createDataFrame([(i, x) for i, x in enumerate(ids)], f"position int, {key} string")
     out = df.join(F.broadcast(asked), key)
-    missing = asked.join(df, key, "left_anti")
-    if not missing.isEmpty():
-        raise KeyError([r[key] for r in missing.take(10)])
-    return out.orderBy("position")
+    rows = out.collect()  # a record for each id
+    missing = set(ids) - {r[key] for r in rows}
+    if missing:
+        raise KeyError(sorted(missing)[:10])
+    return spark.createDataFrame(rows, out.schema).orderBy("position")
+
+
+def lookup(df: DataFrame, key: str, value: str) -> DataFrame:
+    """The records with an id."""
+    return df.where(F.col(key) == value)
+
+
+def looked_up(df: DataFrame, records: DataFrame, key: str) -> DataFrame:
+    """Rows with the record that their id stands for; those without one are left out."""
+    return df.join(records, key)
+
+
+def project_filter(column: str, project: str) -> Column:
+    """Records of a project, whose id is matched as it stands; a blank one is an error."""
+    if not project.strip():
+        raise ValueError("a project is needed")
+    return F.col(column) == project
+
+
+def numeric_conditions(df: DataFrame, fields: dict[str, list[str]], conditions: list[tuple[str, str, float]]) -> Column:
+    """All conditions (metric, op, value); a metric without a field in the table is ignored."""
+    out = F.lit(True)
+    for name, op, value in conditions:
+        own = [f for f in fields.get(name, []) if f in df.columns]
+        if own:
+            out = out & numeric_filter(own, op, value)
+    return out
+
+
+def active_chunks(chunks: DataFrame, current: DataFrame, key: str = "document_id") -> DataFrame:
+    """Chunks whose document and link revisions are both the current ones (key,
+    revision_id, link_revision_id). A document that has no current revisions is an error."""
+    now = current.select(key, F.col("revision_id").alias("_revision"), F.col("link_revision_id").alias("_links"))
+    known = F.col("_revision").isNotNull() & F.col("_links").isNotNull()
+    same = (F.col("revision_id") == F.col("_revision")) & (F.col("link_revision_id") == F.col("_links"))
+    keep = F.when(known, same).otherwise(F.raise_error(F.concat(F.lit("no current revisions of document "), F.col(key).cast("string"))).cast("boolean"))
+    return chunks.join(now, key, "left").where(keep).drop("_revision", "_links")

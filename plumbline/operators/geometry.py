@@ -158,3 +158,14 @@ def fact_checksum(columns: list[str]) -> Column:
 def status(volume: Column, triangles: Column, units: Column) -> Column:
     """The status ladder of a fact, first failing step first."""
     return F.when(units.isNull(), "unit_undetermined").when(triangles.isNull(), "no_geometry").when(triangles == 0, "degenerate").when(volume.isNull(), "partial").otherwise("valid")
+
+
+def length_unit(units: Column) -> Column:
+    """struct(name, factor, issue) of a project's length units, an array of (name,
+    factor). Units without a factor don't count; none left, or two that differ, and
+    the unit is undetermined."""
+    known = F.filter(units, lambda u: u["factor"].isNotNull())
+    different = F.size(F.array_distinct(F.transform(known, lambda u: F.bround(u["factor"], 12))))
+    issue = F.when(F.coalesce(different, F.lit(0)) == 0, "UNIT_UNRESOLVABLE").when(different > 1, "UNIT_INCONSISTENT")
+    first = F.when(issue.isNull(), F.try_element_at(known, F.lit(1)))
+    return F.struct(first["name"].alias("name"), first["factor"].alias("factor"), issue.alias("issue"))

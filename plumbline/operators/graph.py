@@ -105,9 +105,10 @@ def anchor(nodes: DataFrame, text: str) -> DataFrame:
     """The node that a reference names: by node id, then element key, then GlobalId;
     ``ambiguous`` if the first of these that matches has several."""
     tier = F.when(F.col("node_id") == text, 1).when(F.col("element_key") == text, 2).when(F.col("global_id") == text, 3)
-    hit = nodes.withColumn("tier", tier).where("tier IS NOT NULL")
-    best = hit.withColumn("low", F.min("tier").over(Window.partitionBy(F.lit(1)))).where("tier = low")
-    return best.orderBy("node_id").limit(11).groupBy().agg(F.collect_list("node_id").alias("ids")).select(F.slice("ids", 1, 10).alias("ids"), (F.size("ids") > 1).alias("ambiguous"))
+    first = nodes.select("node_id", tier.alias("tier")).where("tier IS NOT NULL").orderBy("tier", "node_id").limit(11)  # of the best tier, if there are as many
+    best = F.array_sort(F.collect_list(F.struct("tier", "node_id")))
+    ids = F.transform(F.filter(best, lambda r: r["tier"] == best[0]["tier"]), lambda r: r["node_id"])
+    return first.agg(ids.alias("ids")).select(F.slice("ids", 1, 10).alias("ids"), (F.size("ids") > 1).alias("ambiguous"))
 
 
 def node_kind(ifc_class: Column) -> Column:

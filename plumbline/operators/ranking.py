@@ -94,3 +94,19 @@ def quality(ranking: DataFrame, qrels: DataFrame, k: int = 10, relevant: int = 1
         F.bround(F.when(none, 1.0).otherwise(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"),
         F.bround(F.when(F.coalesce("idcg", F.lit(0.0)) > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0), 6).alias("ndcg"),
     )
+
+
+def enriched(ranking: DataFrame, sources: DataFrame, key: str = "id") -> DataFrame:
+    """Ranked rows with what they stand for. Every one must have a source."""
+    there = sources.withColumn("_there", F.lit(True))
+    out = ranking.join(there, key, "left")
+    total = F.when(F.col("_there"), F.col(key)).otherwise(F.raise_error(F.concat(F.lit("nothing is known of "), F.col(key).cast("string"))))
+    return out.withColumn(key, total.cast(ranking.schema[key].dataType)).drop("_there")
+
+
+def document_page(df: DataFrame, offset: int, size: int) -> DataFrame:
+    """A slice of one frozen list of documents; an offset beyond its end is an error."""
+    n = df.agg(F.max("rank")).first()[0] or 0
+    if offset < 0 or offset >= max(n, 1):
+        raise ValueError(f"there are {n} documents")
+    return df.where((F.col("rank") > offset) & (F.col("rank") <= offset + size))

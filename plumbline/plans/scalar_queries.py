@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import ids, numbers, render, text
 from plumbline.operators import aggregates as agg
-from plumbline.operators import filters, language
+from plumbline.operators import evaluation, evidence, filters, geometry, language, ranking
+from plumbline.operators import facts as facts_of
 
 from .views import CHUNKS_SQL, ELEMENTS_SQL, FACTS_SQL, chunks, elements, facts, table
 
@@ -49,7 +50,6 @@ _add(
 _add("A6_query_form", lambda s, d: table(s, d, "benchmark").select("item_id", text.query_form_of(F.col("text")).alias("normal")), "SELECT item_id, trim(regexp_replace(replace(lower(strip_accents(text)), 'ß', 'ss'), '[^a-z0-9_]+', ' ', 'g')) AS normal FROM benchmark")
 _add("A7_lexical_form", lambda s, d: table(s, d, "benchmark").select("item_id", text.lexical_form_of(F.col("text")).alias("normal")), "SELECT item_id, replace(lower(trim(nfc_normalize(text))), 'ß', 'ss') AS normal FROM benchmark")
 _add("A8_support_form", lambda s, d: table(s, d, "benchmark").select("item_id", text.support_form_of(F.col("text")).alias("normal")), r"SELECT item_id, trim(regexp_replace(replace(lower(nfc_normalize(text)), 'ß', 'ss'), '\s+', ' ', 'g')) AS normal FROM benchmark")
-_add("A9_display_form", lambda s, d: table(s, d, "documents").select("doc_id", text.display_form_of(F.col("text")).alias("shown")))
 _add("A10_tokens", lambda s, d: table(s, d, "benchmark").select("item_id", F.posexplode(text.tokens_of("text")).alias("pos", "t")).select("item_id", "pos", "t.*"))
 _STOP = ["the", "of", "and", "to", "in", "de", "la", "der", "die"]
 _add(
@@ -57,7 +57,6 @@ _add(
     lambda s, d: table(s, d, "benchmark").select("item_id", text.without_stop_words(F.col("text"), _STOP).alias("kept")),
     r"SELECT item_id, array_to_string(list_filter(regexp_extract_all(text, '\S+'), lambda t: NOT list_contains(['the','of','and','to','in','de','la','der','die'], lower(t))), ' ') AS kept FROM benchmark",
 )
-_add("A12_osa_similarity", lambda s, d: table(s, d, "part").select("p_partkey", F.bround(text.osa_similarity_of(F.col("p_name"), F.reverse("p_name")), 6).alias("similarity")))
 _add(
     "A13_char_error_rate",
     lambda s, d: table(s, d, "part").select("p_partkey", F.bround(text.char_error_rate(F.col("p_name"), F.col("p_brand")), 6).alias("cer")),
@@ -76,18 +75,7 @@ _add(
     "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size / 100 WHEN 1 THEN p_size / 1000 ELSE CAST(p_size AS DOUBLE) END AS m FROM part",
 )
 _add("A18_safe_keys", lambda s, d: table(s, d, "part").select("p_partkey", render.safe_keys(F.create_map(F.concat(F.lit("a."), "p_brand"), "p_size"))["a_Brand#2"].alias("v")), "SELECT p_partkey, CASE WHEN p_brand = 'Brand#2' THEN p_size END AS v FROM part")
-_add(
-    "A20_markdown",
-    lambda s, d: table(s, d, "pages").select("page_id", F.md5(text.markdown_escaped(F.left("html", F.lit(400))).cast("binary")).alias("md")),
-    r"SELECT page_id, md5(replace(replace(replace(replace(replace(substr(html, 1, 400), '\', '\\'), '[', '\['), ']', '\]'), '<', '\<'), '>', '\>')) AS md FROM pages",
-)
 _add("A21_truncation", lambda s, d: table(s, d, "documents").select("doc_id", *(c.alias(n) for c, n in zip(text.truncated(F.col("text"), 200), ("head", "cut"), strict=True))), "SELECT doc_id, substr(text, 1, 200) AS head, length(text) > 200 AS cut FROM documents")
-_add("A22_fold", lambda s, d: table(s, d, "supplier").select("s_suppkey", numbers.fold_of(F.col("s_name")).alias("fold")))
-_add(
-    "A24_element_text",
-    lambda s, d: elements(s, d).select("key", render.element_text().alias("t")),
-    f"WITH {ELEMENTS_SQL} SELECT key, concat_ws(chr(10), 'class: ' || ifc_class, 'name: ' || name, 'materials: ' || array_to_string(materials, ', '), 'storey: ' || storey, 'project: ' || project_id) AS t FROM elements",
-)
 _add(
     "A25_chunk_text",
     lambda s, d: table(s, d, "documents").select("doc_id", F.md5(render.chunk_text(F.array("lang", "source"), F.col("source"), F.col("text")).cast("binary")).alias("t")),
@@ -124,13 +112,11 @@ _add(
       WHEN len(list_filter([{_TALK}], lambda t: starts_with(n, t))) > 0 AND NOT ({_has("previous")}) THEN 'chat:conversational' ELSE 'hybrid_semantic:default_semantic' END AS x FROM w)
     SELECT conv_id, turn, split_part(x, ':', 1) AS route, split_part(x, ':', 2) AS reason FROM r""",
 )
-_add("H8_parser", lambda s, d: table(s, d, "conversations").where("role = 'user'").select("conv_id", "turn", language.parsed_of("text").alias("p")).select("conv_id", "turn", "p.ifc_class", "p.storey", "p.agg_field", F.size("p.conditions").alias("n_conditions")))
 
 # ------------------------------------------------------------------ filters
 
 _E = f"WITH {ELEMENTS_SQL} SELECT key FROM elements WHERE "
 _add("C1_class_filter", lambda s, d: elements(s, d).where(filters.class_filter("ifc_class", "PROMO")).select("key"), _E + "ifc_class = 'PROMO'")
-_add("C2_project_filter", lambda s, d: elements(s, d).where(F.col("project_id") == "proj-2").select("key"), _E + "project_id = 'proj-2'")
 _add("C3_numeric_any_field", lambda s, d: elements(s, d).where(filters.numeric_filter(["volume", "height"], "gt", 45)).select("key"), _E + "coalesce(volume > 45, false) OR coalesce(height > 45, false)")
 _add("C4_approx", lambda s, d: elements(s, d).where(filters.numeric_filter(["height"], "approx", 20)).select("key"), _E + "height BETWEEN 19.5 AND 20.5")
 _add("C6_material_filter", lambda s, d: elements(s, d).where(filters.material_filter("materials", [["RED ", "blue"], ["bolt", "ring"]])).select("key"), _E + "list_has_any(list_transform(materials, lambda m: lower(m)), ['red', 'blue']) AND list_has_any(list_transform(materials, lambda m: lower(m)), ['bolt', 'ring'])")
@@ -148,24 +134,16 @@ _add(
     lambda s, d: filters.page(elements(s, d).where("ifc_class = 'SMALL'"), [F.desc("area"), F.col("key")], 20, 10).select("position", "key", "total"),
     f"WITH {ELEMENTS_SQL}, hit AS (SELECT key, row_number() OVER (ORDER BY area DESC, key) - 1 AS position, count(*) OVER () AS total FROM elements WHERE ifc_class = 'SMALL') SELECT CAST(position AS INTEGER) AS position, key, total FROM hit WHERE position BETWEEN 20 AND 29",
 )
-_add("C14_lookup", lambda s, d: elements(s, d).where(F.col("global_id") == "17".zfill(22)).select("key", "name"), f"WITH {ELEMENTS_SQL} SELECT key, name FROM elements WHERE key = 17")
-_add("C15_multi_get", lambda s, d: filters.by_ids(elements(s, d), "global_id", [str(i).zfill(22) for i in (9, 3, 77)]).select("position", "key"), "SELECT CAST(unnest([0, 1, 2]) AS INTEGER) AS position, CAST(unnest([9, 3, 77]) AS BIGINT) AS key")
 _add("C16_gold_not_in", lambda s, d: elements(s, d).where(filters.gold_predicate("materials", "not_in", ["bolt", "old"], True)).select("key"), _E + "NOT list_has_any(materials, ['bolt', 'old'])")
 _add("C16_gold_contains", lambda s, d: elements(s, d).where(filters.gold_predicate("name", "contains_ci", ["WIDG"])).select("key"), _E + "contains(lower(name), 'widg')")
 _add("C18_name_terms", lambda s, d: elements(s, d).where(filters.name_has_all_terms("name", "gear hot")).select("key"), _E + "list_contains(string_split(name, ' '), 'hot') AND list_contains(string_split(name, ' '), 'gear')")
 
 # ------------------------------------------------------------------ aggregations
 
-_add("E1_count", lambda s, d: elements(s, d).where("storey = '3'").agg(F.count("*").alias("n")), f"WITH {ELEMENTS_SQL} SELECT count(*) AS n FROM elements WHERE storey = '3'")
 _add("E2_buckets", lambda s, d: agg.buckets(elements(s, d), "storey"), f"WITH {ELEMENTS_SQL} SELECT storey AS key, count(*) AS n FROM elements GROUP BY storey ORDER BY n DESC, key LIMIT 200")
 _add("E3_array_buckets", lambda s, d: agg.array_buckets(elements(s, d), "materials"), f"WITH {ELEMENTS_SQL} SELECT m AS key, count(*) AS n FROM (SELECT key AS k, unnest(list_distinct(materials)) AS m FROM elements) GROUP BY m ORDER BY n DESC, key LIMIT 200")
 _add("E4_nested_buckets", lambda s, d: agg.nested_buckets(table(s, d, "lineitem"), "l_linestatus", "l_partkey"), "SELECT l_linestatus AS key, count(*) AS nested, count(DISTINCT l_partkey) AS n FROM lineitem GROUP BY l_linestatus")
 _add("E5_mean", lambda s, d: table(s, d, "labels").groupBy("toxic").agg(agg.mean("quality").alias("m")), "SELECT toxic, round_even(avg(quality), 6) AS m FROM labels GROUP BY toxic")
-_add(
-    "E6_zero_filled",
-    lambda s, d: agg.zero_filled(table(s, d, "orders").where("o_orderkey < 40").withColumnRenamed("o_custkey", "c_custkey"), table(s, d, "customer").select("c_custkey"), "c_custkey"),
-    "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN (SELECT * FROM orders WHERE o_orderkey < 40) ON o_custkey = c_custkey GROUP BY c_custkey",
-)
 _add(
     "E7_accumulated",
     lambda s, d: agg.accumulated(table(s, d, "supplier"), "s_nationkey", "s_suppkey", "s_name").select("s_nationkey", F.array_join("elements", ",").alias("elements"), "title", "conflict"),
@@ -185,11 +163,154 @@ _add("E10_min_or_null", lambda s, d: elements(s, d).groupBy("storey", "project_i
 _add("K_facts_by_property", lambda s, d: facts(s, d).groupBy("property_name").agg(F.count("*").alias("n"), F.bround(F.sum("value"), 2).alias("total")), f"WITH {FACTS_SQL} SELECT property_name, count(*) AS n, round_even(sum(value), 2) AS total FROM facts GROUP BY property_name")
 _add("J11_chunk_ids", lambda s, d: chunks(s, d).select("doc_id", F.col("chunk_index").cast("bigint").alias("chunk_index"), "chunk_id"), f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, chunk_id FROM chunks")
 
-# ------------------------------------------------------------------ whole jobs, next to queries whose SQL takes a part
 
-_add("A20_markdown_whole", lambda s, d: table(s, d, "pages").select("page_id", F.md5(text.markdown_escaped(F.col("html")).cast("binary")).alias("md")), SQL["A20_markdown"].replace("substr(html, 1, 400)", "html"))
 _add(
-    "E6_zero_filled_whole",
+    "E6_zero_filled",
     lambda s, d: agg.zero_filled(table(s, d, "orders").withColumnRenamed("o_custkey", "c_custkey"), table(s, d, "customer").select("c_custkey"), "c_custkey"),
     "SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey",
 )
+
+# ------------------------------------------------------------------ texts
+
+_add(
+    "A9_display_form",
+    lambda s, d: table(s, d, "documents").select("doc_id", F.md5(text.display_form_of(F.concat(F.lit("\t\r\n "), "text", F.lit(" \r\tend  \n\n"))).cast("binary")).alias("shown")),
+    r"""SELECT doc_id, md5(trim(array_to_string(list_transform(string_split(replace(replace(nfc_normalize(chr(9) || chr(13) || chr(10) || ' ' || text || ' ' || chr(13) || chr(9) || 'end  ' || chr(10) || chr(10)), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), lambda l: trim(regexp_replace(l, '\s+', ' ', 'g'))), chr(10)), chr(10))) AS shown FROM documents""",
+)
+_add("A12_osa_similarity", lambda s, d: table(s, d, "part").select("p_partkey", F.bround(text.osa_similarity_of(F.col("p_name"), F.reverse("p_name")), 6).alias("similarity")))
+_add(
+    "A12_osa_swaps",  # neighbours swapped at the front: one edit
+    lambda s, d: table(s, d, "part").select("p_partkey", F.bround(text.osa_similarity_of(F.col("p_name"), F.expr("concat(substr(p_name, 2, 1), substr(p_name, 1, 1), substr(p_name, 3))")), 6).alias("similarity")),
+    "SELECT p_partkey, round_even(1 - (substr(p_name, 1, 1) <> substr(p_name, 2, 1))::INT / length(p_name), 6) AS similarity FROM part",
+)
+_add("A19_pruned_json", lambda s, d: _nested(s, d).select("key", render.pruned_json(_nested(s, d), ["key", "place", "tags"]).alias("json")), """SELECT p_partkey AS key, '{"key":' || p_partkey || CASE WHEN p_partkey % 3 = 0 AND p_size % 2 = 0 THEN '' ELSE ',"place":{' || concat_ws(',', CASE WHEN p_partkey % 3 > 0 THEN '"site":{"name":"' || p_brand || '"}' END, CASE WHEN p_size % 2 > 0 THEN '"storey":' || p_size END) || '}' END || ',"tags":[]}' AS json FROM part""")
+
+
+def _nested(s, d):
+    site = F.struct(F.when(F.col("p_partkey") % 3 > 0, F.col("p_brand")).alias("name"), F.lit(None).cast("string").alias("note"))
+    return table(s, d, "part").select(F.col("p_partkey").alias("key"), F.struct(F.when(F.col("p_size") % 2 > 0, F.col("p_size")).alias("storey"), site.alias("site")).alias("place"), F.array().cast("array<string>").alias("tags"))
+
+
+_add(
+    "A20_markdown",
+    lambda s, d: table(s, d, "pages").select("page_id", F.md5(text.markdown_escaped(F.col("html")).cast("binary")).alias("md")),
+    r"SELECT page_id, md5(replace(replace(replace(replace(replace(html, '\', '\\'), '[', '\['), ']', '\]'), '<', '\<'), '>', '\>')) AS md FROM pages",
+)
+_add("A22_fold", lambda s, d: table(s, d, "supplier").select("s_suppkey", numbers.fold_of(F.col("s_name")).alias("fold")), "SELECT s_suppkey, CAST(list_sum(list_transform(string_split(sha256(s_name), ''), lambda c: strpos('0123456789abcdef', c) - 1)) % 5 AS INTEGER) AS fold FROM supplier")
+
+
+def _described(s, d):
+    """Elements with all that an embedding text may hold, some of it absent or blank."""
+    k = F.col("key")
+    some = lambda n, c: F.when(k % n > 0, c)
+    return elements(s, d).select(
+        "*", some(2, F.concat(F.lit("A  "), "name")).alias("description"), some(3, F.col("project_id")).alias("object_type"), F.lit(" ").alias("predefined_type"),
+        some(5, F.upper("name")).alias("semantic_label"), F.lit("North").alias("site"), F.lit(None).cast("string").alias("building"), some(7, F.concat(F.lit("R"), "storey")).alias("space"),
+    )
+
+
+_add(
+    "A24_element_text",
+    lambda s, d: _described(s, d).select("key", render.element_text(_described(s, d)).alias("t")),
+    f"""WITH {ELEMENTS_SQL} SELECT key, concat_ws(chr(10), 'IFC class: ' || ifc_class, 'Name: ' || name, CASE WHEN key % 2 > 0 THEN 'Description: A  ' || name END, CASE WHEN key % 3 > 0 THEN 'Object type: ' || project_id END,
+      CASE WHEN key % 5 > 0 THEN 'Semantic label: ' || upper(name) END, 'Materials: ' || array_to_string(materials, ', '), 'Site: North', 'Storey: ' || storey, CASE WHEN key % 7 > 0 THEN 'Space: R' || storey END) AS t FROM elements""",
+)
+
+# ------------------------------------------------------------------ the parser, on questions made of parts whose meaning is known
+
+#: Parts of questions, and what is to be read from them.
+_PARTS = {
+    "class": [("portas", "IfcDoor"), ("a janela da parede", "IfcWindow"), ("fachada cortina", "IfcCurtainWall"), ("Corrimão", "IfcRailing"), ("IfcBeam", "IfcBeam"), ("portanto", None), ("floor slab", "IfcSlab")],
+    "material": [("de betão e tijolos", "betao,tijolo"), ("em PEDRA", "pedra"), ("de betões", "betao"), ("de granitos, granito", "granito"), ("sem nada", "")],
+    "storey": [("no piso -1", "-1"), ("no 2.º andar", "2"), ("no terceiro piso", "3"), ("piso quinto", "5"), ("andar L0", "L0"), ("no rés-do-chão", "0"), ("r/c", "0"), ("na cave", "-1"), ("algures", None), ("storey 07", "7")],
+    "field": [("quantos por piso", "storey"), ("id do projeto", "project_id"), ("quais os meus projectos", "project"), ("que materiais", "material"), ("as classificações", "classification"), ("classificaco", None), ("que tipos", "ifc_class"), ("número de coisas", "count"), ("olhar", None), ("os níveis", "storey")],
+    "condition": [
+        ("com altura maior que 3 m", "height gt 3.0"), ("de espessura de pelo menos 30 cm", "thickness gte 0.3"), ("entre 2 e 4 metros", "height gte 2.0,height lte 4.0"), ("mais de 10 m2", "area gt 10.0"), ("menos de 5 de volume", "volume lt 5.0"),
+        ("2,5 m3 de volume", "volume approx 2.5"), ("cerca de 7 mm", "height approx 0.007"), ("altura maior que 3 m2", ""), ("comprimento de 3 m", ""), ("largura igual a 1 m e largura igual a 1 m", "thickness eq 1.0"), ("entre 1 e 2 m2 de area", "area gte 1.0,area lte 2.0"),
+    ],
+    "name": [('a "Porta A"', "Porta A||"), ("o W_01 e project_id AB_12", "W_01|AB_12|"), ("projeto Casa Azul com vidro", "||Casa Azul"), ("código do projecto X-9", "|X-9|"), ("id projeto nada", "||nada"), ("sem nome", "||"), ("«Sala 3»", "Sala 3||")],
+    "ordinal": [("o segundo", 2), ("a última", 9), ("o 4 e o segundo", 4), ("mais", 1), ("o 77", 9), ("a décima", 9), ("terceira", 3)],
+}
+
+
+def _asked(s, d, part):
+    """A question about each part of the table: a known phrase among its words."""
+    phrases = F.array(*(F.lit(p) for p, _ in _PARTS[part]))
+    at = (F.col("p_partkey") % len(_PARTS[part]) + 1).cast("int")
+    return table(s, d, "part").select("p_partkey", F.concat(F.element_at(phrases, at), F.lit("?")).alias("q"))
+
+
+def _answers(part):
+    shown = ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else "'" + v + "'" for _, v in _PARTS[part])
+    return f"SELECT p_partkey, list_extract([{shown}], p_partkey % {len(_PARTS[part])} + 1) AS answer FROM part"
+
+
+def _parsed(s, d, part, column):
+    return _asked(s, d, part).select("p_partkey", language.parsed_of("q").alias("p")).select("p_partkey", column.alias("answer"))
+
+
+def _conditions_shown():
+    return F.array_join(F.transform("p.conditions", lambda c: F.concat_ws(" ", c["field"], c["op"], c["value"].cast("string"))), ",")
+
+
+def _names_shown():
+    return F.concat_ws("|", *(F.coalesce(F.col(f"p.{n}"), F.lit("")) for n in ("name", "project_id", "project_name")))
+
+
+_add("H5_class", lambda s, d: _asked(s, d, "class").select("p_partkey", text.query_form_of(F.col("q")).alias("n")).select("p_partkey", language.class_found(F.col("n")).alias("answer")), _answers("class"))
+_add("H6_materials", lambda s, d: _asked(s, d, "material").select("p_partkey", F.array_join(language.materials_found(text.query_form_of(F.col("q"))), ",").alias("answer")), _answers("material"))
+_add("H7_storey", lambda s, d: _parsed(s, d, "storey", F.col("p.storey")), _answers("storey"))
+_add("H8_conditions", lambda s, d: _parsed(s, d, "condition", _conditions_shown()), _answers("condition"))
+_add("H9_global_ids", lambda s, d: elements(s, d).select("key", F.array_join(language.global_ids(F.concat(F.lit("x "), "global_id", F.lit(" ("), "global_id", F.lit("), y"), "global_id")), ",").alias("ids")), f"WITH {ELEMENTS_SQL} SELECT key, global_id AS ids FROM elements")
+_add("H10_field", lambda s, d: _parsed(s, d, "field", F.col("p.agg_field")), _answers("field"))
+_add("H11_names", lambda s, d: _parsed(s, d, "name", _names_shown()), _answers("name"))
+_add("H12_ordinal", lambda s, d: _asked(s, d, "ordinal").select("p_partkey", language.ordinal_of(F.col("q"), 9).alias("answer")), _answers("ordinal"))
+
+# ------------------------------------------------------------------ scopes, lookups, contracts
+
+_add("C2_project_filter", lambda s, d: elements(s, d).where(filters.project_filter("project_id", "proj-2")).select("key"), _E + "project_id = 'proj-2'")
+_add("C5_unknown_metric", lambda s, d: elements(s, d).where(filters.numeric_conditions(elements(s, d), {"height": ["height"], "weight": ["mass"]}, [("height", "gt", 20), ("weight", "gt", 5), ("colour", "eq", 1)])).select("key"), _E + "height > 20")
+_add(
+    "C12_active_chunks",
+    lambda s, d: filters.active_chunks(table(s, d, "lineitem").select(F.col("l_suppkey").alias("document_id"), "l_orderkey", "l_linenumber", (F.col("l_linenumber") % 3).alias("revision_id"), (F.col("l_orderkey") % 2).alias("link_revision_id")), table(s, d, "supplier").select(F.col("s_suppkey").alias("document_id"), (F.col("s_suppkey") % 3).alias("revision_id"), (F.col("s_nationkey") % 2).alias("link_revision_id"))).select("l_orderkey", "l_linenumber"),
+    "SELECT l_orderkey, l_linenumber FROM lineitem JOIN supplier ON s_suppkey = l_suppkey WHERE l_linenumber % 3 = s_suppkey % 3 AND l_orderkey % 2 = s_nationkey % 2",
+)
+_add("C14_lookup", lambda s, d: filters.lookup(elements(s, d), "global_id", "17".zfill(22)).select("key", "name"), f"WITH {ELEMENTS_SQL} SELECT key, name FROM elements WHERE global_id = lpad('17', 22, '0')")
+_add("C15_multi_get", lambda s, d: filters.by_ids(elements(s, d), "global_id", [str(i).zfill(22) for i in (9, 3, 77)]).select("position", "key", "name"), f"WITH {ELEMENTS_SQL} SELECT CAST(list_position(['9', '3', '77'], ltrim(global_id, '0')) - 1 AS INTEGER) AS position, key, name FROM elements WHERE ltrim(global_id, '0') IN ('9', '3', '77')")
+_add("D14_looked_up", lambda s, d: filters.looked_up(table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_partkey").alias("key")), elements(s, d).where("key % 2 = 0").select("key", "element_id"), "key").select("l_orderkey", "l_linenumber", "element_id"), f"WITH {ELEMENTS_SQL} SELECT l_orderkey, l_linenumber, element_id FROM lineitem JOIN elements ON key = l_partkey WHERE key % 2 = 0")
+_add("E1_count", lambda s, d: agg.matching(elements(s, d), F.col("storey") == "3"), f"WITH {ELEMENTS_SQL} SELECT count(*) AS n FROM elements WHERE storey = '3'")
+_add(
+    "K9_legacy_metric",
+    lambda s, d: table(s, d, "part").select("p_partkey", facts_of.legacy_metric(F.array(F.create_map(F.lit("Length"), F.col("p_size")), F.when(F.col("p_partkey") % 2 == 0, F.create_map(F.lit("Height"), F.col("p_size") + 1000))), F.array(F.create_map(F.lit("Tall"), F.lit(-1), F.lit("Height"), F.lit(7))), ["Height", "Tall"]).alias("v")),
+    "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size + 1000 ELSE 7 END AS v FROM part",
+)
+_add(
+    "L9_length_unit",
+    lambda s, d: table(s, d, "part").select("p_partkey", geometry.length_unit(F.array(F.struct(F.lit("METRE").alias("name"), F.when(F.col("p_size") % 4 > 0, F.lit(1.0)).alias("factor")), F.struct(F.lit("FOOT").alias("name"), F.when(F.col("p_size") % 3 == 0, F.lit(0.3048)).alias("factor")))).alias("u")).select("p_partkey", "u.*"),
+    "SELECT p_partkey, CASE WHEN p_size % 4 > 0 AND p_size % 3 > 0 THEN 'METRE' WHEN p_size % 4 = 0 AND p_size % 3 = 0 THEN 'FOOT' END AS name, CASE WHEN p_size % 4 > 0 AND p_size % 3 > 0 THEN 1.0 WHEN p_size % 4 = 0 AND p_size % 3 = 0 THEN 0.3048 END::DOUBLE AS factor, CASE WHEN p_size % 4 = 0 AND p_size % 3 > 0 THEN 'UNIT_UNRESOLVABLE' WHEN p_size % 4 > 0 AND p_size % 3 = 0 THEN 'UNIT_INCONSISTENT' END AS issue FROM part",
+)
+_add(
+    "M7_revision_ids",
+    lambda s, d: table(s, d, "nation").select("n_nationkey", ids.native_revision(F.lit("p"), F.col("n_name"), F.lit("ab"), F.lit("IFC4"), ["1", "2", "3", "4"]).alias("native"), ids.derived_revision(F.lit("p"), F.col("n_name"), F.lit("f"), ["1", "2"], ["1", "aabb", "1", "grid", "1", "pol"], "0.000500").alias("derived")),
+    "SELECT n_nationkey, 'nr_' || substr(sha256('1:p' || strlen(n_name) || ':' || n_name || '2:ab4:IFC41:11:21:31:4'), 1, 32) AS native, 'dr_' || substr(sha256('1:p' || strlen(n_name) || ':' || n_name || '1:f1:11:21:14:aabb1:14:grid1:13:pol8:0.000500'), 1, 32) AS derived FROM nation",
+)
+_add(
+    "M17_occurrence_ids",
+    lambda s, d: table(s, d, "nation").select("n_nationkey", ids.node_instance("2", F.lit("p"), F.col("n_name"), F.lit("r")).alias("node"), ids.relationship_instance("2", F.lit("p"), F.col("n_name"), F.lit("native"), F.lit("r"), F.lit("a"), F.lit("b"), F.lit("HAS")).alias("relation")),
+    "SELECT n_nationkey, 'ni_' || substr(sha256('1:21:p' || strlen(n_name) || ':' || n_name || '1:r'), 1, 32) AS node, 'ri_' || substr(sha256('1:21:p' || strlen(n_name) || ':' || n_name || '6:native1:r1:a1:b3:HAS'), 1, 32) AS relation FROM nation",
+)
+_add(
+    "N4_score_kinds",
+    lambda s, d: table(s, d, "part").select("p_partkey", evidence.score_kind_issue(F.element_at(F.array(*map(F.lit, ["bm25", "dense_knn", "exact_lookup", "guess"])), (F.col("p_partkey") % 4 + 1).cast("int")), F.when(F.col("p_size") % 3 == 0, "bm25_score").when(F.col("p_size") % 3 == 1, "dense_similarity")).alias("issue")),
+    "SELECT p_partkey, CASE WHEN p_partkey % 4 = 3 THEN 'unknown_method' WHEN p_size % 3 = 2 THEN NULL WHEN p_partkey % 4 = 2 THEN 'method_without_score' WHEN p_partkey % 4 <> p_size % 3 THEN 'other_scale' END AS issue FROM part",
+)
+_add("N11_routing_accuracy", lambda s, d: evaluation.routing_accuracy(table(s, d, "orders").select(F.col("o_orderstatus").alias("found"), F.when(F.col("o_orderkey") % 3 > 0, F.col("o_orderstatus")).otherwise(F.lit("F")).alias("expected"))), "SELECT round_even(avg((o_orderkey % 3 > 0 OR o_orderstatus = 'F')::INT), 6) AS accuracy FROM orders")
+_add("N11_filter_correctness", lambda s, d: evaluation.no_false_positives(elements(s, d).where("height > 30"), elements(s, d).where("height > 29"), "key"), "SELECT true AS correct")
+_add(
+    "N11_pagination",
+    lambda s, d: evaluation.pagination_integrity(table(s, d, "orders").select(F.col("o_custkey").alias("c_custkey")), table(s, d, "customer"), "c_custkey"),
+    "SELECT (SELECT count(*) FROM customer FULL JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey WHERE c_custkey IS NULL OR n IS DISTINCT FROM 1) = 0 AS sound",
+)
+_add("N11_aggregation", lambda s, d: evaluation.aggregation_exact(agg.buckets(elements(s, d), "storey"), agg.buckets(elements(s, d).where("height > 1"), "storey")), f"WITH {ELEMENTS_SQL} SELECT count(*) FILTER (WHERE height <= 1) = 0 AS exact FROM elements")
+_add("D2_enriched", lambda s, d: ranking.enriched(table(s, d, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("rank")), table(s, d, "documents").select(F.col("doc_id").alias("id"), "source")), "SELECT doc_id AS id, quality AS rank, source FROM labels JOIN documents USING (doc_id)")
+

@@ -214,3 +214,80 @@ def test_mesh_angle_and_counts(spark):
     t = spark.createDataFrame([("x", 1.0), ("x", None)], "k string, v double")
     assert t.groupBy("k").agg(aggregates.all_or_nothing_min("v").alias("v")).first()["v"] is None
     assert math.isclose(1.0, 1.0)
+
+
+def test_sections_count_as_they_should(spark):
+    """Empty blocks are no blocks; what stands before the first heading is section 0; the last block is no heading."""
+    body = "This is body text that ends with a full stop."
+    rows = [(1, 0, "  "), (1, 1, "Title"), (1, 2, body), (1, 3, "Next"), (1, 4, "Again"), (1, 5, body), (1, 6, "No heading"), (1, 7, " ")]
+    rows += [(2, 0, body), (2, 1, "Late"), (2, 2, body)]
+    df = spark.createDataFrame([(d, i, 1, t) for d, i, t in rows], "document_id int, block_index int, page int, text string")
+    got = [(r["document_id"], r["chunk_index"], r["section_index"], r["section_title"], r["text"]) for r in documents.chunked(df).orderBy("document_id", "chunk_index").collect()]
+    assert got == [(1, 0, 0, "Title", body), (1, 1, 2, "Again", f"{body}\nNo heading"), (2, 0, 0, None, body), (2, 1, 1, "Late", body)]
+
+
+def test_chunks_by_hand():
+    """Overlap counts towards the target, is cut at a space, and stays within its section; regions go with their text."""
+    a, b, c = ("word " * 160).strip(), ("other " * 100).strip(), ("third " * 60).strip()  # 799, 599 and 359 characters
+    one, two = documents.fold_blocks([(0, 1, a, 0), (0, 1, b, 1), (0, 2, c, 0)])
+    tail = ("word " * 30).strip()
+    assert one["text"] == a and one["regions"] == [(1, 0)] and (one["first_page"], one["last_page"]) == (1, 1)
+    assert two["text"] == f"{tail}\n{b}\n{c}" and two["own"] == f"{b}\n{c}" and two["regions"] == [(1, 0), (1, 1), (2, 0)] and two["last_page"] == 2
+    three = documents.fold_blocks([(0, 1, a), (0, 1, b), (0, 1, "x" * 470)])  # 149 + 599 + 470 and a line end: over 1200
+    assert [len(r["text"]) for r in three] == [799, 149 + 1 + 599, 149 + 1 + 470]
+    again = documents.fold_blocks([(0, 1, b), (1, 1, "y " * 900 + "end")])  # the block that opens a later section carries nothing over
+    assert [r["section_index"] for r in again] == [0, 1, 1] and again[2]["own"] == again[2]["text"]
+    runt = documents.fold_blocks([(0, 1, "z" * 1150), (0, 1, "w" * 60)])
+    assert len(runt) == 2 and runt[1]["text"].endswith("w" * 60)  # with what it carries over it is no runt
+
+
+def test_linking_outcomes():
+    from plumbline.operators.linking import Linker, eligible_name
+
+    assert eligible_name("a bc") and not eligible_name("abc") and not eligible_name("Porta") and not eligible_name("a b c d e f g h i") and not eligible_name(None)
+    element = lambda i, name, **at: {"element_id": "el_" + f"{i:032x}", "global_id": f"{i:022d}", "name": name} | at
+    linker = Linker([element(1, "Caldeira Norte"), element(2, "Caldeira Norte Velha"), element(3, "Valve", storey="Piso Um"), element(4, "Valve", storey="Piso Dois"), element(5, "Porta"), element(6, "Pump Alpha"), element(7, "Pump Alphb")])
+    look = lambda text: [(text[m.start : m.stop], m.outcome, m.element_id and int(m.element_id[3:], 16), m.method) for m in linker.mentions(text)]
+    assert look("a caldeira norte velha, CALDEIRA NORTE.") == [("caldeira norte velha", "linked", 2, "exact_name"), ("CALDEIRA NORTE", "linked", 1, "exact_name")]
+    assert look("valve on") == [("valve", "ambiguous_duplicate_name", None, None)]
+    assert look("valve at piso dois") == [("valve", "linked", 4, "exact_name_location")]
+    assert look("valve of piso um, piso dois") == [("valve", "ambiguous_location_conflict", None, None)]
+    assert look("porta") == [] and look("caldeiro norte") == [("caldeiro norte", "linked", 1, "fuzzy_name")]
+    assert look("pump alphc") == [("pump alphc", "ambiguous_fuzzy_margin", None, None)]
+    assert look("norte") == [("norte", "unresolved_below_threshold", None, None)]
+    assert look(f"{1:022d} {99:022d} el_{2:032x}") == [(f"{1:022d}", "linked", 1, "global_id"), (f"{99:022d}", "unresolved_unknown_identifier", None, None), (f"el_{2:032x}", "linked", 2, "element_id")]
+    crowded = Linker([element(i, f"unit number {i}") for i in range(201)])
+    assert crowded.mentions("unit")[0].outcome == "unresolved_candidate_bound"
+    assert [(e[-1], m) for e, m, _, _ in linker.links(f"caldeira norte e {1:022d}")] == [("1", "global_id")]
+
+
+def test_records_without_nulls():
+    assert render.pruned({"a": None, "b": {"c": None}, "d": [], "e": "", "f": 0, "g": [{"h": 1, "i": None}]}) == {"d": [], "e": "", "f": 0, "g": [{"h": 1}]}
+    with pytest.raises(ValueError):
+        render.pruned({"a": [{"b": None}]})
+
+
+def test_what_is_missing_is_an_error(spark):
+    ranked = spark.createDataFrame([(1, 1), (2, 2)], "id int, rank int")
+    with pytest.raises(Exception, match="nothing is known of 2"):
+        ranking.enriched(ranked, spark.createDataFrame([(1, "x")], "id int, t string")).collect()
+    with pytest.raises(ValueError):
+        ranking.document_page(ranked, 2, 5)
+    assert ranking.document_page(ranked, 1, 5).count() == 1
+    chunk = spark.createDataFrame([("d", "r", "l"), ("e", "r", "l")], "document_id string, revision_id string, link_revision_id string")
+    with pytest.raises(Exception, match="no current revisions of document e"):
+        filters.active_chunks(chunk, chunk.where("document_id = 'd'")).collect()
+    from plumbline.operators import evaluation
+
+    with pytest.raises(Exception, match="no questions"):
+        evaluation.routing_accuracy(spark.createDataFrame([], "found string, expected string")).collect()
+
+
+def test_sample_of_a_large_table(spark):
+    from plumbline.sources import store
+
+    df = spark.range(100_000).selectExpr("lpad(cast(hash(id) as string), 12, '0') as k", "id")
+    ordered = sorted(r["k"] for r in df.select("k").collect())
+    got = sorted(r["k"] for r in store.fixed_sample(df, "k").collect())
+    assert got == sorted({ordered[0], ordered[(len(ordered) - 1) // 2], ordered[-1]})
+    assert store.fixed_sample(df.limit(0), "k").count() == 0 and store.fixed_sample(df.limit(1), "k").count() == 1

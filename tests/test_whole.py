@@ -73,24 +73,24 @@ def test_bm25_asks_every_term(spark, tmp_path):
     docs = [(1, "only a marble gutter", "web"), (2, "one and six", "seven web"), (3, "nothing of it", "web"), (4, "marble, marble", "gutter")]
     spark.createDataFrame(queries, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
-    got = {(r["query_id"], r["id"]): r["score"] for r in registry.queries()["G3_bm25_chunks_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["query_id"], r["id"]): r["score"] for r in registry.queries()["G3_bm25_chunks"](spark, str(tmp_path)).collect()}
     want = {(q, i): v for q, own in bm25(docs, queries[:2]).items() for i, v in own.items()}
     assert got.keys() == want.keys() and (0, 1) in got and (0, 4) in got
     assert all(abs(got[k] - want[k]) < 1e-6 for k in want)
 
 
 def test_dense_queries_are_the_stated_set(spark):
-    for name in ("G4_dense_whole", "G5_engine_score_whole", "N9_ranking_quality_whole"):
+    for name in ("G4_dense", "G5_engine_score", "N9_ranking_quality"):
         asked = {r["query_id"] for r in registry.queries()[name](spark, str(SMALL)).collect()}
         assert asked == set(range(0, 500, 20))
     kept = sum(r["kept"] for r in registry.queries()["N15_thresholds"](spark, str(SMALL)).collect() if r["threshold"] == 0.2)
-    assert kept == registry.queries()["G4_dense_whole"](spark, str(SMALL)).where("score >= 0.2").count()
+    assert kept == registry.queries()["G4_dense"](spark, str(SMALL)).where("score >= 0.2").count()
 
 
 def test_whole_pages_are_escaped(spark, tmp_path):
     page = "x" * 400 + r"[a]<b>\ "
     spark.createDataFrame([(1, page)], "page_id bigint, html string").write.parquet(f"{tmp_path}/pages.parquet")
-    got = registry.queries()["A20_markdown_whole"](spark, str(tmp_path)).first()["md"]
+    got = registry.queries()["A20_markdown"](spark, str(tmp_path)).first()["md"]
     assert got == hashlib.md5(("x" * 400 + r"\[a\]\<b\>\\ ").encode()).hexdigest()
 
 
@@ -98,14 +98,14 @@ def test_every_order_element_and_box_counts(spark, tmp_path):
     q, d = registry.queries(), str(tmp_path)
     spark.createDataFrame([(39, 1), (40, 1), (9000, 2)], "o_orderkey bigint, o_custkey bigint").write.parquet(f"{d}/orders.parquet")
     spark.createDataFrame([(1,), (2,), (3,)], "c_custkey bigint").write.parquet(f"{d}/customer.parquet")
-    assert {tuple(r) for r in q["E6_zero_filled_whole"](spark, d).select("c_custkey", "n").collect()} == {(1, 2), (2, 1), (3, 0)}
+    assert {tuple(r) for r in q["E6_zero_filled"](spark, d).select("c_custkey", "n").collect()} == {(1, 2), (2, 1), (3, 0)}
     parts = [(7, "red bolt", "Brand#1", "LARGE", 50, 100.25), (900, "old ring", "Brand#2", "SMALL", 3, 10.0), (901, "hot gear", "Brand#2", "LARGE", 4, 10.0)]
     spark.createDataFrame(parts, "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double").write.parquet(f"{d}/part.parquet")
-    hits = {r["key"]: r["t"].splitlines()[-1] for r in q["A30_hit_text_whole"](spark, d).collect()}
+    hits = {r["key"]: r["t"].splitlines()[-1] for r in q["A30_hit_text"](spark, d).collect()}
     assert hits == {7: "metrics: height=50, area=100.25", 900: "metrics: height=3, area=10, volume=0.3", 901: "metrics: height=4, area=10, volume=0.4"}
-    assert {r["name"] for r in q["O1_union_whole"](spark, d).collect()} == {"red bolt", "old ring"}
+    assert {r["name"] for r in q["O1_union"](spark, d).collect()} == {"red bolt", "old ring"}
     spark.createDataFrame([(i,) for i in (1, 499, 500, 7000)], "s_suppkey bigint").write.parquet(f"{d}/supplier.parquet")
-    assert {tuple(r) for r in q["D7_exhaustive_pairs_whole"](spark, d).collect()} == {(1, 499), (1, 500), (1, 7000), (499, 500), (499, 7000), (500, 7000)}
+    assert {tuple(r) for r in q["D7_exhaustive_pairs"](spark, d).collect()} == {(1, 499), (1, 500), (1, 7000), (499, 500), (499, 7000), (500, 7000)}
 
 
 def covered(text, names):
@@ -147,7 +147,7 @@ def test_registered_names_of_mixed_length(spark):
         w = [w for w in re.split(r"[\W_]+", r["text"].lower()) if w]
         if len(w) >= r["item_id"] % 8 + 1:
             names.append((r["item_id"], " ".join(w[: r["item_id"] % 8 + 1])))
-    got = {(r["doc_id"], r["element"]): r["n"] for r in registry.queries()["D9_phrase_join_mixed"](spark, str(SMALL)).collect()}
+    got = {(r["doc_id"], r["element"]): r["n"] for r in registry.queries()["D9_phrase_join"](spark, str(SMALL)).collect()}
     assert got == {(r["doc_id"], e): n for r in docs for e, n in covered(r["text"] or "", names).items()}
     assert {e % 8 for _, e in got} & {4, 5, 6, 7}
 
@@ -155,6 +155,6 @@ def test_registered_names_of_mixed_length(spark):
 def test_packs_take_every_document(spark, tmp_path):
     docs = [(i, "one\ntwo\nthree") for i in (59, *range(60, 160))]
     spark.createDataFrame(docs, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    rows = registry.queries()["N1_pack_whole"](spark, str(tmp_path)).collect()
+    rows = registry.queries()["N1_pack"](spark, str(tmp_path)).collect()
     assert sum(r["n"] for r in rows) == 200 and all(r["truncated"] for r in rows)
-    assert registry.queries()["N6_references_whole"](spark, str(tmp_path)).count() == 50
+    assert registry.queries()["N6_references"](spark, str(tmp_path)).count() == 50
