@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts are handled in slices of about so many UTF-8 bytes, which bounds what a
 #: worker holds besides the Arrow batch itself. A longer text is a slice alone.
@@ -58,16 +59,64 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def drop_work(spark: SparkSession, path: str) -> None:
-    """Remove a work table that no later plan reads."""
-    _remove(spark, path)
+_held: dict[str, None] = {}
+
+
+def work_tables() -> list[str]:
+    """The work tables there are, to be told apart from later ones by dropped_since."""
+    return list(_held)
+
+
+def dropped_since(spark: SparkSession, before: list[str], keep: list[DataFrame]) -> None:
+    """Remove the work tables written since ``before`` that ``keep`` doesn't read."""
+    kept = {df.work_path for df in keep}
+    for path in [p for p in _held if p not in before and p not in kept]:
+        _remove(spark, path)
+        del _held[path]
+
+
+def dropped(spark: SparkSession, *tables: DataFrame) -> None:
+    """Remove work tables that no later plan reads."""
+    for df in tables:
+        if _held.pop(df.work_path, None) is not None:
+            _remove(spark, df.work_path)
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder and read it back."""
     path = work_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.work_path = path
+    _held[path] = None
+    return out
+
+
+#: A join key with more rows than this is hot; so many of the hottest are set apart.
+HOT_ROWS = 1000
+HOT_KEYS = 10_000
+
+
+def hot_keys(spark: SparkSession, df: DataFrame, keys: list[str]) -> DataFrame | None:
+    """The keys with the most rows, at most ``HOT_KEYS``; None if no key has many. Counted with partial sums."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS)
+    found = written(spark, counts.orderBy(F.desc("_n")).limit(HOT_KEYS).select(*keys), "hot")
+    return None if found.isEmpty() else found
+
+
+def joined_by_hot(spark: SparkSession, left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """``left`` joined with ``right``, which has one row for a key, so that no task gets all
+    rows of a hot key: rows of hot keys stay where they are and the few rows of
+    ``right`` for them are broadcast; the others meet by a shuffle.
+
+    Both are read several times, so they should be written tables.
+    """
+    hot = hot_keys(spark, left, keys)
+    if hot is None:
+        return left.join(right, keys, how)
+    hot = F.broadcast(hot)  # HOT_KEYS rows at most
+    few = F.broadcast(right.join(hot, keys, "left_semi"))
+    return left.join(hot, keys, "left_semi").join(few, keys, how).unionByName(left.join(hot, keys, "left_anti").join(right, keys, how))
 
 
 def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

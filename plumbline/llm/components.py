@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import dropped, joined_by_hot, written
 
 #: Beyond so many rounds something is wrong: each one at least halves the distances.
 MAX_ROUNDS = 60
@@ -24,14 +24,18 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     edges = written(spark, both, "edges")
     labels = written(spark, edges.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")), "labels")
     for _ in range(MAX_ROUNDS):
-        near = edges.join(labels, edges.b == labels.node).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
+        seen = joined_by_hot(spark, edges, labels.select(F.col("node").alias("b"), "component"), ["b"])  # a hub has many edges
+        near = seen.groupBy(F.col("a").alias("node")).agg(F.min("component").alias("seen"))
         taken = labels.join(near, "node").select("node", F.col("component").alias("before"), F.least("component", "seen").alias("mid"))
+        taken = written(spark, taken, "taken")
         jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("further"))
-        stepped = taken.join(jump, "mid", "left").select("node", "before", F.least("mid", F.coalesce("further", "mid")).alias("component"))
+        stepped = joined_by_hot(spark, taken, jump, ["mid"], "left").select("node", "before", F.least("mid", F.coalesce("further", "mid")).alias("component"))
         stepped = written(spark, stepped, "labels")
+        dropped(spark, taken, labels)
         if stepped.where(F.col("before") != F.col("component")).isEmpty():
+            dropped(spark, edges)
             return stepped.select("node", "component")
-        labels = stepped.select("node", "component")
+        labels = stepped
     raise RuntimeError("components did not settle")
 
 

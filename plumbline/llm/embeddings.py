@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import windows, written
+from .common import dropped_since, joined_by_hot, windows, work_tables, written
 from .components import components, local_roots
 
 SIMILARITY = 0.95
@@ -226,6 +226,7 @@ def linked_vectors(spark: SparkSession, vectors: DataFrame, similarity: float =
 
 def _linked(spark: SparkSession, rows: DataFrame, dim: int, similarity: float, miss: float, window: int) -> DataFrame:
     """vec_id, n_links and component_id of vectors (vec_id, v), all of the length ``dim``."""
+    before = work_tables()
     kind = "<f4" if rows.schema["v"].dataType.elementType.simpleString() == "float" else "<f8"
     id_type = rows.schema["vec_id"].dataType.simpleString()
     keyed = rows.mapInArrow(_keyed(dim, kind), f"vec_id {id_type}, key binary, raw binary")
@@ -260,6 +261,9 @@ def _linked(spark: SparkSession, rows: DataFrame, dim: int, similarity: float, m
     labels = components(spark, found.where("key <> root").select(F.col("key").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("key").agg(F.sum("n").alias("n"))
     placed = classes.select("key", "first_id", "copies").join(counts, "key", "left").join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    lowest = placed.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    placed = placed.join(lowest, "component").select("key", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return keyed.select("vec_id", "key").join(placed, "key").select("vec_id", "n_links", "component_id")
+    placed = written(spark, placed, "components")
+    lowest = written(spark, placed.groupBy("component").agg(F.min("first_id").alias("component_id")), "lowest")
+    placed = joined_by_hot(spark, placed, lowest, ["component"]).select("key", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    placed = written(spark, placed, "answers")
+    dropped_since(spark, before, [keyed, placed])
+    return joined_by_hot(spark, keyed.select("vec_id", "key"), placed, ["key"]).select("vec_id", "n_links", "component_id")

@@ -34,10 +34,11 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import give_back, mix64, slices, windows, written
+from .common import dropped_since, give_back, joined_by_hot, mix64, slices, windows, work_tables, written
 from .components import components, local_roots
 from .words import Words, scan, shingles
 
+_BUCKET = ["band", "value"]
 SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 16, 4
@@ -233,15 +234,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     and text are not looked at.
     """
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
+    before = work_tables()
     counts = document_frequencies(texts)
     weights = spark.sparkContext.broadcast(Weights(counts, texts.count()))  # of fixed size
     id_type = texts.schema["doc_id"].dataType.simpleString()
     signed = written(spark, texts.mapInArrow(_signatures(weights), f"doc_id {id_type}, key binary, bands array<bigint>"), "signatures")
     classes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
     classes = written(spark, classes, "classes")
-    members = classes.select("key", F.posexplode("bands").alias("band", "value"))
+    members = written(spark, classes.select("key", F.posexplode("bands").alias("band", "value")), "bands")
     buckets = members.groupBy("band", "value").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-    members = written(spark, members.join(buckets.drop("n"), ["band", "value"]), "members")
+    buckets = written(spark, buckets.drop("n"), "buckets")
+    members = written(spark, joined_by_hot(spark, members, buckets, _BUCKET), "members")
     asked = members.select("key").distinct()
     wanted = classes.join(asked, "key", "left_semi").select(F.col("first_id").alias("doc_id"), "key")
     found = texts.join(wanted, "doc_id").mapInArrow(_checked, "key binary, text string")
@@ -255,21 +258,21 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     labels = components(spark, links)
     # Buckets that hold several components still. A text is out if the shingles it has
     # in common with any other of them weigh too little for 0.8, whatever the partner.
-    placed = written(spark, _mixed(members.select("band", "value", "key"), labels), "mixed")
+    placed = written(spark, _mixed(spark, members.select("band", "value", "key"), labels), "mixed")
     measured = written(spark, _linkable(found, placed, weights), "linkable")
     able = placed.drop("component").join(measured.where(F.col("common") >= SIMILARITY * F.col("total") - 1e-6), "key")
-    able = written(spark, _mixed(able, labels), "able")
+    able = written(spark, _mixed(spark, able, labels), "able")
     # The text with the most in common with others is the next pivot of its bucket.
     best = able.groupBy("band", "value").agg(F.max(F.struct(F.col("common") / F.col("total"), F.col("key"), F.col("component"))).alias("best"))
-    again = able.join(best, ["band", "value"]).where(F.col("component") != F.col("best.component"))
+    again = joined_by_hot(spark, able, written(spark, best, "best"), _BUCKET).where(F.col("component") != F.col("best.component"))
     again = again.select(F.least("key", "best.key").alias("a"), F.greatest("key", "best.key").alias("b")).distinct()
     again = written(spark, again.join(stars, ["a", "b"], "left_anti"), "again")
     links = written(spark, links.unionByName(_verified(again, found, weights)), "links")
     labels = components(spark, links)
     # What is left is compared within its buckets, in stretches of bounded size, where the common weights allow 0.8.
-    able = _mixed(able.drop("component"), labels)
+    able = written(spark, _mixed(spark, able.drop("component"), labels), "left")
     sizes = able.groupBy("band", "value").agg(F.ceil(F.count("*") / STRETCH).cast("int").alias("parts"))
-    dealt = able.join(sizes, ["band", "value"]).withColumn("stretch", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+    dealt = joined_by_hot(spark, able, written(spark, sizes, "sizes"), _BUCKET).withColumn("stretch", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
     dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     dealt = dealt.withColumn("first", F.least("stretch", "with")).withColumn("second", F.greatest("stretch", "with")).drop("with", "parts")
     dealt = written(spark, dealt, "rest")
@@ -280,9 +283,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     if not more.isEmpty():
         labels = components(spark, links.select("a", "b").unionByName(more))
     grouped = classes.select("key", "first_id").join(labels, classes.key == labels.node, "left").select("key", "first_id", F.coalesce("component", "key").alias("component"))
-    lowest = grouped.groupBy("component").agg(F.min("first_id").alias("class_id"))
-    grouped = written(spark, grouped.join(lowest, "component").select("key", "component", "class_id"), "groups")
-    return signed.select("doc_id", "key").join(grouped, "key", "left").select("doc_id", "key", "component", F.coalesce("class_id", "doc_id").alias("class_id"))
+    grouped = written(spark, grouped, "grouped")
+    lowest = written(spark, grouped.groupBy("component").agg(F.min("first_id").alias("class_id")), "lowest")
+    grouped = written(spark, joined_by_hot(spark, grouped, lowest, ["component"]).select("key", "component", "class_id"), "groups")
+    dropped_since(spark, before, [signed, grouped])
+    return joined_by_hot(spark, signed.select("doc_id", "key"), grouped, ["key"], "left").select("doc_id", "key", "component", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
 def _within(weights: Broadcast):
@@ -364,11 +369,12 @@ def _overlaps(own: Weights, texts: list[bytes], columns: int = 4096) -> np.ndarr
     return out
 
 
-def _mixed(rows: DataFrame, labels: DataFrame) -> DataFrame:
+def _mixed(spark: SparkSession, rows: DataFrame, labels: DataFrame) -> DataFrame:
     """``rows`` (band, value, key, ...) with component, of buckets with several components."""
     placed = rows.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    placed = written(spark, placed, "placed")
     several = placed.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return placed.join(several.select("band", "value"), ["band", "value"])
+    return joined_by_hot(spark, placed, written(spark, several.select("band", "value"), "several"), _BUCKET)
 
 
 def _linkable(texts: DataFrame, placed: DataFrame, weights: Broadcast) -> DataFrame:

@@ -148,6 +148,27 @@ def test_samples_agree_as_often_as_texts_do():
     assert abs((s[0] == s[1]).mean() - true) < 0.2
 
 
+def test_hot_keys_join_alike(spark, monkeypatch):
+    from plumbline.llm import common
+
+    left = spark.createDataFrame([(i % 7 if i % 3 else None, i) for i in range(60)], "k int, v int")
+    right = spark.createDataFrame([(k, f"r{k}") for k in range(5)], "k int, w string")
+    want = {how: sorted(map(str, left.join(right, ["k"], how).collect())) for how in ("inner", "left")}
+    for rows, keys in ((1000, 10), (2, 10), (0, 2)):
+        monkeypatch.setattr(common, "HOT_ROWS", rows)
+        monkeypatch.setattr(common, "HOT_KEYS", keys)
+        for how, rows_wanted in want.items():
+            assert sorted(map(str, common.joined_by_hot(spark, left, right, ["k"], how).collect())) == rows_wanted
+
+
+def test_groups_with_hot_buckets(spark, documents, monkeypatch):
+    from plumbline.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    test_groups_equal_brute_force(spark, documents, monkeypatch, 8)
+    test_components(spark)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (7, 7)], "a int, b int")
     found = {r["node"]: r["component"] for r in components(spark, links).collect()}
