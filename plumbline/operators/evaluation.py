@@ -99,3 +99,16 @@ def aggregation_exact(found: DataFrame, expected: DataFrame, key: str = "key", n
     """Whether two aggregations have the same buckets with the same counts."""
     both = found.select(key, n).join(expected.select(key, F.col(n).alias("_n")), key, "full")
     return both.agg((F.count(F.when(~F.col(n).eqNullSafe(F.col("_n")), 1)) == 0).alias("exact"))
+
+
+def linking_score(produced: DataFrame, gold: DataFrame, methods: list[str]) -> DataFrame:
+    """One row: false_positive_rate, recall and precision_<method> of links (case_id,
+    element_id, method, spans) against gold. A link is right if all four agree; a
+    method that made no link has precision 1."""
+    keys = ["case_id", "element_id", "method", "spans"]
+    wanted = gold.select(*keys).distinct().withColumn("wanted", F.lit(True))
+    both = produced.select(*keys).distinct().withColumn("made", F.lit(True)).join(wanted, keys, "full")
+    made, right = F.coalesce(F.col("made"), F.lit(False)), F.coalesce(F.col("made") & F.col("wanted"), F.lit(False))
+    share = lambda a, b, none: F.bround(F.when(F.count_if(b) > 0, F.count_if(a) / F.count_if(b)).otherwise(none), 6)
+    own = [share(right & (F.col("method") == m), made & (F.col("method") == m), 1.0).alias(f"precision_{m}") for m in methods]
+    return both.agg(share(made & ~right, made, 0.0).alias("false_positive_rate"), share(right, F.coalesce(F.col("wanted"), F.lit(False)), 0.0).alias("recall"), *own)

@@ -169,3 +169,28 @@ def length_unit(units: Column) -> Column:
     issue = F.when(F.coalesce(different, F.lit(0)) == 0, "UNIT_UNRESOLVABLE").when(different > 1, "UNIT_INCONSISTENT")
     first = F.when(issue.isNull(), F.try_element_at(known, F.lit(1)))
     return F.struct(first["name"].alias("name"), first["factor"].alias("factor"), issue.alias("issue"))
+
+
+def batch_issues(facts: DataFrame, project: str, version: str) -> DataFrame:
+    """Facts (geometry_id, element_id, project_id, geometry_version, status, x0) that may
+    not replace a project's geometry, each with the first rule that it breaks."""
+    repeats = facts.groupBy("geometry_id").agg(F.count("*").alias("_ids")), facts.groupBy("element_id").agg(F.count("*").alias("_elements"))
+    counted = facts.join(repeats[0], "geometry_id", "left").join(repeats[1], "element_id", "left")
+    issue = (
+        F.when(~F.col("project_id").eqNullSafe(F.lit(project)), "other_project")
+        .when(~F.col("geometry_version").eqNullSafe(F.lit(version)), "other_version")
+        .when(F.col("geometry_id").isNull() | (F.col("_ids") > 1), "duplicate_geometry_id")
+        .when(F.col("element_id").isNull() | (F.col("_elements") > 1), "two_facts_of_one_element")
+        .when((F.col("status") == "valid") & F.col("x0").isNull(), "valid_without_bounds")
+    )
+    return counted.withColumn("issue", issue).where("issue IS NOT NULL").select("geometry_id", "element_id", "issue")
+
+
+def replacement(stored: DataFrame, facts: DataFrame, project: str) -> DataFrame:
+    """What becomes of a project's stored facts (geometry_id, project_id, checksum) when
+    ``facts`` replace them: write, rewrite, keep or delete, by explicit id. Facts of
+    other projects aren't looked at, so none of them can be deleted."""
+    old = stored.where(F.col("project_id") == project).select("geometry_id", F.col("checksum").alias("_old"), F.lit(True).alias("_stored"))
+    new = facts.where(F.col("project_id") == project).select("geometry_id", F.col("checksum").alias("_new"), F.lit(True).alias("_intended"))
+    step = F.when(F.col("_intended").isNull(), "delete").when(F.col("_stored").isNull(), "write").when(F.col("_old").eqNullSafe(F.col("_new")), "keep").otherwise("rewrite")
+    return old.join(new, "geometry_id", "full").select("geometry_id", step.alias("step"))

@@ -175,3 +175,43 @@ def native_edges(relations: DataFrame, nodes: DataFrame, project: str) -> DataFr
     )
     edge = ids.identity("native_edge", "1", project, F.col("predicate"), F.col("src"), F.col("dst"), F.col("global_id"), F.col("occurrence").cast("string"))
     return best.withColumn("issue", issue).withColumn("edge_id", F.when(F.col("issue").isNull(), edge)).select("relation_class", "global_id", "src", "dst", "predicate", "issue", "edge_id")
+
+
+#: The label that nodes of a kind are stored under; relations are stored under their predicate. Fixed values.
+LABELS = {"project": "Project", "site": "Site", "building": "Building", "storey": "Storey", "space": "Space", "element": "Element", "type": "ElementType", "material": "Material", "group": "Group", "system": "System", "port": "Port"}
+OPTIONAL = ["ifc_class", "global_id", "natural_key", "name"]
+
+
+def projected_nodes(nodes: DataFrame, schema: str, revision: str, optional: list[str] = OPTIONAL) -> DataFrame:
+    """Records of nodes (project_id, node_id, kind) in one generation, to be written
+    partitioned by label. An optional value is there or it isn't: never an empty
+    text. A kind without a label, or a required value that is missing, is an error."""
+    names = F.create_map(*(F.lit(x) for pair in LABELS.items() for x in pair))
+    label = F.coalesce(F.try_element_at(names, F.col("kind")), F.raise_error(F.concat(F.lit("no label for kind "), F.coalesce("kind", F.lit("null")))).cast("string"))
+    whole = lambda c: F.when(F.coalesce(F.col(c), F.lit("")) != "", F.col(c)).otherwise(F.raise_error(F.lit(f"a node without {c}")).cast("string")).alias(c)
+    kept = [F.nullif(F.col(c), F.lit("")).alias(c) for c in optional if c in nodes.columns]
+    instance = ids.node_instance(schema, F.col("project_id"), F.col("node_id"), F.lit(revision))
+    return nodes.select(label.alias("label"), whole("project_id"), whole("node_id"), "kind", *kept, F.lit(revision).alias("node_revision_id"), instance.alias("node_instance_id"))
+
+
+def projected_edges(edges: DataFrame, project: str, schema: str, node_revision: str, revision: str, source: str) -> DataFrame:
+    """Records of edges in one generation, between records of nodes; to be written partitioned by predicate."""
+    known = F.when(F.col("predicate").isin(SPATIAL + ATTRIBUTE + DERIVED + NATIVE), F.col("predicate")).otherwise(F.raise_error(F.concat(F.lit("no such predicate: "), F.coalesce("predicate", F.lit("null")))).cast("string"))
+    end = lambda c: ids.node_instance(schema, F.lit(project), F.col(c), F.lit(node_revision))
+    out = edges.select(known.alias("predicate"), "edge_id", end("src").alias("source_instance"), end("dst").alias("target_instance"), F.lit(revision).alias("revision_id"))
+    own = ids.relationship_instance(schema, F.lit(project), F.col("edge_id"), F.lit(source), F.lit(revision), F.col("source_instance"), F.col("target_instance"), F.col("predicate"))
+    return out.withColumn("instance_id", own)
+
+
+def occurrence_fingerprint(records: DataFrame, instance: str, group: str, buckets: int = 4096) -> DataFrame:
+    """(group, n, fingerprint): the same for equal sets of records, whatever their order.
+
+    Records are hashed one by one and put in order within buckets of their hashes, of
+    which there are so many that none is large; the digests of buckets are put in
+    order in turn. The number of buckets is part of the fingerprint.
+    """
+    rest = [F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in sorted(records.columns) if c not in (group, instance)]
+    one = records.select(group, F.sha2(ids.framed(F.col(instance), *rest).cast("binary"), 256).alias("h")).withColumn("bucket", F.pmod(F.xxhash64("h"), F.lit(buckets)))
+    parts = one.groupBy(group, "bucket").agg(F.count("*").alias("n"), F.sha2(F.array_join(F.sort_array(F.collect_list("h")), "").cast("binary"), 256).alias("d"))
+    ordered = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]), "")
+    return parts.groupBy(group).agg(F.sum("n").alias("n"), F.sha2(ordered.cast("binary"), 256).alias("fingerprint"))

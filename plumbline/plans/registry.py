@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.operators import aggregates, filters, language
 
-from . import relational_queries, scalar_queries
+from . import evidence_queries, relational_queries, scalar_queries
 from .views import elements
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return scalar_queries.Q | relational_queries.Q
+    return scalar_queries.Q | relational_queries.Q | evidence_queries.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return scalar_queries.SQL | relational_queries.SQL
+    return scalar_queries.SQL | relational_queries.SQL | evidence_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -291,3 +291,45 @@ def test_sample_of_a_large_table(spark):
     got = sorted(r["k"] for r in store.fixed_sample(df, "k").collect())
     assert got == sorted({ordered[0], ordered[(len(ordered) - 1) // 2], ordered[-1]})
     assert store.fixed_sample(df.limit(0), "k").count() == 0 and store.fixed_sample(df.limit(1), "k").count() == 1
+
+
+def test_packs_say_what_is_wrong_with_them(spark):
+    from plumbline.operators import packs
+
+    told = lambda rows, circumstances, **kw: packs.pack_caveats(spark.createDataFrame(rows, "source_id string, conflict boolean"), circumstances, **kw).first()["caveats"]
+    assert told([], []) == ["no_evidence"]
+    assert told([("a", False)], ["snapshot"]) == ["snapshot_page_without_scores"]
+    assert told([("a", None), ("b", True)], ["accept_all"], limit=1) == ["items_truncated_by_limit", "metadata_conflict", "threshold_accept_all"]
+    page = spark.createDataFrame([("", 0, "c")], "project_id string, position int, base_chunk_id string").selectExpr("*", "'t' AS content", "false AS truncated", "false AS ocr", "array('r') AS page_regions", "1 AS page_number", "null AS page_span")
+    with pytest.raises(Exception, match="needs its project"):
+        packs.document_items(page, replayed=True).collect()
+    shown = packs.public_items(packs.document_items(page.withColumn("project_id", F.lit("p")), replayed=True).withColumn("reference", F.lit("E001")))
+    assert shown.columns == ["reference", "kind", "project_id", "source_id", "content", "provenance", "caveats"]
+    assert shown.first()["provenance"][0].asDict() == {"method": "snapshot_page", "rank": 1, "score_kind": None, "score": None}
+    assert packs.document_items(page.limit(0), replayed=True).count() == 0
+
+
+def test_records_of_a_generation(spark):
+    from plumbline.operators import graph
+
+    nodes = spark.createDataFrame([("p", "a", "space", "", 1), ("p", "b", "element", "n", None)], "project_id string, node_id string, kind string, name string, x int")
+    got = graph.projected_nodes(nodes, "1", "r")
+    assert [(r["label"], r["name"]) for r in got.orderBy("node_id").collect()] == [("Space", None), ("Element", "n")]
+    for bad in [("p", "a", "shed", "", 1), ("", "a", "space", "", 1), ("p", None, "space", "", 1)]:
+        with pytest.raises(Exception, match="no label|a node without"):
+            graph.projected_nodes(spark.createDataFrame([bad], nodes.schema), "1", "r").collect()
+    with pytest.raises(Exception, match="no such predicate"):
+        graph.projected_edges(spark.createDataFrame([("LIKES", "e", "a", "b")], "predicate string, edge_id string, src string, dst string"), "p", "1", "r", "s", "native").collect()
+    mark = lambda df: graph.occurrence_fingerprint(df, "node_id", "project_id").first()["fingerprint"]
+    assert mark(nodes) == mark(nodes.repartition(5).orderBy(F.desc("node_id")).select(*reversed(nodes.columns)))
+    assert len({mark(nodes), mark(nodes.withColumn("x", F.lit(1))), mark(nodes.limit(1)), mark(nodes.withColumn("name", F.when(F.col("name") != "", F.col("name"))))}) == 4
+    many = spark.range(5000).selectExpr("'p' AS project_id", "cast(id AS string) AS node_id")
+    assert graph.occurrence_fingerprint(many, "node_id", "project_id", buckets=16).first()["n"] == 5000
+
+
+def test_no_link_was_made(spark):
+    from plumbline.operators import evaluation
+
+    links = spark.createDataFrame([(1, "e", "exact_name", "0-3")], "case_id int, element_id string, method string, spans string")
+    assert tuple(evaluation.linking_score(links.limit(0), links, ["exact_name"]).first()) == (0.0, 0.0, 1.0)
+    assert tuple(evaluation.linking_score(links, links.limit(0), ["exact_name"]).first()) == (1.0, 0.0, 0.0)
