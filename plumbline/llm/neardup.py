@@ -273,10 +273,10 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     able = written(spark, _mixed(spark, able.drop("component"), labels), "left")
     sizes = able.groupBy("band", "value").agg(F.ceil(F.count("*") / STRETCH).cast("int").alias("parts"))
     dealt = joined_by_hot(spark, able, written(spark, sizes, "sizes"), _BUCKET).withColumn("stretch", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.withColumn("first", F.least("stretch", "with")).withColumn("second", F.greatest("stretch", "with")).drop("with", "parts")
     dealt = written(spark, dealt, "rest")
-    ready = dealt.join(found, "key").join(classes.select("key", "bands"), "key")
+    # What is known of a text is joined to it once; only then do rows go to each stretch they meet.
+    ready = dealt.join(found.join(classes.select("key", "bands"), "key"), "key").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    ready = ready.withColumn("first", F.least("stretch", "with")).withColumn("second", F.greatest("stretch", "with")).drop("with", "parts")
     order = ["band", "value", "first", "second"]
     more = ready.repartition(*order).sortWithinPartitions(*order).mapInArrow(_within(weights), "a binary, b binary")
     more = written(spark, more, "links")
