@@ -12,6 +12,7 @@ from .common import table
 from .decontaminate import decontamination_report
 from .embeddings import linked_vectors
 from .html import page_texts
+from .interactions import filter_interactions
 from .langid import language_report
 from .licenses import license_report, license_sql
 from .neardup import near_duplicate_report
@@ -102,8 +103,45 @@ FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), firsts AS (SELECT text, min(doc_id) AS first FROM d GROUP BY text),
+good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1), toxic AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+flags AS (
+  SELECT part, d.doc_id IN (SELECT doc_id FROM good) AS good, d.doc_id IN (SELECT doc_id FROM toxic) AS toxic,
+    [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(d.text, '[^A-Z]', '', 'g')) > 10 * length(d.text), regexp_matches(d.text, '[#$%&*|]'),
+     coalesce(d.doc_id > first, false)] AS fails
+  FROM d JOIN firsts USING (text)
+), letters(f) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters AS a, letters AS b, letters AS c, letters AS d, letters AS e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), tried AS (
+  SELECT part, good, toxic, fails, filter_order, step, fails[ascii(filter_order[step]) - 64] AS own,
+    len(list_filter(range(1, step), lambda k: fails[ascii(filter_order[k]) - 64])) > 0 AS gone, len(list_filter(fails, lambda x: x)) AS failed
+  FROM (SELECT part, good, toxic, fails, count(*) AS n FROM flags GROUP BY ALL), orders, unnest([1, 2, 3, 4, 5]) AS s(step)
+), counted AS (
+  SELECT t.*, n FROM tried AS t JOIN (SELECT part, good, toxic, fails, count(*) AS n FROM flags GROUP BY ALL) USING (part, good, toxic, fails)
+), steps AS (
+  SELECT part, filter_order, step, filter_order[step] AS f, sum(CASE WHEN NOT own AND NOT gone THEN n ELSE 0 END) AS kept, sum(CASE WHEN own AND NOT gone THEN n ELSE 0 END) AS removed,
+    sum(CASE WHEN own AND gone THEN n ELSE 0 END) AS redundant, sum(CASE WHEN own AND failed = 1 THEN n ELSE 0 END) AS unique_fails,
+    sum(CASE WHEN own AND NOT gone AND good THEN n ELSE 0 END) AS good_lost, sum(CASE WHEN own AND NOT gone AND toxic THEN n ELSE 0 END) AS toxic_lost
+  FROM counted GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley
+FROM steps
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    """The pipeline and the ten operators."""
+    """The pipeline and the training-data operators."""
     return {
         "pipeline": pipeline.run,
         "op1_quality": op1_quality,
@@ -116,8 +154,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_token_counts": op9_token_counts,
         "op10_decontamination": op10_decontamination,
+        "op13_filter_interactions": op13_filter_interactions,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_embedding_neardup": OP2_SQL, "op4_license_scan": license_sql(), "op10_decontamination": OP10_SQL}
+    return {"op2_embedding_neardup": OP2_SQL, "op4_license_scan": license_sql(), "op10_decontamination": OP10_SQL, "op13_filter_interactions": OP13_SQL}
