@@ -15,11 +15,13 @@ from .html import page_texts
 from .interactions import filter_interactions
 from .langid import language_report
 from .licenses import license_report, license_sql
+from .mixing import mixed_documents
 from .neardup import near_duplicate_report
 from .packing import packed_documents
 from .quality import quality_report
 from .tokenfiles import token_file_report
 from .tokens import token_counts
+from .whitening import whitened_vectors
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -103,6 +105,14 @@ FROM doc_words LEFT JOIN hits USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+def op11_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_documents(spark, table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened_vectors(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_interactions(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -154,6 +164,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_token_files": op8_token_files,
         "op9_token_counts": op9_token_counts,
         "op10_decontamination": op10_decontamination,
+        "op11_mixing": op11_mixing,
+        "op12_whitening": op12_whitening,
         "op13_filter_interactions": op13_filter_interactions,
     }
 
