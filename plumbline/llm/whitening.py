@@ -182,6 +182,7 @@ def eigen(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     largest entry of each positive."""
     diagonal, off, q = tridiagonal(a)
     scale = max(np.abs(diagonal).max(), np.abs(off).max(initial=0)) or 1.0
+    off[np.abs(off) <= np.finfo(float).eps * scale / 4] = 0  # less than the reflections have rounded
     values, z = divide_and_conquer(diagonal / scale, off / scale)
     order = np.argsort(-values, kind="stable")
     vectors = (q @ z)[:, order]
