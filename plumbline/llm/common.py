@@ -2,8 +2,8 @@
 
 Work tables are written under the folder that ``spark.checkpoint.dir`` names, so
 that any executor can read what another one wrote and a lost executor costs only
-the tasks it was running. Where the setting is absent (tests, local mode) a
-temporary folder of this machine takes its place.
+the tasks it was running. Where the setting is absent a temporary folder of this
+machine takes its place, if Spark runs on this machine alone.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,8 @@ def shared_root(spark: SparkSession) -> str:
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if _local_root is None:
         _local_root = tempfile.mkdtemp(prefix="plumbline-")
     return f"file://{_local_root}"
@@ -59,27 +62,40 @@ def work_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-_held: dict[str, None] = {}
+class Owned:
+    """The work tables of one call: those that ``written`` makes within the ``with``
+    block, in this thread. At its end all but those named to keep are removed; other
+    calls, in other threads or around this one, have tables of their own."""
 
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.paths, self._kept = spark, [], set()
 
-def work_tables() -> list[str]:
-    """The work tables there are, to be told apart from later ones by dropped_since."""
-    return list(_held)
+    def __enter__(self) -> Owned:
+        self._outer = _owner.set(self)
+        return self
 
+    def keep(self, *tables: DataFrame) -> None:
+        self._kept.update(df.work_path for df in tables)
 
-def dropped_since(spark: SparkSession, before: list[str], keep: list[DataFrame]) -> None:
-    """Remove the work tables written since ``before`` that ``keep`` doesn't read."""
-    kept = {df.work_path for df in keep}
-    for path in [p for p in _held if p not in before and p not in kept]:
-        _remove(spark, path)
-        del _held[path]
+    def drop(self, path: str) -> None:
+        if path in self.paths:
+            self.paths.remove(path)
+            _remove(self.spark, path)
 
+    def __exit__(self, *error) -> None:
+        _owner.reset(self._outer)
+        for path in [p for p in self.paths if p not in self._kept]:
+            self.drop(path)
 
-def dropped(spark: SparkSession, *tables: DataFrame) -> None:
-    """Remove work tables that no later plan reads."""
-    for df in tables:
-        if _held.pop(df.work_path, None) is not None:
-            _remove(spark, df.work_path)
+
+_owner: ContextVar[Owned | None] = ContextVar("owner", default=None)
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Remove work tables of the present owner that no later plan reads."""
+    if owner := _owner.get():
+        for df in tables:
+            owner.drop(df.work_path)
 
 
 def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
@@ -88,7 +104,8 @@ def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.work_path = path
-    _held[path] = None
+    if owner := _owner.get():
+        owner.paths.append(path)
     return out
 
 

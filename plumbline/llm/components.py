@@ -31,9 +31,9 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
         jump = labels.select(F.col("node").alias("mid"), F.col("component").alias("further"))
         stepped = joined_by_hot(spark, taken, jump, ["mid"], "left").select("node", "before", F.least("mid", F.coalesce("further", "mid")).alias("component"))
         stepped = written(spark, stepped, "labels")
-        dropped(spark, taken, labels)
+        dropped(taken, labels)
         if stepped.where(F.col("before") != F.col("component")).isEmpty():
-            dropped(spark, edges)
+            dropped(edges)
             return stepped.select("node", "component")
         labels = stepped
     raise RuntimeError("components did not settle")

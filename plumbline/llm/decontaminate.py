@@ -105,7 +105,7 @@ class Search:
         self.groups = []
         for length, patterns in sorted(by_length.items()):
             flat = scan([b" ".join(p) for p in patterns])
-            self.groups.append((_Patterns(length, flat.hash.reshape(-1, length), patterns), [sorted(owners[p]) for p in patterns]))
+            self.groups.append((_Patterns(length, flat.hash.reshape(-1, length), patterns), [sorted(owners[p], key=str) for p in patterns]))
 
     def spans(self, words: Words) -> list[tuple[int, int, list[str]]]:
         """(first word, words, items) of every occurrence of a window."""
@@ -143,7 +143,7 @@ def _search_udf(block, window: int) -> object:
                     doc = int(words.doc[first])
                     own = first - int(words.first[doc])
                     spans[doc] += [own, own + length]
-                    names[doc].update(owners)
+                    names[doc].update(o for o in owners if o is not None)
                 rows += [{"spans": _merged(s), "items": sorted(n), "n_words": c} for s, n, c in zip(spans, names, np.diff(words.first).tolist(), strict=True)]
             yield pa.array(rows, _FOUND_ARROW)
 
@@ -161,9 +161,9 @@ def _merged(flat: list[int]) -> list[int]:
     return out
 
 
-def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str, bytes]]]:
+def item_blocks(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> Iterator[list[tuple[str | None, bytes]]]:
     """The items in blocks of at most ``block_bytes`` (a longer item alone)."""
-    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = benchmark.select(F.col(id_col).cast("string"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull())
     block, size = [], 0
     for item, text in rows.toLocalIterator():
         raw = text.encode("utf-8", "surrogatepass")
@@ -181,8 +181,9 @@ def contamination(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, te
     occur in items, as starts and ends), items (ids found) and n_words.
 
     Null texts have no words; empty tables give no rows or no findings; repeated
-    document rows are judged each alone; repeated items count once by id; items
-    without a word are never found. Columns of ``docs`` pass through untouched
+    document rows are judged each alone; repeated items count once by id; an item
+    without an id is searched for, but has no name among those found; items without
+    a word are never found. Columns of ``docs`` pass through untouched
     (one named like the result is replaced).
     """
     empty = F.struct(F.array().cast("array<bigint>").alias("spans"), F.array().cast("array<string>").alias("items"), F.lit(None).cast("bigint").alias("n_words"))
@@ -200,7 +201,12 @@ def hit_words(found: str = "contamination") -> Column:
 
 
 def decontamination_report(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+
+    Null and empty texts have no words and are clean; repeated rows are judged each
+    alone; items with a null id make hits and aren't counted; an empty benchmark finds
+    nothing; columns other than doc_id and text aren't looked at.
+    """
     found = contamination(spark, docs.select("doc_id", "text"), benchmark)
     out = found.select(
         "doc_id",
