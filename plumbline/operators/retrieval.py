@@ -3,9 +3,14 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .ranking import DEPTH, fused, ranked
 
@@ -67,17 +72,85 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norm > 0, dot(a, b) / norm)
 
 
+#: Bytes of query vectors that are sent to all tasks at once.
+QUERY_BYTES = 32 << 20
+
+
 def dense(vectors: DataFrame, queries: DataFrame, where: Column | None = None, depth: int = DEPTH) -> DataFrame:
     """Exact search: candidates (id, vector) filtered first, then cosine with every
-    query (query_id, vector), then the best ``depth`` of each query.
+    query (query_id, vector), then the best ``depth`` of each query: query_id, id, score, rank.
 
-    The queries are a stated, small set and are broadcast; candidates are read once.
+    Queries go to the tasks in blocks of ``QUERY_BYTES``, each a pass over the candidates;
+    a task hands on its own best of each query and nothing else. Ties go by id; null, zero
+    and not finite vectors, and those of another length than the query, have no cosine.
     """
-    if queries.count() > 10_000:
-        raise ValueError("more than 10000 queries: search in blocks")
-    pool = vectors if where is None else vectors.where(where)
-    pairs = pool.join(F.broadcast(queries.withColumnRenamed("vector", "q")))
-    return ranked(pairs.select("query_id", "id", cosine(F.col("vector"), F.col("q")).alias("score")).where("score IS NOT NULL"), ["query_id"], depth=depth)
+    pool = (vectors if where is None else vectors.where(where)).select("id", F.col("vector").cast("array<double>").alias("vector"))
+    query_type, id_type = queries.schema["query_id"].dataType.simpleString(), pool.schema["id"].dataType.simpleString()
+    schema = f"query_id {query_type}, id {id_type}, score double"
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector")).where("vector IS NOT NULL")
+    size = asked.agg(F.coalesce(F.sum(8 * F.size("vector") + 64), F.lit(0))).first()[0]
+    blocks, best = max(1, -(-size // QUERY_BYTES)), None
+    for k in range(blocks):
+        block = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k).collect() if size else []
+        part = pool.mapInArrow(_nearest(block, depth, pool.sparkSession.createDataFrame([], schema)), schema)
+        best = part if best is None else best.unionByName(part)
+    return ranked(best, ["query_id"], depth=depth)
+
+
+def _unit(rows: list) -> tuple[np.ndarray, np.ndarray]:
+    """Rows as unit vectors, and which of them have a direction."""
+    v = np.array(rows, dtype=np.float64)
+    with np.errstate(invalid="ignore", over="ignore", divide="ignore"):
+        v = v / np.abs(v).max(axis=1, keepdims=True)  # so that squares stay finite
+        v = v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+    return v, np.isfinite(v).all(axis=1)
+
+
+def _nearest(queries: list, depth: int, empty: DataFrame):
+    by_size: dict[int, list] = {}
+    for q in queries:
+        if len(q["vector"]) and None not in q["vector"]:
+            by_size.setdefault(len(q["vector"]), []).append(q)
+    asked = []
+    for size, rows in by_size.items():
+        unit, good = _unit([r["vector"] for r in rows])
+        asked.append((size, [r["query_id"] for r, g in zip(rows, good, strict=True) if g], unit[good]))
+    types = [pa.field(f.name, to_arrow_type(f.dataType)) for f in empty.schema]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            ids, vectors = batch.column(0).to_pylist(), batch.column(1)
+            lengths = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+            for size, names, q in asked:
+                own = np.flatnonzero(lengths == size)
+                some = vectors.take(pa.array(own)).flatten()
+                if not len(own) or not names:
+                    continue
+                x = some.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), size)  # nulls are not finite
+                v, good = _unit(x)
+                v, own = v[good], own[good]
+                scores = np.einsum("ij,kj->ki", v, q)  # every pair is added up in the same order
+                for name, line in zip(names, scores, strict=True):
+                    top = held.setdefault(name, [])
+                    if len(line) > depth:
+                        least = np.partition(line, len(line) - depth)[len(line) - depth]
+                        some = np.flatnonzero(line >= least)
+                    else:
+                        some = np.arange(len(line))
+                    top += [(-s, ids[i]) for s, i in zip(line[some].tolist(), own[some].tolist(), strict=True)]
+                    if len(top) > 4 * depth:
+                        held[name] = _first(top, depth)
+        rows = [(name, i, -s) for name, top in held.items() for s, i in _first(top, depth)]
+        for at in range(0, len(rows), 10_000):
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows[at : at + 10_000]], t.type) for k, t in enumerate(types)], schema=pa.schema(types))
+
+    return run
+
+
+def _first(top: list, depth: int) -> list:
+    """The best by score, then id; a missing id comes first, as in an ascending sort."""
+    return sorted(top, key=lambda r: (r[0], r[1] is not None, r[1]))[:depth]
 
 
 def engine_score(score: Column) -> Column:
@@ -109,8 +182,6 @@ def preflight(properties: dict, expected: dict) -> None:
 def embedded(df: DataFrame, text: str, embed, dim: int) -> DataFrame:
     """Vectors of a text column by an injected function of list[str], in batches;
     wrong length, not finite or not of unit norm is an error."""
-    import pyarrow as pa
-
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
