@@ -2,9 +2,8 @@
 
 Occurrences (project_id, element_id, origin, source, container, property_name, value)
 hold a value of one of eight kinds: single, quantity, enumerated, list, bounded, table,
-reference, complex. Each level of nesting is one explode of the children that the level
-before has; levels are written, so a source is read once however deep it goes, and the
-search ends where nothing is nested further. What isn't turned into facts has a
+reference, complex. Each level of nesting is one more explode in a single pass over the
+source. What isn't turned into facts has a
 diagnostic of its own; nothing is dropped silently and nothing raises.
 
 A scalar is a JSON value; one that isn't finite, which JSON can't say, is
@@ -126,25 +125,35 @@ def _examined(nodes: DataFrame) -> DataFrame:
         F.when(kind == "reference", "REFERENCE_UNSUPPORTED_V1"), F.when(~F.coalesce(kind.isin("single", "quantity", "enumerated", "list", "bounded", "table", "reference", "complex"), F.lit(False)), "UNKNOWN_KIND"),
         F.when(F.coalesce(status == "unknown", F.lit(False)), "UNKNOWN_UNIT"), F.when((sequence | (kind == "table")) & gap, "NULL_ITEM"),
     ))
-    return nodes.select("occurrence", "path", "place", leaves.alias("leaves"), hard.alias("hard"), soft.alias("soft"))
+    shown = F.transform(leaves, lambda x: F.struct(x["leaf"].alias("leaf"), typed(x["value"]).alias("value"), x["unit"].alias("unit")))
+    return nodes.select(*(c for c in nodes.columns if c not in ("node", "kind", "depth", "open")), shown.alias("leaves"), hard.alias("hard"), soft.alias("soft"))
 
 
-def _levels(work: Work, occurrences: DataFrame) -> DataFrame:
-    """Every node of every occurrence: its names from the top, its place, its value."""
-    kind = _at("node", "kind", "string").alias("kind")
-    level = occurrences.select("occurrence", F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("place"), F.col("value").alias("node"), F.lit(0).alias("depth"))
-    level = work.written(level.select("*", kind), "level0")
-    out = level
+def _nodes(occurrences: DataFrame) -> DataFrame:
+    """Every node of every occurrence: its names from the top, its place, its value.
+
+    Each step puts, for a node not yet opened, the node itself and its children in its
+    place. It is one chain in one stage, however deep it goes, and no VARIANT is written on
+    the way: storage may make 1 and 1.0 one number.
+    """
+    struct = "array<struct<path:array<string>,place:array<int>,node:variant,depth:int,open:boolean>>"
+    out = occurrences.select("*", F.array().cast("array<string>").alias("path"), F.array().cast("array<int>").alias("place"), F.col("value").alias("node"), F.lit(0).alias("depth"), F.lit(True).alias("open")).drop("value")
+    fixed = [c for c in occurrences.columns if c != "value"]
     for depth in range(1, MAX_DEPTH + 1):
-        children = level.where("kind = 'complex'").select("occurrence", "path", "place", F.posexplode(_at("node", "children", "array<variant>")).alias("k", "child"))
-        level = children.select(
-            "occurrence", F.concat("path", F.array(F.coalesce(_at("child", "name", "string"), F.lit("")))).alias("path"), F.concat("place", F.array("k")).alias("place"), F.col("child").alias("node"), F.lit(depth).alias("depth")
-        )
-        level = work.written(level.select("*", kind), f"level{depth}")
-        if level.isEmpty():
-            break
-        out = out.unionByName(level)
-    return out
+        children = F.when(F.col("open") & (_at("node", "kind", "string") == "complex"), _at("node", "children", "array<variant>"))
+        name = lambda c: F.coalesce(F.try_variant_get(c, "$.name", "string"), F.lit(""))
+        below = F.transform(children, _below(name, depth))
+        own = F.array(F.struct("path", "place", "node", "depth", F.lit(False).alias("open")))
+        out = out.select(*fixed, F.explode(F.concat(own, F.coalesce(below, F.array().cast(struct)))).alias("x")).select(*fixed, "x.*")
+    return out.withColumn("kind", _at("node", "kind", "string"))
+
+
+def _below(name, depth: int):
+    def child(c: Column, k: Column) -> Column:
+        path, place = F.concat(F.col("path"), F.array(name(c))), F.concat(F.col("place"), F.array(k))
+        return F.struct(path.alias("path"), place.alias("place"), c.alias("node"), F.lit(depth).alias("depth"), F.lit(True).alias("open"))
+
+    return child
 
 
 def property_facts(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -160,15 +169,17 @@ def property_facts(occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
     """
     work = Work(occurrences.sparkSession)
     named = text.lexical_form_of(F.col("property_name"))
-    source = work.written(occurrences.select(*KEYS, "value").withColumn("property_name_norm", named).withColumn("occurrence", F.monotonically_increasing_id()), "occurrences")
-    nodes = work.written(_examined(_levels(work, source)), "nodes")
+    source = occurrences.select(*KEYS, "value").withColumn("property_name_norm", named).withColumn("occurrence", F.monotonically_increasing_id())
+    nodes = work.written(_examined(_nodes(source)), "nodes")
+    source = nodes.where(F.size("place") == 0).select(*KEYS, "property_name_norm", "occurrence")
+    nodes = nodes.drop(*KEYS, "property_name_norm")
     leaves = nodes.select("occurrence", "path", "place", F.posexplode("leaves").alias("at", "l"))
-    values = leaves.select("occurrence", "place", "at", key_of(F.col("path"), F.col("l.leaf")).alias("occurrence_key"), typed(F.col("l.value")).alias("value"), F.col("l.unit").alias("unit"))
+    values = leaves.select("occurrence", "place", "at", key_of(F.col("path"), F.col("l.leaf")).alias("occurrence_key"), F.col("l.value").alias("value"), F.col("l.unit").alias("unit"))
     values = work.written(values.withColumn("signature", F.sha2(F.to_json(F.struct("occurrence_key", "value", "unit")), 256)), "values")
     # What an occurrence comes to: the first hard code, or the set of its leaves.
     first = nodes.where("hard IS NOT NULL").groupBy("occurrence").agg(F.min_by("hard", "place").alias("hard"))
     signed = values.groupBy("occurrence").agg(F.sha2(F.array_join(F.sort_array(F.collect_set("signature")), ","), 256).alias("leaves"))
-    outcome = source.drop("value").join(first, "occurrence", "left").join(signed, "occurrence", "left").withColumn("comes_to", F.coalesce("hard", "leaves", F.lit("")))
+    outcome = source.join(first, "occurrence", "left").join(signed, "occurrence", "left").withColumn("comes_to", F.coalesce("hard", "leaves", F.lit("")))
     by_origin = outcome.groupBy(*SLOT, "origin").agg(
         F.count("*").alias("n"), F.count_distinct("comes_to").alias("different"), F.min("occurrence").alias("occurrence"), F.min_by("comes_to", "occurrence").alias("comes_to"), F.min_by("hard", "occurrence").alias("hard"), F.first("property_name_norm").alias("norm")
     )
