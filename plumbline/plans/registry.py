@@ -8,16 +8,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 from plumbline.operators import aggregates, filters, language
 
-from . import evidence_queries, fact_queries, graph_queries, index_queries, mesh_queries, relational_queries, scalar_queries
+from . import evidence_queries, fact_queries, graph_queries, index_queries, mesh_queries, relational_queries, scalar_queries, threshold_queries
 from .views import elements
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return scalar_queries.Q | relational_queries.Q | evidence_queries.Q | graph_queries.Q | index_queries.Q | fact_queries.Q | mesh_queries.Q
+    return scalar_queries.Q | relational_queries.Q | evidence_queries.Q | graph_queries.Q | index_queries.Q | fact_queries.Q | mesh_queries.Q | threshold_queries.Q
 
 
 def oracle_sql() -> dict[str, str]:
-    return scalar_queries.SQL | relational_queries.SQL | evidence_queries.SQL | graph_queries.SQL | index_queries.SQL | fact_queries.SQL | mesh_queries.SQL
+    return scalar_queries.SQL | relational_queries.SQL | evidence_queries.SQL | graph_queries.SQL | index_queries.SQL | fact_queries.SQL | mesh_queries.SQL | threshold_queries.SQL
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
