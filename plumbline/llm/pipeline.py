@@ -11,10 +11,12 @@ ORACLE_SQL is None and the tests hold the stages against brute force.
 
 from __future__ import annotations
 
+import gc
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table, written
+from .common import give_back, table, written
 from .decontaminate import clean_documents
 from .langid import identified
 from .neardup import deduplicated
@@ -27,13 +29,21 @@ KEPT = 100_000
 SLICE = 1 << 20
 
 
+def _lean(out: DataFrame) -> DataFrame:
+    """``out``; what training has used on the driver goes back to the system, for the
+    stages that follow share the driver."""
+    gc.collect()
+    give_back()
+    return out
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised with confidence.
 
     Null and empty texts, and those without a letter, go; where no document has a
     ``lang``, nothing can be learned and all go. Ties go to the language that sorts first.
     """
-    return identified(spark, docs)
+    return _lean(identified(spark, docs))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +52,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Without labels of both classes all stay; nulls and empty texts are judged by
     features of their own; a score equal to the threshold stays.
     """
-    return good_documents(spark, docs, table(spark, sf_dir, "labels"))
+    return _lean(good_documents(spark, docs, table(spark, sf_dir, "labels")))
 
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
