@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.functions import ids, numbers, render, text
-from plumbline.operators import aggregates as agg
+from plumbline.operators import aggregates as agg, questions
 from plumbline.operators import evaluation, evidence, filters, geometry, language, ranking
 from plumbline.operators import facts as facts_of
 
@@ -228,7 +228,7 @@ _PARTS = {
         ("com altura maior que 3 m", "height gt 3.0"), ("de espessura de pelo menos 30 cm", "thickness gte 0.3"), ("entre 2 e 4 metros", "height gte 2.0,height lte 4.0"), ("mais de 10 m2", "area gt 10.0"), ("menos de 5 de volume", "volume lt 5.0"),
         ("2,5 m3 de volume", "volume approx 2.5"), ("cerca de 7 mm", "height approx 0.007"), ("altura maior que 3 m2", ""), ("comprimento de 3 m", ""), ("largura igual a 1 m e largura igual a 1 m", "thickness eq 1.0"), ("entre 1 e 2 m2 de area", "area gte 1.0,area lte 2.0"),
     ],
-    "name": [('a "Porta A"', "Porta A||"), ("o W_01 e project_id AB_12", "W_01|AB_12|"), ("projeto Casa Azul com vidro", "||Casa Azul"), ("código do projecto X-9", "|X-9|"), ("id projeto nada", "||nada"), ("sem nome", "||"), ("«Sala 3»", "Sala 3||")],
+    "name": [('a "Porta A"', "Porta A||"), ("o W_01 e project_id AB_12", "W_01|AB_12|"), ("projeto Casa Azul com vidro", "||Casa Azul"), ("código do projecto X-9", "|X-9|"), ("id projeto nada", "||"), ("sem nome", "||"), ("«Sala 3»", "Sala 3||")],
     "ordinal": [("o segundo", 2), ("a última", 9), ("o 4 e o segundo", 4), ("mais", 1), ("o 77", 9), ("a décima", 9), ("terceira", 3)],
 }
 
@@ -246,7 +246,7 @@ def _answers(part):
 
 
 def _parsed(s, d, part, column):
-    return _asked(s, d, part).select("p_partkey", language.parsed_of("q").alias("p")).select("p_partkey", column.alias("answer"))
+    return questions.asked(_asked(s, d, part), "q", "p").select("p_partkey", column.alias("answer"))
 
 
 def _conditions_shown():
