@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import digests
-from plumbline.operators import paths
+from plumbline.operators import benchmarks, graph, paths
 from plumbline.sources import generations as g
 
 from .views import EDGES_SQL, edges, table
@@ -154,3 +154,57 @@ _add(
     lambda s, d: digests.changed(*(digests.digest(_orders_by_priority(s, d, v).repartition(3 + v), by=["o_orderpriority"]) for v in (1, 2)), ["o_orderpriority"]),
     "SELECT DISTINCT o_orderpriority FROM orders WHERE o_orderpriority = '5-LOW' OR (o_orderpriority = '2-HIGH' AND o_orderkey % 1000 = 7 AND o_totalprice <> 0)",
 )
+
+
+# ------------------------------------------------------------------ benchmarks
+
+
+def _judged(s, d):
+    """Lines at three tolerances: their discount says whether a relation is expected, and every seventh is found a little too late."""
+    line = table(s, d, "lineitem").select(F.col("l_returnflag").alias("predicate"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("pair"), (F.col("l_discount") * 100).cast("int").alias("x"), F.col("l_linenumber").alias("n"))
+    at = line.withColumn("tolerance", F.explode(F.array(F.lit(0), F.lit(2), F.lit(4))))
+    gold = at.select("predicate", "tolerance", "pair", (F.col("x") <= F.col("tolerance")).alias("expected"))
+    return gold, at.where(F.col("x") <= F.col("tolerance") - F.when(F.col("n") % 7 == 0, 1).otherwise(0)).select("predicate", "tolerance", "pair")
+
+
+_add(
+    "N23_tolerance_metrics",
+    lambda s, d: benchmarks.tolerance_metrics(*_judged(s, d), ["pair"]),
+    """WITH l AS (SELECT l_returnflag AS predicate, concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS pair, max(CAST(trunc(l_discount * 100) AS INTEGER)) AS hi, min(CAST(trunc(l_discount * 100) AS INTEGER)) AS x, l_linenumber % 7 = 0 AS late FROM lineitem GROUP BY ALL),
+      g AS (SELECT predicate, t, x, x <= t AS e, x <= t - late::INT AS p, x > 0 AND x <= 4 AS b FROM l, unnest([0, 2, 4]) AS s(t)),
+      n AS (SELECT predicate, t AS tolerance, count(*) AS support, count(*) FILTER (WHERE e AND p) AS tp, count(*) FILTER (WHERE NOT e AND p) AS fp, count(*) FILTER (WHERE e AND NOT p) AS fn, count(*) FILTER (WHERE NOT e AND NOT p) AS tn, count(*) FILTER (WHERE b) AS boundary, count(*) FILTER (WHERE b AND e = p) AS hits FROM g GROUP BY ALL),
+      r AS (SELECT *, CASE WHEN tp + fp > 0 THEN round_even(tp / (tp + fp), 6) ELSE 1.0 END AS precision, CASE WHEN tp + fn > 0 THEN round_even(tp / (tp + fn), 6) ELSE 1.0 END AS recall FROM n)
+      SELECT predicate, tolerance, support, tp, fp, fn, tn, precision, recall, CASE WHEN tp + fp + fn = 0 THEN 1.0 WHEN precision + recall = 0 THEN 0.0 ELSE round_even(2 * precision * recall / (precision + recall), 6) END AS f1,
+        round_even((tp + tn) / support, 6) AS accuracy, boundary, CASE WHEN boundary > 0 THEN round_even(hits / boundary, 6) ELSE 1.0 END AS boundary_accuracy FROM r""",
+)
+
+
+def _extracted(s, d):
+    """Customers as expected records; what was extracted lacks some, has others, and takes some for another segment."""
+    c = table(s, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("kind"), F.col("c_nationkey").alias("place"))
+    got = c.where("id % 13 <> 0").withColumn("kind", F.when(F.col("id") % 17 == 0, "?").otherwise(F.col("kind")))
+    return c, got.unionByName(c.where("id % 19 = 0").withColumn("id", -F.col("id") - 1)).unionByName(got.where("id % 23 = 0"))
+
+
+_add(
+    "N22_exact_sets",
+    lambda s, d: benchmarks.exact_sets(*_extracted(s, d), "id", ["kind", "place"]),
+    """WITH n AS (SELECT count(*) AS expected, count(*) FILTER (WHERE c_custkey % 13 <> 0) AS matched, count(*) FILTER (WHERE c_custkey % 19 = 0) AS invented, count(*) FILTER (WHERE c_custkey % 13 = 0) AS lost, count(*) FILTER (WHERE c_custkey % 23 = 0 AND c_custkey % 13 <> 0) AS repeated,
+        count(*) FILTER (WHERE c_custkey % 13 <> 0 AND c_custkey % 17 <> 0) AS kinds FROM customer)
+      SELECT expected, matched + invented AS produced, matched, lost, invented, CAST(repeated AS BIGINT) AS repeated, round_even(matched / (matched + invented), 6) AS precision, round_even(matched / expected, 6) AS recall, round_even(kinds / matched, 6) AS kind_accuracy, 1.0 AS place_accuracy FROM n""",
+)
+_add(
+    "N22_determinism",
+    lambda s, d: benchmarks.determinism(
+        {
+            "cold": graph.walks(edges(s, d), _roots(s, d), 3), "warm": graph.walks(edges(s, d), _roots(s, d), 3), "reversed": graph.walks(edges(s, d).repartition(7, "dst").sortWithinPartitions(F.desc("edge_id")), _roots(s, d), 3),
+            "other": graph.walks(edges(s, d).where("src <> 'r1'"), _roots(s, d), 3),
+        }
+    ).select("run", "n", "same"),
+    f"""WITH {EDGES_SQL}, w AS (SELECT a.src AS r, count(DISTINCT a.edge_id) + count(DISTINCT b.edge_id) + count(DISTINCT c.edge_id) AS n FROM edges AS a LEFT JOIN edges AS b ON b.src = a.dst LEFT JOIN edges AS c ON c.src = b.dst WHERE a.src LIKE 'r%' GROUP BY a.src)
+      SELECT unnest(['cold', 'warm', 'reversed', 'other']) AS run, unnest([sum(n), sum(n), sum(n), sum(n) FILTER (WHERE r <> 'r1')])::BIGINT AS n, unnest([true, true, true, false]) AS same FROM w""",
+)
+
+
+def _roots(s, d):
+    return edges(s, d).where("predicate = 'HAS_SITE'").select(F.col("src").alias("node")).distinct()
