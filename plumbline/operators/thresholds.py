@@ -74,6 +74,11 @@ def fold_means(levels: DataFrame) -> DataFrame:
     return means.unionByName(last)
 
 
+def _mean_of_rounded(c: str) -> Column:
+    """The mean, in six places, of values that have six: in millionths, where ties are exact."""
+    return F.bround(F.sum(F.round(F.col(c) * 1_000_000).cast("bigint")) / F.count(c)) / 1_000_000
+
+
 def selections(levels: DataFrame, means: DataFrame, folds: int = FOLDS) -> DataFrame:
     """The threshold chosen without each fold, and with all (held_out -1): held_out, mode,
     threshold, candidates, eligible, and the margins, rejection and F1 that decided.
@@ -87,7 +92,7 @@ def selections(levels: DataFrame, means: DataFrame, folds: int = FOLDS) -> DataF
     without = F.explode(F.filter(F.sequence(F.lit(-1), F.lit(folds - 1)), lambda h: h != F.col("fold"))).alias("held_out")
     own = levels.select("fold", "score").distinct().select("score", without).distinct()
     trained = margin.select("*", without).groupBy("held_out", "score").agg(
-        F.min("recall").alias("least_recall"), F.min("ndcg").alias("least_ndcg"), *(F.bround(F.sum(F.col(c).cast(_EXACT)).cast("double") / F.count(c), 6).alias(f"macro_{c}") for c in ("recall", "ndcg", "f1")), F.bround(F.sum(F.col("rejected").cast(_EXACT)).cast("double") / F.count("rejected"), 6).alias("rejection")
+        F.min("recall").alias("least_recall"), F.min("ndcg").alias("least_ndcg"), *(_mean_of_rounded(c).alias(f"macro_{c}") for c in ("recall", "ndcg", "f1")), _mean_of_rounded("rejected").alias("rejection")
     )
     trained = trained.join(own.withColumn("seen", F.lit(True)), ["held_out", "score"], "left").where("score IS NULL OR seen")
     feasible = (F.col("least_recall") >= 0) & (F.col("least_ndcg") >= 0)

@@ -40,7 +40,7 @@ _ALL = """l AS (SELECT o_custkey AS q, CAST(trunc(l_quantity) AS INTEGER) % 4 AS
   mg AS (SELECT a.fold, a.cut, a.f1, a.rej, round_even(a.rec - b.rec, 6) AS rec, round_even(a.nd - b.nd, 6) AS nd FROM fm AS a JOIN fm AS b ON a.fold = b.fold AND b.cut = -1),
   hs AS (SELECT unnest([-1, 0, 1, 2, 3, 4]) AS h),
   own AS (SELECT DISTINCT h, s AS cut FROM hs JOIN (SELECT s, fold FROM c JOIN qs USING (q)) ON fold <> h UNION ALL SELECT h, -1 FROM hs),
-  tr AS (SELECT h, cut, min(rec) AS lr, min(nd) AS ln, round_even(avg(rec), 6) AS mr, round_even(avg(nd), 6) AS mn, round_even(avg(f1), 6) AS mf, round_even(avg(rej), 6) AS rj FROM hs JOIN mg ON fold <> h JOIN own USING (h, cut) GROUP BY h, cut),
+  tr AS (SELECT h, cut, min(rec) AS lr, min(nd) AS ln, round_even(sum(CAST(round(rec * 1000000) AS BIGINT)) / count(*), 0) / 1000000 AS mr, round_even(sum(CAST(round(nd * 1000000) AS BIGINT)) / count(*), 0) / 1000000 AS mn, round_even(sum(CAST(round(f1 * 1000000) AS BIGINT)) / count(*), 0) / 1000000 AS mf, round_even(sum(CAST(round(rej * 1000000) AS BIGINT)) / count(*), 0) / 1000000 AS rj FROM hs JOIN mg ON fold <> h JOIN own USING (h, cut) GROUP BY h, cut),
   rk AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY lr DESC, ln DESC, mr DESC, mn DESC, rj, (cut >= 0)::INT, cut, mf DESC) AS k, count(*) OVER (PARTITION BY h) AS eligible FROM tr WHERE lr >= 0 AND ln >= 0),
   ch AS (SELECT rk.*, (SELECT count(*) FROM tr WHERE tr.h = rk.h) AS candidates FROM rk WHERE k = 1)"""
 _add = Q.__setitem__
