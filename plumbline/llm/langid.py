@@ -180,9 +180,13 @@ def fit(spark: SparkSession, docs: DataFrame, per_language: int = SAMPLE_PER_LAN
     picked = usable.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(unit)) < share[F.col("lang")]).select("text", "lang", key.alias("key"))
     once = picked.groupBy("key", "lang").agg(F.min("text").alias("text"))
     found = once.mapInArrow(_features, "rows binary, counts binary, lang string, key bigint").toArrow()
-    order = np.random.default_rng(1).permutation(found.num_rows)
-    rows, counts, lang = (found.column(c).take(pa.array(np.argsort(found.column("key").to_numpy(), kind="stable")[order])).to_pylist() for c in ("rows", "counts", "lang"))
-    return train([np.frombuffer(r, dtype=np.uint16).astype(np.int32) for r in rows], [np.frombuffer(c, dtype=np.float32) for c in counts], lang)
+    order = np.argsort(found.column("key").to_numpy(), kind="stable")[np.random.default_rng(1).permutation(found.num_rows)].tolist()
+    lang = found.column("lang").to_pylist()
+    # Read where they lie: no copies of all features besides those that are trained on.
+    at = {c: found.column(c).combine_chunks() for c in ("rows", "counts")}
+    rows = [np.frombuffer(at["rows"][i].as_buffer(), dtype=np.uint16).astype(np.int32) for i in order]
+    counts = [np.frombuffer(at["counts"][i].as_buffer(), dtype=np.float32) for i in order]
+    return train(rows, counts, [lang[i] for i in order])
 
 
 _PREDICTED = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("rejected", T.BooleanType())])

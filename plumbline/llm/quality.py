@@ -199,10 +199,14 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, per_class: int
     found = rows.mapInArrow(_features, "label int, x array<double>, m array<double>, key bigint").toArrow()
     order = np.argsort(found.column("key").to_numpy(), kind="stable")
     label = np.array([np.nan if v is None else float(v) for v in found.column("label").to_pylist()])[order]
-    matrix = lambda name, width: np.asarray(found.column(name).combine_chunks().flatten()).reshape(-1, width)[order]
+
+    def matrix(name: str, width: int) -> np.ndarray:
+        return np.asarray(found.column(name).combine_chunks().flatten()).reshape(-1, width)[order]
+
     if not len(label):
         return Model()
     x, m = matrix("x", 266), matrix("m", 2 * _HASHED + 5)
+    del found  # held twice otherwise while training
     ok = ~np.isnan(label)
     return co_train(x[ok], m[ok], (label[ok] > 0).astype(int), x[~ok], m[~ok])
 
