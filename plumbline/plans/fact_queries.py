@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import unpivot
+from plumbline.sources import projections
 
 from .views import table
 
@@ -133,3 +134,28 @@ _add(
         FROM (SELECT *, CASE WHEN k IN (1, 2) THEN 'layer' WHEN k = 4 THEN 'constituent' ELSE 'profile' END AS x FROM r))
       SELECT key, CAST(e.o AS INTEGER) AS ordinal, e.n AS name, e.r AS role, CASE WHEN e.n IS NULL THEN 'MATERIAL_WITHOUT_NAME' END AS issue FROM e""",
 )
+
+
+def _records(s, d):
+    """Parts as property facts, each ninth of one kind of value, some of which can't be stored."""
+    kinds = [("int", "CAST(p_size AS STRING)"), ("float", "p_size || '.5'"), ("bool", "CAST(p_size % 2 = 0 AS STRING)"), ("text", "p_name"), ("null", "NULL"), ("null", "'x'"), ("int", "'99999999999999999999'"), ("float", "'1e999'"), ("bool", "'yes'"), ("date", "'x'"), ("int", "'1.0'")]
+    pick = lambda at: F.expr("CASE p_partkey % 11 " + " ".join(f"WHEN {k} THEN {x[at] if at else repr(x[0])}" for k, x in enumerate(kinds)) + " END")
+    text = F.col("p_partkey").cast("string")
+    fixed = {c: F.lit(c) for c in ("project_id", "element_id", "source", "container", "property_name", "property_name_norm", "occurrence_key", "unit")}
+    return table(s, d, "part").select(F.when(F.col("p_partkey") % 50 > 0, text).alias("fact_id"), *(v.alias(c) for c, v in fixed.items()), pick(0).alias("value_type"), pick(1).cast("string").alias("value"))
+
+
+_add(
+    "B19_property_projection",
+    lambda s, d: projections.projected(_records(s, d), "property_fact").select("fact_id", "refused", "value_type", "value_is_null", "value_text", "value_integer", "value_number", "value_boolean"),
+    """WITH p AS (SELECT CASE WHEN p_partkey % 50 > 0 THEN CAST(p_partkey AS VARCHAR) END AS fact_id, p_partkey % 11 AS k, p_size AS z, p_name AS n, p_partkey % 50 > 0 AND p_partkey % 11 < 5 AS good FROM part)
+      SELECT fact_id, CASE WHEN fact_id IS NULL THEN 'missing_id' ELSE ['null_with_payload', 'int_out_of_range', 'not_finite', 'wrong_payload', 'unknown_value_type', 'wrong_payload'][CASE WHEN k >= 5 THEN k - 4 END] END AS refused,
+        CASE WHEN good THEN ['int', 'float', 'bool', 'text', 'null'][k + 1] END AS value_type, CASE WHEN good THEN k = 4 END AS value_is_null, CASE WHEN good AND k = 3 THEN n END AS value_text, CASE WHEN good AND k = 0 THEN CAST(z AS BIGINT) END AS value_integer,
+        CASE WHEN good AND k = 1 THEN z + 0.5::DOUBLE END AS value_number, CASE WHEN good AND k = 2 THEN z % 2 = 0 END AS value_boolean FROM p""",
+)
+_add(
+    "B24_bounded_report",
+    lambda s, d: projections.bounded_report(projections.projected(_records(s, d), "property_fact").where("fact_id IS NOT NULL").select("fact_id", F.coalesce("refused", F.lit("stored")).alias("outcome")), "fact_id", "outcome", 100)[1],
+    """WITH p AS (SELECT CAST(p_partkey AS VARCHAR) AS fact_id, CASE WHEN p_partkey % 11 < 5 THEN 'stored' ELSE ['null_with_payload', 'int_out_of_range', 'not_finite', 'wrong_payload', 'unknown_value_type', 'wrong_payload'][p_partkey % 11 - 4] END AS outcome FROM part WHERE p_partkey % 50 > 0)
+      SELECT fact_id, outcome, (SELECT count(*) FROM p) > 100 AS truncated FROM p ORDER BY fact_id LIMIT 100""",
+)
