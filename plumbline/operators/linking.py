@@ -83,10 +83,11 @@ class Linker:
         self.places = {level: {normal_name(e[level]): e[level] for e in elements if eligible_name(e.get(level), stop)} for level in LEVELS}
 
     def mentions(self, text: str) -> list[Mention]:
-        """Every span with its outcome, in order. Texts of too many words are refused."""
+        """Every span with its outcome, in order. A text of too many words, or with too many
+        mentions, is one span with an outcome of its own: others aren't held up by it."""
         words = tokens(text)
         if len(words) > MOST_TOKENS:
-            raise ValueError(f"a text has more than {MOST_TOKENS} words")
+            return [Mention(0, len(text), "refused_word_bound", candidates=len(words))]
         found = list(self._identified(text))
         free = [w for w in words if all(w[2] <= m.start or m.stop <= w[1] for m in found)]
         said = " ".join(["", *(w for w, _, _ in words), ""])
@@ -105,7 +106,7 @@ class Linker:
         for run in [*runs, run]:
             found += self._nearly(run)
         if len(found) > MOST_MENTIONS:
-            raise ValueError(f"a text has more than {MOST_MENTIONS} mentions")
+            return [Mention(0, len(text), "refused_mention_bound", candidates=len(found))]
         return sorted(found, key=lambda m: (m.start, m.stop))
 
     @staticmethod
