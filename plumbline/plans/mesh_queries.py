@@ -23,8 +23,8 @@ _FACES = [(0, 2, 3), (0, 3, 1), (0, 1, 5), (0, 5, 4), (2, 6, 7), (2, 7, 3), (0,
 
 
 def _meshes(s, d):
-    """Parts as boxes of p_size + 3 by 2 by 1 at (k, 0, 0), by k modulo 14: sound, open, cubic, several ways broken, with every corner twice, far off, with advisories."""
-    p = table(s, d, "part").select(F.col("p_partkey").alias("element_id"), (F.col("p_partkey") % 14).alias("m"), (F.col("p_size") + 3.0).alias("a"))
+    """Parts as boxes of p_size + 3.25 by 2 by 1 at (k, 0, 0), by k modulo 14: sound, open, cubic, several ways broken, with every corner twice, far off, with advisories."""
+    p = table(s, d, "part").select(F.col("p_partkey").alias("element_id"), (F.col("p_partkey") % 14).alias("m"), (F.col("p_size") + 3.25).alias("a"))
     m = F.col("m")
     elements = p.select(
         "element_id", F.when(m != 3, "METRE").alias("unit"), F.when(m == 3, "unit_inconsistent").alias("unit_issue"), (m != 4).alias("has_representation"),
@@ -43,7 +43,7 @@ def _meshes(s, d):
     return elements, vertices, t.select("element_id", *(corner(n, k) for k, n in enumerate("abc")))
 
 
-_FACTS = """p AS (SELECT p_partkey AS k, p_partkey % 14 AS m, CASE p_partkey % 14 WHEN 2 THEN 1.0::DOUBLE ELSE p_size + 3.0 END AS a, CASE p_partkey % 14 WHEN 2 THEN 1.0::DOUBLE ELSE 2.0 END AS b, CASE p_partkey % 14 WHEN 11 THEN 2e5 ELSE 0 END AS s FROM part),
+_FACTS = """p AS (SELECT p_partkey AS k, p_partkey % 14 AS m, CASE p_partkey % 14 WHEN 2 THEN 1.0::DOUBLE ELSE p_size + 3.25 END AS a, CASE p_partkey % 14 WHEN 2 THEN 1.0::DOUBLE ELSE 2.0 END AS b, CASE p_partkey % 14 WHEN 11 THEN 2e5 ELSE 0 END AS s FROM part),
 f AS (SELECT *, m IN (0, 1, 2, 10, 11, 12) AS fine, ['shape_creation_error', 'timeout', 'unsupported_representation', 'vertex_limit_exceeded', 'triangle_limit_exceeded', 'byte_limit_exceeded'][k // 14 % 6 + 1] AS r FROM p)"""
 _add(
     "L8_mesh_facts",
