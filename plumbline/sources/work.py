@@ -12,10 +12,17 @@ import atexit
 import json
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+@cache
+def _own_folder() -> str:
+    """One folder of this machine for all calls of this process, where that will do."""
+    return tempfile.mkdtemp(prefix="plumbline-")
+
+
 class Work:
     """Work tables of one call."""
 
@@ -24,7 +31,7 @@ class Work:
         named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
         if not named and not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        self._root = (named or f"file://{tempfile.mkdtemp(prefix='plumbline-')}").rstrip("/")
+        self._root = (named or f"file://{_own_folder()}").rstrip("/")
 
     def written(self, df: DataFrame, name: str) -> DataFrame:
         """``df``, written and read back. Removed when the driver ends, or by drop."""
