@@ -59,3 +59,21 @@ def test_containment(spark):
     for bad in (lambda: paths.containment(edges, asked, predicates=["HAS_MATERIAL"]), lambda: paths.searched(edges, asked, 7), lambda: paths.searched(edges, asked, 0)):
         with pytest.raises(ValueError):
             bad()
+
+
+def test_edges_of_four_hops_are_not_kept(spark, monkeypatch):
+    """A tree with twelve branches at a node: four hops down are 22620 edges, from both ends a few hundred."""
+    from plumbline.sources.work import Work
+
+    rows, written = [], Work.written
+
+    def counted(self, df, name):
+        out = written(self, df, name)
+        rows.append(out.count() if not name.startswith(("steps", "sizes")) else 0)
+        return out
+
+    monkeypatch.setattr(Work, "written", counted)
+    up = spark.range(1, 22621).selectExpr("'CONTAINS' AS predicate", "string((id - 1) div 12) AS src", "string(id) AS dst", "string(id) AS edge_id")
+    asked = spark.createDataFrame([("0", "22620"), ("0", "9999999")], "anchor string, target string")
+    assert {tuple(r) for r in paths.searched(up, asked, 4)[0].select("target", "hops", "n_paths").collect()} == {("22620", 4, 1), ("9999999", None, None)}
+    assert sum(rows) < 500
