@@ -333,3 +333,16 @@ def test_no_link_was_made(spark):
     links = spark.createDataFrame([(1, "e", "exact_name", "0-3")], "case_id int, element_id string, method string, spans string")
     assert tuple(evaluation.linking_score(links.limit(0), links, ["exact_name"]).first()) == (0.0, 0.0, 1.0)
     assert tuple(evaluation.linking_score(links, links.limit(0), ["exact_name"]).first()) == (1.0, 0.0, 0.0)
+
+
+def test_pairs_of_equal_boxes_and_of_many_rows(spark):
+    """2400 boxes on three places, and more rows than 5000 as a reference."""
+    d = "decimal(20,6)"
+    b = spark.range(2400).select("id", *(((F.col("id") % 3 * 10) if x == "x" else F.lit(0)).cast(d).alias(f"{x}0") for x in "xyz"), *(((F.col("id") % 3 * 10) if x == "x" else F.lit(0)).cast(d).alias("_" + x) for x in "xyz"))
+    b = b.select("id", *(c for x in "xyz" for c in (f"{x}0", (F.col("_" + x) + F.lit(1).cast(d)).cast(d).alias(f"{x}1"))))
+    each = 3 * 800 * 799 // 2
+    assert geometry.column_pairs(b).count() == geometry.swept_pairs(b).count() == each
+    assert [tuple(r) for r in geometry.relations(b).groupBy("predicate", "quality").count().collect()] == [("INTERSECTS", "exact", each)]
+    near = geometry.column_pairs(b).where("b.id < 6")
+    assert {(r["a"]["id"], r["b"]["id"], float(r["b"]["x1"])) for r in near.collect()} == {(0, 3, 1.0), (1, 4, 11.0), (2, 5, 21.0)}
+    assert geometry.exhaustive_pairs(spark.range(5001)).count() == 5001 * 5000 // 2
