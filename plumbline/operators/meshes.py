@@ -96,7 +96,6 @@ def mesh_facts(elements: DataFrame, vertices: DataFrame, triangles: DataFrame) -
     that can't be told is null and named by an issue, and makes the fact partial.
     """
     work = Work(elements.sparkSession)
-    point = F.struct(*AXES)
     odd = ~(_finite(F.col("x")) & _finite(F.col("y")) & _finite(F.col("z")))
     size = F.max(F.greatest(*(F.abs(x) for x in AXES)))
     seen = vertices.groupBy("element_id").agg(F.count("*").alias("vertices"), F.max(odd).alias("odd"), size.alias("size"), *(f(_quantised(F.col(x))).alias(f"{x}{k}") for x in AXES for k, f in ((0, F.min), (1, F.max))))
@@ -114,7 +113,9 @@ def mesh_facts(elements: DataFrame, vertices: DataFrame, triangles: DataFrame) -
     found = work.written(found.withColumn("code", code), "found")
     sound = found.where("code IS NULL").select("element_id", "x0", "x1", "y0", "y1", "z0", "z1")
     points = vertices.join(sound, "element_id")
-    shifted = {x: F.col(x) - (F.col(f"{x}0") + F.col(f"{x}1")) / 2 for x in AXES}  # near the middle, so that squares keep their digits
+    middle = {x: (F.col(f"{x}0") + F.col(f"{x}1")) / 2 for x in AXES}
+    shifted = {x: F.col(x) - middle[x] for x in AXES}  # near the middle, so that squares and volumes keep their digits
+    point = F.struct(*(shifted[x].alias(x) for x in AXES))
     pairs = [(a, b) for i, a in enumerate(AXES) for b in AXES[i:]]
     sums = points.groupBy("element_id").agg(F.count("*").alias("n"), *(F.avg(shifted[x]).alias(f"m{x}") for x in AXES), *(F.avg(shifted[a] * shifted[b]).alias(a + b) for a, b in pairs))
     turned = _orientation(sums.select("element_id", "n", *((F.col(a + b) - F.col(f"m{a}") * F.col(f"m{b}")).alias(a + b) for a, b in pairs)))
@@ -140,7 +141,7 @@ def mesh_facts(elements: DataFrame, vertices: DataFrame, triangles: DataFrame) -
     solid = F.coalesce(F.col("closed") & (_quantised(F.abs("volume")) != 0), F.lit(False))
     kind = F.when(fine & solid, "volume").when(fine & (F.col("area") > 0), "surface")
     facts = facts.withColumn("centroid_kind", kind)
-    centre = {x: F.when(F.col("centroid_kind") == "volume", F.col(f"volume_{x}") / F.col("volume")).when(F.col("centroid_kind") == "surface", F.col(f"area_{x}") / F.col("area")) for x in AXES}
+    centre = {x: F.when(F.col("centroid_kind") == "volume", F.col(f"volume_{x}") / F.col("volume") + middle[x]).when(F.col("centroid_kind") == "surface", F.col(f"area_{x}") / F.col("area") + middle[x]) for x in AXES}
     status = (
         F.when(F.col("code").isin("unit_unresolvable", "unit_inconsistent"), "unit_undetermined").when(F.col("code") == "no_representation", "missing_representation").when(F.col("code") == "empty_triangulation", "empty_geometry")
         .when(F.col("code") == "non_finite_coordinate", "non_finite_geometry").when(F.col("code") == "coordinate_out_of_range", "out_of_range").when(F.col("code") == "degenerate_extent", "degenerate_geometry")
@@ -153,10 +154,9 @@ def mesh_facts(elements: DataFrame, vertices: DataFrame, triangles: DataFrame) -
         F.when(fine & (F.col("size") > MAX_ABS / 10), "large_coordinate_magnitude"), F.when(fine & F.col("centroid_kind").isNull(), "centroid_unsupported_topology"), F.when(fine, F.col("orientation_issue")),
     ))
     counted = fine | (F.col("code") == "degenerate_extent")
-    middle = lambda x: F.when(fine, _quantised((F.col(f"{x}0") + F.col(f"{x}1")) / 2))
     return facts.select(
         "element_id", status.alias("status"), F.sort_array(F.array_distinct(issues)).alias("issues"), F.when(counted, F.col("vertices")).alias("vertex_count"), F.when(counted, F.coalesce("triangles", F.lit(0))).alias("triangle_count"),
-        *(F.when(fine, F.col(f"{x}{k}")).alias(f"{x}{k}") for x in AXES for k in (0, 1)), *(middle(x).alias(f"r{x}") for x in AXES), *(_quantised(centre[x]).alias(f"c{x}") for x in AXES),
+        *(F.when(fine, F.col(f"{x}{k}")).alias(f"{x}{k}") for x in AXES for k in (0, 1)), *(F.when(fine, _quantised(middle[x])).alias(f"r{x}") for x in AXES), *(_quantised(centre[x]).alias(f"c{x}") for x in AXES),
         "centroid_kind", F.when(fine, F.col("axis")).alias("axis"), F.when(fine, F.col("separation")).alias("separation"),
     )
 

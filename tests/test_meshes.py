@@ -36,3 +36,13 @@ def test_welding_closes_a_mesh(spark):
     got = facts(spark, [1], vertices, [(1, 3 * f, 3 * f + 1, 3 * f + 2) for f in range(4)])[1]
     assert got["centroid_kind"] == "volume" and (got["cx"], got["cy"], got["cz"]) == (0.75, 0.25, 0.25)
     assert facts(spark, [1], vertices, [(1, 3 * f, 3 * f + 1, 3 * f + 2) for f in range(3)])[1]["centroid_kind"] == "surface"
+
+
+def test_far_from_the_origin(spark):
+    """A box of 2.25 by 2 by 1 at 900000: its centre is as exact as that of one at 0."""
+    corners = [((k & 1) * 2.25, (k >> 1 & 1) * 2.0, float(k >> 2)) for k in range(8)]
+    faces = [(0, 2, 3), (0, 3, 1), (0, 1, 5), (0, 5, 4), (2, 6, 7), (2, 7, 3), (0, 4, 6), (0, 6, 2), (1, 3, 7), (1, 7, 5), (4, 5, 7), (4, 7, 6)]
+    vertices = [(e, k, x + at, y + at, z) for e, at in ((1, 0.0), (2, 900000.0)) for k, (x, y, z) in enumerate(corners)]
+    got = facts(spark, [1, 2], vertices, [(e, *f) for e in (1, 2) for f in faces])
+    assert (got[1]["cx"], got[1]["cy"], got[1]["cz"]) == (1.125, 1.0, 0.5) and (got[2]["cx"], got[2]["cy"], got[2]["cz"]) == (900001.125, 900001.0, 0.5)
+    assert got[2]["centroid_kind"] == "volume" and got[2]["issues"] == ["large_coordinate_magnitude"]
