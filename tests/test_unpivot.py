@@ -119,3 +119,19 @@ def test_materials_and_associations_without_anything(spark):
     blank = spark.createDataFrame([("p", "e", k, *[None] * 9) for k in ("classification", "document", None, "x")], "project_id string, element_id string, kind string, system string, code string, name string, edition string, location string, identification string, description string, scope string, purpose string")
     links = unpivot.associations(blank)
     assert sorted(r["warning"] for r in links.collect()) == ["MISSING_SYSTEM", "MISSING_URI"] and unpivot.documents(links).count() == 0
+
+
+def test_tables_of_occurrences_are_not_broadcast(spark, monkeypatch):
+    """However small their files are: they have a row for each occurrence."""
+    from plumbline.plans import registry
+    from plumbline.sources.work import Work
+
+    plans, written = {}, Work.written
+
+    def seen(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return written(self, df, name)
+
+    monkeypatch.setattr(Work, "written", seen)
+    registry.queries()["K4_diagnostics"](spark, "/root/testdata/sf0.001")
+    assert all("SortMergeJoin" in plans[n] and "Broadcast" not in plans[n] for n in ("slots", "facts"))
