@@ -346,3 +346,17 @@ def test_pairs_of_equal_boxes_and_of_many_rows(spark):
     near = geometry.column_pairs(b).where("b.id < 6")
     assert {(r["a"]["id"], r["b"]["id"], float(r["b"]["x1"])) for r in near.collect()} == {(0, 3, 1.0), (1, 4, 11.0), (2, 5, 21.0)}
     assert geometry.exhaustive_pairs(spark.range(5001)).count() == 5001 * 5000 // 2
+
+
+def test_tied_links_are_told_as_in_sql(spark, tmp_path):
+    """Lines of a part that agree in number and order but not in their flag."""
+    import duckdb
+
+    from plumbline.plans import registry
+
+    rows = [(part, 1, 7, flag) for part in range(50) for flag in ("RAN", "NAR", "ANR")[part % 3]]
+    spark.createDataFrame(rows, "l_partkey bigint, l_linenumber int, l_orderkey bigint, l_returnflag string").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
+    got = sorted(tuple(r) for r in registry.queries()["E8_strongest_link"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(registry.oracle_sql()["E8_strongest_link"]).fetchall()) == [(part, "RNA"[part % 3], 1) for part in range(50)]
