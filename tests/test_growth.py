@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from plumbline.operators import retrieval
@@ -18,3 +22,34 @@ def test_postings_are_counted_where_they_lie(spark, monkeypatch):
     found = retrieval.postings(df, "id", "text", retrieval.analysed(F.col("text")))
     assert "Exchange" not in plan(found)
     assert {tuple(r) for r in found.collect()} == {(1, "a", 2, 3, "text"), (1, "b", 1, 3, "text"), (3, "b", 1, 1, "text"), (None, "c", 2, 2, "text")}
+
+
+def test_dense_search_holds_little(spark):
+    rng = np.random.default_rng(4)
+    queries = [{"query_id": k, "vector": v.tolist()} for k, v in enumerate(rng.normal(size=(2000, 4)))]
+    x = rng.normal(size=(10_000, 4))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(x.tolist())], names=["id", "vector"])
+    run = retrieval._nearest(queries, 20, spark.createDataFrame([], "query_id bigint, id bigint, score double"))
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(run(iter([batch])))).to_pydict()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20  # a table of all cosines has 160 MB
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    for k in (0, 1999):
+        own = [i for q, i in zip(got["query_id"], got["id"], strict=True) if q == k]
+        assert sorted(own) == sorted(np.argsort(-(unit @ np.array(queries[k]["vector"])))[:20].tolist())
+
+
+def test_dense_search_over_several_stretches(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "STRETCH", 3)
+    monkeypatch.setattr(retrieval, "CELLS", 4)
+    monkeypatch.setattr(retrieval, "HELD", 8)
+    rows = [(k and f"k{k:02}", [1.0, ((k or 5) * 7 % 5) / 10]) for k in [*range(1, 20), None]]
+    df = spark.createDataFrame(rows, "id string, vector array<double>").coalesce(1)
+    asked = spark.createDataFrame([(q, [1.0, q / 10]) for q in range(4)], "query_id int, vector array<double>")
+    got = {(r["query_id"], r["rank"]): r["id"] for r in retrieval.dense(df, asked, depth=6).collect()}
+    cos = lambda q, v: round((1 + q * v[1] / 10) / np.hypot(1, q / 10) / np.hypot(1, v[1]), 12)
+    for q in range(4):
+        want = sorted(rows, key=lambda r: (-cos(q, r[1]), r[0] or ""))[:6]
+        assert [got[q, n] for n in range(1, 7)] == [i for i, _ in want]
