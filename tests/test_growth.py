@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from plumbline.operators import retrieval
+from plumbline.operators import inverted, retrieval
 
 
 def plan(df) -> str:
@@ -53,3 +53,21 @@ def test_dense_search_over_several_stretches(spark, monkeypatch):
     for q in range(4):
         want = sorted(rows, key=lambda r: (-cos(q, r[1]), r[0] or ""))[:6]
         assert [got[q, n] for n in range(1, 7)] == [i for i, _ in want]
+
+
+def test_search_shuffles_no_hits_and_equal_queries_are_one(spark, monkeypatch):
+    """Thousands of hits, of which a task hands on the best; shards and blocks of queries don't matter."""
+    df = spark.range(600).selectExpr("id", "concat_ws(' ', 'all', if(id % 3 = 0, 'red', 'blue'), concat('n', id % 5)) AS text")
+    terms = retrieval.analysed(F.col("text"))
+    asked = spark.createDataFrame([(q, t) for q in range(40) for t in ("all", "red", f"n{q % 2}")], "query_id int, term string")
+    want = {q: [k for k in range(600) if k % 3 == 0 and k % 5 == q][:5] for q in (0, 1)}
+    for shard, held, cells in ((1 << 19, 1 << 22, 1 << 22), (100, 10, 3)):
+        monkeypatch.setattr(inverted, "SHARD", shard)
+        monkeypatch.setattr(inverted, "HELD", held)
+        monkeypatch.setattr(inverted, "CELLS", cells)
+        found = inverted.search(inverted.build(df, "id", {"text": terms}), asked, {"text": 1.0}, depth=5)
+        assert "explode(postings" not in plan(found)
+        got: dict = {}
+        for r in found.orderBy("rank").collect():
+            got.setdefault(r["query_id"], []).append(r["id"])
+        assert got == {q: want[q % 2] for q in range(40)}
