@@ -8,7 +8,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from plumbline.operators import inverted, retrieval
+from oracle_support import SMALL
+from plumbline.operators import benchmarks, documents, graph, inverted, linking, retrieval, thresholds
+from plumbline.plans import registry, views
+from plumbline.sources import generations
 
 
 def plan(df) -> str:
@@ -71,3 +74,12 @@ def test_search_shuffles_no_hits_and_equal_queries_are_one(spark, monkeypatch):
         for r in found.orderBy("rank").collect():
             got.setdefault(r["query_id"], []).append(r["id"])
         assert got == {q: want[q % 2] for q in range(40)}
+
+
+def _query(spark, name):
+    return plan(registry.queries()[name](spark, str(SMALL)))
+
+
+def test_edges_of_meshes_are_counted_where_they_lie(spark):
+    found = _query(spark, "L4_closed")
+    assert found.count("Exchange") == 2 and "Broadcast" not in found and "array_sort" not in found  # both of the boxes, for sums and edges
