@@ -83,3 +83,11 @@ def _query(spark, name):
 def test_edges_of_meshes_are_counted_where_they_lie(spark):
     found = _query(spark, "L4_closed")
     assert found.count("Exchange") == 2 and "Broadcast" not in found and "array_sort" not in found  # both of the boxes, for sums and edges
+
+
+def test_documents_are_chunked_by_the_batch(spark, monkeypatch):
+    monkeypatch.setattr(documents, "DOCUMENTS", 2)
+    rows = [(d, k, k // 2 + 1, "Title" if k == 0 else f"text {k} of {d}, ") for d in (1, 2, 3, None) for k in (2, 0, 1)]
+    got = documents.chunked(spark.createDataFrame(rows, "document_id int, block_index int, page int, text string"))
+    assert "InPandas" not in plan(got)
+    assert {(r["document_id"], r["section_title"], r["first_page"], r["last_page"], r["text"]) for r in got.collect()} == {(d, "Title", 1, 2, f"text 1 of {d},\ntext 2 of {d},") for d in (1, 2, 3, None)}
