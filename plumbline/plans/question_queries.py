@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import questions
 
-from .views import table
+from .views import dealt, table
 
 Q: dict = {}
 SQL: dict = {}
@@ -14,7 +14,7 @@ SQL: dict = {}
 
 def _add(name, question, shown, sql):
     def run(s, d):
-        rows = table(s, d, "part").select("p_partkey", F.expr(question).alias("q"))
+        rows = dealt(table(s, d, "part"), "p_partkey").select("p_partkey", F.expr(question).alias("q"))
         return questions.asked(rows, "q", "a").select("p_partkey", shown().alias("answer"))
 
     Q[name], SQL[name] = run, sql

@@ -91,3 +91,9 @@ def test_documents_are_chunked_by_the_batch(spark, monkeypatch):
     got = documents.chunked(spark.createDataFrame(rows, "document_id int, block_index int, page int, text string"))
     assert "InPandas" not in plan(got)
     assert {(r["document_id"], r["section_title"], r["first_page"], r["last_page"], r["text"]) for r in got.collect()} == {(d, "Title", 1, 2, f"text 1 of {d},\ntext 2 of {d},") for d in (1, 2, 3, None)}
+
+
+def test_questions_and_meshes_are_dealt_to_tasks(spark):
+    """A small file is one task's, whatever is made of its rows."""
+    for name in ("H11_names_made", "H8_conditions", "L4_closed", "L5_centroids"):
+        assert f"{views.DEALT}), REPARTITION_BY_NUM" in _query(spark, name), name
