@@ -101,15 +101,19 @@ def _damaged(nodes, native, derived):
     k = lambda c: F.regexp_extract(c, r"(\d+)", 1).cast("bigint") % 97
     put = lambda df, n, c, v: df.withColumn(c, F.when(F.col("k") == n, v).otherwise(F.col(c)))
     nodes = nodes.withColumn("k", k("node_id")).where("NOT (k = 3 AND node_id LIKE 'o%')")
-    nodes = nodes.unionByName(nodes.where("k = 5"))
+    nodes = _twice(nodes, 5)
     for n, c, v in ((7, "kind", "space"), (11, "label", "Zone"), (13, "project_id", "other"), (17, "node_instance_id", "")):
         nodes = put(nodes, n, c, F.lit(v))
     return nodes.drop("k"), _edges_damaged(native, put), derived.withColumn("k", k("edge_id")).where("k <> 53").withColumn("target_revision", F.when(F.col("k") != 59, F.col("target_revision"))).drop("k")
 
 
+def _twice(records, k: int):
+    """Records in one reading, those of number ``k`` twice."""
+    return records.withColumn("copy", F.explode(F.sequence(F.lit(1), F.when(F.col("k") == k, 2).otherwise(1)))).drop("copy")
+
+
 def _edges_damaged(native, put):
-    native = native.where("k <> 31")
-    native = native.unionByName(native.where("k = 37"))
+    native = _twice(native.where("k <> 31"), 37)
     for n, c, v in ((23, "predicate", F.lit("CONTAINS")), (29, "source_revision", F.lit("old")), (41, "instance_id", F.concat(F.lit("x"), F.col("instance_id"))), (43, "source_kind", F.lit(g.DERIVED)), (47, "target_instance", F.lit("ni_nowhere"))):
         native = put(native, n, c, v)
     return native.drop("k")

@@ -62,22 +62,26 @@ def _present(columns: list[str]) -> Column:
     return out
 
 
-def _sided(df: DataFrame, of: str, level: str, key: str, stored: bool, **more: Column) -> DataFrame:
-    """Rows in the common form: the set, id or occurrence, key, side, and what is right about it."""
-    flags = {name: more.get(name, F.lit(None).cast("boolean")) for name in ("own_project", "whole", "generation", "owner")}
-    return df.select(
-        F.lit(of).alias("of"), F.lit(level).alias("level"), F.col(key).alias("key"), F.lit(1 if stored else 0).alias("stored"), F.lit(0 if stored else 1).alias("expected"), F.lit(0).alias("referred"),
-        more.get("value", F.lit(None).cast("string")).alias("value"), more.get("label", F.lit(None).cast("string")).alias("label"), *(c.alias(n) for n, c in flags.items()),
-    )
+#: Tasks that such rows are dealt to.
+TASKS = 192
+#: What a row by id or occurrence tells, and of which type.
+_TOLD = {"of": "string", "level": "string", "key": "string", "stored": "int", "expected": "int", "referred": "int", "value": "string", "label": "string", "own_project": "boolean", "whole": "boolean", "generation": "boolean", "owner": "boolean"}
+
+
+def _told(of: str, level: str, key: str, **more: Column | int) -> Column:
+    """A row in the common form: the set, id or occurrence, key, side, and what is right about it."""
+    own = {"of": of, "level": level, "key": F.col(key)} | {side: 0 for side in ("stored", "expected", "referred")} | more
+    return F.struct(*((own[n] if isinstance(own.get(n), Column) else F.lit(own.get(n))).cast(kind).alias(n) for n, kind in _TOLD.items()))
 
 
 def verification(stored: tuple[DataFrame, DataFrame, DataFrame], expected: tuple[DataFrame, DataFrame, DataFrame], r: Revisions) -> DataFrame:
     """The 25 named checks of a staged generation: name, violations, passed.
 
     stored and expected: records of nodes, native and derived edges. Each side is read
-    once: records become rows by id, by occurrence and by the occurrences that edges
-    refer to, meet by key in one shuffle, and one aggregation counts the violations of
-    every check. A check of a set as a whole counts 1 if its digest differs.
+    once: a record becomes rows by id, by occurrence and by the occurrences that edges
+    refer to, which meet by key in one shuffle. What is wrong is summed up for each set
+    and level, and of these six rows the checks are made. A check of a set as a whole
+    counts 1 if its digest differs, for which only keys that differ need to be hashed.
     """
     rows = None
     for of, have, want in zip(SETS, stored, expected, strict=True):
@@ -85,57 +89,52 @@ def verification(stored: tuple[DataFrame, DataFrame, DataFrame], expected: tuple
         name, occurrence, value = ("node_id", "node_instance_id", "kind") if node else ("edge_id", "instance_id", "predicate")
         revision = r.node if node else r.native if of == "native" else r.derived
         generation = (F.col("node_revision_id") == r.node) if node else (F.col("source_revision").eqNullSafe(r.node) & F.col("target_revision").eqNullSafe(r.node) & F.col("revision_id").eqNullSafe(revision))
+        said = {"value": F.col(value), "label": F.col("label") if node else F.lit(None)}
         right = {
             "own_project": F.col("project_id").eqNullSafe(r.project), "whole": _present(NODE_COLUMNS if node else EDGE_COLUMNS), "generation": generation,
-            "owner": F.lit(True) if node else F.col("source_kind").eqNullSafe(NATIVE if of == "native" else DERIVED), "value": F.col(value), "label": F.col("label") if node else F.lit(None).cast("string"),
+            "owner": F.lit(True) if node else F.col("source_kind").eqNullSafe(NATIVE if of == "native" else DERIVED),
         }
         here = F.lit(True) if node else generation  # an extra occurrence is one of this generation that nobody expects
-        parts = [
-            _sided(have, of, "id", name, True, **right), _sided(want, of, "id", name, False, value=F.col(value), label=right["label"]),
-            _sided(have, of, "occurrence", occurrence, True, generation=here), _sided(want, of, "occurrence", occurrence, False),
-        ]
-        if not node:
-            ends = have.select(F.explode(F.array("source_instance", "target_instance")).alias("end"))
-            parts.append(_sided(ends, "node", "occurrence", "end", True).withColumn("stored", F.lit(0)).withColumn("referred", F.lit(1)))
-        for p in parts:
-            rows = p if rows is None else rows.unionByName(p)
-    wrong = lambda c: F.sum(F.when((F.col("stored") == 1) & ~F.coalesce(F.col(c), F.lit(False)), 1).otherwise(0)).alias(f"{c}_wrong")
+        has = [_told(of, "id", name, stored=1, **said, **right), _told(of, "occurrence", occurrence, stored=1, generation=here)]
+        has += [] if node else [_told("node", "occurrence", end, referred=1) for end in ("source_instance", "target_instance")]
+        asks = [_told(of, "id", name, expected=1, **said), _told(of, "occurrence", occurrence, expected=1)]
+        for df, told in ((have, has), (want, asks)):
+            part = df.select(F.inline(F.array(*told)))
+            rows = part if rows is None else rows.unionByName(part)
+    is_stored = F.col("stored") == 1
+    wrong = lambda c: F.sum(F.when(is_stored & ~F.coalesce(F.col(c), F.lit(False)), 1).otherwise(0)).alias(f"{c}_wrong")
     only = lambda c, side: F.max(F.when(F.col(side) == 1, F.col(c)))
+    said = [f for c in ("value", "label") for f in (only(c, "stored").alias(c), F.min(F.when(is_stored, F.col(c))).alias(f"{c}_low"), only(c, "expected").alias(f"{c}_wanted"), F.count_if(is_stored & F.col(c).isNull()).alias(f"no_{c}"))]
+    # keys hardly repeat on a side, so rows are shuffled as they are and sorted once, by key first, which tells most of them apart
+    met = rows.repartition(TASKS, "key", "of", "level").groupBy("key", "of", "level").agg(*(F.sum(c).alias(c) for c in ("stored", "expected", "referred")), *(wrong(c) for c in ("own_project", "whole", "generation", "owner")), *said)
+    differs = F.col("stored") != F.col("expected")
     # A value that differs among the stored rows of a key is wrong in one of them at least.
-    unlike = lambda c: F.sum(F.when((F.col("stored") == 1), 1).otherwise(0)) - F.sum(F.when((F.col("stored") == 1) & F.col(c).isNotNull(), 1).otherwise(0))
-    met = rows.groupBy("of", "level", "key").agg(
-        *(F.sum(c).alias(c) for c in ("stored", "expected", "referred")), *(wrong(c) for c in ("own_project", "whole", "generation", "owner")),
-        only("value", "stored").alias("value"), F.min(F.when(F.col("stored") == 1, F.col("value"))).alias("value_low"), only("value", "expected").alias("wanted"),
-        only("label", "stored").alias("label"), F.min(F.when(F.col("stored") == 1, F.col("label"))).alias("label_low"), only("label", "expected").alias("wanted_label"), unlike("value").alias("no_value"), unlike("label").alias("no_label"),
-    )
-    hashed = digests.member("of", "key")
-    n = lambda cond: F.sum(F.when(cond, 1).otherwise(0))
-    checks: list[tuple[str, Column]] = []
-    unlike_by = lambda of, name: n(of & (F.col("level") == "id") & (F.col("stored") > 0) & ((F.col(f"no_{name}") > 0) | ~F.col(name).eqNullSafe(F.col("wanted" if name == "value" else "wanted_label")) | ~F.col(f"{name}_low").eqNullSafe(F.col(name))))
+    unlike = lambda c: (F.col("stored") > 0) & ((F.col(f"no_{c}") > 0) | ~F.col(c).eqNullSafe(F.col(f"{c}_wanted")) | ~F.col(f"{c}_low").eqNullSafe(F.col(c)))
+    hashed = F.when(differs, digests.member("of", "key"))
+    counts = {
+        "surplus": F.sum(F.col("stored") - F.col("expected")), "differing": F.count_if(differs), "twice": F.count_if(F.col("stored") > 1), "missing": F.count_if((F.col("referred") > 0) & (F.col("stored") == 0)),
+        "extra": F.count_if((F.col("stored") > F.col("generation_wrong")) & (F.col("expected") == 0)), **{f"{c}_unlike": F.count_if(unlike(c)) for c in ("value", "label")}, **{f"{c}_wrong": F.sum(f"{c}_wrong") for c in ("own_project", "whole", "generation", "owner")},
+    }
+    lanes = digests.lanes(hashed, F.col("stored") - F.col("expected"))
+    same = F.lit(True)
+    for k in range(len(lanes)):
+        same = same & (F.col(f"lane{k}") == 0)
+    sums = met.groupBy("of", "level").agg(*(c.alias(n) for n, c in counts.items()), *(c.alias(f"lane{k}") for k, c in enumerate(lanes))).withColumn("unequal", F.when(same, 0).otherwise(1))
     total = lambda cond, c: F.sum(F.when(cond, F.col(c)).otherwise(0))
+    checks: list[tuple[str, Column]] = []
     for of in SETS:
-        own = F.col("of") == of
-        by_id, by_occurrence = own & (F.col("level") == "id"), own & (F.col("level") == "occurrence")
-        checks.append((f"{of}_count_exact", F.abs(total(by_id, "stored") - total(by_id, "expected"))))
-        checks.append((f"{of}_id_set_exact", n(by_id & (F.col("stored") != F.col("expected")))))
-        checks.append((f"{of}_occurrence_set_exact", n(by_occurrence & (F.col("stored") != F.col("expected")))))
-        lanes = [digests.lanes(hashed, F.when(by_id, F.col(side)).otherwise(0)) for side in ("stored", "expected")]
-        same = F.lit(True)
-        for a, b in zip(*lanes, strict=True):
-            same = same & (a == b)
-        checks.append((f"{of}_fingerprint_exact", F.when(same, 0).otherwise(1)))
+        by_id, by_occurrence = ((F.col("of") == of) & (F.col("level") == level) for level in ("id", "occurrence"))
+        checks += [(f"{of}_count_exact", F.abs(total(by_id, "surplus"))), (f"{of}_id_set_exact", total(by_id, "differing")), (f"{of}_occurrence_set_exact", total(by_occurrence, "differing")), (f"{of}_fingerprint_exact", total(by_id, "unequal"))]
         if of != "node":
-            checks.append((f"{of}_provenance_exact", total(by_id, "whole_wrong") + total(by_id, "owner_wrong")))
-            checks.append((f"{of}_no_extra_occurrence", n(by_occurrence & (F.col("stored") > F.col("generation_wrong")) & (F.col("expected") == 0))))
-    nodes, edges = (F.col("of") == "node"), (F.col("of") != "node")
+            checks += [(f"{of}_provenance_exact", total(by_id, "whole_wrong") + total(by_id, "owner_wrong")), (f"{of}_no_extra_occurrence", total(by_occurrence, "extra"))]
     ids_ = F.col("level") == "id"
+    nodes, edges = (F.col("of") == "node") & ids_, (F.col("of") != "node") & ids_
     checks += [
-        ("node_labels_exact", unlike_by(nodes, "label")), ("node_kind_exact", unlike_by(nodes, "value")), ("relationship_types_exact", unlike_by(edges, "value")),
-        ("endpoint_generation_exact", total(edges & ids_, "generation_wrong")), ("node_properties_exact", total(nodes & ids_, "whole_wrong")), ("no_foreign_project", total(ids_, "own_project_wrong")),
-        ("no_duplicate_node_id", n(nodes & ids_ & (F.col("stored") > 1))), ("no_duplicate_edge_id", n(edges & ids_ & (F.col("stored") > 1))),
-        ("endpoint_occurrences_exist", n(nodes & (F.col("level") == "occurrence") & (F.col("referred") > 0) & (F.col("stored") == 0))),
+        ("node_labels_exact", total(nodes, "label_unlike")), ("node_kind_exact", total(nodes, "value_unlike")), ("relationship_types_exact", total(edges, "value_unlike")),
+        ("endpoint_generation_exact", total(edges, "generation_wrong")), ("node_properties_exact", total(nodes, "whole_wrong")), ("no_foreign_project", total(ids_, "own_project_wrong")),
+        ("no_duplicate_node_id", total(nodes, "twice")), ("no_duplicate_edge_id", total(edges, "twice")), ("endpoint_occurrences_exist", total((F.col("of") == "node") & ~ids_, "missing")),
     ]
-    one = met.agg(*(F.coalesce(c, F.lit(0)).cast("bigint").alias(name) for name, c in checks))
+    one = sums.agg(*(F.coalesce(c, F.lit(0)).cast("bigint").alias(name) for name, c in checks))
     named = F.array(*(F.struct(F.lit(name).alias("name"), F.col(name).alias("violations")) for name, _ in sorted(checks)))
     return one.select(F.explode(named).alias("c")).select("c.name", "c.violations", (F.col("c.violations") == 0).alias("passed"))
 

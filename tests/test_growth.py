@@ -97,3 +97,13 @@ def test_questions_and_meshes_are_dealt_to_tasks(spark):
     """A small file is one task's, whatever is made of its rows."""
     for name in ("H11_names_made", "H8_conditions", "L4_closed", "L5_centroids"):
         assert f"{views.DEALT}), REPARTITION_BY_NUM" in _query(spark, name), name
+
+
+def test_each_side_of_a_generation_is_read_once(spark):
+    r = generations.Revisions("p", "n", "a", "b", "c")
+    nodes = generations.node_records(spark.createDataFrame([("x", "site"), ("y", "site")], "node_id string, kind string"), r)
+    edges = generations.edge_records(spark.createDataFrame([("TOUCHES", "e", "x", "y")], "predicate string, edge_id string, src string, dst string"), r, generations.DERIVED)
+    found = generations.verification((nodes, edges.limit(0), edges), (nodes, edges.limit(0), edges.limit(0)), r)
+    assert plan(found).count("Generate inline") == 6
+    wrong = {c["name"]: c["violations"] for c in found.collect() if not c["passed"]}
+    assert wrong == {"derived_count_exact": 1, "derived_id_set_exact": 1, "derived_occurrence_set_exact": 1, "derived_fingerprint_exact": 1, "derived_no_extra_occurrence": 1, "relationship_types_exact": 1}
