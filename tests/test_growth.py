@@ -107,3 +107,11 @@ def test_each_side_of_a_generation_is_read_once(spark):
     assert plan(found).count("Generate inline") == 6
     wrong = {c["name"]: c["violations"] for c in found.collect() if not c["passed"]}
     assert wrong == {"derived_count_exact": 1, "derived_id_set_exact": 1, "derived_occurrence_set_exact": 1, "derived_fingerprint_exact": 1, "derived_no_extra_occurrence": 1, "relationship_types_exact": 1}
+
+
+def test_relations_without_an_end_are_dealt(spark):
+    nodes = spark.createDataFrame([("a", "project"), ("b", "site"), ("b", "site")], "node_id string, kind string")
+    rows = [("IfcRelAggregates", "g", "a", "b", 0)] * 2 + [("IfcRelAggregates", f"h{k}", "a", None, 0) for k in range(3)] + [("Other", "i", "a", "b", 0), ("IfcRelAggregates", "j", "b", "b", 0)]
+    found = graph.native_edges(spark.createDataFrame(rows, "relation_class string, global_id string, src string, dst string, occurrence int"), nodes, "p")
+    assert "min_by" not in plan(found) and "_none" in plan(found)
+    assert sorted((r["global_id"], r["issue"] or r["predicate"]) for r in found.collect()) == [("g", "HAS_SITE"), *((f"h{k}", "MISSING_ENDPOINT") for k in range(3)), ("i", "UNSUPPORTED_RELATION_SUBTYPE"), ("j", "DUPLICATE_ENDPOINT_IN_RELATION")]
