@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import digests
 
+#: Tasks that relations are dealt to.
+TASKS = 192
+
 
 def ratio(hits: Column, total: Column) -> Column:
     """hits / total in six places; over nothing it is an error, never a perfect score."""
@@ -27,9 +30,11 @@ def tolerance_metrics(gold: DataFrame, produced: DataFrame, keys: list[str]) ->
     rows of either side count once. A null expectation is one of absence.
     """
     row = ["predicate", "tolerance", *keys]
-    there = produced.select(*row).distinct().withColumn("present", F.lit(True))
-    asked = gold.groupBy(*row).agg(F.max(F.coalesce("expected", F.lit(False))).alias("expected"))
-    both = asked.join(there, row, "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    asked = gold.select(*row, F.coalesce("expected", F.lit(False)).alias("expected"), F.lit(True).alias("asked"), F.lit(False).alias("present"))
+    made = produced.where(" AND ".join(f"`{c}` IS NOT NULL" for c in row)).select(*row, F.lit(False).alias("expected"), F.lit(False).alias("asked"), F.lit(True).alias("present"))
+    # a null is equal to nothing; both sides are shuffled once, by what a relation is at every tolerance
+    met = asked.unionByName(made).repartition(TASKS, "predicate", *keys).groupBy(*row).agg(*(F.max(c).alias(c) for c in ("expected", "asked", "present")))
+    both = met.where("asked")
     same = Window.partitionBy("predicate", *keys)  # one row for each tolerance
     both = both.withColumn("boundary", F.min("expected").over(same) != F.max("expected").over(same))
     e, p = F.col("expected"), F.col("present")

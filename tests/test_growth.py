@@ -115,3 +115,11 @@ def test_relations_without_an_end_are_dealt(spark):
     found = graph.native_edges(spark.createDataFrame(rows, "relation_class string, global_id string, src string, dst string, occurrence int"), nodes, "p")
     assert "min_by" not in plan(found) and "_none" in plan(found)
     assert sorted((r["global_id"], r["issue"] or r["predicate"]) for r in found.collect()) == [("g", "HAS_SITE"), *((f"h{k}", "MISSING_ENDPOINT") for k in range(3)), ("i", "UNSUPPORTED_RELATION_SUBTYPE"), ("j", "DUPLICATE_ENDPOINT_IN_RELATION")]
+
+
+def test_relations_at_all_tolerances_are_shuffled_once(spark):
+    gold = spark.createDataFrame([("A", t, k, t > 0) for t in (0, 1) for k in ("x", "y", None)], "predicate string, tolerance int, pair string, expected boolean")
+    made = spark.createDataFrame([("A", 1, "x"), ("A", 1, "x"), ("A", 1, None), ("A", 1, "z")], "predicate string, tolerance int, pair string")
+    found = benchmarks.tolerance_metrics(gold, made, ["pair"])
+    assert plan(found).count("Exchange") == 2 and "Join" not in plan(found)  # the other one is of the sums
+    assert {(r["tolerance"], r["support"], r["tp"], r["fp"], r["fn"], r["tn"], r["boundary"]) for r in found.collect()} == {(0, 3, 0, 0, 0, 3, 3), (1, 3, 1, 0, 2, 0, 3)}
