@@ -123,3 +123,11 @@ def test_relations_at_all_tolerances_are_shuffled_once(spark):
     found = benchmarks.tolerance_metrics(gold, made, ["pair"])
     assert plan(found).count("Exchange") == 2 and "Join" not in plan(found)  # the other one is of the sums
     assert {(r["tolerance"], r["support"], r["tp"], r["fp"], r["fn"], r["tn"], r["boundary"]) for r in found.collect()} == {(0, 3, 0, 0, 0, 3, 3), (1, 3, 1, 0, 2, 0, 3)}
+
+
+def test_catalogues_are_not_broadcast(spark):
+    elements = spark.createDataFrame([("el_" + "0" * 32, "g" * 22)], "element_id string, global_id string")
+    chunks = spark.createDataFrame([(1, "see " + "g" * 22)], "chunk_id int, text string")
+    found = linking.identifier_mentions(chunks, elements)
+    assert "BroadcastHashJoin" not in plan(found)
+    assert [tuple(r) for r in found.collect()] == [(1, "g" * 22, "global_id", "el_" + "0" * 32)]
