@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.operators import thresholds
+from plumbline.sources.work import Work
 
 from .views import table
 
@@ -23,9 +24,11 @@ def _lists(s, d):
     return each.withColumn("rank", F.row_number().over(order)).where("rank <= 30").select("query_id", "rank", "score", "grade")
 
 
-def _queries(s, d):
+def _judged(s, d):
+    """The lists, made once, and their queries."""
+    lists = Work(s).written(_lists(s, d), "lists")
     best = F.slice(F.sort_array(F.collect_list("grade"), asc=False), 1, 10)
-    return _lists(s, d).groupBy("query_id").agg(F.count_if(F.col("grade") >= 2).alias("relevant_total"), best.alias("ideal_grades")).withColumn("fold", (F.col("query_id") % 5).cast("int"))
+    return lists, lists.groupBy("query_id").agg(F.count_if(F.col("grade") >= 2).alias("relevant_total"), best.alias("ideal_grades")).withColumn("fold", (F.col("query_id") % 5).cast("int"))
 
 
 _ALL = """l AS (SELECT o_custkey AS q, CAST(trunc(l_quantity) AS INTEGER) % 4 AS g, round_even((CAST(trunc(l_quantity) AS INTEGER) % 4 * 11 + l_partkey % 67) / 100, 6) AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY (CAST(trunc(l_quantity) AS INTEGER) % 4 * 11 + l_partkey % 67) / 100 DESC, CAST(trunc(l_quantity) AS INTEGER) % 4 DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS r
@@ -44,11 +47,11 @@ _ALL = """l AS (SELECT o_custkey AS q, CAST(trunc(l_quantity) AS INTEGER) % 4 AS
   rk AS (SELECT *, row_number() OVER (PARTITION BY h ORDER BY lr DESC, ln DESC, mr DESC, mn DESC, rj, (cut >= 0)::INT, cut, mf DESC) AS k, count(*) OVER (PARTITION BY h) AS eligible FROM tr WHERE lr >= 0 AND ln >= 0),
   ch AS (SELECT rk.*, (SELECT count(*) FROM tr WHERE tr.h = rk.h) AS candidates FROM rk WHERE k = 1)"""
 _add = Q.__setitem__
-_add("N25_out_of_fold", lambda s, d: thresholds.protocol(_lists(s, d), _queries(s, d))[0])
+_add("N25_out_of_fold", lambda s, d: thresholds.protocol(*_judged(s, d))[0])
 SQL["N25_out_of_fold"] = f"""WITH {_ALL} SELECT CAST(h AS INTEGER) AS held_out, CASE WHEN cut < 0 THEN 'accept_all' ELSE 'numeric' END AS mode, CASE WHEN cut >= 0 THEN CAST(cut AS DOUBLE) END AS threshold, candidates, eligible, CAST(lr AS DOUBLE) AS least_recall, CAST(ln AS DOUBLE) AS least_ndcg, CAST(mr AS DOUBLE) AS macro_recall, CAST(mn AS DOUBLE) AS macro_ndcg, CAST(rj AS DOUBLE) AS rejection, CAST(mf AS DOUBLE) AS macro_f1 FROM ch"""
-_add("N25_outcome", lambda s, d: thresholds.protocol(_lists(s, d), _queries(s, d))[1])
+_add("N25_outcome", lambda s, d: thresholds.protocol(*_judged(s, d))[1])
 SQL["N25_outcome"] = f"""WITH {_ALL}, o AS (SELECT st.*, a.rec AS arec, a.nd AS an FROM st JOIN ch ON ch.h = st.fold AND ch.cut = st.cut JOIN st AS a ON a.q = st.q AND a.cut = -1),
   one AS (SELECT round_even(avg(rec), 6) AS recall, round_even(avg(nd), 6) AS ndcg, round_even(avg(f1), 6) AS f1, CAST(count(*) FILTER (WHERE n = 0) AS BIGINT) AS empty, round_even(avg(arec), 6) AS recall_all, round_even(avg(an), 6) AS ndcg_all FROM o)
   SELECT one.*, recall >= recall_all AND ndcg >= ndcg_all AS passed, CASE WHEN recall >= recall_all AND ndcg >= ndcg_all THEN CASE WHEN cut < 0 THEN 'accept_all' ELSE 'numeric' END END AS mode, CASE WHEN recall >= recall_all AND ndcg >= ndcg_all AND cut >= 0 THEN CAST(cut AS DOUBLE) END AS threshold FROM one, ch WHERE h = -1"""
-_add("N15_fold_means", lambda s, d: thresholds.fold_means(thresholds.steps(_lists(s, d), _queries(s, d))).select("fold", F.coalesce("score", F.lit(-1.0)).alias("score"), "f1", "recall", "ndcg", "rejected", "n"))
+_add("N15_fold_means", lambda s, d: thresholds.fold_means(thresholds.steps(*_judged(s, d))).select("fold", F.coalesce("score", F.lit(-1.0)).alias("score"), "f1", "recall", "ndcg", "rejected", "n"))
 SQL["N15_fold_means"] = f"""WITH {_ALL} SELECT CAST(fold AS INTEGER) AS fold, CAST(cut AS DOUBLE) AS score, f1, rec AS recall, nd AS ndcg, rej AS rejected, n FROM fm JOIN (SELECT fold, count(*) AS n FROM qs GROUP BY fold) USING (fold)"""

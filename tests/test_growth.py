@@ -131,3 +131,11 @@ def test_catalogues_are_not_broadcast(spark):
     found = linking.identifier_mentions(chunks, elements)
     assert "BroadcastHashJoin" not in plan(found)
     assert [tuple(r) for r in found.collect()] == [(1, "g" * 22, "global_id", "el_" + "0" * 32)]
+
+
+def test_steps_of_lists_need_no_aggregate(spark):
+    lists = spark.createDataFrame([(1, 1, 0.9, 3), (1, 2, 0.5, 0), (1, 3, 0.5, 2)], "query_id int, rank int, score double, grade int")
+    queries = spark.createDataFrame([(1, 0, 2, [3, 2])], "query_id int, fold int, relevant_total int, ideal_grades array<int>")
+    found = thresholds.steps(lists, queries)
+    assert "Aggregate" not in plan(found)
+    assert sorted((r["score"], int(r["accepted"]), float(r["recall"])) for r in found.collect()) == [(0.5, 3, 1.0), (0.9, 1, 0.5)]
