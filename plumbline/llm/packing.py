@@ -33,7 +33,7 @@ CAPACITY = 1024
 #: Bytes of text cut into pre-tokens at once.
 SLICE = 4 << 20
 END_ID = 2
-COHORT = 4096
+COHORT = 16384
 ISLANDS = 2
 EPOCHS = 2
 GENERATIONS = 6

@@ -66,3 +66,12 @@ def test_many_cohorts_and_islands(spark):
         fill[r["sequence_id"]] = fill.get(r["sequence_id"], 0) + r["length"]
     assert max(fill.values()) <= 1024
     assert len(fill) <= 1.03 * packing.least_bins([r[3] for r in rows], 1024) + 1
+
+
+def test_cohorts_are_large_enough_to_fill_sequences(spark):
+    """Some thousands of pieces are one problem: no more sequences than best fit over all of them."""
+    rng = random.Random(3)
+    lengths = [rng.randint(40, 1000) for _ in range(9000)]
+    parts = spark.createDataFrame([(k, 0, 0, n, k) for k, n in enumerate(lengths)], "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint")
+    whole = packing.best_fit(lengths, sorted(range(len(lengths)), key=lambda p: (-lengths[p], p)), 1024)
+    assert packing.packed(spark, parts).select("sequence_id").distinct().count() <= len(whole)
