@@ -98,12 +98,27 @@ def dropped(*tables: DataFrame) -> None:
             owner.drop(df.work_path)
 
 
-def written(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` to the shared folder and read it back."""
+#: A task of a small work table takes about so many bytes of what the table is made of.
+PART_BYTES = 2 << 20
+
+
+def tasks(spark: SparkSession, size: int, each: int = PART_BYTES) -> int:
+    """How many tasks ``size`` bytes are worth: one for ``each`` bytes, and one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-size // each))
+
+
+def written(spark: SparkSession, df: DataFrame, name: str, of: list[DataFrame] | None = None) -> DataFrame:
+    """Cut the lineage: write ``df`` to the shared folder and read it back. ``of`` are work
+    tables that ``df`` is made of and not much larger than: the last step then has as many tasks as their size
+    is worth, however many partitions a shuffle makes; a nearly empty task costs as much as some 10,000 rows."""
     path = work_path(spark, name)
+    if of:
+        df = df.coalesce(tasks(spark, sum(t.work_bytes for t in of)))
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.work_path = path
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out.work_bytes = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
     if owner := _owner.get():
         owner.paths.append(path)
     return out
@@ -117,8 +132,11 @@ HOT_KEYS = 10_000
 def hot_keys(spark: SparkSession, df: DataFrame, keys: list[str]) -> DataFrame | None:
     """The keys with the most rows, at most ``HOT_KEYS``; None if no key has many. Counted with partial sums."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") > HOT_ROWS)
-    found = written(spark, counts.orderBy(F.desc("_n")).limit(HOT_KEYS).select(*keys), "hot")
-    return None if found.isEmpty() else found
+    if (size := getattr(df, "work_bytes", None)) is not None:
+        counts = counts.coalesce(tasks(spark, size))
+    found = counts.orderBy(F.desc("_n")).limit(HOT_KEYS).select(*keys)
+    rows = found.toArrow()
+    return spark.createDataFrame(rows, found.schema) if rows.num_rows else None
 
 
 def joined_by_hot(spark: SparkSession, left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -128,7 +146,11 @@ def joined_by_hot(spark: SparkSession, left: DataFrame, right: DataFrame, keys:
 
     Both are read several times, so they should be written tables.
     """
-    hot = hot_keys(spark, left, keys)
+    return joined_apart(left, right, keys, hot_keys(spark, left, keys), how)
+
+
+def joined_apart(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame | None, how: str = "inner") -> DataFrame:
+    """The same with the hot keys of ``left`` known."""
     if hot is None:
         return left.join(right, keys, how)
     hot = F.broadcast(hot)  # HOT_KEYS rows at most

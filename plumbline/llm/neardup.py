@@ -34,8 +34,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Owned, give_back, joined_by_hot, mix64, slices, windows, written
-from .components import components, local_roots
+from .common import Owned, give_back, joined_by_hot, mix64, slices, tasks, windows, written
+from .components import components, local_roots, merged
 from .words import Words, scan, shingles
 
 _BUCKET = ["band", "value"]
@@ -50,6 +50,8 @@ STRETCH = 256
 #: Relative frequencies well below this all count as rare.
 RARE = 1e-4
 _QUANTILES = 1 << 16
+#: A task that compares texts takes about so many bytes of them.
+_TASK_BYTES = 1 << 18
 
 
 def _gamma_quantiles(n: int) -> np.ndarray:
@@ -149,7 +151,7 @@ def document_frequencies(docs: DataFrame, cells: int = CELLS) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([v.astype("<i8").tobytes() for v in total.values()], pa.binary())], names=["slice", "counts"])
 
     parts = docs.select("text").mapInArrow(part, "slice int, counts binary")
-    summed = parts.repartition("slice").mapInArrow(added, "slice int, counts binary").toArrow()
+    summed = parts.repartition("slice").coalesce(4 * tasks(docs.sparkSession, 0)).mapInArrow(added, "slice int, counts binary").toArrow()
     out = np.zeros(cells, dtype=np.int64)
     for s, raw in zip(summed.column(0).to_pylist(), summed.column(1).to_pylist(), strict=True):
         out[s * width : (s + 1) * width] = np.frombuffer(raw, dtype="<i8")
@@ -236,44 +238,45 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     with Owned(spark) as work:
         counts = document_frequencies(texts)
-        weights = spark.sparkContext.broadcast(Weights(counts, texts.count()))  # of fixed size
+        rows, size = texts.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+        weights = spark.sparkContext.broadcast(Weights(counts, rows))  # of fixed size
+        parts = tasks(spark, 4 * _TASK_BYTES * spark.sparkContext.defaultParallelism + (size or 0), _TASK_BYTES)  # four for each core, and by size
         id_type = texts.schema["doc_id"].dataType.simpleString()
         signed = written(spark, texts.mapInArrow(_signatures(weights), f"doc_id {id_type}, key binary, bands array<bigint>"), "signatures")
         classes = signed.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("bands").alias("bands"))
-        classes = written(spark, classes, "classes")
+        classes = written(spark, classes, "classes", [signed])
         members = written(spark, classes.select("key", F.posexplode("bands").alias("band", "value")), "bands")
         buckets = members.groupBy("band", "value").agg(F.min("key").alias("pivot"), F.count("*").alias("n")).where("n > 1")
-        buckets = written(spark, buckets.drop("n"), "buckets")
-        members = written(spark, joined_by_hot(spark, members, buckets, _BUCKET), "members")
+        buckets = written(spark, buckets.drop("n"), "buckets", [members])
+        members = written(spark, joined_by_hot(spark, members, buckets, _BUCKET), "members", [members])
         asked = members.select("key").distinct()
         wanted = classes.join(asked, "key", "left_semi").select(F.col("first_id").alias("doc_id"), "key")
-        found = texts.join(wanted, "doc_id").mapInArrow(_checked, "key binary, text string")
+        found = texts.join(wanted, "doc_id").coalesce(parts).mapInArrow(_checked, "key binary, text string")
         nameless = wanted.where("doc_id IS NULL").select("key")  # classes of rows without an id only
         if not nameless.isEmpty():
             unnamed = texts.where("doc_id IS NULL AND text IS NOT NULL").select("text").mapInArrow(_with_key, f"text string, `{_KEY}` binary")
             found = found.unionByName(unnamed.withColumnRenamed(_KEY, "key").join(nameless, "key", "left_semi"))
-        found = written(spark, found.dropDuplicates(["key"]), "texts")
-        stars = written(spark, members.where("pivot <> key").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "stars")
-        links = written(spark, _verified(stars, found, weights), "links")
-        labels = components(spark, links)
+        found = written(spark, found.dropDuplicates(["key"]).coalesce(parts), "texts")
+        stars = written(spark, members.where("pivot <> key").select(F.col("pivot").alias("a"), F.col("key").alias("b")).distinct(), "stars", [members])
+        links = written(spark, _verified(stars, found, weights, parts), "links")
+        labels = components(spark, links, [links])
         # Buckets that hold several components still. A text is out if the shingles it has
         # in common with any other of them weigh too little for 0.8, whatever the partner.
-        placed = written(spark, _mixed(spark, members.select("band", "value", "key"), labels), "mixed")
-        measured = written(spark, _linkable(found, placed, weights), "linkable")
+        placed = written(spark, _mixed(spark, members.select("band", "value", "key"), labels, [members]), "mixed", [members])
+        measured = written(spark, _linkable(found, placed, weights, parts), "linkable", [placed])
         able = placed.drop("component").join(measured.where(F.col("common") >= SIMILARITY * F.col("total") - 1e-6), "key")
-        able = written(spark, _mixed(spark, able, labels), "able")
+        able = written(spark, _mixed(spark, able, labels, [placed, measured]), "able", [placed, measured])
         # The text with the most in common with others is the next pivot of its bucket.
         best = able.groupBy("band", "value").agg(F.max(F.struct(F.col("common") / F.col("total"), F.col("key"), F.col("component"))).alias("best"))
-        again = joined_by_hot(spark, able, written(spark, best, "best"), _BUCKET).where(F.col("component") != F.col("best.component"))
+        again = joined_by_hot(spark, able, written(spark, best, "best", [able]), _BUCKET).where(F.col("component") != F.col("best.component"))
         again = again.select(F.least("key", "best.key").alias("a"), F.greatest("key", "best.key").alias("b")).distinct()
-        again = written(spark, again.join(stars, ["a", "b"], "left_anti"), "again")
-        links = written(spark, links.unionByName(_verified(again, found, weights)), "links")
-        labels = components(spark, links)
+        again = written(spark, again.join(stars, ["a", "b"], "left_anti"), "again", [able])
+        labels = merged(spark, labels, written(spark, _verified(again, found, weights, parts), "links"))
         # What is left is compared within its buckets, in stretches of bounded size, where the common weights allow 0.8.
-        able = written(spark, _mixed(spark, able.drop("component"), labels), "left")
+        able = written(spark, _mixed(spark, able.drop("component"), labels, [able]), "left", [able])
         sizes = able.groupBy("band", "value").agg(F.ceil(F.count("*") / STRETCH).cast("int").alias("parts"))
-        dealt = joined_by_hot(spark, able, written(spark, sizes, "sizes"), _BUCKET).withColumn("stretch", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
-        dealt = written(spark, dealt, "rest")
+        dealt = joined_by_hot(spark, able, written(spark, sizes, "sizes", [able]), _BUCKET).withColumn("stretch", F.pmod(F.xxhash64("key"), F.col("parts")).cast("int"))
+        dealt = written(spark, dealt, "rest", [able])
         # What is known of a text is joined to it once; only then do rows go to each stretch they meet.
         ready = dealt.join(found.join(classes.select("key", "bands"), "key"), "key").withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         ready = ready.withColumn("first", F.least("stretch", "with")).withColumn("second", F.greatest("stretch", "with")).drop("with", "parts")
@@ -281,11 +284,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
         more = ready.repartition(*order).sortWithinPartitions(*order).mapInArrow(_within(weights), "a binary, b binary")
         more = written(spark, more, "links")
         if not more.isEmpty():
-            labels = components(spark, links.select("a", "b").unionByName(more))
+            labels = merged(spark, labels, more)
         grouped = classes.select("key", "first_id").join(labels, classes.key == labels.node, "left").select("key", "first_id", F.coalesce("component", "key").alias("component"))
-        grouped = written(spark, grouped, "grouped")
-        lowest = written(spark, grouped.groupBy("component").agg(F.min("first_id").alias("class_id")), "lowest")
-        grouped = written(spark, joined_by_hot(spark, grouped, lowest, ["component"]).select("key", "component", "class_id"), "groups")
+        grouped = written(spark, grouped, "grouped", [classes])
+        lowest = written(spark, grouped.groupBy("component").agg(F.min("first_id").alias("class_id")), "lowest", [grouped])
+        grouped = written(spark, joined_by_hot(spark, grouped, lowest, ["component"]).select("key", "component", "class_id"), "groups", [grouped])
         work.keep(signed, grouped)
     return joined_by_hot(spark, signed.select("doc_id", "key"), grouped, ["key"], "left").select("doc_id", "key", "component", F.coalesce("class_id", "doc_id").alias("class_id"))
 
@@ -369,15 +372,15 @@ def _overlaps(own: Weights, texts: list[bytes], columns: int = 4096) -> np.ndarr
     return out
 
 
-def _mixed(spark: SparkSession, rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """``rows`` (band, value, key, ...) with component, of buckets with several components."""
+def _mixed(spark: SparkSession, rows: DataFrame, labels: DataFrame, of: list[DataFrame]) -> DataFrame:
+    """``rows`` (band, value, key, ...) with component, of buckets with several components; they come from the tables ``of``."""
     placed = rows.join(labels.withColumnRenamed("node", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    placed = written(spark, placed, "placed")
+    placed = written(spark, placed, "placed", of)
     several = placed.groupBy("band", "value").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return joined_by_hot(spark, placed, written(spark, several.select("band", "value"), "several"), _BUCKET)
+    return joined_by_hot(spark, placed, written(spark, several.select("band", "value"), "several", [placed]), _BUCKET)
 
 
-def _linkable(texts: DataFrame, placed: DataFrame, weights: Broadcast) -> DataFrame:
+def _linkable(texts: DataFrame, placed: DataFrame, weights: Broadcast, parts: int) -> DataFrame:
     """Of each text in ``placed``: key, the total weight of its shingles, and the
     weight of those that occur in another text of ``placed`` too."""
 
@@ -386,13 +389,13 @@ def _linkable(texts: DataFrame, placed: DataFrame, weights: Broadcast) -> DataFr
             sums = np.add.reduceat(np.append(weight, 0).astype(np.float64), np.minimum(begin[:-1], len(weight))) * (np.diff(begin) > 0)
             yield pa.RecordBatch.from_arrays([keys, pa.array(sums)], names=["key", "total"])
 
-    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, weight, begin, keys in _vectors_of(batches, weights):
             owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), keys.take(pa.array(owner)), pa.array(weight)], names=["h", "key", "weight"])
 
-    own = texts.join(placed.select("key").distinct(), "key", "left_semi")
-    single = own.mapInArrow(parts, "h bigint, key binary, weight float").groupBy("h").agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("weight").alias("weight")).where("n = 1")
+    own = texts.join(placed.select("key").distinct(), "key", "left_semi").coalesce(parts)
+    single = own.mapInArrow(shingled, "h bigint, key binary, weight float").groupBy("h").agg(F.count("*").alias("n"), F.first("key").alias("key"), F.first("weight").alias("weight")).where("n = 1")
     alone = single.groupBy("key").agg(F.sum(F.col("weight").cast("double")).alias("alone"))
     return own.mapInArrow(totals, "key binary, total double").join(alone, "key", "left").select("key", "total", (F.col("total") - F.coalesce("alone", F.lit(0.0))).alias("common"))
 
@@ -415,11 +418,11 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield part.select(["key", "text"]).filter(same)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, weights: Broadcast) -> DataFrame:
-    """The pairs (a, b) of keys whose texts are similar enough."""
+def _verified(pairs: DataFrame, texts: DataFrame, weights: Broadcast, parts: int) -> DataFrame:
+    """The pairs (a, b) of keys whose texts are similar enough, by about ``parts`` tasks."""
     right = pairs.join(texts.select(F.col("key").alias("b"), F.col("text").alias("text_b")), "b")
     both = right.join(texts.select(F.col("key").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(_similar(weights), "a binary, b binary, similarity double")
+    return both.select("a", "b", "text_a", "text_b").coalesce(parts).mapInArrow(_similar(weights), "a binary, b binary, similarity double")
 
 
 def near_duplicate_report(spark: SparkSession, docs: DataFrame) -> DataFrame:

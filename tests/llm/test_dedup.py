@@ -197,3 +197,31 @@ def test_vectors_equal_brute_force(spark, window):
     assert all(got[i] == (near[i].sum(), label[i], label[i] == i) for i in range(len(x)))
     assert all(got[i] == (0, i, True) for i, _ in bad)
     assert embeddings.linked_vectors(spark, df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("more", [[], [(5, 30)], [(101, 3), (41, 42), (42, 100), (60, 61)]])
+def test_links_added_later_give_the_same_components(spark, more):
+    from plumbline.llm.common import written
+    from plumbline.llm.components import merged
+
+    links = [(1, 2), (2, 3), (4, 5), (30, 31), (100, 101), (40, 41)]
+    first, added = (spark.createDataFrame(x, "a int, b int") for x in (links, more))
+    found = merged(spark, components(spark, first), written(spark, added, "added"))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, components(spark, first.union(added)).collect()))
+
+
+def test_small_work_tables_take_few_tasks_whatever_a_shuffle_deals(spark, documents):
+    rng = random.Random(3)
+    docs = documents([(i, " ".join(word(rng) for _ in range(30))) for i in range(300)])
+    held = {"spark.sql.shuffle.partitions": "97", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        found = neardup.near_duplicates(spark, docs)
+        groups = [f for f in found.inputFiles() if "-groups/" in f]
+        assert 0 < len(groups) <= spark.sparkContext.defaultParallelism
+        assert found.count() == 300
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
