@@ -360,3 +360,18 @@ def test_tied_links_are_told_as_in_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{tmp_path}/lineitem.parquet/*.parquet')")
     got = sorted(tuple(r) for r in registry.queries()["E8_strongest_link"](spark, str(tmp_path)).collect())
     assert got == sorted(con.execute(registry.oracle_sql()["E8_strongest_link"]).fetchall()) == [(part, "RNA"[part % 3], 1) for part in range(50)]
+
+
+def test_rerank_texts_of_odd_documents_are_those_of_sql(spark, tmp_path):
+    import duckdb
+    from oracle_support import comparable
+
+    from plumbline.plans import registry
+
+    texts = ["plain", "", " ", " " * 1300, " " * 1200 + "late", "\n", " ", "é" * 900, "👩‍👩‍👧" * 500, "\r\n" * 700, "a\0b", None]
+    rows = [(k, t, "en", "web") for k, t in enumerate(texts)] + [(90, "x", "", ""), (91, "x", None, "web"), (92, "x", "en", None), (93, "", "en", " ")]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = registry.queries()["A26_rerank_text"](spark, str(tmp_path)).collect()
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    assert comparable(got) == comparable(con.execute(registry.oracle_sql()["A26_rerank_text"]).fetchall())
