@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from oracle_support import SMALL
-from plumbline.operators import benchmarks, documents, graph, inverted, linking, retrieval, thresholds
+from plumbline.operators import benchmarks, documents, graph, inverted, linking, ranking, retrieval, thresholds
 from plumbline.plans import registry, views
 from plumbline.sources import generations
 
@@ -139,3 +139,21 @@ def test_steps_of_lists_need_no_aggregate(spark):
     found = thresholds.steps(lists, queries)
     assert "Aggregate" not in plan(found)
     assert sorted((r["score"], int(r["accepted"]), float(r["recall"])) for r in found.collect()) == [(0.5, 3, 1.0), (0.9, 1, 0.5)]
+
+
+def test_judgements_are_not_listed_for_each_query(spark):
+    assert "NestedLoop" not in (found := _query(spark, "N9_ranking_quality")) and "CartesianProduct" not in found
+    qrels = [(t, i, (i * 7 + t) % 4) for t in range(3) for i in range(60)] + [(2, i, 5) for i in range(15)]
+    topics = [(q, q % 4) for q in range(9)] + [(8, 1)]  # topic 3 has no judgements, query 8 two topics
+    lists = spark.createDataFrame([(q, (i * 11 + q) % 80, i + 1) for q in range(9) for i in range(30)], "query_id int, id int, rank int")
+    topics, shared = spark.createDataFrame(topics, "query_id int, topic int"), spark.createDataFrame(qrels, "topic int, id int, grade int")
+    each = topics.join(shared, "topic").select("query_id", "id", "grade")
+    got = {r["query_id"]: tuple(r) for r in ranking.quality(lists, shared, topics=topics).collect()}
+    assert got[3] == (3, 1.0, 0.0, 1.0, 0.0)
+    single = {q: x for q, x in got.items() if q != 8}
+    assert single == {r["query_id"]: tuple(r) for r in ranking.quality(lists, each).collect() if r["query_id"] != 8}
+    ideal = sorted((g for t, _, g in qrels if t == 2), reverse=True)[:10]
+    ranked = [([g for t, x, g in qrels if (t, x) == (2, (i * 11 + 2) % 80)] or [0]) for i in range(10)]
+    gain = lambda grades: sum((2**g - 1) / np.log2(r + 2) for r, g in enumerate(grades))
+    flat = sum((2**g - 1) / np.log2(r + 2) for r, own in enumerate(ranked) for g in own)
+    assert abs(got[2][4] - flat / gain(ideal)) < 1e-6
