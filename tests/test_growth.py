@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from oracle_support import SMALL
-from plumbline.operators import benchmarks, documents, graph, inverted, linking, ranking, retrieval, thresholds
+from plumbline.operators import benchmarks, documents, geometry, graph, inverted, linking, ranking, retrieval, thresholds
 from plumbline.plans import registry, views
 from plumbline.sources import generations
 
@@ -157,3 +157,37 @@ def test_judgements_are_not_listed_for_each_query(spark):
     gain = lambda grades: sum((2**g - 1) / np.log2(r + 2) for r, g in enumerate(grades))
     flat = sum((2**g - 1) / np.log2(r + 2) for r, own in enumerate(ranked) for g in own)
     assert abs(got[2][4] - flat / gain(ideal)) < 1e-6
+
+
+def _placed(spark, n, places):
+    """n boxes on so many places of the X axis, of which each meets the next."""
+    x = (F.col("id") % places).cast("decimal(20,6)")
+    end = (x + F.lit(1).cast("decimal(20,6)")).cast("decimal(20,6)")
+    return spark.range(n).select("id", *(c for axis in "xyz" for c in (x.alias(f"{axis}0"), end.alias(f"{axis}1"))))
+
+
+def test_members_of_a_place_go_to_few_tasks(spark):
+    """Where they repeat they take little space. Members of both sides are not shuffled with their pair."""
+    x = (F.col("id") % 60).cast("decimal(20,6)")
+    pairs = geometry.swept_pairs(spark.range(600).select("id", x.alias("x0"), (x + 100).cast("decimal(20,6)").alias("x1")))
+    assert "RoundRobin" not in plan(pairs)
+    at = pairs.select("b.id", F.spark_partition_id().alias("at")).groupBy("id").agg(F.count("*").alias("n"), F.countDistinct("at").alias("tasks")).collect()
+    assert {r["id"]: r["n"] for r in at} == {k: k for k in range(1, 600)}
+    assert max(r["tasks"] for r in at) <= geometry.DEALS
+
+
+def test_members_meet_in_parts_and_runs(spark, monkeypatch):
+    """Boxes with other columns, several parts of a place, runs of a few members, and ids that are missing."""
+    for name, value in (("MEMBERS", 7), ("RUN", 3), ("TASKS", 5), ("DEALS", 2)):
+        monkeypatch.setattr(geometry, name, value)
+    b = _placed(spark, 60, 4)
+    b = b.union(b.where("id < 3").withColumn("id", F.lit(None).cast("bigint"))).withColumn("name", F.create_map(F.lit("n"), F.concat(F.lit("n"), "id")))
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if abs(i % 4 - j % 4) <= 1}
+    for found in (geometry.swept_pairs(b), geometry.column_pairs(b), geometry.swept_pairs(b.select("id", "x0", "x1"))):
+        rows = found.collect()
+        assert len(rows) == len(want) and {(r["a"]["id"], r["b"]["id"]) for r in rows} == want
+        assert all("name" not in r["a"] or (r["a"]["name"], r["b"]["name"]) == ({"n": f"n{r['a']['id']}"}, {"n": f"n{r['b']['id']}"}) for r in rows)
+        assert all(int(r["b"]["x0"]) == r["b"]["id"] % 4 for r in rows)
+    met = geometry.relations(b.drop("name")).groupBy("predicate").count().collect()
+    each = 4 * 15 * 14 // 2
+    assert {r["predicate"]: r["count"] for r in met} == {"INTERSECTS": each, "TOUCHES": len(want) - each}
